@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spanloom.llm import pii, secrets
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.tokencount import token_counts
 
@@ -20,6 +21,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def labelled(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
+    return spark.createDataFrame(rows, "text string, start int, end int")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"), labelled(spark, secrets.labelled_rows()))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), labelled(spark, pii.labelled_rows()))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op4_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

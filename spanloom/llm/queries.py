@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import pii, secrets
 from spanloom.llm.ngram_join import ngram_jaccard_join
+from spanloom.llm.quality_rules import quality_rules
 from spanloom.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"), labelled(spark, secrets.labelled_rows()))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), labelled(spark, pii.labelled_rows()))
 
@@ -40,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op4_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

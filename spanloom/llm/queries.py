@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm import pii, secrets
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.quality_rules import quality_rules
+from spanloom.llm.substring_dedup import substring_dedup
 from spanloom.llm.tokencount import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), labelled(spark, pii.labelled_rows()))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op8_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm import pii, secrets
+from spanloom.llm.decontaminate import contaminated
+from spanloom.llm.mixing import mix
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.quality_rules import quality_rules
+from spanloom.llm.site_quality import site_quality
 from spanloom.llm.substring_dedup import substring_dedup
 from spanloom.llm.tokencount import token_counts
 
@@ -39,10 +43,23 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"), labelled(spark, pii.labelled_rows()))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host, source and language for its path."""
+    return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op8_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op7_site_quality, op8_substring_dedup, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

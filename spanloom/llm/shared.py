@@ -30,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on columns of one name, null equal to null; they stand once, as left's."""
+    names = {c: f"_right_{c}" for c in on}
+    right = right.withColumnsRenamed(names)
+    test = F.lit(True)
+    for c, r in names.items():
+        test &= F.col(c).eqNullSafe(F.col(r))
+    return left.join(right, test, how).drop(*names.values())
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which whoever runs it sizes with the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import pii, secrets
 from spanloom.llm.decontaminate import contaminated
+from spanloom.llm.lm import language_model_scores
 from spanloom.llm.mixing import mix
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.quality_rules import quality_rules
@@ -47,6 +48,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return language_model_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for its host, source and language for its path."""
     return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
@@ -67,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op7_site_quality, op8_substring_dedup, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op8_substring_dedup, op9_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,11 +8,11 @@
 3. Equal sets are one class, found by fingerprint, and its least key stands for it.
 4. Two sets that link share an n-gram among the first ``n - ceil(t*n) + 1`` of each in the
    order.  Sets that share such an n-gram form a block.  Pairs are never made within whole
-   blocks: first each member meets the least key of its block; then, where a block still
-   has members that aren't connected, such members meet a member drawn for each block;
+   blocks: first each set meets the least key of its blocks; where a block's members
+   still aren't connected, they meet the block's least member, then one drawn for it;
    what is then left of pairs across components is held against the threshold,
-   unless the distances of the two to their common first partner already
-   exclude it (Jaccard distance is a metric).
+   unless sizes and places in the order exclude it, or the distances of the two
+   to a common first partner (Jaccard distance is a metric).
 5. A pair's overlap is counted fragment by fragment and summed, then compared exactly in
    integers.  Links give components.
 
@@ -132,7 +132,7 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip([*SCATTERED_NAMES, "power"], [*SCATTERED_TYPES, pa.binary()])], [*SCATTERED_NAMES, "power"])
 
 
-GATHERED = "doc long, n long, print1 long, print2 long, first array<long>, segments array<struct<f:int,grams:array<long>>>"
+GATHERED = "doc long, n long, own long, print1 long, print2 long, first array<long>, segments array<struct<f:int,grams:array<long>>>"
 
 
 def _gather(percent: int):
@@ -170,8 +170,8 @@ def _gather(percent: int):
             at = np.flatnonzero(new)
             segments = pa.StructArray.from_arrays([pa.array(f[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), grams)], ["f", "grams"])
             bounds = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(doc)))]).astype(np.int32))
-            out = [pa.array(doc), pa.array(n), *[pa.array(np.frombuffer(head[k], np.int64)) for k in ("print1", "print2")], pa.ListArray.from_arrays(bounds(owner[head_of]), grams.filter(pa.array(head_of))), pa.ListArray.from_arrays(bounds(owner[at]), segments)]
-            yield pa.RecordBatch.from_arrays(out, ["doc", "n", "print1", "print2", "first", "segments"])
+            out = [pa.array(doc), pa.array(n), pa.array(own), *[pa.array(np.frombuffer(head[k], np.int64)) for k in ("print1", "print2")], pa.ListArray.from_arrays(bounds(owner[head_of]), grams.filter(pa.array(head_of))), pa.ListArray.from_arrays(bounds(owner[at]), segments)]
+            yield pa.RecordBatch.from_arrays(out, ["doc", "n", "own", "print1", "print2", "first", "segments"])
 
     return run
 
@@ -209,32 +209,28 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     classes = cut(sets.join(classes, ["n", "print1", "print2"]).select("doc", "least"))
     copies = classes.filter("doc <> least")
     alone = sets.filter("size(first) > 0").join(copies, "doc", "left_anti")
-    # blocks of n-grams among the first of two sets or more
-    first = alone.select("doc", "n", F.explode("first").alias("gram"))
+    # blocks of n-grams among the first of two sets or more; i: the n-gram's place in the set's order
+    first = alone.select("doc", "n", "own", F.posexplode("first").alias("i", "gram")).withColumn("i", F.col("own") + F.col("i")).drop("own")
     least = first.groupBy("gram").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     blocks = cut(first.join(least.select("gram", "hub"), "gram"))
     segments = cut(alone.join(blocks.select("doc").distinct(), "doc", "left_semi").select("doc", "n", F.explode("segments").alias("s")).select("doc", "n", "s.f", "s.grams"))
-    near = cut(overlaps(blocks.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), segments, percent))
-    links = near.filter("linked").select("a", "b")
-    # where a block still falls apart, its members meet one drawn for it, across components
-    limit = F.lit(1 - percent / 100 + 1e-9)
-    left = _apart(blocks, components(links))
-    if not left.isEmpty():
-        away = near.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "distance")
-        left = cut(left.join(away, ["hub", "doc"], "left").withColumn("distance", F.when(F.col("doc") == F.col("hub"), 0.0).otherwise(F.col("distance"))))
-        drawn = left.groupBy("gram").agg(F.min_by(F.struct("doc", "n", "component", "distance"), F.xxhash64("doc", "gram")).alias("d"))
-        some = left.join(drawn, "gram").filter("component <> d.component").filter(_possible("n", "d.n", percent)).filter(_within("distance", "d.distance", limit))
-        some = some.select(F.least("doc", "d.doc").alias("a"), F.greatest("doc", "d.doc").alias("b")).distinct()
-        met = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        second = cut(overlaps(some.join(met, ["a", "b"], "left_anti"), segments, percent))
-        links = cut(links.union(second.filter("linked").select("a", "b")))
-        met = met.union(second.select("a", "b"))
-        # the rest: pairs across components that neither size nor distance excludes
-        left = cut(_apart(left.drop("component"), components(links)))
-        one, two = left.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("distance").alias("da")), left.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("distance").alias("db"))
-        rest = one.join(two, "gram").filter("a < b and ca <> cb").filter(_possible("na", "nb", percent)).filter(_within("da", "db", limit))
-        rest = rest.select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
-        links = links.union(overlaps(rest, segments, percent).filter("linked").select("a", "b"))
+    hubs = blocks.groupBy("doc").agg(F.min("hub").alias("hub")).filter("doc <> hub")
+    met = cut(overlaps(hubs.select(F.col("hub").alias("a"), F.col("doc").alias("b")), segments, percent))
+    away = met.select(F.col("b").alias("doc"), F.col("a").alias("hub"), "distance")
+    blocks = blocks.drop("hub").join(away, "doc", "left")
+    links, met = met.filter("linked").select("a", "b"), met.select("a", "b")
+    for draw in (F.col("doc"), F.xxhash64("doc", "gram")):
+        # where a block still falls apart, its members meet one of it, across components
+        left = cut(_apart(blocks, components(links)))
+        drawn = left.groupBy("gram").agg(F.min_by(F.struct(*SIDE), draw).alias("d")).select("gram", *[F.col(f"d.{c}").alias(f"b_{c}") for c in SIDE])
+        some = _new_pairs(left.select("gram", *[F.col(c).alias(f"a_{c}") for c in SIDE]).join(drawn, "gram"), met, percent)
+        found = cut(overlaps(some, segments, percent))
+        links, met = links.union(found.filter("linked").select("a", "b")), met.union(found.select("a", "b"))
+    # the rest: pairs across components that neither sizes and places nor distances exclude
+    left = cut(_apart(blocks, components(links)))
+    one, two = (left.select("gram", *[F.col(c).alias(f"{x}_{c}") for c in SIDE]) for x in "ab")
+    rest = _new_pairs(one.join(two, "gram").filter("a_doc < b_doc"), met, percent)
+    links = links.union(overlaps(rest, segments, percent).filter("linked").select("a", "b"))
     joined = components(links.union(copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))))
     out = sets.select("doc", "n").join(joined, F.col("doc") == F.col("node"), "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
@@ -247,10 +243,18 @@ def _apart(blocks: DataFrame, joined: DataFrame) -> DataFrame:
     return rows.join(open_, "gram", "left_semi")
 
 
-def _possible(x: str, y: str, percent: int):
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) if percent else F.lit(True)
+SIDE = ("doc", "n", "i", "component", "hub", "distance")
 
 
-def _within(x: str, y: str, limit):
-    """Whether distances to a common partner allow a link; unknown ones do."""
-    return F.coalesce(F.abs(F.col(x) - F.col(y)) <= limit, F.lit(True))
+def _new_pairs(both: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` (a < b) of the rows of two sides in one block that can link and haven't met.
+
+    If the block's n-gram is the first that the two share, they share no more than what follows
+    it in either; if it isn't, they are held together in another block.  With distances to the
+    same partner known, these must not differ by more than a link's distance.
+    """
+    most = F.least(F.expr("a_n - a_i"), F.expr("b_n - b_i"))
+    can = 100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)
+    within = F.coalesce((F.col("a_hub") != F.col("b_hub")) | (F.abs(F.col("a_distance") - F.col("b_distance")) <= 1 - percent / 100 + 1e-9), F.lit(True))
+    pairs = both.filter(F.col("a_component") != F.col("b_component")).filter(can & within)
+    return pairs.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct().join(met, ["a", "b"], "left_anti")

@@ -79,7 +79,27 @@ def queries() -> dict[str, Query]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op8_substring_dedup, op9_mixing, op10_token_counts)}
 
 
+#: Words of a text, in the checking engine's SQL.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""with recursive d as (select doc_id, {_WORDS.format(_LOWER)} as w from documents), n as (select doc_id, w, len(w) as n from d),
+s as (select doc_id, w, unnest(range(1, greatest(n - 2, 2))) as i from n where n > 0), g as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from s), c as (select doc_id, count(*) as c from g group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as n_both from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join c cx on cx.doc_id = x join c cy on cy.doc_id = y where 100 * n_both >= 85 * (cx.c + cy.c - n_both)), e as (select x, y from l union all select y, x from l),
+r(doc_id, m) as (select doc_id, doc_id from documents union select e.y, r.m from r join e on e.x = r.doc_id)
+select doc_id, cast(coalesce(c.c, 0) as bigint) as n_shingles, m as component_id from (select doc_id, min(m) as m from r group by 1) left join c using (doc_id)"""
+
+OP8_SQL = f"""with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents), n as (select doc_id, w, len(w) as n from d),
+s as (select doc_id, w, unnest(range(1, n - 33)) as i from n where n >= 35), h as (select doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) as k from s),
+r as (select doc_id, i from (select *, count(*) over (partition by k) as c from h) where c > 1), g as (select distinct doc_id, unnest(range(i, i + 35)) as p from r),
+v as (select doc_id, unnest(w) as word, unnest(range(1, n + 1)) as p from n), k as (select v.* from v left join g using (doc_id, p) where g.p is null),
+t as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as left_ from k group by 1)
+select n.doc_id, n as n_words, n - coalesce(left_, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from n left join t using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL} | more

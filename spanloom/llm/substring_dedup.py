@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.ngram_join import one_row_per_key
 from spanloom.llm.shared import parts
-from spanloom.llm.words import buffers, hashes, ranges, slices, spans, windows
+from spanloom.llm.words import buffers, hashes, mix, ranges, slices, spans, windows
 
 MANY = np.uint64(1 << 40)
 LOW = np.uint64((1 << 40) - 1)
@@ -142,19 +142,36 @@ def _extend(window: int, block: int, buckets: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of the windows of a bucket that start in two places or more, as lists for each text."""
-    every = [r for b in batches for r in b.to_pylist()]
-    rows, done = [r for r in every if r["hashes"]], [r for r in every if not r["hashes"]]
-    h, docs, places = _joined(rows, "hashes", np.uint64), _joined(rows, "docs", np.int64), _joined(rows, "places", np.int32)
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else np.empty(0, np.int64)
-    counts = np.diff(np.append(first, len(h)))
-    told = np.logical_or.reduceat(places[order] < 0, first) if len(h) else np.empty(0, bool)
-    keep = order[np.repeat((counts > 1) | told, counts)]
-    keep = keep[places[keep] >= 0]
-    docs, places = np.append(docs[keep], _joined(done, "docs", np.int64)), np.append(places[keep], _joined(done, "places", np.int32))
-    order = np.lexsort((places, docs))
+def _repeats(buckets: int):
+    """Starts of the windows of a bucket that start in two places or more, by group of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [r for b in batches for r in b.to_pylist()]
+        rows, done = [r for r in every if r["hashes"]], [r for r in every if not r["hashes"]]
+        h, docs, places = _joined(rows, "hashes", np.uint64), _joined(rows, "docs", np.int64), _joined(rows, "places", np.int32)
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0])) if len(h) else np.empty(0, np.int64)
+        counts = np.diff(np.append(first, len(h)))
+        told = np.logical_or.reduceat(places[order] < 0, first) if len(h) else np.empty(0, bool)
+        keep = order[np.repeat((counts > 1) | told, counts)]
+        keep = keep[places[keep] >= 0]
+        docs, places = np.append(docs[keep], _joined(done, "docs", np.int64)), np.append(places[keep], _joined(done, "places", np.int32))
+        group = (mix(docs.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        docs, places = docs[order], places[order]
+        cuts = np.searchsorted(group[order], np.arange(buckets + 1))
+        rows = [(k, docs[i:j].tobytes(), places[i:j].tobytes()) for k, i, j in zip(range(buckets), cuts, cuts[1:]) if j > i]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary()])], ["bucket", "docs", "places"])
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All starts of each text of a group."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    docs, places = _joined(rows, "docs", np.int64), _joined(rows, "places", np.int32)
+    order = np.argsort(docs, kind="stable")
     docs, places = docs[order], places[order]
     first = np.flatnonzero(np.concatenate([[True], np.diff(docs) != 0])) if len(docs) else np.empty(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(docs)).astype(np.int32)), pa.array(places))
@@ -175,7 +192,7 @@ def _remove(window: int, with_text: bool):
                 places = np.arange(i, j)
                 if lists[k]:
                     step = np.zeros(j - i + 1, np.int64)
-                    starts = np.concatenate([np.asarray(x, np.int64) for x in lists[k]])
+                    starts = np.asarray(lists[k], np.int64)
                     np.add.at(step, starts, 1)
                     np.add.at(step, starts + window, -1)
                     places = places[np.cumsum(step[:-1]) == 0]
@@ -211,7 +228,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     hits = docs.mapInArrow(_probe(block, buckets), PROBED).repartitionById(buckets, F.col("bucket")).mapInArrow(_hit, "doc long, place int")
     hits = hits.groupBy("doc").agg(F.collect_list("place").alias("places"))
     near = docs.join(hits, "doc").select("doc", "text", "places")
-    found = near.mapInArrow(_extend(window, block, buckets), "bucket int, hashes binary, docs binary, places binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_repeats, "doc long, starts array<int>")
-    found = found.groupBy("doc").agg(F.collect_list("starts").alias("starts"))
+    found = near.mapInArrow(_extend(window, block, buckets), "bucket int, hashes binary, docs binary, places binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_repeats(buckets), "bucket int, docs binary, places binary")
+    found = found.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge, "doc long, starts array<int>")
     out = docs.join(found, "doc", "left").select("doc", "text", "starts").mapInArrow(_remove(window, with_text), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return out.withColumnRenamed("doc", key)

@@ -11,8 +11,8 @@ words, so each window holds exactly one whole block (its anchor), for odd w.
    that overlap run together into the maximal ones.
 3. The words that repeats cover are removed.
 
-Windows are compared by 64-bit hashes (probes by 40 bits besides the bucket, which can only add
-anchors that the second step drops).
+Windows are compared by 64-bit hashes (probes by 32 bits besides the bucket, which can only add
+anchors that the second step drops: about one in 400 with ten million windows in a bucket).
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from spanloom.llm.ngram_join import one_row_per_key
 from spanloom.llm.shared import parts
 from spanloom.llm.words import buffers, hashes, mix, ranges, slices, spans, windows
 
-MANY = np.uint64(1 << 40)
-LOW = np.uint64((1 << 40) - 1)
 
 
 def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +43,7 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _probe(block: int, buckets: int):
-    """Rows for each bucket: the distinct rolling windows (40 bits, one more where a piece has it twice),
+    """Rows for each bucket: the distinct rolling windows (32 bits, one more where a piece has it twice),
     and the blocks with their text and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,21 +61,20 @@ def _probe(block: int, buckets: int):
             found, counts = np.unique(rolling[every] if len(every) else np.empty(0, np.uint64), return_counts=True)
             of = _bucket(found, buckets)
             order = np.argsort(of, kind="stable")
-            packed = ((found & LOW) | np.where(counts > 1, MANY, np.uint64(0)))[order]
-            low, high = packed.astype(np.uint32), (packed >> np.uint64(32)).astype(np.uint16)
+            low, many = found[order].astype(np.uint32), (counts > 1)[order]
             cuts = np.searchsorted(of[order], np.arange(buckets + 1))
             of_anchor = _bucket(anchors, buckets)
             sort = np.argsort(of_anchor, kind="stable")
-            anchors, keys, places = anchors[sort] & LOW, keys[sort], places[sort].astype(np.int32)
+            anchors, keys, places = anchors[sort].astype(np.uint32), keys[sort], places[sort].astype(np.int32)
             ends = np.searchsorted(of_anchor[sort], np.arange(buckets + 1))
-            rows = [(k, low[i:j].tobytes(), high[i:j].tobytes(), anchors[p:q].tobytes(), keys[p:q].tobytes(), places[p:q].tobytes()) for k, i, j, p, q in zip(range(buckets), cuts, cuts[1:], ends, ends[1:]) if j > i or q > p]
+            rows = [(k, low[i:j].tobytes(), np.packbits(many[i:j]).tobytes(), anchors[p:q].tobytes(), keys[p:q].tobytes(), places[p:q].tobytes()) for k, i, j, p, q in zip(range(buckets), cuts, cuts[1:], ends, ends[1:]) if j > i or q > p]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], ["bucket", "low", "high", "anchors", "docs", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], ["bucket", "low", "many", "anchors", "docs", "places"])
 
     return run
 
 
-PROBED = "bucket int, low binary, high binary, anchors binary, docs binary, places binary"
+PROBED = "bucket int, low binary, many binary, anchors binary, docs binary, places binary"
 
 
 def _joined(rows: list, name: str, kind: type) -> np.ndarray:
@@ -87,14 +84,12 @@ def _joined(rows: list, name: str, kind: type) -> np.ndarray:
 def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks of a bucket that some other place has too."""
     rows = [r for b in batches for r in b.to_pylist()]
-    packed = _joined(rows, "high", np.uint16).astype(np.uint64) << np.uint64(32) | _joined(rows, "low", np.uint32)
+    many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["low"]) // 4) for r in rows] or [np.empty(0, np.uint8)])
+    packed = _joined(rows, "low", np.uint32).astype(np.uint64) << np.uint64(1) | many
     packed.sort()
-    windows_, many = packed & LOW, packed >= MANY
-    anchors = _joined(rows, "anchors", np.uint64)
-    order = np.argsort(windows_, kind="stable")
-    windows_, many = windows_[order], many[order]
-    new = np.concatenate([[True], np.diff(windows_) != 0]) if len(windows_) else np.empty(0, bool)
-    first = np.flatnonzero(new)
+    windows_, many = (packed >> np.uint64(1)).astype(np.uint32), (packed & np.uint64(1)).astype(bool)
+    anchors = _joined(rows, "anchors", np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(windows_) != 0])) if len(windows_) else np.empty(0, np.int64)
     twice = (np.diff(np.append(first, len(windows_))) > 1) | (np.logical_or.reduceat(many, first) if len(first) else np.empty(0, bool))
     repeated = windows_[first[twice]]
     at = np.searchsorted(repeated, anchors)

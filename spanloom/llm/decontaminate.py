@@ -1,10 +1,11 @@
-"""Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination (operator 5): rare words as seeds, then Smith-Waterman alignment of words.
 
 Test items are few beside the corpus and come in slices of a fixed size, so each slice can
-be sent to all tasks; a larger benchmark only means more slices.  One pass counts, for each n-gram of
-the items, the documents that have it.  An item's seeds are the rarer half of its n-grams -
-rare among its own, so an item that leaked into very many documents keeps seeds.  A second
-pass aligns an item with each stretch of a document in which two of its seeds fall.
+be sent to all tasks; a larger benchmark only means more slices.  One pass counts how often the corpus has each
+word of the items.  An alignment that reaches the score matches at least that share of the item's words,
+so it leaves few out: of the rarest that many and AGREE more, AGREE are matched at least, whatever the edits.
+Those are the item's seeds.  A second pass aligns an item with each stretch of a document in
+which AGREE of its seeds fall, so the scores are those of an alignment with the whole document.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.words import LOWER, buffers, hashes, ranges, slices, spans, windows
 
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: Seeds of an item that a stretch of text must have (all that must match, in an item with fewer).
+AGREE = 4
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -27,13 +30,6 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes(data, starts, ends, LOWER), at
 
 
-def _grams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams that lie in one text, and their first words' places."""
-    all_ = windows(words, n)
-    places = ranges(at[:-1], np.maximum(np.diff(at) - n + 1, 0))
-    return all_[places], places
-
-
 def align(item: np.ndarray, text: np.ndarray) -> float:
     """The best local alignment of an item with a stretch of text, 1 for a whole copy.
 
@@ -51,45 +47,58 @@ def align(item: np.ndarray, text: np.ndarray) -> float:
 
 
 class Items:
-    """A slice of the benchmark: word hashes of each item, and its n-grams."""
+    """A slice of the benchmark: word hashes of each item of n words at least, and which items have a word."""
 
     def __init__(self, ids: list, texts: list, n: int):
         words, at = _words(pa.array(texts, pa.string()))
-        self.ids, self.n = ids, n
+        self.ids = ids
         self.words = [words[i:j] for i, j in zip(at[:-1], at[1:])]
-        grams, places = _grams(words, at, n)
-        self.owner = np.searchsorted(at, places, "right") - 1
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.owner = grams[order], self.owner[order]
-
-    def known(self, grams: np.ndarray) -> np.ndarray:
-        """Which n-grams of a text are those of items."""
-        if not len(self.grams):
-            return np.zeros(len(grams), bool)
-        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        return self.grams[at] == grams
-
-    def keep_rare(self, seen: dict[int, int]) -> None:
-        """Of each item's distinct n-grams, the rarer half stays, and eight at least."""
-        keep = np.zeros(len(self.grams), bool)
-        for k in range(len(self.ids)):
-            mine = np.flatnonzero(self.owner == k)
-            _, first = np.unique(self.grams[mine], return_index=True)
-            mine = sorted(mine[first], key=lambda i: (seen.get(int(self.grams[i].view(np.int64)), 0), int(self.grams[i])))
-            keep[mine[: max(8, -(-len(mine) // 2))]] = True
-        self.grams, self.owner = self.grams[keep], self.owner[keep]
-        self.least = np.minimum(2, np.bincount(self.owner, minlength=len(self.ids)))
-
-
-def _count(items: Items):
+        size = np.diff(at)
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.flatnonzero(size[owner] >= n)
+        order = order[np.argsort(words[order], kind="stable")]
+        self.seeds, self.owner, self.size = words[order], owner[order], size
+
+    def kinds(self) -> np.ndarray:
+        return np.unique(self.seeds)
+
+    def keep_rare(self, kinds: np.ndarray, seen: np.ndarray, score: float) -> None:
+        """Of each item's words, repeated ones too, the rarest stay: those that an alignment can leave out and ``least`` more.
+
+        seen: how often the corpus has each of ``kinds``, the distinct words.
+        """
+        matched = np.maximum(np.ceil(score * self.size - 1e-9).astype(np.int64), 1)
+        self.least = np.minimum(AGREE, matched)
+        #: Words of text that an alignment of that score covers at most: 2 matches - edits >= 2 score size.
+        self.reach = np.floor(3 * self.size - 2 * score * self.size + 1e-9).astype(np.int64)
+        order = np.lexsort((self.seeds, seen[np.searchsorted(kinds, self.seeds)], self.owner))
+        owner, seeds = self.owner[order], self.seeds[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        keep = rank < (self.size - matched + self.least)[owner]
+        owner, seeds = owner[keep], seeds[keep]
+        order = np.lexsort((owner, seeds))
+        owner, seeds = owner[order], seeds[order]
+        once = np.ones(len(owner), bool)
+        once[1:] = (owner[1:] != owner[:-1]) | (seeds[1:] != seeds[:-1])
+        self.seeds, self.owner = seeds[once], owner[once]
+
+
+def _find(sorted_: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are among sorted ones, and the places there of those that are."""
+    if not len(sorted_):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, words), len(sorted_) - 1)
+    hit = np.flatnonzero(sorted_[at] == words)
+    return hit, at[hit]
+
+
+def _count(kinds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(kinds), np.int64)
         for b in slices(batches, 0):
-            words, at = _words(b.column(0))
-            grams, places = _grams(words, at, items.n)
-            hit = items.known(grams)
-            pairs = np.unique(np.stack([grams[hit].view(np.int64), np.searchsorted(at, places[hit], "right")]), axis=1) if hit.any() else np.empty((2, 0), np.int64)
-            found, counts = np.unique(pairs[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], ["gram", "n"])
+            total += np.bincount(_find(kinds, _words(b.column(0))[0])[1], minlength=len(kinds))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["kind", "n"])
 
     return run
 
@@ -97,33 +106,35 @@ def _count(items: Items):
 def _matches(items: Items, column: pa.Array, score: float) -> Iterator[tuple[int, int, float]]:
     """(text, item, score) for each pair of a text and an item that align well enough."""
     words, at = _words(column)
-    grams, places = _grams(words, at, items.n)
-    hit = items.known(grams)
-    grams, places = grams[hit], places[hit]
-    low, high = np.searchsorted(items.grams, grams), np.searchsorted(items.grams, grams, "right")
-    each = np.repeat(np.arange(len(grams)), high - low)
-    owner = items.owner[low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)] if len(each) else np.empty(0, np.int64)
-    places, seeds = places[each], grams[each]
+    places, low = _find(items.seeds, words)
+    each = np.searchsorted(items.seeds, words[places], "right") - low
+    owner, places = items.owner[ranges(low, each)], np.repeat(places, each)
     texts = np.searchsorted(at, places, "right") - 1
     order = np.lexsort((places, owner, texts))
-    texts, owner, places, seeds = texts[order], owner[order], places[order], seeds[order]
-    i, best = 0, {}
-    while i < len(order):
+    texts, owner, places = texts[order], owner[order], places[order]
+    last = np.arange(len(order)) + items.least[owner] - 1
+    there = last < len(order)
+    last[~there] = 0
+    first = np.flatnonzero(there & (texts[last] == texts) & (owner[last] == owner) & (places[last] - places < items.reach[owner]))
+    last = last[first]
+    texts, owner = texts[first], owner[first]
+    low = np.maximum(places[last] - items.reach[owner] + 1, at[texts])
+    high = np.minimum(places[first] + items.reach[owner], at[texts + 1])
+    new = np.ones(len(first), bool)
+    new[1:] = (texts[1:] != texts[:-1]) | (owner[1:] != owner[:-1]) | (low[1:] > high[:-1])
+    best: dict[tuple[int, int], float] = {}
+    runs = np.flatnonzero(new)
+    for i, j in zip(runs.tolist(), [*runs[1:].tolist(), len(first)]):
         text, item = int(texts[i]), int(owner[i])
-        size, j = len(items.words[item]), i + 1
-        while j < len(order) and texts[j] == text and owner[j] == item and places[j] - places[j - 1] <= size:
-            j += 1
-        if best.get((text, item), 0.0) < 1 and len(np.unique(seeds[i:j])) >= items.least[item]:
-            a, b = max(at[text], places[i] - size), min(at[text + 1], places[j - 1] + items.n + size)
-            got = align(items.words[item], words[a:b])
+        if best.get((text, item), 0.0) < 1:
+            got = align(items.words[item], words[low[i] : high[j - 1]])
             if got >= score:
                 best[text, item] = max(got, best.get((text, item), 0.0))
-        i = j
     for (text, item), got in sorted(best.items()):
         yield text, item, got
 
 
-def seeded_slices(docs: DataFrame, benchmark: DataFrame, n: int, slice_items: int, text: str, item_key: str, item_text: str) -> Iterator[Items]:
+def seeded_slices(docs: DataFrame, benchmark: DataFrame, n: int, score: float, slice_items: int, text: str, item_key: str, item_text: str) -> Iterator[Items]:
     """The benchmark in slices of at most ``slice_items`` items, each with its seeds chosen."""
     rows = benchmark.select(item_key, item_text).filter(F.col(item_text).isNotNull()).distinct().sort(item_key, item_text)
     batch: list = []
@@ -132,8 +143,11 @@ def seeded_slices(docs: DataFrame, benchmark: DataFrame, n: int, slice_items: in
             batch.append(r)
         if batch and (r is None or len(batch) == slice_items):
             items = Items([x[0] for x in batch], [x[1] for x in batch], n)
-            counts = docs.select(text).mapInArrow(_count(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-            items.keep_rare({x.gram: x.n for x in counts.collect()})  # at most one row for each n-gram of the slice
+            kinds = items.kinds()
+            seen = np.zeros(len(kinds), np.int64)
+            for x in docs.select(text).mapInArrow(_count(kinds), "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # at most one row for each word of the slice
+                seen[x.kind] = x.n
+            items.keep_rare(kinds, seen, score)
             yield items
             batch = []
 
@@ -149,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, score: float
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"key {kinds[0]}, item {kinds[1]}, score double"
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in seeded_slices(docs, benchmark, n, slice_items, text, item_key, item_text):
+    for items in seeded_slices(docs, benchmark, n, score, slice_items, text, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1):
@@ -170,7 +184,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, scor
     """The rows of docs, with their columns, that hold a copy of no item; see contaminated()."""
     place = docs.columns.index(text)
     out = docs
-    for items in seeded_slices(docs, benchmark, n, slice_items, text, item_key, item_text):
+    for items in seeded_slices(docs, benchmark, n, score, slice_items, text, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, place):

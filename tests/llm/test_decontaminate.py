@@ -47,3 +47,24 @@ def test_copies_are_found_and_clean_texts_left(spark):
     left = without_contaminated(docs, bench, slice_items=5)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {k for k, _ in want}
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_edits_up_to_the_limit_are_found_as_by_full_alignment(spark):
+    pick = random.Random(3)
+    fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    common = [f"c{k}" for k in range(40)]
+    items = [[pick.choice(common) if pick.random() < 0.5 else w for w in fresh(pick.choice([3, 4, 5, 8, 16, 16, 30]))] for _ in range(150)]
+    texts = []
+    for words in items:
+        copy = []
+        for i, w in enumerate(words):  # substitutions, insertions or both, up to and beyond what the score allows
+            copy += [f"x{pick.randrange(10**6)}"] if len(texts) % 3 != 1 and pick.random() < 0.2 else [w]
+            copy += fresh(1) if len(texts) % 3 and i % 2 and pick.random() < 0.8 else []
+        texts.append([*pick.choices(common, k=30), *copy, *pick.choices(common, k=30)])
+    score = [[align(np.array(i), np.array(t)) for i in items] for t in texts]
+    want = {(k, i): s for k, row in enumerate(score) for i, s in enumerate(row) if s >= 0.6}
+    assert len(want) > 100 and sum(s < 0.7 for s in want.values()) > 20
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()} == want
+    assert {r.doc_id for r in without_contaminated(docs, bench, slice_items=60).collect()} == set(range(len(texts))) - {k for k, _ in want}

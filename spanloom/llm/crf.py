@@ -68,6 +68,13 @@ def file_features(n_chars: int, n_digits: int, n_signs: int) -> tuple[str, ...]:
     return (f"fd{share(n_digits)}", f"fs{share(n_signs)}")
 
 
+def file_of(text: str) -> tuple[str, ...]:
+    return file_features(len(text), sum(map(text.count, DIGITS)), sum(map(text.count, SIGNS)))
+
+
+DIGITS, SIGNS = "0123456789", "{};=_/<>"
+
+
 def padded(sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
     """[sequence, word, feature] places, and lengths; PLACES is the empty place."""
     lengths = np.array([len(x) for x in sequences])
@@ -162,8 +169,9 @@ def train(rows: list[tuple[str, int, int]]) -> Crf:
     for text, start, end in rows:
         found = [(m.start(), m.end(), m[0]) for m in WORD.finditer(text)]
         words = [w for _, _, w in found]
+        file = file_of(text)
         inside = [s < end and e > start and end > start for s, e, _ in found]
-        sequences.append([features(words, i, ()) for i in range(len(words))])
+        sequences.append([features(words, i, file) for i in range(len(words))])
         labels.append([O if not x else I if i and inside[i - 1] else B for i, x in enumerate(inside)])
     return Crf().fit(sequences, labels)
 
@@ -174,7 +182,7 @@ def model_spans(model: Crf, texts: list[tuple[str, list[tuple[int, int]]]], arou
     words on either side, all other words are outside by definition."""
     sequences, places = [], []
     for k, (text, candidates) in enumerate(texts):
-        file = file_features(len(text), sum(map(text.count, "0123456789")), sum(map(text.count, "{};=_/<>")))
+        file = file_of(text)
         runs: list[list[tuple[int, int]]] = []
         for s, e in candidates:
             left = list(_left(text, s, around))[::-1]

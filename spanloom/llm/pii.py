@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.crf import train
-from spanloom.llm.spans import Spans, bytes_of, finder, has
+from spanloom.llm.spans import Spans, bytes_of, finder, has, in_file
 
 #: Fixed by the contract: kinds in order, patterns, bounds.
 KINDS = ("email", "ip", "card", "phone")
@@ -98,7 +98,8 @@ def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[str, int, int]]:
             rows.append((f"{left}{before}{found} {right}", len(left) + len(before), len(left) + len(before) + len(found)))
         else:
             rows.append((f"{left}{pick.choice(bad)()} {right}", 0, 0))
-    return rows
+    at = random.Random(seed + 1)
+    return [in_file(at, x) for x in rows]
 
 
 def personal_data(docs: DataFrame, labelled: DataFrame, most: int = 5000, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -71,3 +72,23 @@ def bytes_of(characters: str) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(characters.encode())] = True
     return out
+
+
+def in_file(pick: random.Random, row: tuple[str, int, int]) -> tuple[str, int, int]:
+    """A labelled row as a line of its own, or set in a prose-like or code-like file."""
+    kind = pick.choice(("line", "prose", "code"))
+    if kind == "line":
+        return row
+    letters = "abcdefghijklmnopqrstuvwxyzaeioutnrsé" + pick.choice(["", "áíóñ", "äöüß"])
+    word = lambda: "".join(pick.choices(letters, k=pick.randint(1, 12)))
+
+    def prose() -> str:
+        return " ".join(" ".join([word().capitalize(), *(word() for _ in range(pick.randint(0, 8))), word()]) + pick.choice([".", ".", ",", "?"]) for _ in range(pick.randint(1, 4)))
+
+    def code() -> str:
+        line = lambda: pick.choice([f"{word()} = {word()}({word()});", f"if ({word()} < {pick.randint(0, 99)}) {{", f"return {word()}_{word()} / {pick.randint(1, 9)};", f"<{word()}>{word()}</{word()}>", "}", f"int {word()} = {pick.randint(0, 999)};"])
+        return "\n".join(line() for _ in range(pick.randint(1, 6)))
+
+    text, start, end = row
+    left, right = (prose() + " ", " " + prose()) if kind == "prose" else (code() + "\n", "\n" + code())
+    return left + text + right, start + len(left) * (end > start), end + len(left) * (end > start)

@@ -81,3 +81,20 @@ def test_masked(spark):
     docs = spark.createDataFrame([(1, "é mail a.b@c.de, +1 (555) 010-0000 end", "en"), (2, None, None), (3, "plain", "en")], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in pii.masked(docs, spark.createDataFrame(pii.labelled_rows(200), "text string, start int, end int")).collect()}
     assert got[1].text == "é mail [EMAIL], [PHONE] end" and got[2].text is None and got[3].text == "plain" and got[3].lang == "en"
+
+
+@pytest.mark.parametrize("module", [secrets, pii])
+def test_file_features_are_trained(module):
+    import zlib
+
+    import numpy as np
+
+    rows = module.labelled_rows()
+    used = {x for t, _, _ in rows for x in crf.file_of(t)}
+    model = crf.train(rows)
+    assert len(used) > 8 and all(np.abs(model.weights[zlib.crc32(x.encode()) % crf.PLACES]).max() > 1e-3 for x in used)
+    # the sign of a file alone tells the label when nothing else does
+    same = [("a b = c; d_e = {}; <f> " * 3 + "word", 69, 73), ("a b c d e f " * 6 + "word", 0, 0)] * 30
+    toy = crf.train(same)
+    file = [toy.weights[[zlib.crc32(x.encode()) % crf.PLACES for x in crf.file_of(t)]].sum(0) for t, _, _ in same[:2]]
+    assert file[0][crf.B] - file[0][crf.O] > file[1][crf.B] - file[1][crf.O] + 0.1

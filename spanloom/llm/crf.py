@@ -3,7 +3,8 @@
 Labels are outside, begin and inside.  Emissions are sums of weights of hashed features,
 transitions a 3x3 table.  Training maximises the log-likelihood of a small labelled table by
 full-batch gradient steps (forward-backward in log space over padded sequences); decoding is
-Viterbi over padded batches of sequences of like length.
+Viterbi over all words of all texts.  A word whose lead for outside is more than all that labels of the words
+beside it can make up for is outside on every best path, so the path falls into the runs between such words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from spanloom.llm.words import buffers, hashes, spans
 
 O, B, I = range(3)
 #: Hashed feature places; the model is three weights for each.
@@ -56,10 +60,22 @@ def near(word: str) -> str:
     return core if core.isalpha() else shape(word)[1][:12]
 
 
+def _crc(x: str) -> int:
+    return zlib.crc32(x.encode("utf-8", "surrogatepass"))
+
+
 def features(words: list[str], i: int, file: tuple[str, ...]) -> list[int]:
     """Hashed features of word i among its neighbours, in a file with the given features."""
-    around = [f"{k}:{near(words[i + k]) if 0 <= i + k < len(words) else '^'}" for k in (-2, -1, 1, 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % PLACES for x in (*own(words[i]), *around, f"w{shape(words[i])[1][:12]}{around[1]}", *file)]
+    around = [f"{k}:{near(words[i + k]) if 0 <= i + k < len(words) else '^'}" for k in BESIDE]
+    return [*(_crc(x) % PLACES for x in (*own(words[i]), *around, *file)), _pair(_crc("w" + shape(words[i])[1][:12]), _crc(around[1]))]
+
+
+BESIDE = (-2, -1, 1, 2)
+
+
+def _pair(word, before):
+    """The place of a word's shape after what is before it, from hashes of the two."""
+    return (word * 31 + before) % PLACES
 
 
 def file_features(n_chars: int, n_digits: int, n_signs: int) -> tuple[str, ...]:
@@ -176,56 +192,143 @@ def train(rows: list[tuple[str, int, int]]) -> Crf:
     return Crf().fit(sequences, labels)
 
 
-def model_spans(model: Crf, texts: list[tuple[str, list[tuple[int, int]]]], around: int = 3) -> list[list[tuple[int, int]]]:
-    """Spans that the model tags in each text.  Each comes with the places of its candidate words
-    (those with a character that a span must have); the lattice is the candidates and ``around``
-    words on either side, all other words are outside by definition."""
-    sequences, places = [], []
-    for k, (text, candidates) in enumerate(texts):
-        file = file_of(text)
-        runs: list[list[tuple[int, int]]] = []
-        for s, e in candidates:
-            left = list(_left(text, s, around))[::-1]
-            right = [(m.start(), m.end()) for m, _ in zip(WORD.finditer(text, e), range(around))]
-            window = [*left, (s, e), *right]
-            if runs and runs[-1][-1][1] >= window[0][0]:
-                runs[-1] += [x for x in window if x[0] > runs[-1][-1][0]]
-            else:
-                runs.append(window)
-        marked = set(candidates)
-        for run in runs:
-            words = [text[s:e] for s, e in run]
-            sequences.append([features(words, i, file) for i in range(len(words))])
-            places.append((k, run, marked))
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (k, run, marked), labels in zip(places, model.decode(sequences)):
-        i = 0
-        while i < len(labels):
-            j = i + 1
-            if labels[i] == B:
-                while j < len(labels) and labels[j] == I:
-                    j += 1
-                if any(x in marked for x in run[i:j]):
-                    s, e, text = run[i][0], run[j - 1][1], texts[k][0]
-                    while s < e and text[s] in TRIM:
-                        s += 1
-                    while e > s and text[e - 1] in TRIM:
-                        e -= 1
-                    if e > s:
-                        out[k].append((s, e))
+KEEP = 400_000
+
+
+class Tagger:
+    """The model's weights for distinct words, remembered for words met before."""
+
+    def __init__(self, model: Crf):
+        self.model = model
+        self.edge = [model.weights[_crc(f"{k}:^") % PLACES] for k in BESIDE]
+        self.edge_hash = _crc("-1:^")
+        w, t = model.weights, model.moves
+        self.files = {x: w[_crc(x) % PLACES] for kind in "ds" for share in range(-13, 2) for x in [f"f{kind}{share}"]}
+        # what other labels' moves can make up for at most, see _leads()
+        self.most = max(0, *(t[p, y] - t[p, O] for p, y in ((O, B), (B, B), (B, I), (I, B), (I, I))))
+        self.most += max(0, *(t[y, n] - t[O, B if n == I else n] for y in (B, I) for n in (O, B, I)))
+        self.most += max(0, *(t[I] - t[B]))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.table = np.empty((0, 15))
+        self.hashes = np.empty((0, 2), np.int64)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """The place of each distinct word in the tables."""
+        if len(self.known) > KEEP:
+            self.clear()
+        new = [w for w in words if w not in self.known]
+        if new:
+            weights, table, two = self.model.weights, np.empty((len(new), 15)), np.empty((len(new), 2), np.int64)
+            mine, beside = [], []
+            for i, raw in enumerate(new):
+                w = raw.decode("utf-8", "replace")
+                mine.append([_crc(x) % PLACES for x in own(w)])
+                look = near(w).encode("utf-8", "surrogatepass")
+                c = [zlib.crc32(look, start) for start in _starts]
+                beside.append([x % PLACES for x in c])
+                two[i] = _crc("w" + shape(w)[1][:12]), c[1]
+                self.known[raw] = len(self.table) + i
+            table[:, :3] = weights[np.array(mine)].sum(1)
+            table[:, 3:] = weights[np.array(beside)].reshape(len(new), 12)
+            self.table, self.hashes = np.concatenate([self.table, table]), np.concatenate([self.hashes, two])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def emissions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First bytes and ends of all words, texts' word offsets, and what each word says for each label."""
+        starts, ends, at = spans(data, offsets)
+        _, one, of = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        rows = self.rows([raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())])[of]
+        size = np.diff(at)
+        place = np.arange(len(rows)) - np.repeat(at[:-1], size)
+        left = np.repeat(size, size) - 1 - place
+        e, before = self.table[rows, :3], np.full(len(rows), self.edge_hash)
+        for k, d in enumerate(BESIDE):
+            there = np.flatnonzero(place >= -d if d < 0 else left >= d)
+            more = np.tile(self.edge[k], (len(rows), 1))
+            more[there] = self.table[rows[there + d], 3 + 3 * k : 6 + 3 * k]
+            e += more
+            if d == -1:
+                before[there] = self.hashes[rows[there - 1], 1]
+        e += self.model.weights[_pair(self.hashes[rows, 0], before)]
+        counts = [np.diff(np.concatenate([[0], np.cumsum(wanted[data], dtype=np.int64)])[offsets]).tolist() for wanted in (_first, _digits, _signs)]
+        file = np.array([sum(self.files[x] for x in file_features(*c)) for c in zip(*counts)]).reshape(-1, 3)
+        return starts, ends, at, e + np.repeat(file, size, 0), place, left
+
+    def labels(self, e: np.ndarray, place: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The best labels of all words of all texts."""
+        out = np.zeros(len(e), np.int64)
+        lead = e[:, O] - np.maximum(e[:, B], e[:, I])
+        lead[:-1] -= np.where(left[:-1] > 0, np.maximum(e[1:, I] - e[1:, B], 0), 0)
+        open_ = lead <= self.most + 1e-9
+        if not open_.any():
+            return out
+        new, end = open_.copy(), open_.copy()
+        new[1:] &= ~open_[:-1] | (place[1:] == 0)
+        end[:-1] &= ~open_[1:] | (left[:-1] == 0)
+        first, last = np.flatnonzero(new), np.flatnonzero(end)
+        order = np.argsort(last - first, kind="stable")
+        first, last = first[order], last[order]
+        size, i, t = last - first + 1, 0, self.model.moves
+        while i < len(size):
+            j = min(int(np.searchsorted(size, max(size[i] + 3, size[i] * 5 // 4), "right")), i + max(1, 200_000 // int(size[i])))
+            f, n = first[i:j], size[i:j]
+            best, back = e[f] + np.where(place[f, None] > 0, t[O], self.model.start), []
+            for k in range(1, n[-1]):
+                each = best[:, :, None] + t
+                go = (k < n)[:, None]
+                back.append(np.where(go, each.argmax(1), np.arange(3)))
+                best = np.where(go, each.max(1) + e[np.minimum(f + k, last[i:j])], best)
+            label = (best + np.where(left[last[i:j], None] > 0, t[:, O], 0)).argmax(1)
+            for k in range(n[-1] - 1, -1, -1):
+                there = k < n
+                out[f[there] + k] = label[there]
+                if k:
+                    label = back[k - 1][np.arange(len(label)), label]
             i = j
-    return out
-
-
-def _left(text: str, at: int, n: int):
-    """The n words before a place, nearest first."""
-    blank = " \t\n\x0b\f\r"
-    for _ in range(n):
-        while at > 0 and text[at - 1] in blank:
-            at -= 1
-        end = at
-        while at > 0 and text[at - 1] not in blank:
-            at -= 1
-        if at == end:
-            return
-        yield at, end
+        return out
+
+    def spans(self, column: pa.Array) -> list[list[tuple[int, int]]]:
+        """The spans of each text, in code points."""
+        data, offsets = buffers(column)
+        starts, ends, at, e, place, left = self.emissions(data, offsets)
+        label = self.labels(e, place, left)
+        begin = np.flatnonzero(label == B)
+        stop = np.append(np.flatnonzero(label != I), len(label))
+        last = stop[np.searchsorted(stop, begin, "right")] - 1 if len(begin) else begin
+        out: list[list[tuple[int, int]]] = [[] for _ in range(len(column))]
+        chars, raw = np.concatenate([[0], np.cumsum(_first[data], dtype=np.int64)]), data.tobytes()
+        trim = TRIM.encode()
+        for k, s, t in zip((np.searchsorted(at, begin, "right") - 1).tolist(), starts[begin].tolist(), ends[last].tolist()):
+            while s < t and raw[s] in trim:
+                s += 1
+            while t > s and raw[t - 1] in trim:
+                t -= 1
+            if t > s:
+                zero = chars[offsets[k]]
+                out[k].append((int(chars[s] - zero), int(chars[t] - zero)))
+        return out
+
+
+_starts = [_crc(f"{k}:") for k in BESIDE]
+#: Bytes that begin a character, digits, and signs.
+_first = (np.arange(256) & 0xC0) != 0x80
+_digits, _signs = (np.isin(np.arange(256), list(x.encode())) for x in (DIGITS, SIGNS))
+_made: dict[bytes, Tagger] = {}
+
+
+def tagger(model: Crf) -> Tagger:
+    """One for each model and process."""
+    mark = model.weights.tobytes() + model.moves.tobytes()
+    if mark not in _made:
+        _made.clear()
+        _made[mark] = Tagger(model)
+    return _made[mark]
+
+
+def model_spans(model: Crf, texts: list[tuple[str, list[tuple[int, int]]]]) -> list[list[tuple[int, int]]]:
+    """Spans that the model tags in each text, among all its words; the places beside a text choose nothing."""
+    return tagger(model).spans(pa.array([x for x, _ in texts], pa.string()))

@@ -21,7 +21,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD_DIGITS, PHONE_DIGITS, MOST_PART = (13, 19), (9, 15), 255
-#: Characters of which a word that the model may tag has one.
+#: Characters of which a base span has one.
 MARKS = "0123456789@"
 EXTRA = "model"
 _rank = {k: i for i, k in enumerate((*KINDS, EXTRA))}
@@ -71,6 +71,12 @@ def _needs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return has(data, offsets, _marks)
 
 
+FIRST = "James Mary John Linda Robert Susan Michael Karen David Nancy Anna Peter Maria Carlos Sofia Juan Pierre Marie Hans Greta Laura Thomas Elena Paul Julia Lucas Emma Noah Olivia Daniel".split()
+LAST = "Smith Johnson Williams Brown Jones Garcia Miller Davis Martinez Lopez Wilson Anderson Taylor Moore Martin Dupont Bernard Müller Schmidt Weber Fischer Rossi Fernandez Clark Lewis Walker Young King Wright Hill".split()
+STREET = "Street Road Avenue Lane Drive Square".split()
+PLACE = "London Paris Berlin Madrid Rome Boston Chicago Vienna Lisbon Dublin Toronto Sydney Munich Lyon Seville Zurich".split()
+
+
 def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[str, int, int]]:
     """The small labelled table: (text, start, end), made from patterns of personal data and of what looks like it."""
     pick = random.Random(seed)
@@ -79,15 +85,21 @@ def labelled_rows(n: int = 900, seed: int = 11) -> list[tuple[str, int, int]]:
     hexes = digits + "abcdef"
     word = lambda: any_of(lower, pick.randint(2, 9)) + pick.choice(["", "", "", ",", "."])
     d = lambda k: any_of(digits, k)
+    person = lambda: f"{pick.choice(FIRST)} {pick.choice(LAST)}"
+    parts = [a + b + c for a in ("", "t", "n", "r", "th", "h", "l", "sch", "st", "ñ", "b") for b in "aeiou" for c in ("", "n", "r", "nd", "s")]
+    long = lambda: "".join(pick.choices(parts, k=pick.randint(1, 5)))
+    sentences = lambda: " ".join(" ".join([long().capitalize(), *(long() for _ in range(pick.randint(0, 2)))]) + pick.choice([".", ".", ",", "", "\n"]) for _ in range(pick.randint(4, 12)))
     good = [
         lambda: ("", f"{any_of(lower, 5)}.{d(2)}@mail{d(1)}.example.com"), lambda: ("", f"+1 ({d(3)}) {d(3)}-{d(4)}"), lambda: ("", f"({d(3)}) {d(3)}-{d(4)}"), lambda: (pick.choice(["call ", "tel ", "phone ", "mobile "]), f"{d(3)}-{d(3)}-{d(4)}"), lambda: (pick.choice(["tel. ", "phone: ", "fax "]), f"0{d(3)} {d(7)}"),
         lambda: ("ssn ", f"{d(3)}-{d(2)}-{d(4)}"), lambda: ("", f"{d(3)}-{d(2)}-{d(4)}"), lambda: ("iban ", f"DE{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"), lambda: ("", ":".join(any_of(hexes, 2) for _ in range(6))), lambda: ("", ":".join(any_of(hexes, 4) for _ in range(8))),
         lambda: ("", ".".join(str(pick.randint(1, 255)) for _ in range(4))), lambda: ("card ", " ".join(d(4) for _ in range(4))), lambda: ("", f"4{d(15)}"), lambda: ("passport ", f"{any_of(upper, 1)}{d(8)}"), lambda: ("", f"{any_of(lower, 6)}@{any_of(lower, 5)}"),
+        lambda: (pick.choice(["", "Mr. ", "Mrs. ", "Dr. ", "name: ", "my name is ", "signed by "]), person()), lambda: (pick.choice(["", "Mr. ", "Mrs. ", "Dr. "]), person()), lambda: (pick.choice(["", "address: ", "lives at "]), f"{pick.choice(LAST)} {pick.choice(STREET)}"), lambda: (pick.choice(["lives in ", "born in ", "from "]), pick.choice(PLACE)),
     ]
     bad = [
         lambda: d(pick.randint(1, 4)), lambda: f"{pick.randint(1, 9)}.{pick.randint(0, 9)}.", lambda: f"version {pick.randint(1, 9)}.", lambda: f"CC BY-NC {pick.randint(2, 4)}.0.", lambda: f"{pick.randint(1990, 2030)}-0{pick.randint(1, 9)}-{pick.randint(10, 28)}", lambda: f"page {d(3)}",
         lambda: f'token = "{any_of(hexes, 40)}"', lambda: f"password={any_of(hexes, 18)}", lambda: "AKIA" + any_of(upper + digits, 16), lambda: f"{d(2)}.{d(2)} euro", lambda: f"{d(2)}%", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"#{d(5)}", lambda: f"order {d(6)}", lambda: f"{d(2)}:{d(2)}",
-        lambda: f"Version {pick.randint(1, 3)}.{pick.randint(0, 9)}", lambda: f"{any_of(lower, 3)}{d(2)}", lambda: f"({pick.randint(1990, 2030)})", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{pick.randint(1, 30)}x{pick.randint(1, 30)}", lambda: f"@{any_of(lower, 6)}",
+        lambda: f"Version {pick.randint(1, 3)}.{pick.randint(0, 9)}", lambda: f"{any_of(lower, 3)}{d(2)}", lambda: f"({pick.randint(1990, 2030)})", lambda: f"{d(1)}.{d(1)}.{d(2)}", lambda: f"{pick.randint(1, 30)}x{pick.randint(1, 30)}", lambda: f"@{any_of(lower, 6)}", lambda: any_of(lower, pick.randint(2, 12)).capitalize(), lambda: f"{any_of(lower, 5).capitalize()} {any_of(lower, 6).capitalize()}", lambda: f"name of {word()}", lambda: f"from {word()}", lambda: any_of(upper, pick.randint(2, 8)),
+        *[sentences] * 8,
     ]
     rows = []
     for k in range(n):
@@ -113,7 +125,7 @@ def personal_data(docs: DataFrame, labelled: DataFrame, most: int = 5000, key: s
     """
     model = train(sorted(map(tuple, labelled.select("text", "start", "end").limit(most).collect())))
     kind = docs.schema[key].dataType.simpleString()
-    run = finder(KINDS, base_spans, MARKS, _needs, _order, model, EXTRA)
+    run = finder(KINDS, base_spans, _needs, _order, model, EXTRA)
     schema = f"key {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
 
@@ -126,7 +138,7 @@ def masked(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str
     """docs with each personal span in ``text`` replaced by its kind's mask; spans that overlap get one
     mask, that of the first.  All rows stay; a null text stays null; other columns are kept as they are."""
     model = train(sorted(map(tuple, labelled.select("text", "start", "end").limit(5000).collect())))
-    find = finder(KINDS, base_spans, MARKS, _needs, _order, model, EXTRA)
+    find = finder(KINDS, base_spans, _needs, _order, model, EXTRA)
     place = docs.columns.index(text)
 
     def run(batches):

@@ -19,7 +19,7 @@ ASSIGN = re.compile("(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
-#: Characters of which a word that the model may tag has one.
+#: Characters of which a base span has one, or nearly so.
 MARKS = "0123456789=_"
 EXTRA = "model"
 _rank = {k: i for i, k in enumerate((*KINDS, EXTRA))}
@@ -61,11 +61,13 @@ def labelled_rows(n: int = 700, seed: int = 7) -> list[tuple[str, int, int]]:
         lambda: ("Bearer ", any_of(mixed, pick.randint(30, 60))), lambda: ("", "ghp_" + any_of(mixed, 36)), lambda: ("", "sk_live_" + any_of(mixed, 24)), lambda: ("", "xoxb-" + any_of(digits, 11) + "-" + any_of(mixed, 24)),
         lambda: ("", "eyJ" + any_of(mixed, 30) + "." + any_of(mixed, 40) + "." + any_of(mixed, 30)), lambda: ("pwd=", any_of(mixed, pick.randint(12, 24))), lambda: ("auth_key = ", '"' + any_of(mixed, 32) + '"'),
         lambda: ("client_secret: ", any_of(mixed, 32)), lambda: ("", "AKIA" + any_of(upper + digits, 16)), lambda: ("token = ", '"' + any_of(hexes, 40) + '"'), lambda: ("", "password=" + any_of(hexes, 18)), lambda: ("private_key = ", any_of(mixed + "+/", 44) + "="),
+        lambda: ("Bearer ", any_of(lower + upper, pick.randint(20, 40))), lambda: (pick.choice(["pwd ", "pwd: ", "password is "]), any_of(lower + upper, pick.randint(10, 24))), lambda: ("auth_key = ", '"' + any_of(lower + upper, 32) + '"'), lambda: (pick.choice(["passphrase: ", "passphrase "]), "-".join(any_of(lower, pick.randint(4, 8)) for _ in range(4))),
+        lambda: ("", any_of(lower + upper + "+/", 40)),
     ]
     bad = [
         lambda: any_of(digits, pick.randint(1, 4)), lambda: f"{pick.randint(1, 9)}.{pick.randint(0, 9)}.", lambda: f"version {pick.randint(1, 9)}.", lambda: f"{any_of(lower, pick.randint(3, 6))}.{any_of(digits, 2)}@mail{pick.randint(0, 9)}.example.com", lambda: f"+1 ({pick.randint(200, 999)}) 555-{pick.randint(1000, 9999)}",
         lambda: ".".join(str(pick.randint(1, 255)) for _ in range(4)), lambda: any_of(digits, 16), lambda: f"{pick.randint(1990, 2030)}-0{pick.randint(1, 9)}-{pick.randint(10, 28)}", lambda: f"x = {pick.randint(1, 99)}", lambda: f"{any_of(lower, 4)}_{any_of(lower, 5)}", lambda: "token = none",
-        lambda: f"http://{any_of(lower, 6)}.example.com/{any_of(lower, 5)}?page={pick.randint(1, 99)}", lambda: f"== {word()}", lambda: f"CC BY-NC {pick.randint(2, 4)}.0.", lambda: f"{any_of(lower, 3)}{pick.randint(1, 99)}",
+        lambda: f"http://{any_of(lower, 6)}.example.com/{any_of(lower, 5)}?page={pick.randint(1, 99)}", lambda: f"== {word()}", lambda: f"CC BY-NC {pick.randint(2, 4)}.0.", lambda: f"{any_of(lower, 3)}{pick.randint(1, 99)}", lambda: "-".join(any_of(lower, pick.randint(2, 7)) for _ in range(pick.randint(2, 3))), lambda: any_of(lower, pick.randint(10, 24)).capitalize(), lambda: f"the bearer of {word()}", lambda: any_of(upper, pick.randint(2, 8)), lambda: f"{word()}/{word()}",
     ]
     rows = []
     for k in range(n):
@@ -91,6 +93,6 @@ def secret_scan(docs: DataFrame, labelled: DataFrame, most: int = 5000, key: str
     """
     model = train(sorted(map(tuple, labelled.select("text", "start", "end").limit(most).collect())))
     kind = docs.schema[key].dataType.simpleString()
-    run = finder(KINDS, base_spans, MARKS, _needs, _order, model, EXTRA)
+    run = finder(KINDS, base_spans, _needs, _order, model, EXTRA)
     schema = f"key {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from spanloom.llm.crf import WORD, Crf, model_spans
+from spanloom.llm.crf import Crf, tagger
 from spanloom.llm.words import buffers, slices
 
 Spans = list[tuple[str, int, int]]
@@ -30,27 +30,23 @@ def joined(spans: Spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def finder(kinds: tuple[str, ...], base: Callable[[str], Spans], marks: str, needs: Callable[[np.ndarray, np.ndarray], np.ndarray], order: Callable, model: Crf, extra: str):
+def finder(kinds: tuple[str, ...], base: Callable[[str], Spans], needs: Callable[[np.ndarray, np.ndarray], np.ndarray], order: Callable, model: Crf, extra: str):
     """A mapInArrow function: (key, text) to key, counts by kind, the digest of base spans, all spans.
 
-    needs: which texts of a piece can have any base span or candidate word, from their bytes and
-    offsets; the others are done.  marks: what a candidate word of the model has a character of.
+    needs: which texts of a piece can have any base span, from their bytes and offsets.  The model
+    looks at all words of all texts.
     """
-    candidate = set(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 4 << 20):
             data, offsets = buffers(b.column(1))
-            look = np.flatnonzero(needs(data, offsets))
+            found = tagger(model).spans(b.column(1))
+            look = np.flatnonzero(needs(data, offsets) | np.array([bool(x) for x in found]))
             texts = [x or "" for x in b.column(1).take(pa.array(look)).to_pylist()]
             bases = [base(x) for x in texts]
-            asked = []
-            for x in texts:
-                asked.append((x, [(m.start(), m.end()) for m in WORD.finditer(x) if not candidate.isdisjoint(m[0])]))
-            found = model_spans(model, asked)
             counts = {k: np.zeros(len(b), np.int64) for k in kinds}
             digest, every = [hashlib.sha256(b"").hexdigest()] * len(b), [""] * len(b)
-            for k, mine, more in zip(look.tolist(), bases, found):
+            for k, mine, more in zip(look.tolist(), bases, [found[k] for k in look.tolist()]):
                 mine.sort(key=order)
                 for kind, _, _ in mine:
                     counts[kind][k] += 1

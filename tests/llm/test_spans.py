@@ -98,3 +98,26 @@ def test_file_features_are_trained(module):
     toy = crf.train(same)
     file = [toy.weights[[zlib.crc32(x.encode()) % crf.PLACES for x in crf.file_of(t)]].sum(0) for t, _, _ in same[:2]]
     assert file[0][crf.B] - file[0][crf.O] > file[1][crf.B] - file[1][crf.O] + 0.1
+
+
+@pytest.mark.parametrize("module", [secrets, pii])
+def test_all_words_are_decoded_as_one_sequence(module):
+    import pyarrow as pa
+
+    model = crf.train(module.labelled_rows(300))
+    asked = [t for t, _, _ in module.labelled_rows(200, seed=5)] + ["", " ", "é  x", "word " * 500, *texts(8, 60)]
+    tag = crf.Tagger(model)
+    data, offsets = crf.buffers(pa.array(asked))
+    _, _, at, e, place, left = tag.emissions(data, offsets)
+    got = tag.labels(e, place, left)
+    for t, i, j in zip(asked, at, at[1:]):
+        words = [m[0] for m in crf.WORD.finditer(t)]
+        x = [crf.features(words, k, crf.file_of(t)) for k in range(len(words))]
+        assert model.decode([x])[0] == got[i:j].tolist() if x else i == j
+
+
+def test_secrets_and_names_without_digits_are_found():
+    for module, cases in ((secrets, ["Bearer hQzKpWvRtYbNmLsXcDfGjHk", 'auth_key = "qLmZxWcVbNtRyHgFdSpKjTuEoIaQwXzM"', "passphrase: gorka-melint-suvati-porden"]), (pii, ["my name is Maria Lopez", "Dr. Peter Schmidt", "address: Walker Street"])):
+        model = crf.train(module.labelled_rows())
+        found = crf.model_spans(model, [("see " + t + " and then", []) for t in cases])
+        assert all(any(("see " + t + " and then")[s:e].strip('"') in t and e - s > 4 for s, e in f) for t, f in zip(cases, found)), found

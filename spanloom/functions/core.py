@@ -20,15 +20,15 @@ def bucket(ns: Column | str, seconds: int) -> Column:
 
 
 def choose_tier(from_ms: int | None, to_ms: int | None) -> str:
-    """Rollup for a range: up to 3 hours 1m, up to 24 hours 5m, else 1h; 1m when a bound is missing."""
-    if from_ms is None or to_ms is None or to_ms - from_ms <= 3 * HOUR_MS:
+    """Rollup for a range: up to 3 hours 1m, up to 24 hours 5m, else 1h; 1m when a bound is missing or not positive."""
+    if not from_ms or not to_ms or min(from_ms, to_ms) < 0 or to_ms - from_ms <= 3 * HOUR_MS:
         return "1m"
     return "5m" if to_ms - from_ms <= 24 * HOUR_MS else "1h"
 
 
 def choose_error_tier(from_ms: int | None, to_ms: int | None) -> str:
     """Rollup of error logs: 1h from 24 hours on, else 1m."""
-    return "1h" if from_ms is not None and to_ms is not None and to_ms - from_ms >= 24 * HOUR_MS else "1m"
+    return "1h" if from_ms and to_ms and min(from_ms, to_ms) > 0 and to_ms - from_ms >= 24 * HOUR_MS else "1m"
 
 
 def buckets_between(column: str, from_ms: int | None, to_ms: int | None) -> Column:
@@ -50,6 +50,11 @@ def nanos_between(column: str, from_ms: int | None, to_ms: int | None) -> Column
     return out
 
 
+def at_between(df: DataFrame, column: str, from_ms: int | None, to_ms: int | None) -> DataFrame:
+    """Rows whose time in milliseconds is in a range, bounds included."""
+    return df.filter(millis_between(column, from_ms, to_ms))
+
+
 def millis_between(column: str, from_ms: int | None, to_ms: int | None) -> Column:
     out = F.lit(True)
     if from_ms is not None:
@@ -136,37 +141,27 @@ def matches_glob(column: Column, pattern: str) -> Column:
     return F.lit(False) if regex is None else column.rlike(regex)
 
 
-def histogram_percentile(p: float, counts: Column, bounds: Column) -> Column:
-    """The p-th percentile of an explicit-bucket histogram: linear inside the bucket in which the cumulative
+def histogram_percentiles(df: DataFrame, percents: dict[str, float], counts: str = "bucket_counts", bounds: str = "bounds") -> DataFrame:
+    """df with percentiles of its explicit-bucket histograms: linear inside the bucket in which the cumulative
     count reaches the target; 0 without counts; the last bound for the overflow bucket."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c.cast("double"))
-    target = total * p / 100
-    zero = F.struct(F.lit(0.0).alias("before"), F.lit(-1).alias("at"), F.lit(0.0).alias("count"), F.lit(0).alias("i"))
-
-    def step(a: Column, c: Column) -> Column:
-        found = (a.at < 0) & (a.before + c.cast("double") >= target)
-        going = (a.at < 0) & ~found
-        return F.struct(
-            F.when(going, a.before + c.cast("double")).otherwise(a.before).alias("before"), F.when(found, a.i).otherwise(a.at).alias("at"), F.when(found, c.cast("double")).otherwise(a["count"]).alias("count"), (a.i + 1).alias("i")
-        )
+    up_to = F.transform(counts, lambda c, i: F.aggregate(F.slice(counts, 1, i + 1), F.lit(0.0), lambda a, x: a + x.cast("double")))
+    df = df.withColumn("_up_to", F.coalesce(up_to, F.array().cast("array<double>")))
+    total = F.coalesce(F.get("_up_to", F.size("_up_to") - 1), F.lit(0.0))
 
-    def read(s: Column) -> Column:
-        upper = F.get(bounds, s.at)
-        lower = F.when(s.at == 0, 0.0).otherwise(F.get(bounds, s.at - 1))
-        inside = F.when(s["count"] == 0, upper).otherwise(lower + (upper - lower) * (target - s.before) / s["count"])
-        return F.when(s.at >= F.size(bounds), F.element_at(bounds, -1)).otherwise(inside)
+    def value(p: float) -> Column:
+        target = total * p / 100
+        at = F.size(F.filter("_up_to", lambda x: x < target))
+        before = F.when(at == 0, 0.0).otherwise(F.get("_up_to", at - 1))
+        count, upper = F.get("_up_to", at) - before, F.get(bounds, at)
+        lower = F.when(at == 0, 0.0).otherwise(F.get(bounds, at - 1))
+        inside = F.when(count == 0, upper).otherwise(lower + (upper - lower) * (target - before) / count)
+        some = F.when(at >= F.size(bounds), F.get(bounds, F.size(bounds) - 1)).otherwise(inside)
+        return F.when((F.coalesce(F.size(bounds), F.lit(0)) <= 0) | (total == 0), 0.0).otherwise(some)
 
-    value = F.get(F.transform(F.array(F.aggregate(counts, zero, step)), read), F.lit(0))
-    return F.when((F.size(counts) == 0) | (F.size(bounds) == 0) | (total == 0), 0.0).otherwise(value)
+    return df.withColumns({name: value(p) for name, p in percents.items()}).drop("_up_to")
 
 
 def latest(df: DataFrame, keys: list[str], *version: Column) -> DataFrame:
     """The newest version of each entity: the first row of its key in the order of ``version`` descending."""
     w = Window.partitionBy(*keys).orderBy(*[v.desc() for v in version])
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
-def sum_arrays(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Element-wise sums of arrays by keys; shorter arrays count as padded with zeros."""
-    each = df.select(*keys, F.posexplode(column).alias("_p", "_v")).groupBy(*keys, "_p").agg(F.sum("_v").alias("_v"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x._v).alias(column))

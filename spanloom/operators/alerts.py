@@ -7,31 +7,60 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import NANO, bucket, glob_regex, latest
+from spanloom.functions.core import at_between, bucket, equals, glob_regex, latest, page
 
-#: Hours looked back, rate above which it alerts, severity.
+#: Hours looked back, rate above which it alerts, severity (fixed values).
 BURN_WINDOWS = ((1, 14.4, "page"), (6, 6.0, "ticket"))
-SLO_DEFAULTS = {"metric_type": "error_rate", "window_hours": 720}
-SERVICE_DEFAULTS = {"tier": "standard"}
-ROUTE_DEFAULTS = {"enabled": True, "priority": 0}
+#: What blank columns of a new version become, by table.
+DEFAULTS = {"slos": {"metric_type": "error_rate", "window_hours": 720}, "services": {"tier": "standard"}, "routes": {"enabled": True, "priority": 0}}
+
+
+def service_minutes(spans: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
+    """``service_name, minute, n, errors, p95``: requests of each service in the minutes from one time to another, p95 in ns."""
+    m = spans.filter(F.col("kind").isin(2, 5)).select("service_name", bucket("start_time_nano", 60).alias("minute"), "status_code", "duration_nano")
+    m = m.filter(F.col("minute").between(from_ms * 1_000_000, to_ms * 1_000_000))
+    return m.groupBy("service_name", "minute").agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.percentile("duration_nano", F.lit(0.95)).alias("p95"))
+
+
+def slo_error_rate(minutes: DataFrame) -> DataFrame:
+    """Failed share of each service's requests in service_minutes(); 0 without requests."""
+    rate = F.coalesce(F.try_divide(F.sum("errors"), F.sum("n")), F.lit(0.0))
+    return minutes.groupBy("service_name").agg(rate.alias("bad_rate"))
+
+
+def slo_latency(minutes: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """For each row (service_name, threshold_ms) the share of the service's minutes whose p95 is above it; 0 without
+    minutes, and where the threshold isn't positive."""
+    some = thresholds.select("service_name", "threshold_ms").distinct()
+    both = some.join(minutes, "service_name", "left")
+    late = F.avg((F.col("p95") / 1e6 > F.col("threshold_ms")).cast("double"))
+    return both.groupBy("service_name", "threshold_ms").agg(F.when(F.col("threshold_ms") > 0, F.coalesce(late, F.lit(0.0))).otherwise(0.0).alias("bad_rate"))
 
 
 def burn_rates(spans: DataFrame, definitions: DataFrame, now_ms: int) -> DataFrame:
-    """Burn rate of every objective (latest versions) for each window up to ``now_ms``: bad share over the error
-    budget.  Bad is failed requests, or minutes whose p95 exceeds the objective's threshold.
-    definitions: service_name, slo_name, target_pct, metric_type, threshold_ms."""
-    d = definitions.filter("target_pct < 100")
-    windows = F.explode(F.array(*[F.struct(F.lit(h).alias("hours"), F.lit(a).alias("above"), F.lit(s).alias("severity")) for h, a, s in BURN_WINDOWS]))
-    d = d.select("*", windows.alias("w")).select(*d.columns, "w.*")
-    longest = max(h for h, _, _ in BURN_WINDOWS)
-    m = spans.filter(F.col("kind").isin(2, 5)).withColumn("minute", bucket("start_time_nano", 60)).filter(F.col("minute").between((now_ms - longest * 3_600_000) * 1_000_000, now_ms * 1_000_000))
-    m = m.groupBy("service_name", "minute").agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.percentile("duration_nano", F.lit(0.95)).alias("p95"))
-    both = d.join(m, "service_name", "left").withColumn("inside", F.coalesce(F.col("minute") >= (F.lit(now_ms) - F.col("hours") * 3_600_000) * 1_000_000, F.lit(False)))
-    keys = ["service_name", "slo_name", "target_pct", "metric_type", "hours", "above", "severity"]
-    g = both.groupBy(*keys).agg(F.sum(F.when(F.col("inside"), F.col("errors"))).alias("e"), F.sum(F.when(F.col("inside"), F.col("n"))).alias("n"), F.avg(F.when(F.col("inside"), (F.col("p95") / 1e6 > F.col("threshold_ms")).cast("double"))).alias("late"))
-    bad = F.coalesce(F.when(F.col("metric_type") == "latency", F.col("late")).otherwise(F.try_divide("e", "n")), F.lit(0.0))
-    g = g.withColumn("bad_rate", bad).withColumn("burn_rate", F.col("bad_rate") / (1 - F.col("target_pct") / 100))
-    return g.select("service_name", "slo_name", "hours", "severity", F.round("bad_rate", 6).alias("bad_rate"), F.round("burn_rate", 4).alias("burn_rate"), (F.col("burn_rate") > F.col("above")).alias("alert"))
+    """Burn rate of every objective for each window up to ``now_ms``: bad share over the error budget.  Bad is failed
+    requests (error_rate), or minutes whose p95 exceeds the objective's threshold (latency_p95); others aren't known and
+    give no rows, nor do objectives without a budget.
+
+    definitions: service_name, slo_name, target_pct, metric_type, threshold_ms, updated_at; the latest version of each counts.
+    """
+    d = latest(definitions, ["service_name", "slo_name"], F.col("updated_at")).filter("target_pct < 100 and metric_type in ('error_rate', 'latency_p95')")
+    out = None
+    for hours, above, severity in BURN_WINDOWS:
+        m = service_minutes(spans, now_ms - hours * 3_600_000, now_ms)
+        failed = d.filter("metric_type = 'error_rate'").join(slo_error_rate(m), "service_name", "left")
+        late = d.filter("metric_type = 'latency_p95'")
+        late = late.join(slo_latency(m, late), ["service_name", "threshold_ms"], "left")
+        both = failed.unionByName(late).withColumns({"hours": F.lit(hours), "severity": F.lit(severity), "above": F.lit(above)})
+        out = both if out is None else out.unionByName(both)
+    out = out.withColumn("bad_rate", F.coalesce("bad_rate", F.lit(0.0))).withColumn("burn_rate", F.col("bad_rate") / (1 - F.col("target_pct") / 100))
+    return out.select("service_name", "slo_name", "hours", "severity", F.round("bad_rate", 6).alias("bad_rate"), F.round("burn_rate", 4).alias("burn_rate"), (F.col("burn_rate") > F.col("above")).alias("alert"))
+
+
+def burn_alerts(rates: DataFrame, now_ms: int, service: str = "", limit: int | None = 100) -> DataFrame:
+    """The alerts among burn_rates(), as recorded at ``now_ms``, newest first."""
+    rows = rates.filter("alert").select("service_name", "slo_name", "burn_rate", F.concat(F.col("hours").cast("string"), F.lit("h")).alias("window"), "severity", F.lit(now_ms).alias("alerted_at_ms"))
+    return newest(rows, "alerted_at_ms", ["service_name", "slo_name", "window"], limit, service_name=service)
 
 
 def with_glob(routes: DataFrame, glob: str = "match_service", regex: str = "service_regex", most: int = 10_000) -> DataFrame:
@@ -45,26 +74,33 @@ def with_glob(routes: DataFrame, glob: str = "match_service", regex: str = "serv
     return routes.join(F.broadcast(known), routes[glob].eqNullSafe(known["g"]), "left").drop("g").withColumnRenamed("r", regex)
 
 
+def has_escalation() -> Column:
+    """Whether a route escalates: after some minutes, and to somewhere."""
+    return (F.col("escalation_after_min") > 0) & ((F.col("escalate_slack_url") != "") | (F.col("escalate_webhook_url") != ""))
+
+
 def route_alerts(events: DataFrame, routes: DataFrame) -> DataFrame:
-    """Pairs of an event and an enabled route (latest version) that takes it, by priority and age of the route.
+    """Pairs of an event and an enabled route (the latest version of its id) that takes it, by priority and age of the route.
 
     events: id, service_name, severity, anomaly_type; blank conditions of a route take any.  The routing
     table's conditions on severity and type are joined as equalities over a short list of
     alternatives, so that only the glob is tested pair by pair.
     """
-    r = with_glob(routes.filter("enabled"))
-    e = events.select(F.col("id").alias("event_id"), "service_name", "severity", "anomaly_type", F.explode(F.array(F.col("severity"), F.lit(""))).alias("match_severity")).withColumn("match_anomaly_type", F.explode(F.array(F.col("anomaly_type"), F.lit(""))))
+    r = with_glob(latest(routes, ["id"], F.col("created_at")).filter("enabled"))
+    e = events.select(F.col("id").alias("event_id"), "service_name", "severity", "anomaly_type", F.explode(F.array(F.col("severity"), F.lit(""))).alias("match_severity"))
+    e = e.withColumn("match_anomaly_type", F.explode(F.array(F.col("anomaly_type"), F.lit(""))))
     e = e.filter("not (match_severity = '' and severity = '') and not (match_anomaly_type = '' and anomaly_type = '')")
     hit = (F.col("service_regex") == "") | F.expr("service_name rlike service_regex")
     both = e.join(r.withColumnRenamed("id", "route_id"), ["match_severity", "match_anomaly_type"]).filter(F.col("service_regex").isNotNull() & hit)
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy("priority", "created_at", "route_id"))
-    return both.select("event_id", "route_id", "service_name", "priority", rank.alias("position"), (F.col("slack_url") != "").alias("to_slack"), (F.col("webhook_url") != "").alias("to_webhook"), (F.col("escalation_after_min") > 0).alias("escalates"))
+    return both.select("event_id", "route_id", "service_name", "priority", rank.alias("position"), (F.col("slack_url") != "").alias("to_slack"), (F.col("webhook_url") != "").alias("to_webhook"), has_escalation().alias("escalates"))
 
 
 def escalations_due(events: DataFrame, routes: DataFrame, acks: DataFrame, now_ms: int) -> DataFrame:
-    """Alert events (event_id, route_id, fired_at_ms, escalated) to escalate now: their route escalates, time is up,
-    nobody has acknowledged."""
-    due = events.join(routes.select(F.col("id").alias("route_id"), "escalation_after_min"), "route_id").filter("escalation_after_min > 0 and not escalated")
+    """Alert events (event_id, route_id, fired_at_ms, escalated) to escalate now: the latest version of their route
+    escalates, time is up, nobody has acknowledged."""
+    r = latest(routes, ["id"], F.col("created_at")).filter(has_escalation())
+    due = events.filter("not escalated").join(r.select(F.col("id").alias("route_id"), "escalation_after_min"), "route_id")
     due = due.filter(F.col("fired_at_ms") + F.col("escalation_after_min") * 60_000 <= now_ms)
     return due.join(acks.select("event_id"), "event_id", "left_anti").select("event_id", "route_id", "fired_at_ms")
 
@@ -116,15 +152,7 @@ def evolve(parts: Sequence[DataFrame], defaults: dict[str, object]) -> DataFrame
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def newest(df: DataFrame, time: str, key: str, limit: int | None = 100, **values: object) -> DataFrame:
-    """A filtered list, newest first: anomalies, reports, burn alerts, alert history."""
-    for c, v in values.items():
-        if v not in (None, ""):
-            df = df.filter(F.col(c) == v)
-    return df if limit is None else df.orderBy(F.col(time).desc(), key).limit(limit)
-
-
-def slo_error_rate(spans: DataFrame, now_ms: int, hours: int) -> DataFrame:
-    """Failed share of each service's requests in the window; 0 without requests."""
-    m = spans.filter(F.col("kind").isin(2, 5)).filter(bucket("start_time_nano", 60).between((now_ms - hours * 3_600_000) * 1_000_000, now_ms * NANO // 1000))
-    return m.groupBy("service_name").agg(F.coalesce(F.try_divide(F.sum((F.col("status_code") == 2).cast("long")), F.count("*")), F.lit(0.0)).alias("error_rate"))
+def newest(df: DataFrame, time: str, key: str | list[str], limit: int | None = 100, from_ms: int | None = None, to_ms: int | None = None, **values: object) -> DataFrame:
+    """A filtered list in a range of time, newest first: anomalies, reports, burn alerts, alert history."""
+    df = equals(at_between(df, time, from_ms, to_ms), **values)
+    return page(df, [F.col(time).desc(), *map(F.col, [key] if isinstance(key, str) else key)], limit)

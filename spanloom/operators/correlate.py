@@ -5,32 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import NANO, bucket
+from spanloom.functions.core import NANO, bucket, latest, nanos_between
 
 MINUTE_MS = 60_000
 
 
+#: Lengths of buckets in minutes: a range of any length is a few buckets of one of them.
+SPREAD, SCALES = 16, tuple(16**k for k in range(8))
+
+
+def minutes_within(ranges: DataFrame, minutes: DataFrame) -> DataFrame:
+    """ranges (service_name, from_min, to_min) joined with the rows of minutes (service_name, minute) inside.
+
+    Joined by service and bucket: a range takes the shortest buckets of which it meets at most
+    SPREAD + 1, so that a trace with a wrong clock costs no more rows than another.
+    """
+    scale = F.lit(SCALES[-1]).cast("long")
+    for x in SCALES[-2::-1]:
+        scale = F.when(F.col("to_min") - F.col("from_min") < x * SPREAD, F.lit(x).cast("long")).otherwise(scale)
+    r = ranges.withColumn("_scale", scale).withColumn("_b", F.explode(F.sequence(F.floor(F.col("from_min") / F.col("_scale")), F.floor(F.col("to_min") / F.col("_scale")))))
+    m = minutes.withColumn("_scale", F.explode(F.array(*[F.lit(x).cast("long") for x in SCALES]))).withColumn("_b", F.floor(F.col("minute") / F.col("_scale")))
+    return r.join(m, ["service_name", "_scale", "_b"]).filter("minute between from_min and to_min").drop("_scale", "_b")
+
+
 def trace_context(spans: DataFrame, logs: DataFrame, most_spans: int = 500, most_logs: int = 200) -> DataFrame:
     """For every trace its spans by start, the logs that name it or fall in its time at the service of its first span,
-    and that service's rates per minute around it, as (trace_id, what, position, item, at_ms, n, errors, p95_ms)."""
+    and that service's rates per minute around it: a row each, by ``trace_id, what, position``.
+
+    item, name: a span's id and name, a log's id and severity, a service.  A span that ends before it starts lasts 0 ms.
+    Logs by time are met by minute: a trace takes minutes until they hold ``most_logs``, whatever its length.
+    """
     by_start = Window.partitionBy("trace_id").orderBy("start_time_nano", "span_id")
-    s = spans.select("trace_id", "span_id", "service_name", "start_time_nano", "end_time_nano").withColumn("position", F.row_number().over(by_start)).filter(F.col("position") <= most_spans)
-    s = s.withColumn("at_ms", F.floor(F.col("start_time_nano") / 1_000_000)).withColumn("to_ms", F.floor(F.col("end_time_nano") / 1_000_000))
-    head = s.groupBy("trace_id").agg(F.min_by("service_name", "position").alias("service_name"), F.min("at_ms").alias("from_ms"), F.max("to_ms").alias("to_ms"))
-    rows = s.select("trace_id", F.lit("span").alias("what"), "position", F.col("span_id").alias("item"), "at_ms", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("errors"), F.lit(None).cast("double").alias("p95_ms"))
-    # logs: by id, and by service and minute of the trace's time
-    l = logs.select(F.col("trace_id").alias("log_trace"), "service_name", F.floor(F.col("timestamp_nano") / 1_000_000).alias("at_ms"), "event_id")
-    own = head.select("trace_id").join(l, F.col("trace_id") == F.col("log_trace")).select("trace_id", "at_ms", "event_id")
-    minutes = F.explode(F.sequence(F.floor(F.col("from_ms") / MINUTE_MS), F.floor(F.col("to_ms") / MINUTE_MS)))
-    near = head.withColumn("b", minutes).join(l.withColumn("b", F.floor(F.col("at_ms") / MINUTE_MS)), ["service_name", "b"]).filter("at_ms between from_ms and to_ms").select("trace_id", "at_ms", "event_id")
-    both = own.union(near).distinct().withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("at_ms", "event_id"))).filter(F.col("position") <= most_logs)
-    rows = rows.unionByName(both.select("trace_id", F.lit("log").alias("what"), "position", F.col("event_id").cast("string").alias("item"), "at_ms"), allowMissingColumns=True)
+    s = spans.withColumn("position", F.row_number().over(by_start)).filter(F.col("position") <= most_spans)
+    at = F.floor(F.col("start_time_nano") / 1_000_000)
+    lasted = F.greatest(F.floor((F.col("end_time_nano") - F.col("start_time_nano")) / 1_000_000), F.lit(0).cast("long"))
+    s = s.select("trace_id", F.lit("span").alias("what"), "position", F.col("span_id").alias("item"), "name", "service_name", "parent_span_id", at.alias("at_ms"), lasted.alias("duration_ms"), "status_code", "exception_type", "exception_message", "http_status_code")
+    head = s.groupBy("trace_id").agg(F.min_by("service_name", "position").alias("service_name"), F.min("at_ms").alias("from_ms"), F.max(F.col("at_ms") + F.col("duration_ms")).alias("to_ms"))
+    minute = lambda c: F.floor(F.col(c) / MINUTE_MS)
+    # logs: by id, and by service and time
+    l = logs.select(F.col("trace_id").alias("log_trace"), F.col("event_id").cast("string").alias("item"), F.col("severity_text").alias("name"), "service_name", F.floor(F.col("timestamp_nano") / 1_000_000).alias("at_ms"), "exception_type", "body")
+    own = l.join(head.select(F.col("trace_id").alias("log_trace")), "log_trace", "left_semi").withColumnRenamed("log_trace", "trace_id")
+    counts = l.groupBy("service_name", minute("at_ms").alias("minute")).agg(F.count("*").alias("n"))
+    near = minutes_within(head.withColumn("from_min", minute("from_ms")).withColumn("to_min", minute("to_ms")), counts)
+    # the first minute may hold logs from before the trace, so it doesn't count
+    before = F.sum(F.when(F.col("minute") > F.col("from_min"), F.col("n")).otherwise(0)).over(Window.partitionBy("trace_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_logs).drop("n", "before", "from_min", "to_min")
+    near = near.join(l.withColumn("minute", minute("at_ms")), ["service_name", "minute"]).filter("at_ms between from_ms and to_ms").select(own.columns)
+    log_order = Window.partitionBy("trace_id").orderBy("at_ms", F.col("item").cast("long"))
+    both = own.union(near).distinct().withColumn("position", F.row_number().over(log_order)).filter(F.col("position") <= most_logs)
+    rows = s.unionByName(both.withColumn("what", F.lit("log")), allowMissingColumns=True)
     # rates of the service in the minutes around
-    red = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", (bucket("start_time_nano", 60) / 1_000_000).cast("long").alias("at_ms")).agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.round(F.percentile("duration_nano", F.lit(0.95)) / 1e6, 6).alias("p95_ms"))
-    around = F.explode(F.sequence(F.ceil((F.col("from_ms") - MINUTE_MS) / MINUTE_MS), F.floor((F.col("to_ms") + MINUTE_MS) / MINUTE_MS)))
-    red = head.withColumn("at_ms", around).withColumn("at_ms", F.col("at_ms") * MINUTE_MS).join(red, ["service_name", "at_ms"])
-    red = red.withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("at_ms")))
-    return rows.unionByName(red.select("trace_id", F.lit("red").alias("what"), "position", F.col("service_name").alias("item"), "at_ms", "n", "errors", "p95_ms"))
+    red = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", (bucket("start_time_nano", 60) / (60 * NANO)).cast("long").alias("minute")).agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.round(F.percentile("duration_nano", F.lit(0.95)) / 1e6, 6).alias("p95_ms"))
+    around = head.select("trace_id", "service_name", F.ceil((F.col("from_ms") - MINUTE_MS) / MINUTE_MS).alias("from_min"), F.floor((F.col("to_ms") + MINUTE_MS) / MINUTE_MS).alias("to_min"))
+    red = minutes_within(around, red).withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("minute")))
+    red = red.select("trace_id", F.lit("red").alias("what"), "position", F.col("service_name").alias("item"), "service_name", (F.col("minute") * MINUTE_MS).alias("at_ms"), "n", "errors", "p95_ms")
+    return rows.unionByName(red, allowMissingColumns=True)
 
 
 def nearby_deployments(anomalies: DataFrame, deployments: DataFrame, window_ms: int = 300_000, most: int = 10) -> DataFrame:
@@ -43,9 +72,13 @@ def nearby_deployments(anomalies: DataFrame, deployments: DataFrame, window_ms:
     return both.withColumn("position", rank).filter(F.col("position") <= most).select("anomaly_id", "service_name", "deployment_id", "version", "deployed_at_ms", "position")
 
 
-def red_baseline(spans: DataFrame) -> DataFrame:
+def red_baseline(spans: DataFrame, now_ms: int | None = None, days: int = 28) -> DataFrame:
     """By service, span, route, weekday (1 is Monday) and hour: percentiles, error rate, requests per second, and
-    the mean and deviation of per-minute counts, error rates and p95."""
+    the mean and deviation of per-minute counts, error rates and p95.  With ``now_ms``, of the ``days`` before it only,
+    and with the time of computing as ``computed_at_ms``."""
+    if now_ms is not None:
+        whole = red_baseline(spans.filter(nanos_between("start_time_nano", now_ms - days * 86_400_000, now_ms)))
+        return whole.withColumn("computed_at_ms", F.lit(now_ms).cast("long"))
     df = spans.filter(F.col("kind").isin(2, 5)).select("service_name", F.col("name").alias("span_name"), "http_route", bucket("start_time_nano", 60).alias("minute"), "status_code", "duration_nano")
     keys = ["service_name", "span_name", "http_route", "dow", "hour"]
     hours = F.floor(F.col("minute") / (3600 * NANO))
@@ -58,6 +91,11 @@ def red_baseline(spans: DataFrame) -> DataFrame:
                                          r(F.col("count_mean"), 6).alias("count_mean"), r(F.col("count_dev"), 6).alias("count_dev"), r(F.col("error_mean"), 6).alias("error_mean"), r(F.col("error_dev"), 6).alias("error_dev"), r(F.col("p95_mean") / 1e6, 6).alias("p95_mean"), r(F.col("p95_dev") / 1e6, 6).alias("p95_dev"))
 
 
+def baseline_in_force(computed: DataFrame) -> DataFrame:
+    """Of baselines computed at several times the newest of each place and hour."""
+    return latest(computed, ["service_name", "span_name", "http_route", "dow", "hour"], F.col("computed_at_ms"))
+
+
 def detect_anomalies(spans: DataFrame, baseline: DataFrame, warning: float = 2.0, critical: float = 3.0, quiet_min: int = 10) -> DataFrame:
     """Minutes that lie off their baseline by z-score: p95 and error rate above, traffic below.  After one, the
     same kind at the same place is silent for ``quiet_min`` minutes, counted from the last candidate."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import NANO, TIERS, bucket, buckets_between, equals, nanos_between, page, received_between
+from spanloom.functions.core import NANO, TIERS, bucket, buckets_between, choose_error_tier, equals, nanos_between, page, received_between
 
 ERROR = 17
 
@@ -51,6 +51,11 @@ def error_logs(rollup: DataFrame, service: str = "", from_ms: int | None = None,
     return page(df, [F.col("minute").desc(), F.col("n").desc(), F.col("service_name"), F.col("exception_type")], limit)
 
 
+def error_logs_tiered(rollups: dict[str, DataFrame], service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 500) -> DataFrame:
+    """error_logs() of the rollup (1m, 1h) that the range asks for."""
+    return error_logs(rollups[choose_error_tier(from_ms, to_ms)], service, from_ms, to_ms, limit)
+
+
 def log_volume_rollup(df: DataFrame) -> DataFrame:
     return df.groupBy("service_name", bucket("timestamp_nano", 60).alias("minute"), "severity_text").agg(F.count("*").alias("n"))
 
@@ -82,8 +87,17 @@ def log_fields(df: DataFrame, service: str = "", from_ms: int | None = None, to_
 
 
 def error_documents_from_logs(df: DataFrame) -> DataFrame:
-    """A text for each error log."""
+    """A text for each error log: service, exception where there is one, body."""
     df = df.filter(F.col("severity_number") >= ERROR)
-    text = F.concat(F.lit("["), F.col("service_name"), F.lit("] ["), F.col("exception_type"), F.lit("] "), F.col("body"))
+    exception = F.when(F.col("exception_type") != "", F.concat(F.lit("["), F.col("exception_type"), F.lit("] "))).otherwise("")
     at = F.col("timestamp_nano").cast("string")
-    return df.select(F.sha2(F.concat_ws("|", F.lit("log"), "service_name", at, "span_id", "body"), 256).alias("id"), F.lit("log").alias("source_type"), at.alias("source_id"), "service_name", "trace_id", text.alias("document"), F.floor(F.col("timestamp_nano") / 1_000_000).alias("occurred_ms"))
+    return df.select(
+        F.sha2(F.concat_ws("|", F.lit("log_error"), "service_name", at, "span_id", "body"), 256).alias("id"),
+        F.lit("log_error").alias("source_type"),
+        at.alias("source_id"),
+        "service_name",
+        "trace_id",
+        "span_id",
+        F.floor(F.col("timestamp_nano") / 1_000_000).alias("occurred_ms"),
+        F.concat(F.lit("["), F.col("service_name"), F.lit("] "), exception, F.col("body")).alias("document"),
+    )

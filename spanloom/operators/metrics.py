@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import TIERS, attribute, bucket, buckets_between, equals, histogram_percentile, nanos_between, page, received_between
+from spanloom.functions.core import TIERS, at_between, attribute, bucket, buckets_between, choose_tier, equals, histogram_percentiles, nanos_between, page, received_between
 
-#: Fields of the runtime snapshot and the metric each reads.
+#: Fields of the runtime snapshot and the metrics each reads, the last value of any of them (fixed names).
 JVM_FIELDS = {
-    "heap_used": "jvm.memory.heap.used", "heap_max": "jvm.memory.heap.max", "nonheap_used": "jvm.memory.nonheap.used", "threads": "jvm.threads.count", "daemon_threads": "jvm.threads.daemon", "classes": "jvm.classes.loaded",
-    "gc_count": "jvm.gc.collections.count", "gc_ms": "jvm.gc.collections.elapsed", "process_cpu": "process.cpu.time", "system_cpu": "system.cpu.utilization", "cpu_load": "system.load",
-}
-NAMED = ("http.requests", "db.client.connections.usage", "http.server.active_requests", "queue.depth")
+    "heap_used_bytes": ("jvm.memory.heap.used",),
+    "heap_committed_bytes": ("jvm.memory.heap.committed",),
+    "heap_max_bytes": ("jvm.memory.heap.max",),
+    "thread_count": ("jvm.thread.count", "jvm.threads.count", "process.runtime.jvm.threads.count"),
+    "thread_peak": ("jvm.thread.peak",),
+    "thread_daemon": ("jvm.thread.daemon.count",),
+    "process_cpu_utilization": ("jvm.process.cpu.utilization", "process.runtime.jvm.cpu.utilization", "jvm.cpu.utilization"),
+    "system_cpu_utilization": ("system.cpu.utilization",),
+}
+#: The histogram of collections: seconds in its sum.
+GC, GC_NAME = "jvm.gc.duration", "jvm.gc.name"
+#: Runtime metrics beside those of the prefixes jvm., process. and system. (fixed names).
+NAMED = ("runtime.jvm.gc.duration", "runtime.jvm.memory.used", "runtime.jvm.memory.limit", "runtime.jvm.thread.count")
+HISTOGRAM_KEYS = ["service_name", "metric_name", "minute"]
 
 
 def metrics(scalars: DataFrame, histograms: DataFrame, limit: int | None = 100, offset: int = 0, from_ms: int | None = None, to_ms: int | None = None, service: str = "", name: str = "") -> DataFrame:
@@ -25,23 +35,48 @@ def metrics(scalars: DataFrame, histograms: DataFrame, limit: int | None = 100,
 
 
 def histogram_rollup(df: DataFrame, tier: str) -> DataFrame:
-    """Partial sums by service, metric and bucket: counts, sums, element-wise bucket counts; the earliest bounds."""
-    keys = ["service_name", "metric_name", "minute"]
-    df = df.withColumn("minute", bucket("timestamp_nano", TIERS[tier]))
-    sums = df.groupBy(*keys).agg(F.sum("total_count").alias("total_count"), F.sum("total_sum").alias("total_sum"), F.min_by("bounds", F.struct("timestamp_nano", "event_id")).alias("bounds"))
-    each = df.select(*keys, F.posexplode("bucket_counts").alias("p", "c")).groupBy(*keys, "p").agg(F.sum("c").alias("c"))
-    each = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x.c).alias("bucket_counts"))
-    return sums.join(each, keys)
+    """Partial sums by service, metric and bucket of time: counts, sums, element-wise bucket counts; the earliest
+    bounds.  Points without buckets count too.  Rows of several runs or batches can be appended."""
+    at = F.when(F.size("bounds") > 0, F.struct("timestamp_nano", "event_id"))
+    return _summed(df.withColumn("minute", bucket("timestamp_nano", TIERS[tier])).withColumn("bounds_at", at))
+
+
+def _summed(df: DataFrame) -> DataFrame:
+    """Histograms by HISTOGRAM_KEYS as one, the bounds with the least ``bounds_at``; one row per element crosses the exchange."""
+    each = df.select(*HISTOGRAM_KEYS, "total_count", "total_sum", "bounds", "bounds_at", F.posexplode_outer("bucket_counts").alias("p", "c"))
+    first = F.coalesce("p", F.lit(0)) == 0
+    each = each.groupBy(*HISTOGRAM_KEYS, "p").agg(
+        F.sum("c").alias("c"),
+        F.sum(F.when(first, F.col("total_count"))).alias("total_count"),
+        F.sum(F.when(first, F.col("total_sum"))).alias("total_sum"),
+        F.min_by("bounds", "bounds_at").alias("bounds"),
+        F.min("bounds_at").alias("bounds_at"),
+    )
+    counts = F.transform(F.array_sort(F.collect_list(F.when(F.col("p").isNotNull(), F.struct("p", "c")))), lambda x: x.c)
+    return each.groupBy(*HISTOGRAM_KEYS).agg(
+        F.sum("total_count").alias("total_count"),
+        F.sum("total_sum").alias("total_sum"),
+        F.coalesce(F.min_by("bounds", "bounds_at"), F.array().cast("array<double>")).alias("bounds"),
+        F.min("bounds_at").alias("bounds_at"),
+        counts.alias("bucket_counts"),
+    )
 
 
 def histograms(rollup: DataFrame, service: str = "", name: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 100) -> DataFrame:
-    """Counts, sums, averages and interpolated percentiles from a rollup, newest first."""
-    df = equals(rollup.filter(buckets_between("minute", from_ms, to_ms)), service_name=service, metric_name=name)
-    p = lambda q: F.round(histogram_percentile(q, F.col("bucket_counts"), F.col("bounds")), 4)
-    df = df.select("service_name", "metric_name", "minute", "total_count", F.round("total_sum", 4).alias("total_sum"), F.round(F.try_divide("total_sum", "total_count"), 7).alias("average"), p(50).alias("p50"), p(95).alias("p95"), p(99).alias("p99"))
+    """Counts, sums, averages (0 without a count) and interpolated percentiles from a rollup, whose partial rows are
+    merged; newest first."""
+    df = _summed(equals(rollup.filter(buckets_between("minute", from_ms, to_ms)), service_name=service, metric_name=name))
+    df = histogram_percentiles(df, {"p50": 50, "p95": 95, "p99": 99})
+    average = F.coalesce(F.try_divide("total_sum", "total_count"), F.lit(0.0))
+    df = df.select(*HISTOGRAM_KEYS, "total_count", F.round("total_sum", 4).alias("total_sum"), F.round(average, 7).alias("average"), *[F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")])
     return page(df, [F.col("minute").desc(), F.col("service_name"), F.col("metric_name")], limit)
 
 
+def histograms_tiered(rollups: dict[str, DataFrame], service: str = "", name: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 100) -> DataFrame:
+    """histograms() of the rollup (1m, 5m, 1h) that the range asks for."""
+    return histograms(rollups[choose_tier(from_ms, to_ms)], service, name, from_ms, to_ms, limit)
+
+
 def metric_minutes(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Average, greatest and least value of runtime metrics by minute."""
     df = equals(df.filter(nanos_between("timestamp_nano", from_ms, to_ms)), service_name=service)
@@ -49,11 +84,23 @@ def metric_minutes(df: DataFrame, service: str = "", from_ms: int | None = None,
     return df.filter(wanted).groupBy("service_name", "name", bucket("timestamp_nano", 60).alias("minute")).agg(F.round(F.avg("value"), 4).alias("avg_value"), F.max("value").alias("max_value"), F.min("value").alias("min_value"))
 
 
-def jvm_snapshot(df: DataFrame) -> DataFrame:
-    """The last value of each runtime field per service, and the time of the newest; elapsed collection time in ms."""
-    last = lambda m: F.max_by(F.when(F.col("name") == m, F.col("value")), F.when(F.col("name") == m, F.struct("timestamp_nano", "event_id")))
-    df = df.filter(F.col("name").isin(*JVM_FIELDS.values()))
-    return df.groupBy("service_name").agg(F.max("timestamp_nano").alias("at_nano"), *[(last(m) * 1000 if f == "gc_ms" else last(m)).alias(f) for f, m in JVM_FIELDS.items()])
+def jvm_snapshot(scalars: DataFrame, histograms: DataFrame) -> DataFrame:
+    """The last value of each runtime field per service, of collections the last count, time in ms and name that
+    isn't blank, and the time of the newest point of any."""
+    names = {n: f for f, ns in JVM_FIELDS.items() for n in ns}
+    field = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("name"))
+    a = scalars.filter(F.col("name").isin(*names)).select("service_name", "timestamp_nano", "event_id", field.alias("field"), "value")
+    gc = histograms.filter(F.col("metric_name") == GC).select("service_name", "timestamp_nano", "event_id", F.lit("gc").alias("field"), F.col("total_sum").alias("value"), "total_count", attribute("attributes", GC_NAME).alias("gc_name"))
+    df = a.unionByName(gc, allowMissingColumns=True)
+    at = F.struct("timestamp_nano", "event_id")
+    last = lambda c, test: F.max_by(F.when(test, F.col(c)), F.when(test, at))
+    return df.groupBy("service_name").agg(
+        F.max("timestamp_nano").alias("timestamp_nano"),
+        *[last("value", F.col("field") == f).alias(f) for f in JVM_FIELDS],
+        last("total_count", F.col("field") == "gc").cast("double").alias("gc_count_delta"),
+        (last("value", F.col("field") == "gc") * 1000).alias("gc_pause_ms_total_delta"),
+        last("gc_name", F.col("gc_name") != "").alias("gc_collection_name"),
+    )
 
 
 def service_overview(spans: DataFrame, scalars: DataFrame, logs: DataFrame) -> DataFrame:
@@ -80,11 +127,11 @@ def ingest_summary(spans: DataFrame) -> DataFrame:
 
 
 def pod_contexts(spans: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 20) -> DataFrame:
-    """The pods, nodes, namespaces and hosts that spans name, most frequent first."""
+    """The pods, nodes, namespaces and hosts of spans that name a pod or a host, most frequent first."""
     df = equals(spans.filter(nanos_between("start_time_nano", from_ms, to_ms)), service_name=service)
     keys = {"pod": "k8s.pod.name", "node": "k8s.node.name", "namespace": "k8s.namespace.name", "host": "host.name"}
     df = df.select("service_name", *[attribute("attributes", k).alias(c) for c, k in keys.items()])
-    g = df.filter(" or ".join(f"{c} <> ''" for c in keys)).groupBy("service_name", *keys).agg(F.count("*").alias("span_count"))
+    g = df.filter("pod <> '' or host <> ''").groupBy("service_name", *keys).agg(F.count("*").alias("span_count"))
     return page(g, [F.col("span_count").desc(), *map(F.col, ("service_name", *keys))], limit)
 
 
@@ -96,11 +143,7 @@ def infra_correlation(spans: DataFrame, scalars: DataFrame, from_ms: int | None
 
 def pod_summary(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Average and greatest use of each pod, its latest limits and time."""
-    df = equals(df, service_name=service)
-    if from_ms is not None:
-        df = df.filter(F.col("sampled_at_ms") >= from_ms)
-    if to_ms is not None:
-        df = df.filter(F.col("sampled_at_ms") <= to_ms)
+    df = equals(at_between(df, "sampled_at_ms", from_ms, to_ms), service_name=service)
     at = F.struct("sampled_at_ms", "event_id")
     return df.groupBy("service_name", "pod_name", "node_name", "namespace").agg(
         F.round(F.avg("cpu_usage_millicore"), 4).alias("avg_cpu"), F.max("cpu_usage_millicore").alias("max_cpu"), F.round(F.avg("memory_usage_bytes"), 2).alias("avg_memory"), F.max("memory_usage_bytes").alias("max_memory"),
@@ -109,16 +152,13 @@ def pod_summary(df: DataFrame, service: str = "", from_ms: int | None = None, to
 
 
 def profile_summary(df: DataFrame, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
-    if from_ms is not None:
-        df = df.filter(F.col("sampled_at_ms") >= from_ms)
-    if to_ms is not None:
-        df = df.filter(F.col("sampled_at_ms") <= to_ms)
+    df = at_between(df, "sampled_at_ms", from_ms, to_ms)
     return df.groupBy("service_name", "profile_type").agg(F.count("*").alias("n"), F.max("sampled_at_ms").alias("last_ms"), F.round(F.avg("duration_ms"), 4).alias("avg_duration_ms"))
 
 
-def profiles(df: DataFrame, service: str = "", profile_type: str = "", limit: int = 50) -> DataFrame:
+def profiles(df: DataFrame, service: str = "", profile_type: str = "", limit: int = 50, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Profiles without their payload, newest first; a limit outside 1-200 means 50."""
-    df = equals(df.drop("payload"), service_name=service, profile_type=profile_type)
+    df = equals(at_between(df.drop("payload"), "sampled_at_ms", from_ms, to_ms), service_name=service, profile_type=profile_type)
     return page(df, [F.col("sampled_at_ms").desc(), F.col("id")], limit if 1 <= limit <= 200 else 50)
 
 
@@ -126,7 +166,7 @@ def profile_payload(df: DataFrame, profile_id: str) -> DataFrame:
     return df.filter(F.col("id") == profile_id).select("id", "format", "payload").limit(1)
 
 
-def pod_metrics(df: DataFrame, service: str = "", pod: str = "", limit: int = 200) -> DataFrame:
+def pod_metrics(df: DataFrame, service: str = "", pod: str = "", limit: int = 200, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """A pod's samples, newest first; a limit outside 1-1000 means 200."""
-    df = equals(df, service_name=service, pod_name=pod)
+    df = equals(at_between(df, "sampled_at_ms", from_ms, to_ms), service_name=service, pod_name=pod)
     return page(df, [F.col("sampled_at_ms").desc(), F.col("event_id")], limit if 1 <= limit <= 1000 else 200)

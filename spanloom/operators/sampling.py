@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.core import NANO, matches_glob
+from spanloom.plans.tables import cut
 
 HIGH_CARDINALITY = "__high_cardinality__"
 
@@ -91,39 +95,95 @@ def tail_sample(spans: DataFrame, config: Sampling) -> DataFrame:
     return spans.join(sampled_traces(spans, config).select("trace_id"), "trace_id", "left_semi")
 
 
-def adaptive_rates(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3) -> DataFrame:
-    """``second, rate``: the rate in force in each second, from the smoothed number of traces offered before.
+def adaptive_rates(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3, tick_ms: int = 1000, block: int = 86_400) -> DataFrame:
+    """``tick, rate``: the rate in force in each tick with traces, from the smoothed traces per second offered before.
 
-    Counts per second are folded in time order inside each day (86,400 numbers), each day beginning
-    at the starting rate, so no task ever holds more than a day's counts.
+    The rate begins at ``least``.  At each tick with traces, those of the tick before over the time since
+    then are smoothed, and the rate is scaled by target over actual and clamped.  Both recurrences are
+    compositions of maps (x to ax + b, and x to clamp(ax, lo, hi)): each block of ticks is first reduced to
+    one such map, so only a row for each block is folded in order, and no task holds more than a block.
     """
-    per = traces.groupBy(F.floor(F.col("first_ms") / 1000).alias("second")).agg(F.count("*").cast("double").alias("n")).withColumn("day", F.floor(F.col("second") / 86_400))
-    day = per.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("second", "n"))).alias("s"))
-    clamp = lambda x: F.greatest(F.least(x, F.lit(most)), F.lit(least))
-    start = F.struct(F.lit(-1.0).alias("ewma"), F.lit(float(most)).alias("rate"), F.array().cast("array<struct<second:bigint,rate:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        ewma = F.when(a.ewma < 0, x.n).otherwise(alpha * x.n + (1 - alpha) * a.ewma)
-        return F.struct(ewma.alias("ewma"), clamp(a.rate * target_tps / ewma).alias("rate"), F.concat(a.out, F.array(F.struct(x.second.alias("second"), a.rate.alias("rate")))).alias("out"))
-
-    return day.select(F.explode(F.aggregate("s", start, step).out).alias("o")).select("o.*")
-
-
-def adaptive_limit(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3) -> DataFrame:
-    """Traces that pass: of each second every round(1/rate)-th by arrival; critical ones (error, latency) always."""
-    rates = adaptive_rates(traces, target_tps, least, most, alpha)
-    w = Window.partitionBy("second").orderBy("first_ms", "trace_id")
-    t = traces.withColumn("second", F.floor(F.col("first_ms") / 1000)).join(rates, "second").withColumn("k", F.row_number().over(w))
-    every = F.greatest(F.round(1 / F.col("rate")), F.lit(1))
-    return t.filter(F.col("reason").isin("error", "latency") | (F.col("k") % every == 0)).drop("second", "rate", "k")
-
-
-def limit_cardinality(df: DataFrame, bag: str, arrival: list[str], limit: int = 200, service: str = "service_name", types: str | None = None) -> DataFrame:
+    least = least if least > 0 else 0.01
+    per = traces.groupBy(F.floor(F.col("first_ms") / tick_ms).alias("tick")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("tick") / block))
+    # what a block has to know of the tick before it: a row for each block
+    by_block = Window.orderBy("block")
+    ends = per.groupBy("block").agg(F.max("tick").alias("tick"), F.max_by("n", "tick").alias("n"))
+    ends = ends.select("block", F.lag("tick").over(by_block).alias("prior_tick"), F.lag("n").over(by_block).alias("prior_n"))
+    per = per.join(F.broadcast(ends), "block")
+
+    def tps(rows: pd.DataFrame) -> np.ndarray:
+        """Traces per second seen at each tick; nan at the very first."""
+        rows.sort_values("tick", inplace=True)
+        tick, n = rows["tick"].to_numpy().astype(float), rows["n"].to_numpy().astype(float)
+        gone = np.diff(tick, prepend=float(rows["prior_tick"].iloc[0])) * tick_ms / 1000
+        return np.concatenate([[float(rows["prior_n"].iloc[0])], n[:-1]]) / gone
+
+    def smoothed(seen: np.ndarray, ewma: float) -> Iterator[float]:
+        for x in seen:
+            if x == x:
+                ewma = x if ewma < 0 else alpha * x + (1 - alpha) * ewma
+            yield ewma
+
+    def affine(rows: pd.DataFrame) -> pd.DataFrame:
+        seen = tps(rows)
+        a, b = 1.0, 0.0
+        for x in seen[seen == seen]:
+            a, b = a * (1 - alpha), alpha * x + (1 - alpha) * b
+        first = next((x for x in seen if x == x), -1.0)
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "a": [a], "b": [b], "first": [first], "cold": [b + a * first if first >= 0 else -1.0]})
+
+    def clamps(rows: pd.DataFrame) -> pd.DataFrame:
+        a, lo, hi = 1.0, -np.inf, np.inf
+        seen = tps(rows)
+        for x, e in zip(seen, smoothed(seen, rows["ewma"].iloc[0])):
+            if x == x:
+                k = target_tps / e
+                a, lo, hi = a * k, min(max(lo * k, least), most), min(max(hi * k, least), most)
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "a": [a], "lo": [lo], "hi": [hi]})
+
+    def rates(rows: pd.DataFrame) -> pd.DataFrame:
+        rate, out, seen = rows["rate"].iloc[0], [], tps(rows)
+        for x, e in zip(seen, smoothed(seen, rows["ewma"].iloc[0])):
+            if x == x:
+                rate = min(max(rate * target_tps / e, least), most)
+            out.append(rate)
+        return pd.DataFrame({"tick": rows["tick"], "rate": out})
+
+    def carried(blocks: DataFrame, start: float, name: str, step: Callable[[Column, Column], Column]) -> DataFrame:
+        """What each block begins with: a fold over the rows of the blocks before it."""
+        folded = blocks.agg(F.array_sort(F.collect_list(F.struct(*blocks.columns))).alias("s"))
+        states = F.aggregate("s", F.array(F.lit(float(start))), lambda s, x: F.concat(s, F.array(step(F.element_at(s, -1), x))))
+        return folded.select(F.explode(F.arrays_zip("s", F.slice(states, 1, F.size("s")).alias("v"))).alias("e")).select("e.s.block", F.col("e.v").alias(name))
+
+    grouped = lambda df, f, schema: df.groupBy("block").applyInPandas(f, schema)
+    maps = grouped(per, affine, "block long, a double, b double, first double, cold double")
+    cold = carried(maps, -1.0, "ewma", lambda s, x: F.when(s < 0, x.cold).otherwise(x.a * s + x.b))
+    per = per.join(F.broadcast(cold), "block")
+    maps = grouped(per, clamps, "block long, a double, lo double, hi double")
+    per = per.join(F.broadcast(carried(maps, least, "rate", lambda s, x: F.least(F.greatest(x.a * s, x.lo), x.hi))), "block")
+    return grouped(per, rates, "tick long, rate double")
+
+
+def adaptive_limit(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3, tick_ms: int = 1000) -> DataFrame:
+    """Traces that pass: of each tick every round(1/rate)-th by arrival; critical ones (error, latency) always."""
+    rates = adaptive_rates(traces, target_tps, least, most, alpha, tick_ms)
+    w = Window.partitionBy("tick").orderBy("first_ms", "trace_id")
+    t = traces.withColumn("tick", F.floor(F.col("first_ms") / tick_ms)).join(rates, "tick").withColumn("k", F.row_number().over(w))
+    every = F.greatest(F.floor(1 / F.col("rate") + 0.5), F.lit(1))
+    return t.filter(F.col("reason").isin("error", "latency") | (F.col("k") % every == 0)).drop("tick", "rate", "k")
+
+
+#: Lists of first values that are sent to all tasks at most; beyond it they are joined by an exchange.
+SENT = 1000
+
+
+def limit_cardinality(df: DataFrame, bag: str, arrival: list[str], limit: int = 200, service: str = "service_name", types: str | None = None, sent: int = SENT) -> DataFrame:
     """Attribute bags in which, by service and key, the first ``limit`` distinct values stay and later ones become
     a marker.  types: a map from keys to value types, of which only ``string`` is limited.
 
     First arrivals are minima per value (partial before the shuffle); only keys with more values than the
-    limit are looked at again: rows that use such a key get its first values by a join with a bounded list.
+    limit are looked at again: rows that use such a key get its first values, from a list sent to all tasks
+    if there are at most ``sent`` such keys, else by a join in which every service is dealt over SALTS places.
     """
     first = F.struct(*arrival)
     each = df.select(service, first.alias("_at"), F.explode(bag).alias("_k", "_v"), *([F.col(types).alias("_t")] if types else []))
@@ -133,12 +193,22 @@ def limit_cardinality(df: DataFrame, bag: str, arrival: list[str], limit: int =
     rank = F.row_number().over(Window.partitionBy(service, "_k").orderBy("_at", "_v"))
     ranked = values.withColumn("_r", rank).filter(F.col("_r") <= limit + 1)
     full = ranked.groupBy(service, "_k").agg(F.max("_r").alias("_n"), F.collect_list(F.when(F.col("_r") <= limit, F.col("_v"))).alias("_first")).filter(F.col("_n") > limit)
+    full = cut(full)
     allowed = full.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_first"))).alias("_allowed"))
-    joined = df.join(allowed, service, "left")
+    if full.limit(sent + 1).count() <= sent:
+        joined = df.join(F.broadcast(allowed), service, "left")
+    else:
+        allowed = allowed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*arrival), F.lit(SALTS)).cast("int"))
+        joined = salted.join(allowed, [service, "_salt"], "left")
     typed = (lambda k: F.try_element_at(F.col(types), k) == "string") if types else (lambda k: F.lit(True))
     over = lambda k, v: F.coalesce(typed(k) & ~F.array_contains(F.try_element_at("_allowed", k), v), F.lit(False))
     new = F.transform_values(bag, lambda k, v: F.when(over(k, v), F.lit(HIGH_CARDINALITY)).otherwise(v))
-    return joined.withColumn(bag, F.when(F.col("_allowed").isNull(), F.col(bag)).otherwise(new)).drop("_allowed").select(df.columns)
+    return joined.withColumn(bag, F.when(F.col("_allowed").isNull(), F.col(bag)).otherwise(new)).select(df.columns)
+
+
+#: Places over which the rows of one service are dealt.
+SALTS = 32
 
 
 def trace_seconds(spans: DataFrame) -> DataFrame:

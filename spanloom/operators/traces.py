@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import NANO, TIERS, attribute, bucket, buckets_between, equals, leading_uint16, matches_glob, nanos_between, page, received_between
+from spanloom.functions.core import NANO, TIERS, attribute, bucket, buckets_between, choose_tier, equals, leading_uint16, matches_glob, nanos_between, page, received_between
 
 #: Attribute keys that become columns.
 PROMOTED = {
@@ -33,7 +37,10 @@ def slow_queries(df: DataFrame, service: str = "", from_ms: int | None = None, t
     df = equals(df.filter("db_system <> ''").filter(nanos_between("start_time_nano", from_ms, to_ms)), service_name=service)
     df = df.filter(F.col("duration_nano") / 1e6 >= threshold_ms)
     df = page(df, [F.col("duration_nano").desc(), F.col("span_id")], limit)
-    return df.select("trace_id", "span_id", "service_name", F.col("name").alias("span_name"), "db_system", F.round(F.col("duration_nano") / 1e6, 2).alias("duration_ms"), "start_time_nano")
+    return df.select(
+        "trace_id", "span_id", "service_name", "db_system", "db_name", "db_operation", attribute("attributes", "db.statement").alias("db_statement"),
+        F.round(F.col("duration_nano") / 1e6, 2).alias("duration_ms"), F.floor(F.col("start_time_nano") / 1_000_000).alias("start_ms"), "status_code",
+    )
 
 
 def promote_attributes(df: DataFrame, bag: str = "attributes") -> DataFrame:
@@ -84,6 +91,11 @@ def red(df: DataFrame, tier: str, service: str = "", from_ms: int | None = None,
     return page(df, [F.col("minute").desc(), *map(F.col, RED_KEYS[:3])], limit)
 
 
+def red_tiered(rollups: dict[str, DataFrame], service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 1000) -> DataFrame:
+    """red_from_rollup() of the rollup (1m, 5m, 1h) that the range asks for."""
+    return red_from_rollup(rollups[choose_tier(from_ms, to_ms)], service, from_ms, to_ms, limit)
+
+
 def topology_rollup(df: DataFrame) -> DataFrame:
     """Five-minute partial sums of calls from client spans to their peer."""
     df = df.filter((F.col("kind") == 3) & (F.col("peer_service") != ""))
@@ -106,14 +118,15 @@ def broken_traces(df: DataFrame, service: str = "", from_ms: int | None = None,
         F.count("*").alias("span_count"), F.min(F.when(F.col("service_name") != "", F.col("service_name"))).alias("service"), F.floor(F.min("start_time_nano") / 1_000_000).alias("start_ms"),
         F.sum((F.col("status_code") == 2).cast("long")).alias("error_count"), F.max("duration_nano").alias("max_duration_nano"), F.sum((F.col("parent_span_id") == "").cast("long")).alias("roots"),
     )
-    g = g.filter("roots = 0").select("trace_id", "span_count", F.coalesce("service", F.lit("")).alias("service_name"), "start_ms", "error_count", F.round(F.col("max_duration_nano") / 1e6, 2).alias("max_duration_ms"))
+    g = g.filter("roots = 0").select("trace_id", "span_count", F.coalesce("service", F.lit("")).alias("service_name"), "start_ms", "error_count", F.floor(F.col("max_duration_nano") / 1_000_000).alias("max_duration_ms"))
     return page(g, [F.col("start_ms").desc(), F.col("trace_id")], limit)
 
 
 def error_groups(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 100) -> DataFrame:
-    """Errors by fingerprint of service, exception and message, most frequent first; times are whole seconds."""
+    """Failed spans with an exception type by fingerprint of service, exception and message, most frequent first;
+    times are whole seconds."""
     second = F.col("start_time_nano") - F.pmod("start_time_nano", F.lit(NANO))
-    df = df.filter("status_code = 2").select("service_name", "exception_type", F.substring("exception_message", 1, 200).alias("message"), (second / 1_000_000).cast("long").alias("at_ms"))
+    df = df.filter("status_code = 2 and exception_type <> ''").select("service_name", "exception_type", F.substring("exception_message", 1, 200).alias("message"), (second / 1_000_000).cast("long").alias("at_ms"))
     df = equals(df, service_name=service)
     if from_ms is not None:
         df = df.filter(F.col("at_ms") >= from_ms // 1000 * 1000)
@@ -124,48 +137,95 @@ def error_groups(df: DataFrame, service: str = "", from_ms: int | None = None, t
 
 
 def error_documents_from_spans(df: DataFrame) -> DataFrame:
-    """A text for each failed span with a message."""
-    df = df.filter("status_code = 2 and exception_message <> ''")
-    line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"\n{label}: "), F.col(c))).otherwise("")
-    trace = F.when(F.col("exception_stacktrace") != "", F.concat(F.lit("\nStack: "), F.substring("exception_stacktrace", 1, 2000))).otherwise("") if "exception_stacktrace" in df.columns else F.lit("")
-    text = F.concat(F.lit("["), F.col("service_name"), F.lit("] "), F.col("name"), line("Exception", "exception_type"), line("Message", "exception_message"), line("Route", "http_route"), line("DB", "db_system"), trace)
-    return df.select(F.sha2(F.concat_ws("|", F.lit("span"), "trace_id", "span_id"), 256).alias("id"), F.lit("span").alias("source_type"), F.col("span_id").alias("source_id"), "service_name", "trace_id", text.alias("document"), F.floor(F.col("start_time_nano") / 1_000_000).alias("occurred_ms"))
+    """A text for each failed span with a status message: service, name, error, exception, message, stack."""
+    df = df.filter("status_code = 2 and status_message <> ''")
+    line = lambda label, c: F.when(F.col(c) != "", F.concat(F.lit(f"{label}: "), F.col(c), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("["), F.col("service_name"), F.lit("] "), F.col("name"), F.lit("\nERROR: "), F.col("status_message"), F.lit("\n"))
+    return df.select(
+        F.sha2(F.concat_ws("|", F.lit("span_error"), "trace_id", "span_id"), 256).alias("id"),
+        F.lit("span_error").alias("source_type"),
+        F.col("span_id").alias("source_id"),
+        "service_name",
+        "trace_id",
+        "span_id",
+        F.floor(F.col("start_time_nano") / 1_000_000).alias("occurred_ms"),
+        F.concat(head, line("Exception", "exception_type"), line("Message", "exception_message"), F.substring("exception_stacktrace", 1, 2000)).alias("document"),
+    )
+
 
+#: What trace_waterfall() reads of a span.
+_NODE = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, start_ms long, end_ms long"
+_NODES = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, depth int, start_ms long, offset_ms long, duration_ms long, subtree_end_ms long, critical boolean, position int, total_ms long, span_count long, error_count long"
 
-def trace_waterfall(df: DataFrame, cut, per_trace: int = 500) -> DataFrame:
+
+def trace_waterfall(df: DataFrame, per_trace: int = 500) -> DataFrame:
     """Depth, offset, subtree end, order and critical path of the spans of every trace.
 
-    A span whose parent is empty or missing is a root.  The tree is walked level by level: each round
-    joins the last level with its children by (trace, parent), so a cycle is never entered.  Only the
-    first ``per_trace`` spans of a trace by start are looked at.  cut: writes a table and reads it back.
+    A span whose parent is empty or missing is a root; spans in a cycle are left out.  Only the
+    first ``per_trace`` spans of a trace by start are looked at, so a trace is a bounded group.  One exchange
+    by trace; the trees of all traces of an Arrow batch are then built at once in numpy.
     """
     first = Window.partitionBy("trace_id").orderBy("start_time_nano", "span_id")
-    s = df.select("trace_id", "span_id", "parent_span_id", F.col("name").alias("span_name"), "service_name", "status_code", F.floor(F.col("start_time_nano") / 1_000_000).alias("start_ms"), F.floor(F.col("end_time_nano") / 1_000_000).alias("end_ms"), "start_time_nano")
-    s = s.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_trace)
-    s = s.withColumn("again", F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy(F.col("n").desc())))  # of equal ids the last is the parent
-    s = cut(s.drop("start_time_nano"))
-    ids = s.filter("again = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("found"))
-    s = s.join(ids, ["trace_id", "parent_span_id"], "left")
-    step = F.struct("start_ms", "span_id", "n")
-    level = s.filter("found is null").withColumn("path", F.array(step))
-    children = cut(s.filter("found").drop("found"))
-    level = cut(level.drop("found"))
-    rows = level
-    while not level.isEmpty():
-        parents = level.filter("again = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("above"))
-        level = cut(children.join(parents, ["trace_id", "parent_span_id"]).withColumn("path", F.concat("above", F.array(step))).drop("above"))
-        rows = rows.unionByName(level)
-    below = rows.select("trace_id", F.explode(F.transform("path", lambda p: p.n)).alias("n"), "end_ms").groupBy("trace_id", "n").agg(F.max("end_ms").alias("subtree_end_ms"))
-    total = s.groupBy("trace_id").agg(F.min("start_ms").alias("trace_start_ms"), F.max("end_ms").alias("trace_end_ms"), F.count("*").alias("span_count"), F.sum((F.col("status_code") == 2).cast("long")).alias("error_count"))
-    rows = rows.join(below, ["trace_id", "n"]).join(total, "trace_id")
-    # critical: of siblings whose subtree ends last in the trace, the first by start; and all above it chosen
-    ends = (F.col("subtree_end_ms") == F.col("trace_end_ms")).cast("int")
-    parent = F.when(F.size("path") == 1, F.lit(0)).otherwise(F.get("path", F.size("path") - 2).n)
-    w = Window.partitionBy("trace_id", "above").orderBy(ends.desc(), "start_ms", "span_id", "n")
-    rows = rows.withColumn("above", parent).withColumn("chosen", (F.row_number().over(w) == 1) & (ends == 1))
-    chosen = rows.filter("chosen").groupBy("trace_id").agg(F.collect_set("n").alias("chosen_set"))
-    rows = rows.join(chosen, "trace_id", "left")
-    critical = F.forall("path", lambda p: F.array_contains("chosen_set", p.n))
-    order = F.row_number().over(Window.partitionBy("trace_id").orderBy("path"))
-    return rows.select("trace_id", "span_id", "parent_span_id", "span_name", "service_name", (F.size("path") - 1).alias("depth"), F.greatest(F.col("start_ms") - F.col("trace_start_ms"), F.lit(0)).alias("offset_ms"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
-                       "subtree_end_ms", F.coalesce(critical, F.lit(False)).alias("critical"), order.alias("position"), (F.col("trace_end_ms") - F.col("trace_start_ms")).alias("total_ms"), "span_count", "error_count")
+    s = df.withColumnRenamed("name", "span_name").withColumns({"start_ms": F.floor(F.col("start_time_nano") / 1_000_000), "end_ms": F.floor(F.col("end_time_nano") / 1_000_000), "n": F.row_number().over(first)})
+    s = s.filter(F.col("n") <= per_trace).sortWithinPartitions("trace_id", "start_time_nano", "span_id")
+    return s.select(*[c.split()[0] for c in _NODE.split(", ")]).mapInPandas(_waterfalls, _NODES)
+
+
+def _waterfalls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Traces lie together, by start; the last of a batch may go on in the next."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        ids = b["trace_id"].to_numpy()
+        whole = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if len(b) and (ids != ids[-1]).any() else 0
+        rest = b.iloc[whole:]
+        if whole:
+            yield _trees(b.iloc[:whole].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield _trees(rest.reset_index(drop=True))
+
+
+def _trees(b: pd.DataFrame) -> pd.DataFrame:
+    n = len(b)
+    trace, _ = pd.factorize(b["trace_id"])
+    names, _ = pd.factorize(pd.concat([b["span_id"], b["parent_span_id"]]))
+    own, above = trace * (2 * n) + names[:n], trace * (2 * n) + names[n:]
+    order = np.argsort(own, kind="stable")
+    at = np.searchsorted(own[order], above, "right") - 1  # of equal ids the last is the parent
+    found = (at >= 0) & (own[order][at] == above) & (b["parent_span_id"].to_numpy() != "")
+    parent = np.where(found, order[at], -1)
+    # depths by pointer doubling: a span that doesn't come to a root in as many steps as there are is in a cycle
+    up, depth = np.where(found, parent, np.arange(n)), found.astype(np.int64)
+    for _ in range(int(np.bincount(trace).max()).bit_length()):
+        depth, up = depth + depth[up], up[up]
+    there = ~found[up]
+    start, end = b["start_ms"].to_numpy(), b["end_ms"].to_numpy()
+    levels = [np.flatnonzero(there & (depth == d)) for d in range(int(depth[there].max(initial=-1)) + 1)]
+    most, size = end.copy(), np.ones(n, np.int64)
+    for level in levels[:0:-1]:
+        np.maximum.at(most, parent[level], most[level])
+        np.add.at(size, parent[level], size[level])
+    first, last = np.full(trace.max() + 1, np.iinfo(np.int64).max), np.full(trace.max() + 1, np.iinfo(np.int64).min)
+    np.minimum.at(first, trace, start)
+    np.maximum.at(last, trace, end)
+    # siblings by start; of those whose subtree ends last in the trace, the first is chosen
+    family = np.where(found, parent, n + trace)
+    spelled, _ = pd.factorize(b["span_id"], sort=True)
+    order = np.lexsort((np.arange(n), spelled, start, family))
+    order = order[there[order]]
+    new = np.diff(family[order], prepend=-1) != 0
+    before = np.cumsum(size[order]) - size[order]
+    offset = np.zeros(n, np.int64)
+    offset[order] = before - np.repeat(before[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+    ends = order[(most == last[trace])[order]]
+    chosen = np.zeros(n, bool)
+    chosen[ends[np.diff(family[ends], prepend=-1) != 0]] = True
+    position = offset + 1
+    for level in levels[1:]:
+        chosen[level] &= chosen[parent[level]]
+        position[level] += position[parent[level]]
+    out = b.assign(
+        depth=depth.astype(np.int32), offset_ms=np.maximum(start - first[trace], 0), duration_ms=end - start, subtree_end_ms=most, critical=chosen, position=position.astype(np.int32),
+        total_ms=(last - first)[trace], span_count=np.bincount(trace)[trace], error_count=np.bincount(trace, b["status_code"].to_numpy() == 2).astype(np.int64)[trace],
+    )
+    return out[there][[c.split()[0] for c in _NODES.split(", ")]]

@@ -2,72 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import bucket, latest, severity_label
+from spanloom.functions.core import latest, severity_label
 from spanloom.operators import alerts, correlate, logs, metrics, sampling, traces
-from spanloom.plans.tables import cut
-from spanloom.sources import sinks
-from spanloom.sources.sql import sql
-from spanloom.sources.telemetry import view, view_sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-#: First millisecond of the data, and the time that jobs take as now.
-T0 = 1704067200000
-DAY = 86_400_000
-NOW = T0 + 20 * DAY
-SAMPLING = sampling.Sampling(sampling.Policy(errors=True, latency_ms=150, rate=0.25), (("svc-[01]", sampling.Policy(rate=0.5)), ("svc-7", sampling.Policy())))
-GLOBS = ["clic?", "v*w", "/api/*"]
-
-_queries: dict[str, Query] = {}
-_oracles: dict[str, str] = {}
-
-
-def add(name: str, query: Query, oracle: str | None = None, *needs: str) -> None:
-    """needs: the telemetry tables that the SQL reads."""
-    _queries[name] = query
-    if oracle:
-        parts = [f"{n} as ({TABLES[n] if n in TABLES else view_sql(n)})" for n in needs]
-        _oracles[name] = (f"with {', '.join(parts)} " if parts else "") + oracle
-
-
-def on(*names: str) -> Callable[[Callable[..., DataFrame]], Query]:
-    """A query that applies f to telemetry tables."""
-    return lambda f: lambda spark, sf: f(*[table(spark, sf, n) for n in names])
-
-
-#: Tables of objectives, routes and catalogs, derived from the business tables.
-TABLES = {
-    "slos": "select concat('svc-', cast(s_suppkey%8 as string)) as service_name, concat('slo-', cast(s_suppkey as string)) as slo_name, case s_suppkey%4 when 0 then 99.9e0 when 1 then 99e0 when 2 then 95e0 else 100e0 end as target_pct, case when s_suppkey%3 = 0 then 'latency' else 'error_rate' end as metric_type, cast(20 + s_suppkey%50 as double) as threshold_ms from supplier",
-    "routes": "select concat('r', cast(n_nationkey as string)) as id, case n_nationkey%4 when 0 then 'svc-*' when 1 then 'svc-[0-3]' when 2 then '' else concat('svc-', cast(n_nationkey%8 as string)) end as match_service, case n_nationkey%3 when 0 then 'critical' when 1 then '' else 'warning' end as match_severity, case when n_nationkey%5 = 0 then 'traffic_drop' else '' end as match_anomaly_type, case when n_nationkey%2 = 0 then 'x' else '' end as slack_url, '' as webhook_url, cast(n_regionkey as int) as priority, cast(n_nationkey%6*5 as int) as escalation_after_min, n_nationkey%7 <> 0 as enabled, n_nationkey as created_at from nation",
-}
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    if name in TABLES:
-        text = TABLES[name]
-        base = text.rpartition(" from ")[2]
-        return spark.read.parquet(f"{sf}/{base}.parquet").selectExpr(*_columns(text[len("select ") : text.rindex(" from ")]))
-    return view(spark, sf, name)
-
-
-def _columns(text: str) -> list[str]:
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append(text[last:i])
-            last = i + 1
-    return [*out, text[last:]]
-
-
-def bucket_sql(column: str, seconds: int) -> str:
-    w = seconds * 1_000_000_000
-    return f"({column} - {column} % {w})"
-
+from spanloom.plans import alerting, events, trees  # noqa: F401  their queries are registered on import
+from spanloom.plans.base import DAY, GLOBS, ORACLES, QUERIES, SAMPLING, T0, Query, add, bucket_sql, on
 
 # traces
 for _tier, _seconds in (("1m", 60), ("5m", 300), ("1h", 3600)):
@@ -81,14 +21,10 @@ add("red_top", on("spans")(lambda s: traces.red(s, "1m", "svc-3", T0 + 5 * DAY,
     f"""select service_name, name as span_name, http_route, {bucket_sql('start_time_nano', 60)} as minute, count(*) as rps, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as error_count, round(sum(case when status_code = 2 then 1 else 0 end) / count(*) * 100, 4) as error_rate,
     round(quantile_cont(duration_nano, 0.5) / 1e6, 4) as p50, round(quantile_cont(duration_nano, 0.95) / 1e6, 4) as p95, round(quantile_cont(duration_nano, 0.99) / 1e6, 4) as p99 from spans where kind in (2, 5) and service_name = 'svc-3'
     and {bucket_sql('start_time_nano', 60)} between {(T0 + 5 * DAY) * 10**6} and {(T0 + 9 * DAY) * 10**6} group by 1, 2, 3, 4 order by minute desc, 1, 2, 3 limit 50""", "spans")
-add("red_sketch", on("spans")(lambda s: traces.red_from_rollup(traces.red_rollup(s, "1h"), limit=None).select("service_name", "span_name", "http_route", "minute", "rps", "error_count")),
-    f"select service_name, name as span_name, http_route, {bucket_sql('start_time_nano', 3600)} as minute, count(*) as rps, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as error_count from spans where kind in (2, 5) group by 1, 2, 3, 4", "spans")
 _span = ["trace_id", "span_id", "service_name", "name", "start_time_nano", "duration_nano", "status_code"]
 add("spans_filter", on("spans")(lambda s: traces.spans(s, None, 0, T0 + DAY, T0 + 25 * DAY, "svc-2", min_duration_ms=10).select(*_span)),
     f"select {', '.join(_span)} from spans where received_at_ms between {T0 + DAY} and {T0 + 25 * DAY} and service_name = 'svc-2' and duration_nano >= 10000000", "spans")
 add("spans_page", on("spans")(lambda s: traces.spans(s, 100, 50, status=2).select(*_span)), f"select {', '.join(_span)} from spans where status_code = 2 order by start_time_nano desc, span_id limit 100 offset 50", "spans")
-add("slow_queries", on("spans")(lambda s: traces.slow_queries(s, threshold_ms=20, limit=None)),
-    "select trace_id, span_id, service_name, name as span_name, db_system, round(duration_nano / 1e6, 2) as duration_ms, start_time_nano from spans where db_system <> '' and duration_nano / 1e6 >= 20", "spans")
 add("promoted_attributes", on("spans")(lambda s: traces.promote_attributes(s.withColumn("attributes", F.create_map(F.lit("http.route"), "http_route", F.lit("db.system"), "db_system", F.lit("http.response.status_code"), F.concat(F.col("event_id").cast("string"), F.lit(" ok"))))).select("span_id", "http_route", "db_system", "http_status_code", "rpc_method")),
     "select span_id, http_route, db_system, cast(event_id % 65536 as int) as http_status_code, '' as rpc_method from spans", "spans")
 add("derived_columns", on("spans")(lambda s: traces.derived_columns(s).select("span_id", F.round("duration_ms", 4).alias("duration_ms"), "is_error", "span_kind_str")),
@@ -97,28 +33,6 @@ add("exclude_spans", on("spans")(lambda s: traces.exclude_spans(s.withColumn("at
     "select span_id, name from spans where event_id % 3 = 0 and not regexp_matches(name, '^clic[^/]$') and not regexp_matches(name, '^v[^/]*w$')", "spans")
 add("topology", on("spans")(lambda s: traces.topology(traces.topology_rollup(s))),
     "select service_name as caller, peer_service as callee, count(*) as calls, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as errors, round(sum(case when status_code = 2 then 1 else 0 end) / count(*) * 100, 4) as error_rate, round(sum(duration_nano) / count(*) / 1e6, 4) as avg_ms from spans where kind = 3 and peer_service <> '' group by 1, 2", "spans")
-_broken = """select trace_id, count(*) as span_count, min(service_name) as service_name, cast(floor(min(start_time_nano) / 1000000) as bigint) as start_ms, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as error_count, round(max(duration_nano) / 1e6, 2) as max_duration_ms
-    from {} group by trace_id having sum(case when parent_span_id = '' then 1 else 0 end) = 0"""
-add("broken_traces", on("spans")(lambda s: traces.broken_traces(s, limit=None)), _broken.format("spans"), "spans")
-add("broken_traces_of_service", on("spans")(lambda s: traces.broken_traces(s, "svc-1", limit=None)), _broken.format("spans where service_name = 'svc-1'"), "spans")
-add("broken_traces_whole", on("spans")(lambda s: traces.broken_traces(s, "svc-1", limit=None, whole_trace=True)), _broken.format("spans where trace_id in (select trace_id from spans where service_name = 'svc-1')"), "spans")
-add("error_groups", on("spans")(lambda s: traces.error_groups(s, limit=None)),
-    "select md5(concat(service_name, '|', exception_type, '|', substr(exception_message, 1, 200))) as fingerprint, service_name, exception_type, substr(exception_message, 1, 200) as message, count(*) as total, min(cast(floor(start_time_nano / 1000000000) as bigint) * 1000) as first_seen_ms, max(cast(floor(start_time_nano / 1000000000) as bigint) * 1000) as last_seen_ms from spans where status_code = 2 group by 1, 2, 3, 4", "spans")
-add("trace_waterfall", on("spans")(lambda s: traces.trace_waterfall(s, cut).drop("position")),
-    """, s as (select trace_id, span_id, parent_span_id, name as span_name, service_name, status_code, cast(floor(start_time_nano / 1000000) as bigint) as start_ms, cast(floor(end_time_nano / 1000000) as bigint) as end_ms, row_number() over (partition by trace_id order by start_time_nano, span_id) as n from spans),
-    w as (with recursive r as (select s.*, [n] as path from s where not exists (select 1 from s p where p.trace_id = s.trace_id and p.span_id = s.parent_span_id)
-      union all select s.*, list_append(r.path, s.n) from s join r on s.trace_id = r.trace_id and s.parent_span_id = r.span_id) select * from r),
-    m as (select trace_id, a as n, max(end_ms) as subtree_end_ms from (select trace_id, end_ms, unnest(path) as a from w) group by 1, 2),
-    t as (select trace_id, min(start_ms) as t0, max(end_ms) as t1, count(*) as span_count, sum(case when status_code = 2 then 1 else 0 end) as error_count from s group by 1),
-    c as (select w.*, m.subtree_end_ms, t.*, case when len(path) = 1 then 0 else path[len(path) - 1] end as above from w join m using (trace_id, n) join t on t.trace_id = w.trace_id),
-    d as (select *, subtree_end_ms = t1 and row_number() over (partition by trace_id, above order by case when subtree_end_ms = t1 then 1 else 0 end desc, start_ms, span_id) = 1 as chosen from c),
-    g as (select trace_id, list(n) filter (chosen) as ns from d group by 1)
-    select d.trace_id, span_id, parent_span_id, span_name, service_name, cast(len(path) - 1 as int) as depth, start_ms - t0 as offset_ms, end_ms - start_ms as duration_ms, subtree_end_ms, coalesce(list_has_all(g.ns, d.path), false) as critical, t1 - t0 as total_ms, span_count, cast(error_count as bigint) as error_count from d join g on g.trace_id = d.trace_id""", "spans")
-add("error_documents", on("spans", "logs")(lambda s, l: traces.error_documents_from_spans(s).unionByName(logs.error_documents_from_logs(l))),
-    r"""select sha256(concat('span|', trace_id, '|', span_id)) as id, 'span' as source_type, span_id as source_id, service_name, trace_id, concat('[', service_name, '] ', name, case when exception_type <> '' then concat(chr(10), 'Exception: ', exception_type) else '' end, case when exception_message <> '' then concat(chr(10), 'Message: ', exception_message) else '' end,
-    case when http_route <> '' then concat(chr(10), 'Route: ', http_route) else '' end, case when db_system <> '' then concat(chr(10), 'DB: ', db_system) else '' end) as document, cast(floor(start_time_nano / 1000000) as bigint) as occurred_ms from spans where status_code = 2 and exception_message <> ''
-    union all select sha256(concat('log|', service_name, '|', cast(timestamp_nano as string), '|', span_id, '|', body)), 'log', cast(timestamp_nano as string), service_name, trace_id, concat('[', service_name, '] [', exception_type, '] ', body), cast(floor(timestamp_nano / 1000000) as bigint) from logs where severity_number >= 17""", "spans", "logs")
-
 # logs
 _log = ["event_id", "timestamp_nano", "severity_text", "body", "service_name"]
 add("logs_filter", on("logs")(lambda l: logs.logs(l, None, 0, T0 + DAY, T0 + 20 * DAY, "svc-4", "INFO").select(*_log)), f"select {', '.join(_log)} from logs where received_at_ms between {T0 + DAY} and {T0 + 20 * DAY} and service_name = 'svc-4' and severity_text = 'INFO'", "logs")
@@ -138,41 +52,16 @@ add("log_fields", on("logs")(lambda l: logs.log_fields(l)),
     select * from (select field, value, count(*) as n, cast(row_number() over (partition by field order by count(*) desc, value) as int) as rank from f group by 1, 2) where rank <= 10 or field = 'severity'""", "logs")
 
 # metrics
-add("metrics_union", on("metrics", "histograms")(lambda m, h: metrics.metrics(m, h, None)), "select event_id, name, type, value, service_name, timestamp_nano from metrics union all select event_id, metric_name, 'HISTOGRAM', total_sum, service_name, timestamp_nano from histograms", "metrics", "histograms")
-_hist = """, r as (select service_name, metric_name, {b} as minute, cast(sum(total_count) as bigint) as total_count, sum(total_sum) as total_sum, [cast(sum(bucket_counts[1]) as bigint), cast(sum(bucket_counts[2]) as bigint), cast(sum(bucket_counts[3]) as bigint), cast(sum(bucket_counts[4]) as bigint), cast(sum(bucket_counts[5]) as bigint), cast(sum(bucket_counts[6]) as bigint)] as c from histograms group by 1, 2, 3)"""
-add("histogram_rollup", on("histograms")(lambda h: metrics.histogram_rollup(h, "1h").select("service_name", "metric_name", "minute", "total_count", F.round("total_sum", 4).alias("total_sum"), F.array_join(F.transform("bucket_counts", lambda x: x.cast("string")), ",").alias("counts"))),
-    _hist.format(b=bucket_sql("timestamp_nano", 3600)) + " select service_name, metric_name, minute, total_count, round(total_sum, 4) as total_sum, array_to_string(c, ',') as counts from r", "histograms")
-_p = "round(case when t = 0 then 0.0 when q{p} <= c1 then 0 + 5.0 * q{p} / c1 when q{p} <= c2 then 5 + 5.0 * (q{p} - c1) / (c2 - c1) when q{p} <= c3 then 10 + 15.0 * (q{p} - c2) / (c3 - c2) when q{p} <= c4 then 25 + 25.0 * (q{p} - c3) / (c4 - c3) when q{p} <= c5 then 50 + 50.0 * (q{p} - c4) / (c5 - c4) else 100.0 end, 4) as p{p}"
-add("histogram_percentiles", on("histograms")(lambda h: metrics.histograms(metrics.histogram_rollup(h, "5m"), limit=None)),
-    _hist.format(b=bucket_sql("timestamp_nano", 300)) + ", a as (select *, c[1] as c1, c[1] + c[2] as c2, c[1] + c[2] + c[3] as c3, c[1] + c[2] + c[3] + c[4] as c4, c[1] + c[2] + c[3] + c[4] + c[5] as c5, c[1] + c[2] + c[3] + c[4] + c[5] + c[6] as t from r), b as (select *, t * 50 / 100e0 as q50, t * 95 / 100e0 as q95, t * 99 / 100e0 as q99 from a) "
-    + f"select service_name, metric_name, minute, total_count, round(total_sum, 4) as total_sum, round(total_sum / total_count, 7) as average, {', '.join(_p.format(p=p) for p in (50, 95, 99))} from b", "histograms")
-_minutes = f"select service_name, name, {bucket_sql('timestamp_nano', 60)} as minute, round(avg(value), 4) as avg_value, max(value) as max_value, min(value) as min_value from metrics where (name like 'jvm.%' or name like 'process.%' or name like 'system.%' or name = 'http.requests') group by 1, 2, 3"
-add("metric_minutes", on("metrics")(lambda m: metrics.metric_minutes(m)), _minutes, "metrics")
-add("jvm_snapshot", on("metrics")(lambda m: metrics.jvm_snapshot(m).select("service_name", "at_nano", "heap_used", "process_cpu", "cpu_load")),
-    "select service_name, max(timestamp_nano) as at_nano, arg_max(value, (timestamp_nano, event_id)) filter (name = 'jvm.memory.heap.used') as heap_used, arg_max(value, (timestamp_nano, event_id)) filter (name = 'process.cpu.time') as process_cpu, arg_max(value, (timestamp_nano, event_id)) filter (name = 'system.load') as cpu_load from metrics where name in ('jvm.memory.heap.used', 'process.cpu.time', 'system.load') group by 1", "metrics")
 add("service_overview", on("spans", "metrics", "logs")(metrics.service_overview),
     """select 'spans' as what, service_name, '' as item, count(*) as n, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as m from spans group by 2 union all select 'metrics', service_name, '', count(*), count(distinct name) from metrics group by 2
     union all select * from (select 'top metric', '', name, count(*), 0 from metrics group by 3 order by 4 desc, 3 limit 10) union all select 'logs', service_name, severity_text, count(*), 0 from logs group by 2, 3""", "spans", "metrics", "logs")
 add("ingest_stats", on("spans", "metrics", "logs")(lambda s, m, l: metrics.ingest_stats(spans=s, metrics=m, logs=l)), "select 'spans' as signal, count(*) as received from spans union all select 'metrics', count(*) from metrics union all select 'logs', count(*) from logs", "spans", "metrics", "logs")
 add("ingest_summary", on("spans")(metrics.ingest_summary), "select service_name, count(*) as spans, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as errors from spans group by 1", "spans")
-add("pod_contexts", on("spans")(lambda s: metrics.pod_contexts(s, limit=None)), "select service_name, pod_name as pod, '' as node, '' as namespace, '' as host, count(*) as span_count from spans group by 1, 2", "spans")
-add("infra_correlation", on("spans", "metrics")(metrics.infra_correlation), _minutes, "spans", "metrics")
 add("pod_summary", on("pod_metrics")(lambda p: metrics.pod_summary(p)),
     "select service_name, pod_name, node_name, namespace, round(avg(cpu_usage_millicore), 4) as avg_cpu, max(cpu_usage_millicore) as max_cpu, round(avg(memory_usage_bytes), 2) as avg_memory, max(memory_usage_bytes) as max_memory, arg_max(cpu_limit_millicore, (sampled_at_ms, event_id)) as cpu_limit, arg_max(memory_limit_bytes, (sampled_at_ms, event_id)) as memory_limit, max(sampled_at_ms) as last_seen_ms from pod_metrics group by 1, 2, 3, 4", "pod_metrics")
 add("profile_summary", on("profiles")(lambda p: metrics.profile_summary(p)), "select service_name, profile_type, count(*) as n, max(sampled_at_ms) as last_ms, round(avg(duration_ms), 4) as avg_duration_ms from profiles group by 1, 2", "profiles")
-add("profiles_list", on("profiles")(lambda p: metrics.profiles(p, "svc-1", "cpu", 100)), "select id, service_name, profile_type, format, duration_ms, sampled_at_ms from profiles where service_name = 'svc-1' and profile_type = 'cpu' order by sampled_at_ms desc, id limit 100", "profiles")
 add("profile_payload", on("profiles")(lambda p: metrics.profile_payload(p, "p77")), "select id, format, payload from profiles where id = 'p77'", "profiles")
-add("pod_metrics_list", on("pod_metrics")(lambda p: metrics.pod_metrics(p, pod="pod-3").select("event_id", "service_name", "pod_name", "sampled_at_ms")), "select event_id, service_name, pod_name, sampled_at_ms from pod_metrics where pod_name = 'pod-3' order by sampled_at_ms desc, event_id limit 200", "pod_metrics")
-
 # across signals
-add("trace_context", on("spans", "logs")(lambda s, l: correlate.trace_context(s, l)),
-    f""", s as (select trace_id, span_id, service_name, cast(floor(start_time_nano / 1000000) as bigint) as at_ms, cast(floor(end_time_nano / 1000000) as bigint) as to_ms, cast(row_number() over (partition by trace_id order by start_time_nano, span_id) as int) as position from spans),
-    h as (select trace_id, arg_min(service_name, position) as service_name, min(at_ms) as from_ms, max(to_ms) as to_ms from s where position <= 500 group by 1),
-    l as (select h.trace_id, cast(floor(timestamp_nano / 1000000) as bigint) as at_ms, event_id from h join logs on logs.trace_id = h.trace_id union select h.trace_id, cast(floor(timestamp_nano / 1000000) as bigint), event_id from h join logs on logs.service_name = h.service_name and cast(floor(timestamp_nano / 1000000) as bigint) between from_ms and h.to_ms),
-    l2 as (select *, cast(row_number() over (partition by trace_id order by at_ms, event_id) as int) as position from l),
-    r as (select service_name, cast({bucket_sql('start_time_nano', 60)} / 1000000 as bigint) as at_ms, count(*) as n, cast(sum(case when status_code = 2 then 1 else 0 end) as bigint) as errors, round(quantile_cont(duration_nano, 0.95) / 1e6, 6) as p95_ms from spans where kind in (2, 5) group by 1, 2),
-    r2 as (select h.trace_id, r.*, cast(row_number() over (partition by h.trace_id order by r.at_ms) as int) as position from h join r on r.service_name = h.service_name and r.at_ms between h.from_ms - 60000 and h.to_ms + 60000)
-    select trace_id, 'span' as what, position, span_id as item, at_ms, cast(null as bigint) as n, cast(null as bigint) as errors, cast(null as double) as p95_ms from s where position <= 500 union all select trace_id, 'log', position, cast(event_id as string), at_ms, null, null, null from l2 where position <= 200 union all select trace_id, 'red', position, service_name, at_ms, n, errors, p95_ms from r2""", "spans", "logs")
 add("nearby_deployments", on("anomalies", "deployments")(lambda a, d: correlate.nearby_deployments(a, d, 3_600_000)),
     """select * from (select a.id as anomaly_id, a.service_name, d.id as deployment_id, version, deployed_at_ms, cast(row_number() over (partition by a.id order by deployed_at_ms desc, d.id) as int) as position from anomalies a join deployments d on a.service_name = d.service_name and abs(detected_at_ms - deployed_at_ms) <= 3600000) where position <= 10""", "anomalies", "deployments")
 _zone = f"select service_name, name as span_name, http_route, {bucket_sql('start_time_nano', 60)} as minute, status_code, duration_nano, cast(floor(start_time_nano / 3600000000000) as bigint) as h from spans where kind in (2, 5)"
@@ -196,25 +85,8 @@ add("rca_rows", on("anomalies", "spans", "deployments")(lambda a, s, d: correlat
     select a.id, service_name, span_name, anomaly_type, severity, detected_at_ms, coalesce(spans, '[]') as correlated_spans, coalesce(deps, '[]') as nearby_deployments from anomalies a left join c on c.id = a.id left join f on f.id = a.id""", "anomalies", "spans", "deployments")
 
 # objectives, alerts, versioned tables
-_burn = f"""{bucket_sql('start_time_nano', 60)} between {{0}} and {NOW * 10**6}"""
-add("slo_burn", on("spans", "slos")(lambda s, d: alerts.burn_rates(s, d, NOW)),
-    f""", m as (select service_name, {bucket_sql('start_time_nano', 60)} as minute, count(*) as n, sum(case when status_code = 2 then 1 else 0 end) as e, quantile_cont(duration_nano, 0.95) as p from spans where kind in (2, 5) group by 1, 2),
-    w as (select 1 as hours, 14.4e0 as above, 'page' as severity union all select 6, 6e0, 'ticket'),
-    g as (select s.service_name, slo_name, target_pct, metric_type, hours, above, severity, sum(e) as e, sum(n) as n, avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late from slos s cross join w left join m on m.service_name = s.service_name and minute between ({NOW} - hours * 3600000) * 1000000 and {NOW} * 1000000 where target_pct < 100 group by 1, 2, 3, 4, 5, 6, 7),
-    b as (select *, coalesce(case when metric_type = 'latency' then late else e / n end, 0) as bad from g) select service_name, slo_name, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate, bad / (1 - target_pct / 100) > above as alert from b""", "spans", "slos")
-add("route_alerts", on("anomalies", "routes")(lambda a, r: alerts.route_alerts(a, r)),
-    """select a.id as event_id, r.id as route_id, service_name, priority, cast(row_number() over (partition by a.id order by priority, created_at, r.id) as int) as position, slack_url <> '' as to_slack, webhook_url <> '' as to_webhook, escalation_after_min > 0 as escalates from anomalies a join routes r on enabled
-    and (match_service = '' or regexp_matches(service_name, concat('^', replace(match_service, '*', '[^/]*'), '$'))) and (match_severity = '' or match_severity = severity) and (match_anomaly_type = '' or match_anomaly_type = anomaly_type)""", "anomalies", "routes")
-_fired = lambda a: a.select(F.col("id").alias("event_id"), F.concat(F.lit("r"), F.pmod(F.floor(F.col("current_value")), F.lit(25)).cast("string")).alias("route_id"), F.col("detected_at_ms").alias("fired_at_ms"), (F.col("severity") == "critical").alias("escalated"))
-add("escalations_due", on("anomalies", "routes")(lambda a, r: alerts.escalations_due(_fired(a), r, a.filter("anomaly_type = 'traffic_drop'").select(F.col("id").alias("event_id")), NOW)),
-    f"select a.id as event_id, r.id as route_id, detected_at_ms as fired_at_ms from anomalies a join routes r on r.id = concat('r', cast(cast(floor(current_value) as bigint) % 25 as string)) where severity <> 'critical' and escalation_after_min > 0 and detected_at_ms + escalation_after_min * 60000 <= {NOW} and anomaly_type <> 'traffic_drop'", "anomalies", "routes")
-add("anomalies_list", on("anomalies")(lambda a: alerts.newest(a.filter(F.col("detected_at_ms") >= T0 + DAY), "detected_at_ms", "id", severity="critical").select("id", "service_name", "detected_at_ms")),
-    f"select id, service_name, detected_at_ms from anomalies where detected_at_ms >= {T0 + DAY} and severity = 'critical' order by detected_at_ms desc, id limit 100", "anomalies")
-add("alert_history", on("anomalies")(lambda a: alerts.newest(_fired(a).withColumn("service_name", F.lit("")), "fired_at_ms", "event_id", 100).select("event_id", "fired_at_ms")), "select id as event_id, detected_at_ms as fired_at_ms from anomalies order by detected_at_ms desc, id limit 100", "anomalies")
-add("unacknowledged", on("anomalies")(lambda a: alerts.unacknowledged(_fired(a), a.filter("severity = 'critical'").select(F.col("id").alias("event_id"))).select("event_id")), "select id as event_id from anomalies where severity <> 'critical'", "anomalies")
 add("latest_versions", lambda spark, sf: latest(spark.read.parquet(f"{sf}/orders.parquet"), ["o_custkey"], F.col("o_orderdate"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "o_totalprice"),
     "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1")
-add("soft_delete", on("routes")(lambda r: latest(alerts.soft_delete(r, "id", "r3", "created_at", F.lit(10**6).cast("bigint")), ["id"], F.col("created_at")).select("id", "enabled")), "select id, enabled and id <> 'r3' as enabled from routes", "routes")
 add("retention", on("spans")(lambda s: alerts.apply_retention(s, 10, "2024-01-25").groupBy("dt").count().select(F.col("dt").cast("string").alias("dt"), F.col("count").alias("n"))),
     "select cast(cast(make_timestamp(received_at_ms * 1000) as date) as string) as dt, count(*) as n from spans where cast(make_timestamp(received_at_ms * 1000) as date) >= date '2024-01-15' group by 1", "spans")
 add("schema_evolution", on("spans", "logs")(lambda s, l: alerts.evolve([s.select("span_id", "service_name"), l.select("span_id", "severity_text")], {"service_name": "unknown", "severity_text": "NONE"})),
@@ -227,25 +99,14 @@ _kept = f"""f as (select trace_id, bool_or(status_code = 2) as failed, coalesce(
     k as (select trace_id, case when service_name in ('svc-0', 'svc-1') then case when {_hash} < {2**63} then 'probabilistic' end when service_name = 'svc-7' then null when failed then 'error' when ms > 150000000 then 'latency' when {_hash} < {2**62} then 'probabilistic' end as reason from f)"""
 add("tail_sample", on("spans")(lambda s: sampling.tail_sample(s, SAMPLING).select("trace_id", "span_id")), f", {_kept} select trace_id, span_id from spans where trace_id in (select trace_id from k where reason is not null)", "spans")
 add("sampling_reasons", on("spans")(lambda s: sampling.sampled_traces(s, SAMPLING).select("trace_id", "reason")), f", {_kept} select trace_id, reason from k where reason is not null", "spans")
-add("adaptive_limit", on("spans")(lambda s: sampling.adaptive_limit(sampling.sampled_traces(s, sampling.Sampling(sampling.Policy(errors=True, rate=1.0))).withColumn("first_ms", F.floor(F.col("first_ms") / 3_600_000) * 1000), 1.0, 0.05).select("trace_id", "reason")))
 add("cardinality_limit", on("spans")(lambda s: sampling.limit_cardinality(s.withColumn("attributes", F.create_map(F.lit("user"), F.col("duration_nano").cast("string"), F.lit("pod"), "pod_name")), "attributes", ["start_time_nano", "span_id"], 100).select("span_id", F.element_at("attributes", "user").alias("user"), F.element_at("attributes", "pod").alias("pod"))),
     f""", v as (select service_name, duration_nano as d, row_number() over (partition by service_name order by min((start_time_nano, span_id)), cast(duration_nano as string)) as r from spans group by service_name, duration_nano)
     select span_id, case when r <= 100 then cast(duration_nano as string) else '{sampling.HIGH_CARDINALITY}' end as user, pod_name as pod from spans s join v on v.service_name = s.service_name and v.d = s.duration_nano""", "spans")
 
-# published events and user SQL
-add("span_events", on("spans")(lambda s: sinks.span_events(s).select("key", F.get_json_object("value", "$.span_id").alias("span_id"), F.get_json_object("value", "$.span_name").alias("span_name"), F.get_json_object("value", "$.duration_nano").alias("duration_nano"))), "select service_name as key, span_id, name as span_name, cast(duration_nano as string) as duration_nano from spans", "spans")
-add("metric_events", on("histograms")(lambda h: sinks.metric_events(h.select("service_name", F.col("metric_name").alias("name"), F.lit("HISTOGRAM").alias("type"), F.lit(0.0).alias("value"), F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("total_count")).alias("count"), F.col("total_sum").alias("sum"), "timestamp_nano")).select("key", F.round(F.get_json_object("value", "$.value").cast("double"), 4).alias("value"), F.get_json_object("value", "$.timestamp_ms").cast("long").alias("timestamp_ms"))),
-    "select concat(service_name, '.', metric_name) as key, round(case when event_id % 5 = 0 then total_sum else total_sum / total_count end, 4) as value, cast(floor(timestamp_nano / 1000000) as bigint) as timestamp_ms from histograms", "histograms")
-add("log_events", on("logs")(lambda l: sinks.log_events(l).select("key", F.get_json_object("value", "$.body").alias("body"), F.get_json_object("value", "$.severity_number").cast("int").alias("severity_number"))), "select service_name as key, body, severity_number from logs", "logs")
-add("deploy_events", on("deployments")(lambda d: sinks.deploy_events(d.withColumn("deployed_at_ms", F.when(F.length("id") % 2 == 0, F.lit(0)).otherwise(F.col("deployed_at_ms"))).withColumn("version", F.when(F.col("version") == "v7", "").otherwise(F.col("version"))), NOW).select("id", "version", "environment", "deployed_at_ms")),
-    f"select id, version, environment, case when length(id) % 2 = 0 then {NOW} else deployed_at_ms end as deployed_at_ms from deployments where version <> 'v7'", "deployments")
-add("user_sql", lambda spark, sf: sql(spark, "select service_name, count(*) as n, max(received_at_ms) as updated_at from {spans} group by service_name", spans=view(spark, sf, "spans")), "select service_name, count(*) as n, max(received_at_ms) as updated_at from spans group by service_name", "spans")
-add("trace_seconds", on("spans")(lambda s: s.groupBy(bucket("start_time_nano", 3600).alias("hour_nano")).agg(F.countDistinct("trace_id").alias("n"))), f"select {bucket_sql('start_time_nano', 3600)} as hour_nano, count(distinct trace_id) as n from spans group by 1", "spans")
-
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v.replace(") ,", "),") for k, v in _oracles.items()}
+    return dict(ORACLES)

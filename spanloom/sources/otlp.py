@@ -100,10 +100,21 @@ def otlp_logs(df: DataFrame, column: str = "value", received_at_ms: Column | Non
                     _bag(F.col("l.attributes")).alias("attributes"), _lower(F.col("l.traceId")).alias("trace_id"), _lower(F.col("l.spanId")).alias("span_id"), "service_name", "scope_name", _received(received_at_ms))
 
 
+#: Bytes of the longest line that is read (fixed value).
+MOST_BYTES = 4 << 20
+
+
 def read_signal_jsonl(spark: SparkSession, path: str, signal: str, stream: bool = False) -> DataFrame:
-    """Records of line-wise JSON files of a signal; lines that don't parse are left out."""
+    """Records of line-wise JSON files of a signal; lines that don't parse, or are longer than MOST_BYTES, are left out."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(RECORDS[signal]).option("mode", "DROPMALFORMED").json(path)
+    return _records(reader.text(path), RECORDS[signal]).select("r.*")
+
+
+def _records(lines: DataFrame, schema: str, name: str = "r") -> DataFrame:
+    """lines with the record of each ``value`` that has one."""
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.filter(F.octet_length("value") <= MOST_BYTES).withColumn(name, parsed).filter(F.col(name).isNotNull() & F.col(name)["_bad"].isNull())
+    return rows.withColumn(name, F.col(name).dropFields("_bad"))
 
 
 def write_signal_jsonl(df: DataFrame, path: str, received: str = "receivedAtMs") -> None:
@@ -112,18 +123,19 @@ def write_signal_jsonl(df: DataFrame, path: str, received: str = "receivedAtMs")
 
 
 def write_dlq(df: DataFrame, path: str, reason: str, day: str, signal: str) -> None:
-    """Rows of a failed batch, a line for each task's share: its reason and its rows."""
-    lines = df.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.struct(F.lit(reason).alias("error_reason"), F.collect_list(F.struct(*df.columns)).alias("batch"))).alias("value"))
-    lines.select("value").write.mode("append").text(f"{path}/{signal}-{day}")
+    """Rows of a failed batch as lines with the reason and a batch of one row: nothing is gathered, so any batch can be written."""
+    line = F.to_json(F.struct(F.lit(reason).alias("error_reason"), F.array(F.struct(*df.columns)).alias("batch")))
+    df.select(line.alias("value")).write.mode("append").text(f"{path}/{signal}-{day}")
 
 
 def read_dlq(spark: SparkSession, path: str, signal: str, today: str) -> DataFrame:
     """Rows of failed batches of days before today, from lines with a batch and from lines with one row."""
     schema = RECORDS[signal]
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("day", F.regexp_extract(F.input_file_name(), rf"/{signal}-(\d{{4}}-\d{{2}}-\d{{2}})[^/]*(?:/|$)", 1))
+    day = F.regexp_extract(F.input_file_name(), rf"/{signal}-(\d{{4}}-\d{{2}}-\d{{2}})[^/]*(?:/|$)", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("day", day)
     lines = lines.filter((F.col("day") != "") & (F.col("day") != today))
     struct = "struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in _columns(schema)) + ">"
-    both = lines.select(F.from_json("value", f"error_reason string, batch array<{struct}>").alias("b"), F.from_json("value", schema).alias("r"))
+    both = _records(_records(lines, f"error_reason string, batch array<{struct}>", "b"), schema)
     batch = both.filter("b.batch is not null").select(F.explode("b.batch").alias("r")).select("r.*")
     bare = both.filter("b.batch is null and b.error_reason is null").select("r.*").dropna("all")
     return batch.unionByName(bare)

@@ -4,22 +4,47 @@ from __future__ import annotations
 
 import re
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words that a statement may not have outside quotes.
 FORBIDDEN = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "ATTACH", "DETACH", "RENAME", "GRANT", "REVOKE")
-_quoted = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.S)
+#: Functions that call into the JVM.
+CALLS = ("REFLECT", "JAVA_METHOD", "TRY_REFLECT")
+_quoted = re.compile(r"\b[rR](?:'[^']*'|\"[^\"]*\")|'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+_plans = "org.apache.spark.sql.catalyst.plans.logical."
 
 
 def check_select(text: str) -> None:
-    """Raises ValueError unless the text is one SELECT (or WITH ... SELECT) without a forbidden word."""
-    words = re.findall(r"\w+", _quoted.sub(" ", text).upper())
+    """Raises ValueError unless the text is one SELECT (or WITH ... SELECT) without a forbidden word or call."""
+    bare = _quoted.sub(" ", text).upper()
+    words = re.findall(r"\w+", re.sub(r"`[^`]*`", " ", bare))
     if not words or words[0] not in ("SELECT", "WITH"):
         raise ValueError("only SELECT is allowed")
     if bad := next((w for w in words if w in FORBIDDEN), None):
         raise ValueError(f"{bad} is not allowed")
+    if bad := next((w for w in re.findall(r"\w+", bare) if w in CALLS), None):
+        raise ValueError(f"{bad} is not allowed")
+
+
+def check_plan(spark: SparkSession, text: str) -> None:
+    """Raises ValueError if Spark would parse the text as anything that is more than a query, at any level."""
+    plans = [spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\{(\w+)\}", r"\1", text))]
+    while plans:
+        plan = plans.pop()
+        if any(is_instance_of(spark._sc._gateway, plan, _plans + kind) for kind in ("Command", "ParsedStatement")):
+            raise ValueError(f"{plan.nodeName()} is not allowed")
+        for some in (plan.children(), plan.innerChildren()):
+            plans += [x for i in range(some.size()) if is_instance_of(spark._sc._gateway, x := some.apply(i), _plans + "LogicalPlan")]
 
 
 def sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """The result of a SELECT over ``tables``, named in braces, and the session's catalog; paths aren't tables."""
     check_select(text)
-    return spark.sql(text, **tables)
+    check_plan(spark, text)
+    files = spark.conf.get("spark.sql.runSQLOnFiles")
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    try:
+        return spark.sql(text, **tables)
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", files)

@@ -1,7 +1,7 @@
 """Telemetry tables derived from the event and order tables, and their schemas.
 
-The expressions are the same for Spark and for the SQL that checks it; only two functions differ,
-written US(x) (microseconds of a timestamp) and ARR(...) (an array).
+The expressions are the same for Spark and for the SQL that checks it; only three functions differ,
+written US(x) (microseconds of a timestamp), ARR(...) (an array) and NONE(type) (an empty one).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ _five, _third = "cast(floor(event_id/5) as bigint)", "cast(floor(event_id/3) as
 _received = "cast(floor(US(ts)/1000) as bigint) + 250"
 _service = "concat('svc-', cast(user_id%8 as string))"
 _duration = "cast(round(value*100) as bigint)*10000"
-_exception = "case when event_type = 'error' then concat('Exc', cast(event_id%4 as string)) else '' end"
+_exception = "case when event_type = 'error' and event_id%6 <> 1 then concat('Exc', cast(event_id%4 as string)) else '' end"
 _span = "substr(md5(concat('s', cast(event_id as string))), 1, 16)"
 _trace = f"md5(cast({_five} as string))"
 
@@ -32,13 +32,21 @@ SPANS = {
     "status_code": "case when event_type = 'error' then 2 else 1 end",
     "status_message": "case when event_type = 'error' and event_id%3 <> 0 then concat('failed ', cast(event_id%4 as string)) else '' end",
     "service_name": _service,
+    "scope_name": "case when event_id%3 = 0 then 'web' else '' end",
     "received_at_ms": f"{_received} + case when event_id%50 = 0 then 86400000 else 0 end",
     "http_route": "concat('/api/', event_type)",
+    "http_status_code": "cast(case when event_type = 'error' then 500 + event_id%4 when event_id%7 = 0 then 0 else 200 end as int)",
     "peer_service": f"case when {_third}%5 + 1 = 3 and event_id%4 <> 0 then concat('svc-', cast((user_id+1)%8 as string)) else '' end",
     "db_system": f"case when {_third}%5 + 1 = 3 and event_id%2 = 0 then 'mysql' else '' end",
+    "db_name": f"case when {_third}%5 + 1 = 3 and event_id%4 = 0 then 'shop' else '' end",
+    "db_operation": f"case when {_third}%5 + 1 = 3 and event_id%2 = 0 then 'SELECT' else '' end",
+    "db_statement": f"case when {_third}%5 + 1 = 3 and event_id%2 = 0 then concat('select ', event_type) else '' end",
     "exception_type": _exception,
-    "exception_message": "case when event_type = 'error' then concat('user group ', cast(user_id%3 as string)) else '' end",
-    "pod_name": "concat('pod-', cast(user_id%5 as string))",
+    "exception_message": "case when event_type = 'error' and event_id%9 <> 2 then concat('user group ', cast(user_id%3 as string)) else '' end",
+    "exception_stacktrace": "case when event_type = 'error' and event_id%5 = 3 then concat('at line ', cast(event_id%50 as string)) else '' end",
+    "pod_name": "case when event_id%4 <> 3 then concat('pod-', cast(user_id%5 as string)) else '' end",
+    "node_name": "case when event_id%4 <> 1 then concat('node-', cast(user_id%3 as string)) else '' end",
+    "host_name": "case when event_id%8 = 7 then concat('host-', cast(user_id%3 as string)) else '' end",
 }
 LOGS = {
     "event_id": "event_id",
@@ -53,10 +61,15 @@ LOGS = {
     "logger_name": "case when event_id%9 = 0 then '' else concat('com.acme.', event_type) end",
     "received_at_ms": _received,
 }
+_names = (
+    "jvm.memory.heap.used", "jvm.memory.heap.committed", "jvm.memory.heap.max", "jvm.thread.count", "jvm.threads.count", "process.runtime.jvm.threads.count", "jvm.thread.peak", "jvm.thread.daemon.count",
+    "jvm.process.cpu.utilization", "jvm.cpu.utilization", "system.cpu.utilization", "process.cpu.time", "runtime.jvm.memory.used", "runtime.jvm.classes", "http.requests", "db.client.connections.usage",
+)
 METRICS = {
     "event_id": "event_id",
-    "name": "case event_id%4 when 0 then 'jvm.memory.heap.used' when 1 then 'process.cpu.time' when 2 then 'system.load' else 'http.requests' end",
+    "name": f"case event_id%{len(_names)} " + " ".join(f"when {k} then '{n}'" for k, n in enumerate(_names)) + " end",
     "type": "case when event_id%4 = 3 then 'SUM' else 'GAUGE' end",
+    "unit": "case when event_id%4 = 3 then 'By' else '' end",
     "value": "value",
     "service_name": _service,
     "timestamp_nano": "US(ts)*1000",
@@ -64,13 +77,16 @@ METRICS = {
 }
 _edges = (5, 10, 25, 50, 100)
 _counts = [f"case when {f'value > {a} and ' if a else ''}{f'value <= {b}' if b else 'true'} then 1 else 0 end{more}" for a, b, more in zip((0, *_edges), (*_edges, 0), ("", " + event_id%2", "", " + event_id%3", "", ""))]
+#: Points without buckets: all of one metric, and some of the others.
+_bare = "event_id%7 = 1 or event_id%5 = 4"
 HISTOGRAMS = {
     "event_id": "event_id",
     "service_name": _service,
-    "metric_name": "'http.server.duration'",
+    "metric_name": "case event_id%7 when 0 then 'jvm.gc.duration' when 1 then 'queue.time' else 'http.server.duration' end",
+    "gc_name": "case when event_id%7 = 0 and event_id%3 <> 0 then concat('G', cast(event_id%2 as string)) else '' end",
     "timestamp_nano": "US(ts)*1000",
-    "bounds": "ARR(5.0e0, 10.0e0, 25.0e0, 50.0e0, 100.0e0)",
-    "bucket_counts": "ARR(" + ", ".join(f"cast({c} as bigint)" for c in _counts) + ")",
+    "bounds": f"case when {_bare} then NONE(double) else ARR(5.0e0, 10.0e0, 25.0e0, 50.0e0, 100.0e0) end",
+    "bucket_counts": f"case when {_bare} then NONE(bigint) else ARR(" + ", ".join(f"cast({c} as bigint)" for c in _counts) + ") end",
     "total_count": "cast(1 + event_id%2 + event_id%3 as bigint)",
     "total_sum": "value",
     "received_at_ms": _received,
@@ -78,8 +94,9 @@ HISTOGRAMS = {
 DEPLOYMENTS = {
     "id": "concat('d', cast(o_orderkey as string))",
     "service_name": "concat('svc-', cast(o_custkey%8 as string))",
-    "version": "concat('v', cast(o_orderkey%100 as string))",
-    "environment": "'production'",
+    "version": "case when o_orderkey%100 = 7 then '' else concat('v', cast(o_orderkey%100 as string)) end",
+    "environment": "case when o_orderkey%3 = 0 then '' when o_orderkey%3 = 1 then 'staging' else 'production' end",
+    "deployed_by": "case when o_orderkey%4 = 0 then '' else concat('user-', cast(o_custkey%9 as string)) end",
     "deployed_at_ms": "1704067200000 + (o_orderkey*7919%2592000)*1000",
 }
 POD_METRICS = {
@@ -128,7 +145,8 @@ RETENTION_DAYS = {
 
 def _macro(text: str, us: str, arr: str) -> str:
     text = re.sub(r"US\((\w+)\)", lambda m: us.format(m[1]), text)
-    return re.sub(r"ARR\(", arr, text)
+    text = re.sub(r"NONE\((\w+)\)", r"cast(array() as array<\1>)" if arr == "array(" else r"cast([] as \1[])", text)
+    return text.replace("ARR(", arr)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -138,17 +156,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = df.filter(where) if where else df
     out = df.selectExpr(*[f"{_macro(e, 'unix_micros(cast({} as timestamp))', 'array(')} as {c}" for c, e in columns.items()])
     if name == "spans":
-        out = out.withColumn("attributes", F.create_map(F.lit("k8s.pod.name"), F.col("pod_name"), F.lit("db.statement"), F.concat(F.lit("select "), F.col("name"))))
+        bag = {"k8s.pod.name": "pod_name", "k8s.node.name": "node_name", "host.name": "host_name", "db.statement": "db_statement"}
+        out = out.withColumn("attributes", F.map_filter(F.create_map(*[F.lit(k) if i == 0 else F.col(c) for k, c in bag.items() for i in (0, 1)]), lambda _, v: v != ""))
         out = out.withColumn("dt", F.to_date(F.timestamp_millis("received_at_ms")))
+    if name == "histograms":
+        out = out.withColumn("attributes", F.create_map(F.lit("jvm.gc.name"), "gc_name"))
     return out
 
 
 def view_sql(name: str) -> str:
     """The same table as SQL for the checking engine (without the attribute map)."""
     columns, base, where = VIEWS[name]
-    body = ", ".join(f"{_arr(_macro(e, 'epoch_us({})', 'ARR('))} as {c}" for c, e in columns.items())
+    body = ", ".join(f"{_macro(e, 'epoch_us({})', 'list_value(')} as {c}" for c, e in columns.items())
     return f"select {body} from {base}" + (f" where {where}" if where else "")
-
-
-def _arr(text: str) -> str:
-    return f"[{text[4:-1]}]" if text.startswith("ARR(") else text

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import logs, sampling, traces
+from spanloom.operators import logs, metrics, sampling, traces
 from spanloom.sources.telemetry import view
 from spanloom.streaming import jobs
 
@@ -25,8 +25,9 @@ def test_rollups_by_micro_batch_equal_the_batch(spark, parts, tmp_path):
     path, spans = parts
     stream = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(path)
     rollups = {"topology": traces.topology_rollup, "red": lambda d: traces.red_rollup(d, "1h")}
-    q = stream.writeStream.foreachBatch(jobs.rollup_sink(str(tmp_path / "out"), rollups)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = jobs.start_rollups(stream, str(tmp_path / "out"), rollups, str(tmp_path / "check"), "0 seconds").start()
+    q.processAllAvailable()
+    q.stop()
     assert len(list((tmp_path / "out" / "topology").glob("batch=*"))) == 4
     got = traces.topology(spark.read.parquet(str(tmp_path / "out/topology")))
     assert sorted(got.collect()) == sorted(traces.topology(traces.topology_rollup(spans)).collect())
@@ -36,13 +37,34 @@ def test_rollups_by_micro_batch_equal_the_batch(spark, parts, tmp_path):
     assert len(rows) == len(exact) and all(exact[tuple(r)[:4]].rps == r.rps and exact[tuple(r)[:4]].error_count == r.error_count for r in rows)
 
 
+def test_other_rollups_by_micro_batch(spark, tmp_path):
+    """Histograms, log volume, error logs, slow queries and error documents: partial rows read as one equal the batch."""
+    h, l, s = (view(spark, SF, n) for n in ("histograms", "logs", "spans"))
+    slow = lambda d: traces.slow_queries(d, threshold_ms=0, limit=None)
+    jobs_of = {
+        "histograms": (h, lambda d: metrics.histogram_rollup(d, "5m"), lambda r: metrics.histograms(r, limit=None)),
+        "volume": (l, logs.log_volume_rollup, lambda r: logs.log_volume(l, r, limit=None)),
+        "errors": (l, lambda d: logs.error_log_rollup(d, "1h"), lambda r: logs.error_logs(r, limit=None)),
+        "slow": (s.drop("dt"), slow, lambda r: r),
+        "documents": (l, logs.error_documents_from_logs, lambda r: r),
+    }
+    for name, (df, rollup, read) in jobs_of.items():
+        df.repartition(3, F.xxhash64("event_id")).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        q = stream.writeStream.foreachBatch(jobs.rollup_sink(str(tmp_path / "out"), {name: rollup})).option("checkpointLocation", str(tmp_path / f"check-{name}")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = read(spark.read.parquet(str(tmp_path / "out" / name)).drop("batch"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, read(rollup(df)).select(got.columns).collect()))
+
+
 def test_windows_and_latest(spark, parts, tmp_path):
     path, spans = parts
     stream = spark.readStream.schema(spans.schema).parquet(path).withColumn("at", F.timestamp_micros(F.floor(F.col("start_time_nano") / 1000)))
-    for name, df in (("windows", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days")), ("last", jobs.latest_values(stream, ["service_name"], "duration_nano", F.struct("start_time_nano", "span_id")))):
+    for name, df in (("windows", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days")), ("sliding", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days", "20 minutes")), ("last", jobs.latest_values(stream, ["service_name"], "duration_nano", F.struct("start_time_nano", "span_id")))):
         q = df.writeStream.format("memory").queryName(name).outputMode("update" if name == "last" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spans.count()
+    assert spark.table("sliding").agg(F.sum("n")).first()[0] == 3 * spans.count()
     want = {r[0]: r[1] for r in spans.groupBy("service_name").agg(F.max_by("duration_nano", F.struct("start_time_nano", "span_id"))).collect()}
     assert {r.service_name: r.duration_nano for r in spark.table("last").collect()} == want
 

@@ -5,39 +5,48 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.core import choose_error_tier, choose_tier, glob_regex, histogram_percentile, leading_uint16, severity_label
-from spanloom.operators import alerts, sampling, traces
-from spanloom.plans.tables import cut
-from spanloom.sources import otlp, sinks
-from spanloom.sources.sql import check_select
+from spanloom.functions.core import choose_error_tier, choose_tier, glob_regex, histogram_percentiles, leading_uint16, severity_label
+from spanloom.operators import alerts, correlate, metrics, sampling, traces
+from spanloom.sources import otlp, retention, sinks
+from spanloom.sources.sql import check_plan, check_select, sql
 from spanloom.sources.telemetry import view
 
 
 def test_scalars(spark):
     df = spark.createDataFrame([(0,), (1,), (5,), (9,), (13,), (17,), (21,)], "n int")
     assert [r[0] for r in df.select(severity_label(F.col("n"))).collect()] == ["UNSPECIFIED", "TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
-    h = spark.createDataFrame([([1, 2, 5, 10, 20, 5], [5.0, 10.0, 25.0, 50.0, 100.0]), ([], []), ([0, 0], [1.0])], "c array<long>, b array<double>")
-    got = h.select(*[histogram_percentile(p, F.col("c"), F.col("b")) for p in (50, 95, 99)]).collect()
-    assert tuple(got[0]) == (58.75, 100.0, 100.0) and tuple(got[1]) == tuple(got[2]) == (0.0, 0.0, 0.0)
+    rows = [([4, 0, 6, 10], [2.0, 4.0, 8.0]), ([], []), ([0, 0], [1.0]), (None, None), ([3], []), ([10, 10], [4.0])]
+    h = spark.createDataFrame(rows, "bucket_counts array<long>, bounds array<double>")
+    got = [tuple(r)[2:] for r in histogram_percentiles(h, {"a": 20, "b": 50, "c": 99}).collect()]
+    assert got == [(2.0, 8.0, 8.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.6, 4.0, 4.0)]
     t = spark.createDataFrame([("200",), (" 404 x",), ("",), ("x",), ("65537",), ("-1",)], "t string")
     assert [r[0] for r in t.select(leading_uint16(F.col("t"))).collect()] == [200, 404, 0, 0, 1, 65535]
 
 
 def test_tiers_and_globs():
     h = 3_600_000
-    assert [choose_tier(0, x) for x in (3 * h, 3 * h + 1, 24 * h, 24 * h + 1)] == ["1m", "5m", "5m", "1h"] and choose_tier(None, 5) == "1m" and choose_error_tier(0, 24 * h) == "1h"
+    assert [choose_tier(7, 7 + x) for x in (3 * h, 3 * h + 1, 24 * h, 24 * h + 1)] == ["1m", "5m", "5m", "1h"] and choose_tier(None, 5) == choose_tier(0, 99 * h) == "1m" and choose_error_tier(1, 1 + 24 * h) == "1h"
     import re
 
     assert re.match(glob_regex("/actuator/*"), "/actuator/info") and not re.match(glob_regex("/actuator/*"), "/actuator/a/b")
     assert re.match(glob_regex("svc-[0-3]"), "svc-2") and glob_regex("[a") is None and glob_regex("a\\") is None and re.match(glob_regex("a\\*"), "a*")
 
 
-def test_sql_guard():
+def test_sql_guard(spark):
     check_select("select created_at, updated_at from t where x = 'drop it'")
     check_select("with a as (select 1) select * from a")
-    for bad in ("", "drop table t", "select 1; delete from t", "insert into t select 1"):
+    assert sql(spark, "with a as (select id from {t}) select count(*) as n from a where id in (select id from {t})", t=spark.range(3)).first().n == 3
+    bad = ["", "drop table t", "select 1; delete from t", "insert into t select 1", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select `reflect`('java.lang.System', 'lineSeparator')"]
+    bad += [r"with x as (select r'\' as c) insert into t select ' a'", "with x as (select 1 as c) from x insert into t select c"]
+    for text in bad:
         with pytest.raises(ValueError):
-            check_select(bad)
+            check_select(text)
+    for text in (r"with x as (select r'\' as c) insert into t select ' a'", "cache table t", "set a = 1", "explain select 1"):
+        with pytest.raises(ValueError):
+            check_plan(spark, text)
+    with pytest.raises(Exception, match="parquet|NOT_FOUND|UNSUPPORTED"):
+        sql(spark, "select * from parquet.`/root/testdata/sf0.001/nation.parquet`")
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
 def test_trace_hash_and_rates(spark):
@@ -49,49 +58,104 @@ def test_trace_hash_and_rates(spark):
 
 
 def test_adaptive_rates_fold_in_time_order(spark):
-    rows = [(f"t{s}-{k}", s * 1000 + k, "probabilistic") for s, n in ((0, 10), (1, 40), (2, 5)) for k in range(n)]
+    offered = [(0, 10), (1, 40), (2, 5), (9, 300), (10, 300), (11, 2), (12, 1), (30, 900), (31, 7)]
+    rows = [(f"t{s}-{k}", s * 1000 + k, "probabilistic") for s, n in offered for k in range(n)]
     df = spark.createDataFrame(rows, "trace_id string, first_ms long, reason string")
-    ewma, rate, want = -1.0, 1.0, {}
-    for s, n in ((0, 10), (1, 40), (2, 5)):
-        want[s] = rate
-        ewma = n if ewma < 0 else 0.3 * n + 0.7 * ewma
-        rate = min(max(rate * 10 / ewma, 0.05), 1.0)
-    assert {r.second: round(r.rate, 9) for r in sampling.adaptive_rates(df, 10, 0.05).collect()} == {k: round(v, 9) for k, v in want.items()}
+    ewma, rate, before, want = -1.0, 0.05, None, {}
+    for s, n in offered:  # begins at the least rate; then what was offered, over the time since
+        if before:
+            seen = before[1] / (s - before[0])
+            ewma = seen if ewma < 0 else 0.3 * seen + 0.7 * ewma
+            rate = min(max(rate * 10 / ewma, 0.05), 1.0)
+        want[s], before = rate, (s, n)
+    for block in (86_400, 10, 2, 1):  # the blocks that tasks fold apart change nothing, nor does midnight
+        assert {r.tick: round(r.rate, 9) for r in sampling.adaptive_rates(df, 10, 0.05, block=block).collect()} == {k: round(v, 9) for k, v in want.items()}
     assert sampling.adaptive_limit(df.withColumn("reason", F.lit("error")), 1, 0.05).count() == len(rows)
+    assert sampling.adaptive_limit(df.filter("first_ms < 1000"), 10, 0.2).count() == 2 and sampling.adaptive_limit(df.limit(0), 10).count() == 0
+    many = spark.range(200_000).select(F.col("id").cast("string").alias("trace_id"), (F.col("id") * 1000).alias("first_ms"))
+    assert sampling.adaptive_rates(many, 0.5).count() == 200_000
+
+
+SPAN = "trace_id string, span_id string, parent_span_id string, name string, service_name string, status_code int, start_time_nano long, end_time_nano long, kind int, exception_type string, exception_message string, http_status_code int"
 
 
 def test_waterfall(spark):
     ms = 1_000_000
     rows = [("t", "r", "", "root", 0, 100), ("t", "a", "r", "A", 10, 60), ("t", "b", "r", "B", 50, 120), ("t", "c", "b", "C", 60, 120), ("t", "d", "x", "D", 70, 80), ("t", "e", "f", "E", 1, 2), ("t", "f", "e", "F", 1, 2)]
-    df = spark.createDataFrame([(t, s, p, n, "svc", 1, a * ms, b * ms) for t, s, p, n, a, b in rows], "trace_id string, span_id string, parent_span_id string, name string, service_name string, status_code int, start_time_nano long, end_time_nano long")
-    got = traces.trace_waterfall(df, cut).orderBy("position").collect()
+    rows += [("deep", f"n{k}", f"n{k - 1}" if k else "", f"n{k}", k, 2000 - k) for k in range(700)]
+    df = spark.createDataFrame([(t, s, p, n, "svc", 1, a * ms, b * ms, 1, "", "", 0) for t, s, p, n, a, b in rows], SPAN)
+    both = traces.trace_waterfall(df)
+    deep = both.filter("trace_id = 'deep'").orderBy("position").collect()  # a chain longer than the limit
+    assert [(r.depth, r.position, r.subtree_end_ms, r.critical) for r in deep] == [(k, k + 1, 2000 - k, k == 0) for k in range(500)]
+    got = both.filter("trace_id = 't'").orderBy("position").collect()
     assert [(r.span_name, r.depth, r.critical) for r in got] == [("root", 0, True), ("A", 1, False), ("B", 1, True), ("C", 2, True), ("D", 0, False)]
     assert got[0].total_ms == 120 and got[0].span_count == 7 and got[3].offset_ms == 60
 
 
+def test_waterfall_of_many_batches(spark):
+    spans = view(spark, "/root/testdata/sf0.001", "spans")
+    want = sorted(map(str, traces.trace_waterfall(spans).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # traces go on from one batch to the next
+    try:
+        assert sorted(map(str, traces.trace_waterfall(spans).collect())) == want and want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_trace_context_of_a_trace_with_a_wrong_clock(spark):
+    ms, now = 1_000_000, 1_700_000_000_000
+    rows = [("bad", "a", "", "root", "svc", 1, 0, now * ms, 2, "", "", 0), ("good", "b", "", "root", "svc", 2, (now - 5) * ms, now * ms, 2, "", "", 0), ("back", "c", "", "root", "svc", 1, now * ms, 0, 2, "", "", 0)]
+    spans = spark.createDataFrame(rows, SPAN).withColumn("duration_nano", F.col("end_time_nano") - F.col("start_time_nano"))
+    logs = spark.range(3000).select(F.col("id").alias("event_id"), F.lit("").alias("trace_id"), F.lit("svc").alias("service_name"), ((F.lit(now) - F.col("id") * 30_000) * ms).alias("timestamp_nano"), F.lit("INFO").alias("severity_text"), F.lit("").alias("exception_type"), F.lit("x").alias("body"))
+    got = correlate.trace_context(spans, logs).collect()
+    named = lambda t, what: sorted((r.position, r.item) for r in got if r.trace_id == t and r.what == what)
+    assert named("bad", "log") == [(k + 1, str(2999 - k)) for k in range(200)] and named("good", "log") == [(1, "0")] == named("back", "log")
+    assert len(named("bad", "red")) == 2 and [r.duration_ms for r in got if r.trace_id == "back" and r.what == "span"] == [0]
+
+
+def test_histograms_merge_on_reading(spark):
+    rows = [("a", "m", 1, [1, 2], [5.0], 3, 9.0), ("a", "m", 2, [], [], 2, 1.0), ("b", "m", 3, [], [], 4, 8.0), ("a", "m", 4, [0, 1, 7], [5.0, 6.0], 8, 2.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, service_name string, metric_name string, timestamp_nano long, bucket_counts array<long>, bounds array<double>, total_count long, total_sum double")
+    one = metrics.histograms(metrics.histogram_rollup(df, "1m")).collect()
+    parts = [metrics.histogram_rollup(df.filter(f"event_id % 3 = {k}"), "1m") for k in range(3)]
+    assert sorted(metrics.histograms(parts[0].union(parts[1]).union(parts[2])).collect()) == sorted(one)
+    assert {(r.service_name, r.total_count, r.total_sum, r.average) for r in one} == {("a", 13, 12.0, round(12 / 13, 7)), ("b", 4, 8.0, 2.0)}
+    whole = {r.service_name: (r.bucket_counts, r.bounds) for r in metrics.histogram_rollup(df, "1m").collect()}
+    assert whole == {"a": ([1, 3, 7], [5.0]), "b": ([], [])}
+
+
 def test_burn_rate(spark):
     now, minute = 1_700_000_000_000 // 60_000 * 60_000, 60_000_000_000
     rows = [("s", "op", 2, now * 1_000_000 - k % 50 * minute, 2 if k < 2 else 1, 5_000_000, "/") for k in range(100)] + [("s", "op", 2, now * 1_000_000 - (61 + k % 200) * minute, 1, 5_000_000, "/") for k in range(900)]
     spans = spark.createDataFrame(rows, "service_name string, name string, kind int, start_time_nano long, status_code int, duration_nano long, http_route string")
-    slo = spark.createDataFrame([("s", "x", 99.9, "error_rate", 0.0), ("s", "y", 100.0, "error_rate", 0.0), ("none", "z", 99.0, "latency", 1.0)], "service_name string, slo_name string, target_pct double, metric_type string, threshold_ms double")
-    got = {(r.slo_name, r.hours): (r.burn_rate, r.alert) for r in alerts.burn_rates(spans, slo, now).collect()}
-    assert got == {("x", 1): (20.0, True), ("x", 6): (2.0, False), ("z", 1): (0.0, False), ("z", 6): (0.0, False)}
+    slo = [("s", "x", 50.0, "error_rate", 0.0, 1), ("s", "x", 99.9, "error_rate", 0.0, 2), ("s", "y", 100.0, "error_rate", 0.0, 1), ("none", "z", 99.0, "latency_p95", 1.0, 1)]
+    slo += [("s", "slow", 90.0, "latency_p95", 4.0, 1), ("s", "free", 90.0, "latency_p95", 0.0, 1), ("s", "what", 90.0, "latency", 4.0, 1)]
+    slo = spark.createDataFrame(slo, "service_name string, slo_name string, target_pct double, metric_type string, threshold_ms double, updated_at long")
+    rates = alerts.burn_rates(spans, slo, now)
+    got = {(r.slo_name, r.hours): (r.burn_rate, r.alert) for r in rates.collect()}
+    nothing = {(n, h): (0.0, False) for n in ("z", "free") for h in (1, 6)}
+    assert got == nothing | {("x", 1): (20.0, True), ("x", 6): (2.0, False), ("slow", 1): (10.0, False), ("slow", 6): (10.0, True)}
+    assert [(r.slo_name, r.window, r.severity) for r in alerts.burn_alerts(rates, now).collect()] == [("slow", "6h", "ticket"), ("x", "1h", "page")]
 
 
 def test_cardinality(spark):
     rows = [(k, "s", {"k": v, "i": str(k)}, {"k": "string", "i": "int"}) for k, v in enumerate("abcacd")]
     df = spark.createDataFrame(rows, "at int, service_name string, attributes map<string,string>, types map<string,string>")
-    got = sampling.limit_cardinality(df, "attributes", ["at"], 2, types="types").orderBy("at").collect()
     x = sampling.HIGH_CARDINALITY
-    assert [r.attributes["k"] for r in got] == ["a", "b", x, "a", x, x] and [r.attributes["i"] for r in got] == list("012345")
+    for sent in (sampling.SENT, 0):  # sent to all tasks, or joined by an exchange
+        got = sampling.limit_cardinality(df, "attributes", ["at"], 2, types="types", sent=sent).orderBy("at").collect()
+        assert [r.attributes["k"] for r in got] == ["a", "b", x, "a", x, x] and [r.attributes["i"] for r in got] == list("012345")
 
 
 def test_versions(spark):
     routes = spark.createDataFrame([("r1", True, 1, "svc-*"), ("r2", True, 2, "")], "id string, enabled boolean, created_at long, match_service string")
     gone = alerts.latest(alerts.soft_delete(routes, "id", "r1", "created_at", F.lit(9).cast("long")), ["id"], F.col("created_at"))
     assert {r.id: r.enabled for r in gone.collect()} == {"r1": False, "r2": True}
-    more = alerts.upsert(routes, spark.createDataFrame([("r3", 5, "")], "id string, created_at long, match_service string"), alerts.ROUTE_DEFAULTS)
+    more = alerts.upsert(routes, spark.createDataFrame([("r3", 5, "")], "id string, created_at long, match_service string"), alerts.DEFAULTS["routes"])
     assert {r.id: r.enabled for r in more.collect()} == {"r1": True, "r2": True, "r3": True}
+    slo = alerts.upsert(spark.createDataFrame([], "slo_name string, metric_type string, window_hours int"), spark.createDataFrame([("x", ""), ("y", "latency_p95")], "slo_name string, metric_type string"), alerts.DEFAULTS["slos"])
+    assert sorted(map(tuple, slo.collect())) == [("x", "error_rate", 720), ("y", "latency_p95", 720)]
     reports = spark.createDataFrame([("a", False, ""), ("b", False, "")], "id string, resolved boolean, feedback string")
     assert {r.id: (r.resolved, r.feedback) for r in alerts.update_feedback(reports, "a", True, "ok").collect()} == {"a": (True, "ok"), "b": (False, "")}
     acks = alerts.acknowledge(spark.createDataFrame([], "event_id string, acked_at_ms long"), "e1", 5)
@@ -116,15 +180,15 @@ def test_otlp(spark):
     stored = sinks.span_rows(otlp.otlp_traces(spark.createDataFrame([(line,)], "value string"), received_at_ms=F.lit(7))).first()
     assert stored.http_route == "/a" and str(stored.dt) == "1970-01-01"
     point = {"timeUnixNano": "5", "asInt": "42"}
-    hist = {"timeUnixNano": "6", "count": "43", "sum": 2150.0, "bucketCounts": ["1", "2", "5", "10", "20", "5"], "explicitBounds": [5, 10, 25, 50, 100], "exemplars": [{"timeUnixNano": "1", "asDouble": 2.5, "traceId": "AA", "spanId": "BB", "filteredAttributes": [attr("x", stringValue="y")]}]}
+    hist = {"timeUnixNano": "6", "count": "9", "sum": 31.5, "bucketCounts": ["4", "0", "5"], "explicitBounds": [2, 8], "exemplars": [{"timeUnixNano": "1", "asDouble": 2.5, "traceId": "AA", "spanId": "BB", "filteredAttributes": [attr("x", stringValue="y")]}]}
     line = json.dumps({"resourceMetrics": [{"resource": res, "scopeMetrics": [{"metrics": [{"name": "m", "sum": {"dataPoints": [point]}}, {"name": "h", "histogram": {"dataPoints": [hist]}}, {"name": "e", "summary": {}}]}]}]})
     m = otlp.otlp_metrics(spark.createDataFrame([(line,)], "value string"), received_at_ms=F.lit(7))
     rows = {r.name: r for r in m.collect()}
     assert rows["m"].type == "SUM" and rows["m"].data_points[0].value == 42.0 and rows["e"].type == "UNSPECIFIED" and rows["e"].data_points == []
-    assert rows["h"].data_points[0].bucket_counts == [1, 2, 5, 10, 20, 5]
-    assert {(r.name, r.value) for r in sinks.metric_rows(m).collect()} == {("m", 42.0), ("h", 2150.0)}
+    assert rows["h"].data_points[0].bucket_counts == [4, 0, 5]
+    assert {(r.name, r.value) for r in sinks.metric_rows(m).collect()} == {("m", 42.0), ("h", 31.5)}
     h = sinks.histogram_rows(m).first()
-    assert h.total_count == 43 and h.exemplar_values == [2.5] and json.loads(h.exemplar_attributes[0]) == {"x": "y"}
+    assert h.total_count == 9 and h.exemplar_values == [2.5] and json.loads(h.exemplar_attributes[0]) == {"x": "y"}
     line = json.dumps({"resourceLogs": [{"resource": res, "scopeLogs": [{"logRecords": [{"timeUnixNano": "9", "severityNumber": 9, "severityText": "INFO", "body": {"stringValue": "hi"}, "attributes": [attr("exception.type", stringValue="E")]}]}]}]})
     log = sinks.log_rows(otlp.otlp_logs(spark.createDataFrame([(line,)], "value string"), received_at_ms=F.lit(7))).first()
     assert (log.body, log.exception_type, log.trace_id, log.service_name) == ("hi", "E", "", "shop")
@@ -139,10 +203,16 @@ def test_files(spark, tmp_path):
     assert (tmp_path / "backup" / "dt=2024-01-01").is_dir()
     dlq = tmp_path / "dlq"
     otlp.write_dlq(rows.limit(2).coalesce(1), str(dlq), "down", "2024-01-01", "logs")
+    long = {**good, "body": "y" * otlp.MOST_BYTES}
+    (dlq / "logs-2023-12-30.jsonl").write_text(json.dumps(long) + "\n" + json.dumps({"error_reason": "down", "batch": []}) + "\n")
     (dlq / "logs-2024-01-02.jsonl").write_text(json.dumps(good) + "\nbroken\n")
     (dlq / "logs-2024-01-03.jsonl").write_text(json.dumps(good) + "\n")
     (dlq / "other-2024-01-01.jsonl").write_text(json.dumps(good) + "\n")
     assert len(otlp.read_dlq(spark, str(dlq), "logs", "2024-01-03").collect()) == 3
+    (dlq / "logs-2023-99-99.jsonl").write_text("")
+    assert retention.drop_dead_letters(spark, str(dlq), 0, "2024-01-04") == []
+    assert retention.drop_dead_letters(spark, str(dlq), 3, "2024-01-04") == ["logs-2023-12-30.jsonl"]
+    assert sorted(p.name for p in dlq.iterdir() if p.name[0] != ".") == ["logs-2023-99-99.jsonl", "logs-2024-01-01", "logs-2024-01-02.jsonl", "logs-2024-01-03.jsonl", "other-2024-01-01.jsonl"]
 
 
 def test_guarded_sink_hands_failed_batches_on(spark):
@@ -151,8 +221,12 @@ def test_guarded_sink_hands_failed_batches_on(spark):
     def write(df, batch):
         raise RuntimeError("down")
 
-    sinks.guarded(write, lambda df, b, why: seen.append((b, why, df.count())))(spark.range(3), 4)
-    assert seen == [(4, "RuntimeError: down", 3)]
+    tries = []
+    sinks.guarded(lambda df, b: tries.append(b) or write(df, b), lambda df, b, why: seen.append((b, why, df.count())), (0, 0.01, 0))(spark.range(3), 4)
+    assert seen == [(4, "RuntimeError: down", 3)] and tries == [4] * 4
+    done = []
+    sinks.both_ways(lambda df, b: done.append(df.count()), write, lambda b, why: seen.append((b, why)))(spark.range(3), 5)
+    assert done == [3] and seen[1:] == [(5, "RuntimeError: down")]
 
 
 def test_stored_table_prunes_partitions(spark, tmp_path):
@@ -160,5 +234,28 @@ def test_stored_table_prunes_partitions(spark, tmp_path):
     sinks.write_table(spans.drop("attributes"), str(tmp_path / "spans"), "service_name")
     read = spark.read.parquet(str(tmp_path / "spans"))
     some = traces.spans(read, None, from_ms=1704067200000 + 5 * 86_400_000, to_ms=1704067200000 + 6 * 86_400_000)
+    kept = spans.filter("dt >= '2024-01-11'").count()
+    assert retention.drop_all_partitions(spark, str(tmp_path), "2024-01-26", {"spans": 15, "none": 3})["spans"][-1] == "dt=2024-01-10"
+    assert spark.read.parquet(str(tmp_path / "spans")).count() == kept
+    sinks.write_table(spans.drop("attributes").filter("dt < '2024-01-11'"), str(tmp_path / "spans"), "service_name")
+    read = spark.read.parquet(str(tmp_path / "spans"))
+    some = traces.spans(read, None, from_ms=1704067200000 + 5 * 86_400_000, to_ms=1704067200000 + 6 * 86_400_000)
     assert "PartitionFilters: [isnotnull(dt" in some._jdf.queryExecution().executedPlan().toString()
     assert some.count() == traces.spans(spans, None, from_ms=1704067200000 + 5 * 86_400_000, to_ms=1704067200000 + 6 * 86_400_000).count()
+
+
+def test_baselines_of_the_last_days_and_the_newest_one(spark):
+    spans = view(spark, "/root/testdata/sf0.001", "spans")
+    now = 1704067200000 + 20 * 86_400_000
+    some = correlate.red_baseline(spans, now, 7)
+    inside = spans.filter(f"kind in (2, 5) and start_time_nano between {(now - 7 * 86_400_000) * 10**6} and {now * 10**6}").count()
+    assert some.agg(F.sum("sample_count")).first()[0] == inside > 0
+    both = some.union(correlate.red_baseline(spans, now + 1, 7).withColumn("p50", F.lit(-1.0)))
+    force = correlate.baseline_in_force(both)
+    assert force.count() == some.count() and {r.p50 for r in force.collect()} == {-1.0}
+
+
+def test_shared_folder_is_asked_for(spark):
+    from spanloom.plans.tables import shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.crf import train
-from spanloom.llm.spans import Spans, bytes_of, finder, has, in_file
+from spanloom.llm.spans import PHRASES, Spans, bytes_of, chosen_rows, finder, has, in_file, made_up, prose
 
 #: Fixed by the contract: kinds in order, patterns, least lengths.
 KINDS = ("assign", "access", "hex")
@@ -50,24 +50,34 @@ def _needs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return has(data, offsets, _signs) | (total[offsets[1:]] > total[offsets[:-1]])
 
 
-def labelled_rows(n: int = 700, seed: int = 7) -> list[tuple[str, int, int]]:
+def labelled_rows(n: int = 1400, seed: int = 7) -> list[tuple[str, int, int]]:
     """The small labelled table: (text, start, end), made from patterns of secrets and of what looks like them."""
     pick = random.Random(seed)
     any_of = lambda chars, k: "".join(pick.choices(chars, k=k))
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     mixed, hexes = lower + upper + digits, digits + "abcdef"
-    word = lambda: any_of(lower, pick.randint(2, 9)) + pick.choice(["", "", "", ",", "."])
+    word = lambda: made_up(pick) + pick.choice(["", "", "", ",", "."])
     good = [
-        lambda: ("Bearer ", any_of(mixed, pick.randint(30, 60))), lambda: ("", "ghp_" + any_of(mixed, 36)), lambda: ("", "sk_live_" + any_of(mixed, 24)), lambda: ("", "xoxb-" + any_of(digits, 11) + "-" + any_of(mixed, 24)),
-        lambda: ("", "eyJ" + any_of(mixed, 30) + "." + any_of(mixed, 40) + "." + any_of(mixed, 30)), lambda: ("pwd=", any_of(mixed, pick.randint(12, 24))), lambda: ("auth_key = ", '"' + any_of(mixed, 32) + '"'),
-        lambda: ("client_secret: ", any_of(mixed, 32)), lambda: ("", "AKIA" + any_of(upper + digits, 16)), lambda: ("token = ", '"' + any_of(hexes, 40) + '"'), lambda: ("", "password=" + any_of(hexes, 18)), lambda: ("private_key = ", any_of(mixed + "+/", 44) + "="),
-        lambda: ("Bearer ", any_of(lower + upper, pick.randint(20, 40))), lambda: (pick.choice(["pwd ", "pwd: ", "password is "]), any_of(lower + upper, pick.randint(10, 24))), lambda: ("auth_key = ", '"' + any_of(lower + upper, 32) + '"'), lambda: (pick.choice(["passphrase: ", "passphrase "]), "-".join(any_of(lower, pick.randint(4, 8)) for _ in range(4))),
+        lambda: ("Bearer ", any_of(mixed, pick.randint(30, 60))),
+        lambda: ("Bearer ", any_of(lower + upper, pick.randint(20, 40))),
+        lambda: ("", pick.choice(["ghp_", "gho_", "glpat-"]) + any_of(mixed, pick.randint(20, 36))),
+        lambda: ("", pick.choice(["sk_live_", "pk_live_", "sk_test_"]) + any_of(mixed, 24)),
+        lambda: ("", "xoxb-" + any_of(digits, 11) + "-" + any_of(mixed, 24)),
+        lambda: ("", "eyJ" + any_of(mixed, 30) + "." + any_of(mixed, 40) + "." + any_of(mixed, 30)),
+        lambda: ("pwd=", any_of(mixed, pick.randint(12, 24))),
+        lambda: (pick.choice(["pwd ", "pwd: ", "password is "]), any_of(mixed if pick.random() < 0.5 else lower + upper, pick.randint(10, 24))),
+        lambda: (pick.choice(["auth_key = ", "access_key = "]), '"' + any_of(mixed, 32) + '"'),
+        lambda: ("auth_key = ", '"' + any_of(lower + upper, 32) + '"'),
+        lambda: (pick.choice(["passphrase: ", "passphrase "]), "-".join(any_of(lower, pick.randint(4, 8)) for _ in range(4))),
+        lambda: ("private_key = ", any_of(mixed + "+/", 44) + "="),
         lambda: ("", any_of(lower + upper + "+/", 40)),
-    ]
+    ]
+    mail = lambda: f"{made_up(pick)[:6]}.{any_of(digits, pick.randint(0, 3))}@{pick.choice(['mail', 'post', 'info', made_up(pick)])}{pick.choice(['', any_of(digits, 1)])}.{pick.choice(['example.com', 'example.org', 'test.net'])}"
     bad = [
-        lambda: any_of(digits, pick.randint(1, 4)), lambda: f"{pick.randint(1, 9)}.{pick.randint(0, 9)}.", lambda: f"version {pick.randint(1, 9)}.", lambda: f"{any_of(lower, pick.randint(3, 6))}.{any_of(digits, 2)}@mail{pick.randint(0, 9)}.example.com", lambda: f"+1 ({pick.randint(200, 999)}) 555-{pick.randint(1000, 9999)}",
-        lambda: ".".join(str(pick.randint(1, 255)) for _ in range(4)), lambda: any_of(digits, 16), lambda: f"{pick.randint(1990, 2030)}-0{pick.randint(1, 9)}-{pick.randint(10, 28)}", lambda: f"x = {pick.randint(1, 99)}", lambda: f"{any_of(lower, 4)}_{any_of(lower, 5)}", lambda: "token = none",
-        lambda: f"http://{any_of(lower, 6)}.example.com/{any_of(lower, 5)}?page={pick.randint(1, 99)}", lambda: f"== {word()}", lambda: f"CC BY-NC {pick.randint(2, 4)}.0.", lambda: f"{any_of(lower, 3)}{pick.randint(1, 99)}", lambda: "-".join(any_of(lower, pick.randint(2, 7)) for _ in range(pick.randint(2, 3))), lambda: any_of(lower, pick.randint(10, 24)).capitalize(), lambda: f"the bearer of {word()}", lambda: any_of(upper, pick.randint(2, 8)), lambda: f"{word()}/{word()}",
+        lambda: any_of(digits, pick.randint(1, 4)), lambda: f"{pick.randint(1, 9)}.{pick.randint(0, 9)}.", lambda: f"version {pick.randint(1, 9)}.", *[mail] * 5, lambda: f"+1 ({pick.randint(200, 999)}) 555-{pick.randint(1000, 9999)}",
+        lambda: ".".join(str(pick.randint(1, 255)) for _ in range(4)), lambda: any_of(digits, pick.randint(5, 19)), lambda: f"{pick.randint(1990, 2030)}-0{pick.randint(1, 9)}-{pick.randint(10, 28)}", lambda: f"x = {pick.randint(1, 99)}", lambda: f"{any_of(lower, 4)}_{any_of(lower, 5)}", lambda: "token = none",
+        lambda: f"http://{any_of(lower, 6)}.example.com/{any_of(lower, 5)}?page={pick.randint(1, 99)}", lambda: f"https://{made_up(pick)}.example.org/{made_up(pick)}/{made_up(pick)}", lambda: f"== {word()}", lambda: f"CC BY-NC {pick.randint(2, 4)}.0.", lambda: f"{any_of(lower, 3)}{pick.randint(1, 99)}", lambda: "-".join(made_up(pick) for _ in range(pick.randint(2, 4))), lambda: f"the bearer of {word()}", lambda: any_of(upper, pick.randint(2, 8)), lambda: f"{word()}/{word()}",
+        lambda: f"the password {word()}", lambda: f"pwd {word()}", lambda: f"passphrase {word()}", lambda: f"Bearer {word()}", lambda: " ".join(any_of(digits, 4) for _ in range(4)), lambda: f"{made_up(pick)}{made_up(pick)}{made_up(pick)}{made_up(pick)}", lambda: f"{made_up(pick)}{made_up(pick)}{made_up(pick)}{made_up(pick)}{made_up(pick)}".upper(), lambda: pick.choice(PHRASES), *[lambda: prose(pick, pick.randint(2, 6))] * 6,
     ]
     rows = []
     for k in range(n):
@@ -85,13 +95,14 @@ def labelled_rows(n: int = 700, seed: int = 7) -> list[tuple[str, int, int]]:
 def secret_scan(docs: DataFrame, labelled: DataFrame, most: int = 5000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_assign, n_access, n_hex, base_sha256, spans`` for each row of docs.
 
-    labelled: rows (text, start, end) from which the model is trained, at most ``most`` of them.
+    labelled: rows (text, start, end) from which the model is trained, the first ``most`` of them by text and place.
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind; kind
     ``model`` marks what the model adds apart from the base.  A null text counts as empty: no
     spans.  Rows are independent: repeated rows and null keys each give a row, an empty
-    table gives none, other columns are not read.
+    table gives none, other columns are not read.  A text of any length is decoded whole; of labels that score alike
+    the first of outside, begin, inside is taken.
     """
-    model = train(sorted(map(tuple, labelled.select("text", "start", "end").limit(most).collect())))
+    model = train(chosen_rows(labelled, most))
     kind = docs.schema[key].dataType.simpleString()
     run = finder(KINDS, base_spans, _needs, _order, model, EXTRA)
     schema = f"key {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"

@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.llm.crf import Crf, tagger
 from spanloom.llm.words import buffers, slices
@@ -16,6 +18,12 @@ from spanloom.llm.words import buffers, slices
 Spans = list[tuple[str, int, int]]
 
 
+def chosen_rows(labelled: DataFrame, most: int) -> list[tuple[str, int, int]]:
+    """At most ``most`` labelled rows, in an order that reruns repeat."""
+    rows = labelled.select("text", "start", "end").filter(F.col("text").isNotNull()).orderBy("text", "start", "end").limit(most)
+    return [tuple(r) for r in rows.collect()]
+
+
 def apart(found: list[tuple[int, int]], base: Spans) -> list[tuple[int, int]]:
     """The spans that meet no base span."""
     taken = sorted((s, e) for _, s, e in base)
@@ -70,21 +78,48 @@ def bytes_of(characters: str) -> np.ndarray:
     return out
 
 
+#: Beginnings, middles and ends that made-up words of several languages are put together from.
+SYLLABLES = "the ing and ion ent her for tha nth int ere tio ter est ers ati hat ate all eth hes ver his oft ith fth sth oth res ont une que les ait our ais eur ment ción que ado ente los aci ren sch ein ich und die der ung gen lich keit zu ß ñ é".split()
+#: Capitalised phrases that name no one.
+PHRASES = "General Public License|Apache License, Version|United Nations|New Year|Terms of Service|Privacy Policy|All Rights Reserved|Creative Commons|Read More|Table of Contents|Chapter One|World War|High School|Monday Morning|Open Source|Software Foundation|North America|Prime Minister|Supreme Court|Home Page".split("|")
+
+
+def made_up(pick: random.Random) -> str:
+    """A word of no language: letters, or syllables of several."""
+    if pick.random() < 0.3:
+        return "".join(pick.choices("abcdefghijklmnopqrstuvwxyzaeioutnrsé", k=pick.randint(1, 12)))
+    return "".join(pick.choices(SYLLABLES, k=pick.randint(1, 4)))
+
+
+def prose(pick: random.Random, sentences: int) -> str:
+    """Sentences of made-up words; some have capitals in the middle, some are all capitals, some say one word again and again."""
+    out = []
+    for _ in range(sentences):
+        words = [made_up(pick) for _ in range(pick.randint(1, 8))]
+        kind = pick.random()
+        if kind < 0.2:
+            words = [w.capitalize() for w in words]
+        elif kind < 0.23:
+            words = [w.upper() for w in words]
+        elif kind < 0.28:
+            words = [words[0].capitalize() + pick.choice(["", "."])] * pick.randint(2, 12)
+        elif kind < 0.33:
+            words.insert(pick.randint(0, len(words)), pick.choice(PHRASES))
+        out.append(" ".join([words[0][:1].upper() + words[0][1:], *words[1:]]) + pick.choice([".", ".", ".", ",", "?", "!", "", "\n", ".\n"]))
+    return " ".join(out)
+
+
+def code(pick: random.Random) -> str:
+    word = lambda: made_up(pick)
+    line = lambda: pick.choice([f"{word()} = {word()}({word()});", f"if ({word()} < {pick.randint(0, 99)}) {{", f"return {word()}_{word()} / {pick.randint(1, 9)};", f"<{word()}>{word()}</{word()}>", "}", f"int {word()} = {pick.randint(0, 999)};"])
+    return "\n".join(line() for _ in range(pick.randint(1, 5)))
+
+
 def in_file(pick: random.Random, row: tuple[str, int, int]) -> tuple[str, int, int]:
     """A labelled row as a line of its own, or set in a prose-like or code-like file."""
-    kind = pick.choice(("line", "prose", "code"))
+    kind = pick.choice(("line", "prose", "prose", "code"))
     if kind == "line":
         return row
-    letters = "abcdefghijklmnopqrstuvwxyzaeioutnrsé" + pick.choice(["", "áíóñ", "äöüß"])
-    word = lambda: "".join(pick.choices(letters, k=pick.randint(1, 12)))
-
-    def prose() -> str:
-        return " ".join(" ".join([word().capitalize(), *(word() for _ in range(pick.randint(0, 8))), word()]) + pick.choice([".", ".", ",", "?"]) for _ in range(pick.randint(1, 4)))
-
-    def code() -> str:
-        line = lambda: pick.choice([f"{word()} = {word()}({word()});", f"if ({word()} < {pick.randint(0, 99)}) {{", f"return {word()}_{word()} / {pick.randint(1, 9)};", f"<{word()}>{word()}</{word()}>", "}", f"int {word()} = {pick.randint(0, 999)};"])
-        return "\n".join(line() for _ in range(pick.randint(1, 6)))
-
     text, start, end = row
-    left, right = (prose() + " ", " " + prose()) if kind == "prose" else (code() + "\n", "\n" + code())
+    left, right = (prose(pick, pick.randint(1, 4)) + " ", " " + prose(pick, pick.randint(1, 3))) if kind == "prose" else (code(pick) + "\n", "\n" + code(pick))
     return left + text + right, start + len(left) * (end > start), end + len(left) * (end > start)

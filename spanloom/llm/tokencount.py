@@ -1,12 +1,15 @@
 """Token counts by a compiled finite-state transducer (operator 10).
 
+The transducer reads a text character by character; each transition carries the number of
+tokens that it adds (it may be negative, when a longer piece replaces shorter ones).  A text is cut into pieces,
+and each piece is a map from the state before it to the state after it and the tokens added; the maps of a text's pieces
+compose, and their composition from the start state gives its count.
+
 A byte-pair vocabulary whose pieces hold the word mark only in front synchronises at
-every mark: what stands before it can't change what follows.  A text is cut at these
-points into chunks.  The transducer reads a chunk character by character; each
-transition carries the number of tokens that it adds (it may be negative, when a longer
-piece replaces shorter ones).  As a chunk begins at a synchronising mark, its state map
-is constant, and the maps of a text's chunks compose by addition: one segmented scan
-over all chunks of a batch gives the counts of all its texts.
+every mark: what stands before it can't change what follows.  So the map of a piece that begins at a mark is constant; it is read once
+and remembered.  A long stretch without marks is cut anywhere, after every PIECE characters.  Its pieces are read side
+by side, each from the state that the characters just before it lead to; a scan over the pieces
+then takes each map at the state that is really there, and reads a piece again only where the two differ.
 
 States are made when a transition is first needed and kept for the life of the Python
 worker.  A state holds all that later characters can depend on: the longest suffix that
@@ -27,6 +30,8 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Kept transitions and chunk counts; beyond it they are made anew, with the same results.
 KEEP = 1_000_000
+#: Characters of a piece, those read before it to guess its first state, and from which length on a stretch is cut.
+PIECE, BEFORE, LONG = 256, 32, 2048
 RUNS = re.compile(r" *[^ ]+| +")
 
 
@@ -97,6 +102,47 @@ class Transducer:
             n += added
         return n
 
+    def side_by_side(self, states: np.ndarray, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The maps of many pieces (rows of code points, with their lengths), each at one state: states after them, tokens added."""
+        states, added = states.copy(), np.zeros(len(states), np.int64)
+        for t in range(chars.shape[1]):
+            at = np.flatnonzero(t < size)
+            keys, of = np.unique(states[at] << 21 | chars[at, t], return_inverse=True)
+            got = [self.next[k >> 21].get(c := chr(k & 0x1FFFFF)) or self.step(k >> 21, c) for k in keys.tolist()]
+            got = np.array(got, np.int64).reshape(-1, 2)[of]
+            states[at] = got[:, 0]
+            added[at] += got[:, 1]
+        return states, added
+
+    def long(self, chunk: str) -> int:
+        """Tokens of a chunk of any length, as the composition of its pieces' maps."""
+        if len(chunk) < LONG:
+            return self(chunk)
+        if len(self.states) > KEEP:
+            self.reset()
+        codes = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n = -(-len(codes) // PIECE)
+        chars = np.zeros((n, PIECE), np.int64)
+        chars.ravel()[: len(codes)] = codes
+        size = np.full(n, PIECE)
+        size[-1] = len(codes) - PIECE * (n - 1)
+        guess = np.zeros(n, np.int64)
+        guess[1:] = self.side_by_side(guess[1:], chars[:-1, -BEFORE:], np.full(n - 1, BEFORE))[0]
+        after, added = self.side_by_side(guess, chars, size)
+        maps = {(g, chars[k].tobytes()): (s, a) for k, (g, s, a) in enumerate(zip(guess.tolist(), after.tolist(), added.tolist())) if k < n - 1}
+        state, total = 0, 0
+        for k in range(n):
+            if k == n - 1 and guess[k] == state:
+                total += int(added[k])
+                break
+            key = (state, chars[k].tobytes())
+            if k == n - 1 or key not in maps:  # the characters before weren't enough: the map at this state
+                s, a = self.side_by_side(np.array([state]), chars[k : k + 1], size[k : k + 1])
+                maps[key] = int(s[0]), int(a[0])
+            state, a = maps[key]
+            total += a
+        return total
+
     def texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         counts, firsts, n = self.counts, np.zeros(len(texts), np.int64), 0
@@ -108,12 +154,12 @@ class Transducer:
             text = text.replace(MARK, " ")
             if "  " in text or text[0] == " " or text[-1] == " ":
                 chunks = RUNS.findall(f" {text}")
-                out += [self(x.replace(" ", MARK)) for x in chunks]
+                out += [self.long(x.replace(" ", MARK)) for x in chunks]
                 continue
             for x in text.split(" "):
                 n = counts.get(x)
                 if n is None:
-                    n = self(MARK + x)
+                    n = self.long(MARK + x)
                     if len(x) < 40:
                         if len(counts) > KEEP:
                             counts.clear()
@@ -137,8 +183,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, key: str = "doc
 
     model: path of a sentencepiece byte-pair model, readable on every executor.  A null text
     counts as empty: no bytes, no tokens.  Rows are independent: repeated rows and null keys
-    each give a row, an empty table gives none, other columns are not read.  A text without
-    a space is one chunk, read in one pass whatever its length.
+    each give a row, an empty table gives none, other columns are not read.  A text of any length is read whole, also one
+    without a space; its pieces' maps compose.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

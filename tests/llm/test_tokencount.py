@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
+from spanloom.llm import tokencount
 from spanloom.llm.tokencount import token_counts, transducer
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +20,30 @@ def test_counts_equal_the_library_on_odd_texts():
     assert transducer(MODEL).texts(texts).tolist() == [len(x) for x in sp.encode(texts)]
 
 
+def test_maps_of_pieces_cut_anywhere_compose():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pick = random.Random(2)
+    syllables = ["tion", "ing", "the", "a", "é", "漢", "字", "0", "12", "x", "qz", "—", "😀", "er", "an", "\n", "=="]
+    texts = ["".join(pick.choices(syllables[: pick.randint(2, 17)], k=pick.randint(600, 6000))) for _ in range(30)]
+    texts += ["a" * 5000, "ab" * 3001, "\n" * 4096, "aab" * 2500 + " " + "the" * 3000, " " * 5000 + "x", "漢字" * 2048, "a" * tokencount.LONG, "b" * (tokencount.PIECE * 9)]
+    t = transducer(MODEL)
+    assert t.texts(texts).tolist() == [len(x) for x in sp.encode(texts)]
+    # each piece of a text, cut where the text is, at the state before it: states and counts compose to those of the whole
+    text = tokencount.MARK + texts[0][:3000]
+    for cut in (1, 500, 1777, 2999):
+        codes = lambda x: np.array([[ord(c) for c in x]])
+        read = lambda s, x: [int(v[0]) for v in t.side_by_side(np.array([s]), codes(x), np.array([len(x)]))]
+        one, a = read(0, text[:cut])
+        two, b = read(one, text[cut:])
+        assert [two, a + b] == read(0, text) and a + b == t(text)
+
+
+def test_a_very_long_text_without_a_space(spark):
+    text = "".join(random.Random(3).choices(["tion", "ing", "qzx", "é"], k=100_000))
+    got = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).first()
+    assert got.n_tokens == transducer(MODEL)("▁" + text) and got.over_limit
+
+
 def test_rows(spark):
     rows = [(1, "hello world", "x"), (1, "hello world", "y"), (2, None, "x"), (None, "a " * 5000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

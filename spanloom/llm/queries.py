@@ -13,7 +13,7 @@ from spanloom.llm.lm import language_model_scores
 from spanloom.llm.mixing import mix
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.quality_rules import quality_rules
-from spanloom.llm.site_quality import site_quality
+from spanloom.llm.site_quality import host_of, path_of, site_quality, text_of
 from spanloom.llm.substring_dedup import substring_dedup
 from spanloom.llm.tokencount import token_counts
 
@@ -59,6 +59,12 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 
+def op7_site_quality_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the host and the first part of the path of their address; the evidence is that of labelled documents."""
+    pages = table(spark, sf_dir, "pages").withColumn("text", text_of(F.col("html")))
+    return site_quality(pages, table(spark, sf_dir, "labels"), host_of(F.col("url")), path_of(F.col("url")), key="page_id", labelled=table(spark, sf_dir, "documents"), label_key="doc_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -76,7 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op8_substring_dedup, op9_mixing, op10_token_counts)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts)}
 
 
 #: Words of a text, in the checking engine's SQL.

@@ -66,15 +66,33 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+def host_of(url: Column) -> Column:
+    """The host of an address in small letters, without a leading www. and port; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    """The first part of an address's path; '' where it has none."""
+    return F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1), F.lit(""))
+
+
+def text_of(html: Column) -> Column:
+    """What is outside tags, scripts, styles and comments."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    return F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+
+
+def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, most: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: DataFrame | None = None, label_key: str | None = None, label_text: str | None = None) -> DataFrame:
     """``key, evidence, host_prior, path_prior, posterior, kept`` for each row of docs.
 
     most: labelled documents that the evidence is fitted on, those with the least hashes of
-    their keys.  A null host or path is a site of its own.  A null text has the statistics of an empty
-    one.  Repeated rows each count and give a row; an empty table gives none; without labels of
+    their keys.  labelled: the table that labels belong to, where that isn't docs itself, with its key and text columns.
+    A null host or path is a site of its own.  A null text has the statistics of an empty
+    one; a text of any length is read whole.  Repeated rows each count and give a row; an empty table gives none; without labels of
     both kinds all evidence is even.
     """
-    fitted = evidence(docs, labels, most, key, text, label)
+    fitted = evidence(docs if labelled is None else labelled, labels, most, label_key or key, label_text or text, label)
     rows = with_statistics(docs.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.col(text).alias("text")))
     rows = cut(rows.select("key", "host", "path", fitted.cast("double").alias("evidence")).withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
     sums = lambda by: rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.avg("p").alias("mean"), (F.var_pop("p") * F.count("*")).alias("within"))

@@ -40,3 +40,42 @@ def test_stages_on_a_small_table(spark):
             assert set(a) == set(b) and all(0 <= r.taken <= 2 * r["size"] for r in b.values())
         before = after
     assert sorted(corpus_pipeline.run(spark, path).collect()) == sorted(before.collect())
+
+
+def test_odd_rows_in_every_stage(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, repeated ids, clashing names, an empty table."""
+    path = "/root/testdata/sf0.001"
+    some = [r.text for r in spark.read.parquet(f"{path}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows = [(k, t, None if k % 7 == 0 else "en", None if k % 5 == 0 else f"s{k % 3}") for k, t in enumerate(some)]
+    long = " ".join(f"word{k % 977}x{k}" for k in range(60_000))
+    rows += [(100, None, "en", "s1"), (101, "", None, None), (102, " \n\t", "en", "s1"), (103, long, "en", "s1"), (None, some[5], "en", "s1"), (None, some[5], "en", "s1"), (None, None, None, None), (3, some[3], "en", "s2"), (3, some[4] + " end", "en", "s2")]
+    item = spark.read.parquet(f"{path}/benchmark.parquet").orderBy("item_id").first().text
+    rows += [(104, long[:3000] + " " + item + " tail", "en", "s2"), (105, "call 0171 5550100 or mail a.b@c.de " + long[3000:6000], "en", "s2")]
+    clash = ["n_chars", "key", "size", "n", "component_id", "_row", "_id", "_key", "spans", "_words", "n_words", "kept", "bucket", "passes", "at", "w"]
+    docs = spark.createDataFrame([(*r, *[str(i)] * len(clash)) for i, r in enumerate(rows)], ", ".join(["doc_id long", "text string", "lang string", "source string", *[f"{c} string" for c in clash]]))
+    plain = lambda df: sorted(map(str, df.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), path).count() == 0
+        got = stage(spark, docs, path)
+        if name == "mixing":
+            assert got.count() == len(rows) and got.filter("taken > 2 * size or taken < 0").isEmpty()
+            continue
+        assert got.columns == docs.columns
+        out = got.collect()
+        ids = [r.doc_id for r in out]
+        if name == "quality rules":
+            assert 103 in ids and not {100, 101, 102} & set(ids)
+        elif name == "n-gram Jaccard join":
+            texts = [r.text for r in out if r.text and r.text.strip()]
+            assert len(texts) == len(set(texts)) and {100, 101, 102, 103} <= set(ids)
+            numbered = [(i, r[1]) for i, r in enumerate(rows)]
+            groups = {}
+            for i, _, c in brute(numbered, 5, 80):
+                groups.setdefault(c, []).append((rows[i][0] is None, rows[i][0] or 0, i))
+            assert sorted(int(r.n) for r in out) == sorted(min(g)[2] for g in groups.values())
+        elif name == "benchmark decontamination":
+            assert 104 not in ids and {100, 101, 103} <= set(ids) and ids.count(None) == 3
+        elif name == "PII":
+            assert len(out) == len(rows) and {r.text for r in out if r.doc_id == 100} == {None}
+            assert next(r.text for r in out if r.doc_id == 103) == long and "[EMAIL]" in next(r.text for r in out if r.doc_id == 105)
+        assert plain(stage(spark, docs.repartition(5), path).drop("_row")) == plain(got.drop("_row")) or name == "n-gram Jaccard join"

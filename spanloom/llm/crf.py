@@ -271,6 +271,7 @@ class Tagger:
 
     def __init__(self, model: Crf, margin: float = 1.0):
         self.margin = np.array([margin, 0, 0])
+        self.weights = model.weights
         self.model = model
         t = model.moves
         self.edge = model.weights[_beside(np.array([EDGE], np.uint64))[0]]
@@ -284,7 +285,7 @@ class Tagger:
         words of its text stand before and after it."""
         starts, ends, at = spans(data, offsets)
         _, one, of = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
-        weights = self.model.weights
+        weights = self.weights
         places, shape, look = own(data, starts[one], ends[one])
         mine, beside = weights[places].sum(1), weights[_beside(look[:, 0])]
         size = np.diff(at)

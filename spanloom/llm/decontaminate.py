@@ -95,7 +95,7 @@ def _find(sorted_: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _count(kinds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(kinds), np.int64)
-        for b in slices(batches, 0):
+        for b in slices(batches, 0, 2 << 20):
             total += np.bincount(_find(kinds, _words(b.column(0))[0])[1], minlength=len(kinds))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["kind", "n"])
@@ -166,7 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, score: float
     for items in seeded_slices(docs, benchmark, n, score, slice_items, text, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, 1):
+            for b in slices(batches, 1, 2 << 20):
                 found = list(_matches(items, b.column(1), score))
                 keys = b.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([items.ids[x[1]] for x in found], _arrow(kinds[1])), pa.array([x[2] for x in found], pa.float64())], ["key", "item", "score"])
@@ -187,7 +187,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, scor
     for items in seeded_slices(docs, benchmark, n, score, slice_items, text, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, place):
+            for b in slices(batches, place, 2 << 20):
                 clean = np.ones(len(b), bool)
                 clean[[x[0] for x in _matches(items, b.column(place), score)]] = False
                 yield b.filter(pa.array(clean))

@@ -157,7 +157,7 @@ def masked(docs: DataFrame, labelled: DataFrame, most: int = 5000, text: str = "
 
         from spanloom.llm.words import slices
 
-        for b in slices(batches, place):
+        for b in slices(batches, place, 1 << 20):
             column = b.column(place)
             numbered = pa.RecordBatch.from_arrays([pa.array(range(len(b))), column], ["key", "text"])
             texts = None

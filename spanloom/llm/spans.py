@@ -46,7 +46,7 @@ def finder(kinds: tuple[str, ...], base: Callable[[str], Spans], needs: Callable
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 1 << 20):
             data, offsets = buffers(b.column(1))
             found = tagger(model).spans(b.column(1))
             look = np.flatnonzero(needs(data, offsets) | np.array([bool(x) for x in found]))

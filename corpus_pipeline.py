@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by sets of five words and similarity 0.8 one row stays: that with the least id (null last), of
-    equal ids the first.  Rows are told apart by a number, so repeated ids, and null ids, are rows like others;
+    equal ids the first.  Where ids repeat or are null, rows are told apart by a number, so these are rows like others;
     texts without words are linked with nothing and stay."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        linked = ngram_jaccard_join(docs, n=5, percent=80)
+        gone = linked.filter("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     row = "_row"
     while row in docs.columns:
         row += "_"

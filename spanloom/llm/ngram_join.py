@@ -1,10 +1,11 @@
 """N-gram Jaccard join by vertical partitioning (operator 1).
 
 1. Every text becomes its set of word n-gram hashes.  One exchange by hash counts in how
-   many sets each n-gram is; the answer goes back only for n-grams in two sets or more
-   (the others can't be shared), so what is kept follows the shared part of the corpus.
+   many sets each n-gram is: a piece of input (4 MB of texts) sends each of its n-grams once with the
+   number of its texts that have it, so one that all texts have costs no more than a piece's share.
+   The answer goes back to the pieces, and only for n-grams in two sets or more (the others can't be shared).
 2. The global order of n-grams is (power of two below the set count, hash), rare first.
-   It is cut into fragments; a set becomes one short segment for each fragment.
+   It is cut into fragments by that power; a set becomes one short segment for each fragment.
 3. Equal sets are one class, found by fingerprint, and its least key stands for it.
 4. Two sets that link share an n-gram among the first ``n - ceil(t*n) + 1`` of each in the
    order.  Sets that share such an n-gram form a block.  Pairs are never made within whole
@@ -33,16 +34,15 @@ from spanloom.llm.shared import components, cut, parts
 from spanloom.llm.words import LOWER, buffers, hashes, mix, slices, spans, windows
 
 LOW = np.uint64((1 << 48) - 1)
-#: Hash ranges into which each power of two of the order is cut.
-RANGES = 2
 
 
 def one_row_per_key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc long, text`` without null keys; of rows with one key, the least text counts."""
+    """``doc long, text`` without null keys; of rows with one key, the least text counts.
+    Where an exchange was needed its result is written, so that a task that runs again sees its rows in the same order."""
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
     if docs.groupBy("doc").count().filter("count > 1").isEmpty():
         return docs
-    return docs.groupBy("doc").agg(F.min("text").alias("text"))
+    return cut(docs.groupBy("doc").agg(F.min("text").alias("text")))
 
 
 def _sets(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,9 @@ def _sets(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scatter(n: int, buckets: int):
-    """Texts to rows of n-gram hashes for each bucket (lo, hi: 48 bits; owner: the text's place in
-    its piece) and a row of keys, sizes and fingerprints for the piece itself."""
+    """Texts to the distinct n-gram hashes of their piece for each bucket (lo, hi: 48 bits; times: how many texts of
+    the piece have each; start: the place of the first among all of the piece) and a row for the piece itself: keys,
+    sizes and fingerprints of its texts, times, and the texts that have each hash (owners), in the hashes' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,63 +74,69 @@ def _scatter(n: int, buckets: int):
             bounds = np.concatenate([[0], np.cumsum(counts)])
             prints = [np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ np.uint64(k)))]) for k in (1, 2)]
             prints = [x[bounds[1:]] - x[bounds[:-1]] for x in prints]
-            rows = [(piece % buckets, piece, None, None, None, np.asarray(b.column(0)).astype(np.int64).tobytes(), counts.astype(np.int32).tobytes(), prints[0].tobytes(), prints[1].tobytes())]
-            bucket = ((grams >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
-            order = np.argsort(bucket, kind="stable")
-            owner = np.repeat(np.arange(len(counts)), counts).astype(np.uint16)[order]
-            low = (grams & LOW)[order]
+            owners = np.repeat(np.arange(len(counts)), counts).astype(np.uint16)
+            order = np.argsort(grams)
+            grams, owners = grams[order], owners[order]
+            first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(grams))).astype(np.uint16)
+            grams = grams[first]
+            bucket = ((grams >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)  # in the hashes' order
+            low = grams & LOW
             lo, hi = low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                if (i := cuts[k]) < (j := cuts[k + 1]):
-                    rows.append((k, piece, lo[i:j].tobytes(), hi[i:j].tobytes(), owner[i:j].tobytes(), None, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), SCATTERED_TYPES)], SCATTERED_NAMES)
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+            head = {"bucket": piece % buckets, "piece": piece, "times": times.tobytes(), "owners": owners.tobytes(), "doc": np.asarray(b.column(0)).astype(np.int64).tobytes()}
+            rows = [head | {"n": counts.astype(np.int32).tobytes(), "print1": prints[0].tobytes(), "print2": prints[1].tobytes()}]
+            for k, i, j in zip(range(buckets), cuts, cuts[1:]):
+                if i < j:
+                    rows.append({"bucket": k, "piece": piece, "start": i, "lo": lo[i:j].tobytes(), "hi": hi[i:j].tobytes(), "times": times[i:j].tobytes()})
+            yield _batch(rows, SCATTERED)
 
     return run
 
 
-SCATTERED = "bucket int, piece long, lo binary, hi binary, owner binary, doc binary, n binary, print1 binary, print2 binary"
-SCATTERED_NAMES = [x.split()[0] for x in SCATTERED.split(", ")]
-SCATTERED_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-COUNTED = SCATTERED + ", power binary"
+SCATTERED = "bucket int, piece long, start int, lo binary, hi binary, times binary, owners binary, doc binary, n binary, print1 binary, print2 binary"
+COUNTED = SCATTERED + ", shared binary, power binary"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of one bucket: those in one set only go, the others get the power of two of their set count."""
-    kept: list[dict] = []
+    """The n-grams of one bucket: those in one set only go, the others get the power of two of their set count.
+    Each piece sends an n-gram once, however many of its texts have it.  Rows of pieces themselves pass."""
+    rows: list[dict] = []
     for b in batches:
-        kept += b.to_pylist()
-    for r in kept:
-        if r["lo"] is not None:
-            r["key"] = np.frombuffer(r["hi"], np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["lo"], np.uint32)
-    keys = [r.pop("key") for r in kept if "key" in r]
-    power = np.empty(0, np.uint8)
-    if keys:
-        joined = np.concatenate(keys)
-        order = np.argsort(joined)
-        first = np.flatnonzero(np.concatenate([[True], np.diff(joined[order]) != 0]))
-        sets = np.diff(np.append(first, len(joined)))
-        power = np.empty(len(joined), np.uint8)
-        power[order] = np.repeat(np.log2(sets).astype(np.uint8), sets)
-    at, out = 0, []
-    for r in kept:
-        if r["lo"] is not None:
-            p = power[at : at + len(r["lo"]) // 4]
-            at += len(p)
-            shared = p > 0
-            if not shared.any():
-                continue
-            r |= {k: np.frombuffer(r[k], t)[shared].tobytes() for k, t in (("lo", np.uint32), ("hi", np.uint16), ("owner", np.uint16))} | {"power": p[shared].tobytes()}
-        out.append(r)
+        for r in b.to_pylist():
+            if r["lo"] is None:
+                yield _batch([r], COUNTED)
+            else:
+                rows.append(r)
+    if not rows:
+        return
+    of = [np.frombuffer(r["hi"], np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["lo"], np.uint32) for r in rows]
+    keys, times = np.concatenate(of), np.concatenate([np.frombuffer(r["times"], np.uint16) for r in rows])
+    ends = np.cumsum([len(k) for k in of]).tolist()
+    del of
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sets = np.add.reduceat(times[order].astype(np.int64), first)
+    power = np.empty(len(keys), np.uint8)
+    power[order] = np.repeat(np.log2(sets).astype(np.uint8), np.diff(np.append(first, len(keys))))
+    out, i = [], 0
+    for r, j in zip(rows, ends):
+        p, i = power[i:j], j
+        shared = p > 0
+        if shared.any():
+            out.append({k: r[k] for k in ("bucket", "piece", "start")} | {"lo": np.frombuffer(r["lo"], np.uint32)[shared].tobytes(), "hi": np.frombuffer(r["hi"], np.uint16)[shared].tobytes(), "shared": np.packbits(shared).tobytes(), "power": p[shared].tobytes()})
         if len(out) == 256:
-            yield _batch(out)
+            yield _batch(out, COUNTED)
             out = []
     if out:
-        yield _batch(out)
+        yield _batch(out, COUNTED)
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip([*SCATTERED_NAMES, "power"], [*SCATTERED_TYPES, pa.binary()])], [*SCATTERED_NAMES, "power"])
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], types[t]) for name, t in columns], [name for name, _ in columns])
 
 
 GATHERED = "doc long, n long, own long, print1 long, print2 long, first array<long>, segments array<struct<f:int,grams:array<long>>>"
@@ -143,17 +150,21 @@ def _gather(percent: int):
         heads, rows = {}, defaultdict(list)
         for b in batches:
             for r in b.to_pylist():
-                if r["lo"] is None:
+                if r["doc"] is not None:
                     heads[r["piece"]] = r
                 else:
                     rows[r["piece"]].append(r)
         for piece, head in heads.items():
             doc, n = np.frombuffer(head["doc"], np.int64), np.frombuffer(head["n"], np.int32).astype(np.int64)
-            got = rows.pop(piece, [])
-            join = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in got] or [np.empty(0, t)])
-            owner, power = join("owner", np.uint16).astype(np.int64), join("power", np.uint8)
-            bucket = np.repeat(np.array([r["bucket"] for r in got], np.uint64), [len(r["lo"]) // 4 for r in got]) if got else np.empty(0, np.uint64)
-            gram = bucket << np.uint64(48) | join("hi", np.uint16).astype(np.uint64) << np.uint64(32) | join("lo", np.uint32)
+            times = np.frombuffer(head["times"], np.uint16)
+            power, gram = np.zeros(len(times), np.uint8), np.zeros(len(times), np.uint64)
+            for r in rows.pop(piece, []):
+                at = r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["shared"], np.uint8)))
+                power[at] = np.frombuffer(r["power"], np.uint8)
+                gram[at] = np.uint64(r["bucket"] << 48) | np.frombuffer(r["hi"], np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(r["lo"], np.uint32)
+            shared = power > 0
+            owner = np.frombuffer(head["owners"], np.uint16)[np.repeat(shared, times)].astype(np.int64)
+            power, gram = (np.repeat(x[shared], times[shared]) for x in (power, gram))
             own = n - np.bincount(owner, minlength=len(doc))
             wanted = n - -(-percent * n // 100) + 1 - own  # first n-grams beyond those that no other text has
             keep = (wanted > 0)[owner] if len(owner) else np.empty(0, bool)
@@ -165,7 +176,7 @@ def _gather(percent: int):
             rank = np.arange(len(owner)) - start[owner]
             head_of = rank < wanted[owner]
             grams = pa.array(gram.view(np.int64))
-            f = power.astype(np.int32) * RANGES + (gram >> np.uint64(63)).astype(np.int32)
+            f = power.astype(np.int32)
             new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(f) != 0)]) if len(owner) else np.empty(0, bool)
             at = np.flatnonzero(new)
             segments = pa.StructArray.from_arrays([pa.array(f[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), grams)], ["f", "grams"])

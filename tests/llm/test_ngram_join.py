@@ -70,3 +70,37 @@ def test_a_large_near_group_and_other_cases(spark):
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n int")
     assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == brute(rows)
     assert ngram_jaccard_join(docs.limit(0)).count() == 0
+
+
+def test_one_passage_in_every_text(spark):
+    pick = random.Random(4)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for k in range(300):
+        own = rows[-1][1].split()[12:] if k % 10 == 9 else [f"v{pick.randrange(500)}" for _ in range(pick.choice([5, 20, 60]))]
+        if k % 10 == 9:
+            own[0] = "changed"
+        rows.append((k, " ".join(passage + own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == brute(rows)
+
+
+def test_an_ngram_leaves_a_piece_once():
+    import pyarrow as pa
+
+    from spanloom.llm import ngram_join
+
+    texts = [f"the same four words x{i}" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts)], ["doc", "text"])
+    grams, counts = ngram_join._sets(batch, 4)
+    assert len(grams) == 2000 and counts.sum() == 2000
+    import pyspark
+
+    real, pyspark.TaskContext = pyspark.TaskContext, type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)})())})
+    try:
+        rows = [r for b in ngram_join._scatter(4, 7)(iter([batch])) for r in b.to_pylist()]
+    finally:
+        pyspark.TaskContext = real
+    sent = [r for r in rows if r["lo"] is not None]
+    assert sum(len(r["lo"]) // 4 for r in sent) == 1001
+    assert sorted({r["bucket"] for r in sent}) == list(range(7))

@@ -4,8 +4,9 @@ A window is w consecutive words of one text.  Texts are cut into blocks of ``(w
 words, so each window holds exactly one whole block (its anchor), for odd w.
 
 1. Probe: one exchange by hash brings each block to all rolling windows of a block's length,
-   reduced beforehand to distinct hashes of each piece of input.  A block that only
-   it itself matches is no anchor.
+   both reduced beforehand to distinct hashes of each piece of input, so a block that all texts have
+   costs no more than its pieces.  The pieces get back which of their blocks were hit.  A block
+   that only it itself matches is no anchor.
 2. Extend: around the anchors that are left, every window with such an anchor is hashed whole and
    counted in a second exchange; a window that starts in two places or more is a repeat.  Repeats
    that overlap run together into the maximal ones.
@@ -18,6 +19,7 @@ anchors that the second step drops: about one in 400 with ten million windows in
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,6 @@ from spanloom.llm.shared import parts
 from spanloom.llm.words import buffers, hashes, mix, ranges, slices, spans, windows
 
 
-
 def _words(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts of a piece, and each text's first word."""
     data, offsets = buffers(b.column(1))
@@ -43,11 +44,16 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _probe(block: int, buckets: int):
-    """Rows for each bucket: the distinct rolling windows (32 bits, one more where a piece has it twice),
-    and the blocks with their text and place."""
+    """Rows for each bucket: the distinct rolling windows (32 bits, one more where a piece has it twice) and the
+    distinct blocks (start: the place of the first among all of the piece); and a row for the piece itself:
+    how many places each block has, those places and their texts, in the blocks' order, and the texts' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        piece = (TaskContext.get().partitionId() << 32) - 1
         for b in slices(batches, 1):
+            piece += 1
             words, at = _words(b)
             n = np.diff(at)
             rolling = windows(words, block)
@@ -57,24 +63,35 @@ def _probe(block: int, buckets: int):
             places = ranges(np.zeros(len(n), np.int64), blocks) * block
             texts = np.repeat(np.arange(len(n)), blocks)
             anchors = rolling[start[texts] + places] if len(texts) else np.empty(0, np.uint64)
-            keys = np.asarray(b.column(0)).astype(np.int64)[texts]
             found, counts = np.unique(rolling[every] if len(every) else np.empty(0, np.uint64), return_counts=True)
             of = _bucket(found, buckets)
             order = np.argsort(of, kind="stable")
             low, many = found[order].astype(np.uint32), (counts > 1)[order]
             cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-            of_anchor = _bucket(anchors, buckets)
-            sort = np.argsort(of_anchor, kind="stable")
-            anchors, keys, places = anchors[sort].astype(np.uint32), keys[sort], places[sort].astype(np.int32)
-            ends = np.searchsorted(of_anchor[sort], np.arange(buckets + 1))
-            rows = [(k, low[i:j].tobytes(), np.packbits(many[i:j]).tobytes(), anchors[p:q].tobytes(), keys[p:q].tobytes(), places[p:q].tobytes()) for k, i, j, p, q in zip(range(buckets), cuts, cuts[1:], ends, ends[1:]) if j > i or q > p]
+            sort = np.lexsort((anchors, _bucket(anchors, buckets)))
+            anchors, texts, places = anchors[sort], texts[sort].astype(np.uint16), places[sort].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]])) if len(anchors) else np.empty(0, np.int64)
+            times = np.diff(np.append(first, len(anchors))).astype(np.uint32)
+            anchors = anchors[first]
+            ends = np.searchsorted(_bucket(anchors, buckets), np.arange(buckets + 1))
+            anchors = anchors.astype(np.uint32)
+            rows = [(k, piece, p, low[i:j].tobytes(), np.packbits(many[i:j]).tobytes(), anchors[p:q].tobytes(), *[None] * 4) for k, i, j, p, q in zip(range(buckets), cuts.tolist(), cuts[1:].tolist(), ends.tolist(), ends[1:].tolist()) if j > i or q > p]
+            if len(anchors):
+                rows.append((piece % buckets, piece, None, None, None, None, times.tobytes(), texts.tobytes(), places.tobytes(), np.asarray(b.column(0)).astype(np.int64).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), *[pa.binary()] * 5])], ["bucket", "low", "many", "anchors", "docs", "places"])
+                yield _rows(rows, PROBED)
 
     return run
 
 
-PROBED = "bucket int, low binary, many binary, anchors binary, docs binary, places binary"
+PROBED = "bucket int, piece long, start int, low binary, many binary, anchors binary, times binary, texts binary, places binary, keys binary"
+HIT = "piece long, start int, hit binary, times binary, texts binary, places binary, keys binary"
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, types[t]) for x, (_, t) in zip(zip(*rows), columns)], [name for name, _ in columns])
 
 
 def _joined(rows: list, name: str, kind: type) -> np.ndarray:
@@ -82,21 +99,53 @@ def _joined(rows: list, name: str, kind: type) -> np.ndarray:
 
 
 def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of a bucket that some other place has too."""
-    rows = [r for b in batches for r in b.to_pylist()]
+    """Which blocks of a bucket some other place has too, a bit for each block of a piece.  Each piece sends a
+    block once, in however many places it stands.  Rows of pieces themselves pass."""
+    rows = []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["keys"] is None:
+                rows.append(r)
+            else:
+                yield _rows([(r["piece"], None, None, r["times"], r["texts"], r["places"], r["keys"])], HIT)
     many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["low"]) // 4) for r in rows] or [np.empty(0, np.uint8)])
     packed = _joined(rows, "low", np.uint32).astype(np.uint64) << np.uint64(1) | many
     packed.sort()
     windows_, many = (packed >> np.uint64(1)).astype(np.uint32), (packed & np.uint64(1)).astype(bool)
-    anchors = _joined(rows, "anchors", np.uint32)
     first = np.flatnonzero(np.concatenate([[True], np.diff(windows_) != 0])) if len(windows_) else np.empty(0, np.int64)
     twice = (np.diff(np.append(first, len(windows_))) > 1) | (np.logical_or.reduceat(many, first) if len(first) else np.empty(0, bool))
     repeated = windows_[first[twice]]
-    at = np.searchsorted(repeated, anchors)
-    hit = np.zeros(len(anchors), bool)
-    inside = at < len(repeated)
-    hit[inside] = repeated[at[inside]] == anchors[inside]
-    yield pa.RecordBatch.from_arrays([pa.array(_joined(rows, "docs", np.int64)[hit]), pa.array(_joined(rows, "places", np.int32)[hit])], ["doc", "place"])
+    out = []
+    for r in rows if len(repeated) else []:
+        anchors = np.frombuffer(r["anchors"], np.uint32)
+        hit = repeated[np.minimum(np.searchsorted(repeated, anchors), len(repeated) - 1)] == anchors
+        if hit.any():
+            out.append((r["piece"], r["start"], np.packbits(hit).tobytes(), *[None] * 4))
+    for i in range(0, len(out), 256):
+        yield _rows(out[i : i + 256], HIT)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of whole pieces to the places of the blocks that were hit, a row for each text that has any."""
+    heads, rows = [], defaultdict(list)
+    for b in batches:
+        for r in b.to_pylist():
+            if r["keys"] is None:
+                rows[r["piece"]].append(r)
+            else:
+                heads.append(r)
+    for head in heads:
+        times = np.frombuffer(head["times"], np.uint32)
+        hit = np.zeros(len(times), bool)
+        for r in rows.pop(head["piece"], []):
+            hit[r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["hit"], np.uint8)))] = True
+        of = np.repeat(hit, times)
+        texts, places = np.frombuffer(head["texts"], np.uint16)[of], np.frombuffer(head["places"], np.int32)[of]
+        order = np.lexsort((places, texts))
+        texts, places = texts[order], places[order]
+        first = np.flatnonzero(np.diff(texts.astype(np.int64), prepend=-1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(texts)).astype(np.int32)), pa.array(places))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(head["keys"], np.int64)[texts[first]]), lists], ["doc", "places"])
 
 
 def _extend(window: int, block: int, buckets: int):
@@ -220,8 +269,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
         raise ValueError("window must be odd and at least 3")
     docs = one_row_per_key(docs, key, text)
     buckets, block = parts(docs.sparkSession), (window + 1) // 2
-    hits = docs.mapInArrow(_probe(block, buckets), PROBED).repartitionById(buckets, F.col("bucket")).mapInArrow(_hit, "doc long, place int")
-    hits = hits.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    hits = docs.mapInArrow(_probe(block, buckets), PROBED).repartitionById(buckets, F.col("bucket")).mapInArrow(_hit, HIT)
+    hits = hits.repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_places, "doc long, places array<int>")
     near = docs.join(hits, "doc").select("doc", "text", "places")
     found = near.mapInArrow(_extend(window, block, buckets), "bucket int, hashes binary, docs binary, places binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_repeats(buckets), "bucket int, docs binary, places binary")
     found = found.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge, "doc long, starts array<int>")

@@ -42,3 +42,13 @@ def test_equals_brute_force(spark, seed):
     assert sorted(tuple(r)[:4] for r in got) == brute(rows)
     assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_one_passage_in_every_text_and_many_times_in_one(spark):
+    pick = random.Random(5)
+    fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(72)  # four whole blocks: at the start of texts they are the same ones everywhere
+    rows = [(k, " ".join(passage + fresh(pick.choice([0, 10, 90])))) for k in range(200)]
+    rows += [(900, " ".join((passage + fresh(1)) * 60)), (901, " ".join(fresh(200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, substring_dedup(docs).collect())) == brute(rows)

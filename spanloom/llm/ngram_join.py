@@ -11,9 +11,9 @@
    order.  Sets that share such an n-gram form a block.  Pairs are never made within whole
    blocks: first each set meets the least key of its blocks; where a block's members
    still aren't connected, they meet the block's least member, then one drawn for it;
-   what is then left of pairs across components is held against the threshold,
-   unless sizes and places in the order exclude it, or the distances of the two
-   to a common first partner (Jaccard distance is a metric).
+   what is then left of pairs across components, by bands of sizes and tiles of them, is held
+   against the threshold, unless sizes and places in the order exclude it, or the distances
+   of the two to a common first partner (Jaccard distance is a metric).
 5. A pair's overlap is counted fragment by fragment and summed, then compared exactly in
    integers.  Links give components.
 
@@ -22,6 +22,7 @@ The only approximation is that n-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -239,8 +240,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str
         links, met = links.union(found.filter("linked").select("a", "b")), met.union(found.select("a", "b"))
     # the rest: pairs across components that neither sizes and places nor distances exclude
     left = cut(_apart(blocks, components(links)))
-    one, two = (left.select("gram", *[F.col(c).alias(f"{x}_{c}") for c in SIDE]) for x in "ab")
-    rest = _new_pairs(one.join(two, "gram").filter("a_doc < b_doc"), met, percent)
+    rest = _new_pairs(_within(left, percent), met, percent)
     links = links.union(overlaps(rest, segments, percent).filter("linked").select("a", "b"))
     joined = components(links.union(copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))))
     out = sets.select("doc", "n").join(joined, F.col("doc") == F.col("node"), "left")
@@ -255,6 +255,21 @@ def _apart(blocks: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 SIDE = ("doc", "n", "i", "component", "hub", "distance")
+#: Rows of a block and size band that meet the others of the block in one task.
+TILE = 1024
+
+
+def _within(left: DataFrame, percent: int) -> DataFrame:
+    """Two rows of a block (a the one of fewer n-grams) whose sizes don't exclude a link.  Sizes fall into bands such that
+    a link's are in one or in two next to each other; a band of many rows is dealt into tiles that meet the rest apart."""
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    rows = left.withColumn("band", F.floor(F.log("n") / width))
+    tiles = rows.groupBy("gram", "band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in SIDE]
+    one = rows.join(tiles, ["gram", "band"]).select("gram", "band", F.pmod(F.xxhash64("doc"), "tiles").alias("tile"), *side("a"))
+    two = rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).join(tiles, ["gram", "band"])
+    two = two.select("gram", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), *side("b"))
+    return one.join(two, ["gram", "band", "tile"]).filter("a_n < b_n or (a_n = b_n and a_doc < b_doc)")
 
 
 def _new_pairs(both: DataFrame, met: DataFrame, percent: int) -> DataFrame:

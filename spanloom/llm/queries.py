@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import pii, secrets
+from spanloom.llm import merkle, piece_codec, pii, secrets
 from spanloom.llm.decontaminate import contaminated
 from spanloom.llm.lm import language_model_scores
 from spanloom.llm.mixing import mix
@@ -79,10 +79,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, held against rows some of which have lost the line breaks of their text."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    df = merkle.manifest(table(spark, sf_dir, "documents"), fields, altered={"text": tampered})
+    df = df.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("altered"), F.col("proof")).alias("folded_root"))
+    return df.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    df = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    return df.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts, op11_dataset_manifest, op13_piece_codec)}
 
 
 #: Words of a text, in the checking engine's SQL.
@@ -103,9 +120,33 @@ v as (select doc_id, unnest(w) as word, unnest(range(1, n + 1)) as p from n), k
 t as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as left_ from k group by 1)
 select n.doc_id, n as n_words, n - coalesce(left_, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from n left join t using (doc_id)"""
 
+#: CRC-32 (reflected polynomial EDB88320) of a short ASCII text, a bit at a time.
+_CRC = """xor(list_reduce(flatten([[4294967295], flatten(list_transform(range(1, length({0}) + 1), lambda k: [cast(ascii(substr({0}, k, 1)) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))]),
+  lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else concat(strlen(cast({value} as varchar)), ':', {value}) end"
+
+
+_LEAF = f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars')))}, {{}}))"
+OP11_SQL = f"""with recursive t as (select *, case when {_CRC.format("cast(doc_id as varchar)")} % 2 = 0 then replace(text, chr(10), '') else text end as changed from documents),
+d as (select doc_id, source, {_LEAF.format(_field("text"))} as leaf, {_LEAF.format(_field("changed"))} as altered, count(*) over (partition by source) as n from t),
+l as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i from d),
+r(source, n, level, i, digest) as (select source, n, 0, i, leaf from l union all select source, (n + 2) // 3, level + 1, i // 3, sha256(string_agg(digest, '' order by i)) from r where n > 1 group by source, n, level, i // 3),
+top as (select source, digest as subroot, row_number() over (order by source nulls first) as place from r where n = 1), root as (select sha256(string_agg(subroot, '' order by place)) as root from top),
+step as (select l.doc_id, l.source, l.i as leaf_i, level, coalesce(string_agg(digest, '' order by r.i) filter (r.i < l.i // cast(power(3, level) as bigint)), '') as before, coalesce(string_agg(digest, '' order by r.i) filter (r.i > l.i // cast(power(3, level) as bigint)), '') as after
+  from l join r on l.source is not distinct from r.source and r.n > 1 and r.i // 3 = l.i // cast(power(3, level + 1) as bigint) group by 1, 2, 3, 4),
+last as (select a.source, coalesce(string_agg(b.subroot, '' order by b.place) filter (b.place < a.place), '') as before, coalesce(string_agg(b.subroot, '' order by b.place) filter (b.place > a.place), '') as after from top a, top b group by 1),
+steps as (select * from step union all select l.doc_id, l.source, l.i, 99, before, after from l join last on l.source is not distinct from last.source),
+p as (select source, leaf_i, list(struct_pack(before, after) order by level) as s from steps group by 1, 2),
+f(source, leaf_i, k, digest, s) as (select p.source, leaf_i, 1, altered, s from p join l on l.source is not distinct from p.source and l.i = leaf_i union all select source, leaf_i, k + 1, sha256(concat(s[k].before, digest, s[k].after)), s from f where k <= len(s))
+select l.doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: concat(x.before, x.after)), '')) as proof_sha256, digest as folded_root, digest = root as verified
+from l join f on l.source is not distinct from f.source and l.i = f.leaf_i and k = len(s) + 1 join top on l.source is not distinct from top.source, root"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL} | more
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op11_dataset_manifest": OP11_SQL} | more

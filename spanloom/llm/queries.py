@@ -13,6 +13,7 @@ from spanloom.llm.lm import language_model_scores
 from spanloom.llm.mixing import mix
 from spanloom.llm.ngram_join import ngram_jaccard_join
 from spanloom.llm.quality_rules import quality_rules
+from spanloom.llm.repair import repair
 from spanloom.llm.site_quality import host_of, path_of, site_quality, text_of
 from spanloom.llm.substring_dedup import substring_dedup
 from spanloom.llm.tokencount import token_counts
@@ -88,6 +89,19 @@ def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with turns dropped (``gone``), emptied, without sentence ends, doubled or given to the user, by a checksum of their place."""
+    place = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv_id", "", "turn")])
+    h = F.crc32(place) % 20
+    text = F.when(h.isin(0, 1), "").when(h == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(h == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(h == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (h == 0).alias("gone"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,7 +113,7 @@ def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts, op11_dataset_manifest, op13_piece_codec)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts, op11_dataset_manifest, op12_conversation_repair, op13_piece_codec)}
 
 
 #: Words of a text, in the checking engine's SQL.
@@ -145,8 +159,29 @@ select l.doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, l
 from l join f on l.source is not distinct from f.source and l.i = f.leaf_i and k = len(s) + 1 join top on l.source is not distinct from top.source, root"""
 
 
+_PLACE = "concat(coalesce(cast(conv_id as varchar), ' '), ':', coalesce(cast(turn as varchar), ' '))"
+OP12_SQL = f"""with recursive h as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_CRC.format("place")} % 20 as h from (select *, {_PLACE} as place from conversations)),
+d as (select conv_id, turn, case when h = 4 then 'user' else role end as role, case when h = 1 then '' when h = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when h = 3 then 2 else 1 end)) as copy from h where h <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last from d),
+f as (select conv_id, n, turn, role, text, left(role, 1) as i, case when last = '' then 2 when row_number() over (partition by conv_id, role, text order by n) > 1 then 3 when last in ('.', '!', '?') then 0 else 1 end as fault from o),
+ins(f, t, k) as (values (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 2, 2), (3, 3, 0), (3, 2, 1), (3, 3, 2)),
+act(t, nxt, letter, sym, price) as (values (0, 0, 'D', '', 2), (1, 1, 'D', '', 2), (2, 2, 'D', '', 2), (3, 3, 'D', '', 2), (0, 1, 'K', 's', 0), (0, 2, 'K', 'u', 0), (1, 2, 'K', 'u', 0), (2, 3, 'K', 'a', 0), (3, 2, 'K', 'u', 0), (0, 2, 'R', '', 1), (1, 2, 'R', '', 1), (2, 3, 'R', '', 1), (3, 2, 'R', '', 1)),
+b(conv_id, n, state, v) as (select distinct conv_id, cast(0 as bigint), 0, struct_pack(cost := cast(0 as bigint), audit := '') from f
+  union all select b.conv_id, b.n + 1, nxt, min(struct_pack(cost := cast(v.cost + 5 * k + price + case when letter <> 'D' and fault = 1 then 5 else 0 end as bigint), audit := concat(v.audit, repeat('I', k), letter)))
+  from b join f on f.conv_id is not distinct from b.conv_id and f.n = b.n + 1 join ins on ins.f = b.state join act on act.t = ins.t and (letter = 'D' or fault < 2 and (letter = 'R' or sym = i)) group by b.conv_id, b.n + 1, nxt),
+z as (select b.conv_id, min(struct_pack(cost := cast(v.cost + 5 * k as bigint), audit := concat(v.audit, repeat('I', k)))) as v from b join (select conv_id, max(n) as n from f group by 1) m on m.conv_id is not distinct from b.conv_id and m.n = b.n join ins on ins.f = b.state where ins.t in (0, 3) group by 1),
+e as (select conv_id, v.cost as cost, v.audit as audit, unnest(range(1, length(v.audit) + 1)) as p from z),
+g as (select conv_id, p, substr(audit, p, 1) as x, sum(case when substr(audit, p, 1) <> 'I' then 1 else 0 end) over (partition by conv_id order by p) as n, sum(case when substr(audit, p, 1) <> 'D' then 1 else 0 end) over (partition by conv_id order by p) as place, sum(case when substr(audit, p, 1) <> 'D' then 1 else 0 end) over (partition by conv_id) % 2 as headed from e),
+y as (select g.conv_id, string_agg(concat(case when x = 'K' then f.role when (place - 1 - headed) % 2 = 0 then 'user' else 'assistant' end, ':', case when x = 'I' then '' else f.text end), chr(10) order by p) as text
+  from g left join f on f.conv_id is not distinct from g.conv_id and f.n = g.n where x <> 'D' group by 1),
+q as (select *, lag(i) over (partition by conv_id order by n) as before from f),
+c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 2) as blank, count(*) filter (fault = 3) as duplicate, count(*) filter (fault = 1) as truncated, count(*) filter (n > 1 and concat(before, i) not in ('su', 'ua', 'au')) as illegal from q group by 1)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(z.v.cost, 0) as cost, coalesce(z.v.audit, '') as audit, sha256(coalesce(y.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join c on c.conv_id is not distinct from a.conv_id left join z on z.conv_id is not distinct from a.conv_id left join y on y.conv_id is not distinct from a.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op11_dataset_manifest": OP11_SQL} | more
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op11_dataset_manifest": OP11_SQL, "op12_conversation_repair": OP12_SQL} | more

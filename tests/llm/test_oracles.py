@@ -8,7 +8,8 @@ from spanloom.llm import queries
 def test_query_equals_sql(spark, name):
     path = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{path}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{path}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in want.description]
     got = queries.queries()[name](spark, path)

@@ -37,24 +37,74 @@ def slo_latency(minutes: DataFrame, thresholds: DataFrame) -> DataFrame:
     return both.groupBy("service_name", "threshold_ms").agg(F.when(F.col("threshold_ms") > 0, F.coalesce(late, F.lit(0.0))).otherwise(0.0).alias("bad_rate"))
 
 
+def known_objectives(definitions: DataFrame) -> DataFrame:
+    """The latest version of each objective (service_name, slo_name, target_pct, metric_type, threshold_ms, updated_at) with an error
+    budget and of a known kind: failed requests (error_rate), or minutes whose p95 exceeds the threshold (latency_p95)."""
+    return latest(definitions, ["service_name", "slo_name"], F.col("updated_at")).filter("target_pct < 100 and metric_type in ('error_rate', 'latency_p95')")
+
+
+def _bad_share(n: Column, errors: Column, minutes: Column, late: Column) -> Column:
+    """An objective's bad share from its service's sums; 0 without requests, and for latency where the threshold isn't positive."""
+    by_errors, by_minutes = F.try_divide(errors, n), F.when(F.col("threshold_ms") > 0, F.try_divide(late, minutes))
+    return F.coalesce(F.when(F.col("metric_type") == "error_rate", by_errors).otherwise(by_minutes), F.lit(0.0))
+
+
+def _late() -> Column:
+    return (F.col("p95") / 1e6 > F.col("threshold_ms")).cast("long")
+
+
 def burn_rates(spans: DataFrame, definitions: DataFrame, now_ms: int) -> DataFrame:
-    """Burn rate of every objective for each window up to ``now_ms``: bad share over the error budget.  Bad is failed
-    requests (error_rate), or minutes whose p95 exceeds the objective's threshold (latency_p95); others aren't known and
-    give no rows, nor do objectives without a budget.
+    """Burn rate of every known objective for each window up to ``now_ms``: bad share over the error budget.
+
+    The minutes of the longest window are made once; the shorter one is a condition on them.
+    """
+    d = known_objectives(definitions)
+    m = service_minutes(spans, now_ms - max(h for h, _, _ in BURN_WINDOWS) * 3_600_000, now_ms)
+    both = d.select("service_name", "threshold_ms").distinct().join(m, "service_name")
+    sums = []
+    for hours, above, severity in BURN_WINDOWS:
+        of = lambda c, h=hours: F.sum(F.when(F.col("minute") >= (now_ms - h * 3_600_000) * 1_000_000, c))
+        values = {"n": of(F.col("n")), "errors": of(F.col("errors")), "minutes": of(F.lit(1)), "late": of(_late())}
+        sums.append(F.struct(F.lit(hours).alias("hours"), F.lit(above).alias("above"), F.lit(severity).alias("severity"), *[v.alias(c) for c, v in values.items()]))
+    windows = both.groupBy("service_name", "threshold_ms").agg(F.array(*sums).alias("w"))
+    none = "cast(null as bigint)"
+    empty = F.array(*[F.expr(f"named_struct('hours', {h}, 'above', double({a}), 'severity', '{s}', 'n', {none}, 'errors', {none}, 'minutes', {none}, 'late', {none})") for h, a, s in BURN_WINDOWS])
+    out = d.join(windows, ["service_name", "threshold_ms"], "left").withColumn("w", F.explode(F.coalesce("w", empty))).select(*d.columns, "w.*")
+    return _burning(out, "service_name", "slo_name", "hours", "severity")
+
+
+def _burning(df: DataFrame, *keys: str) -> DataFrame:
+    bad = _bad_share(*map(F.col, ("n", "errors", "minutes", "late")))
+    df = df.withColumn("bad_rate", bad).withColumn("burn_rate", F.col("bad_rate") / (1 - F.col("target_pct") / 100))
+    return df.select(*keys, F.round("bad_rate", 6).alias("bad_rate"), F.round("burn_rate", 4).alias("burn_rate"), (F.col("burn_rate") > F.col("above")).alias("alert"))
+
+
+def burn_by_minute(spans: DataFrame, definitions: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
+    """burn_rates() at every whole minute from one time to another, as ``at_ms``.
 
-    definitions: service_name, slo_name, target_pct, metric_type, threshold_ms, updated_at; the latest version of each counts.
+    Spans are read once, into panes of a minute; minutes without requests are filled in, and a window's sums are the difference
+    of two running sums, so a row counts once however long the windows are.  A group is the minutes of one service and
+    threshold in the range, whatever its traffic.
     """
-    d = latest(definitions, ["service_name", "slo_name"], F.col("updated_at")).filter("target_pct < 100 and metric_type in ('error_rate', 'latency_p95')")
-    out = None
+    minute = 60_000
+    first, last = -(-from_ms // minute) * minute, to_ms // minute * minute
+    longest = max(h for h, _, _ in BURN_WINDOWS) * 60
+    d = known_objectives(definitions)
+    m = service_minutes(spans, first - longest * minute, last).withColumn("at_ms", F.expr("minute div 1000000")).drop("minute")
+    some = d.select("service_name", "threshold_ms").distinct()
+    grid = some.withColumn("at_ms", F.explode(F.sequence(F.lit(first - longest * minute), F.lit(last), F.lit(minute))))
+    panes = grid.join(m, ["service_name", "at_ms"], "left").withColumns({"minutes": F.col("n").isNotNull().cast("long"), "late": _late()})
+    by_time = Window.partitionBy("service_name", "threshold_ms").orderBy("at_ms")
+    sums = ("n", "errors", "minutes", "late")
+    running = panes.withColumns({c: F.sum(F.coalesce(c, F.lit(0))).over(by_time.rowsBetween(Window.unboundedPreceding, 0)) for c in sums})
+    windows = []
     for hours, above, severity in BURN_WINDOWS:
-        m = service_minutes(spans, now_ms - hours * 3_600_000, now_ms)
-        failed = d.filter("metric_type = 'error_rate'").join(slo_error_rate(m), "service_name", "left")
-        late = d.filter("metric_type = 'latency_p95'")
-        late = late.join(slo_latency(m, late), ["service_name", "threshold_ms"], "left")
-        both = failed.unionByName(late).withColumns({"hours": F.lit(hours), "severity": F.lit(severity), "above": F.lit(above)})
-        out = both if out is None else out.unionByName(both)
-    out = out.withColumn("bad_rate", F.coalesce("bad_rate", F.lit(0.0))).withColumn("burn_rate", F.col("bad_rate") / (1 - F.col("target_pct") / 100))
-    return out.select("service_name", "slo_name", "hours", "severity", F.round("bad_rate", 6).alias("bad_rate"), F.round("burn_rate", 4).alias("burn_rate"), (F.col("burn_rate") > F.col("above")).alias("alert"))
+        # a window of h hours holds the minutes at both of its ends
+        within = [(F.col(c) - F.coalesce(F.lag(c, hours * 60 + 1).over(by_time), F.lit(0))).alias(c) for c in sums]
+        windows.append(F.struct(F.lit(hours).alias("hours"), F.lit(above).alias("above"), F.lit(severity).alias("severity"), *within))
+    rows = running.select("service_name", "threshold_ms", "at_ms", F.array(*windows).alias("w")).filter(F.col("at_ms") >= first)
+    rows = rows.select("service_name", "threshold_ms", "at_ms", F.explode("w").alias("w")).select("service_name", "threshold_ms", "at_ms", "w.*")
+    return _burning(d.join(rows, ["service_name", "threshold_ms"]), "service_name", "slo_name", "at_ms", "hours", "severity")
 
 
 def burn_alerts(rates: DataFrame, now_ms: int, service: str = "", limit: int | None = 100) -> DataFrame:

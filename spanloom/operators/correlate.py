@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.core import NANO, bucket, latest, nanos_between
+from spanloom.functions.ranking import first_within
+from spanloom.plans.tables import cut
 
 MINUTE_MS = 60_000
 
@@ -23,53 +25,72 @@ def minutes_within(ranges: DataFrame, minutes: DataFrame) -> DataFrame:
     scale = F.lit(SCALES[-1]).cast("long")
     for x in SCALES[-2::-1]:
         scale = F.when(F.col("to_min") - F.col("from_min") < x * SPREAD, F.lit(x).cast("long")).otherwise(scale)
-    r = ranges.withColumn("_scale", scale).withColumn("_b", F.explode(F.sequence(F.floor(F.col("from_min") / F.col("_scale")), F.floor(F.col("to_min") / F.col("_scale")))))
-    m = minutes.withColumn("_scale", F.explode(F.array(*[F.lit(x).cast("long") for x in SCALES]))).withColumn("_b", F.floor(F.col("minute") / F.col("_scale")))
+    buckets = F.sequence(F.floor(F.col("from_min") / F.col("_scale")), F.floor(F.col("to_min") / F.col("_scale")))
+    r = ranges.filter("from_min <= to_min").withColumn("_scale", scale).withColumn("_b", F.explode(buckets))
+    each = F.explode(F.array(*[F.lit(x).cast("long") for x in SCALES]))
+    m = minutes.withColumn("_scale", each).withColumn("_b", F.floor(F.col("minute") / F.col("_scale")))
     return r.join(m, ["service_name", "_scale", "_b"]).filter("minute between from_min and to_min").drop("_scale", "_b")
 
 
+def trace_heads(spans: DataFrame) -> DataFrame:
+    """``trace_id, service_name, from_ms, to_ms`` of traces from their spans (position, at_ms, duration_ms): the first service that isn't
+    blank, the first start that isn't 0, the last end.  Traces without such a service or a positive start have no row."""
+    named = F.col("service_name") != ""
+    g = spans.groupBy("trace_id").agg(
+        F.min_by(F.when(named, F.col("service_name")), F.when(named, F.col("position"))).alias("service_name"),
+        F.min(F.when(F.col("at_ms") != 0, F.col("at_ms"))).alias("from_ms"),
+        F.greatest(F.max(F.col("at_ms") + F.col("duration_ms")), F.lit(0)).alias("to_ms"),
+    )
+    return g.filter("service_name is not null and from_ms > 0")
+
+
 def trace_context(spans: DataFrame, logs: DataFrame, most_spans: int = 500, most_logs: int = 200) -> DataFrame:
-    """For every trace its spans by start, the logs that name it or fall in its time at the service of its first span,
-    and that service's rates per minute around it: a row each, by ``trace_id, what, position``.
+    """For every trace its spans by start, the logs that name it or fall in its time at its service, and that service's
+    rates per minute around it: a row each, by ``trace_id, what, position``.
 
-    item, name: a span's id and name, a log's id and severity, a service.  A span that ends before it starts lasts 0 ms.
-    Logs by time are met by minute: a trace takes minutes until they hold ``most_logs``, whatever its length.
+    item, name: a span's id and name, a log's id and severity, a service; a log's own trace and span are ``log_trace_id`` and
+    ``log_span_id``.  Logs by time lie between the first and last millisecond of the trace, bounds included; rates are those of minutes
+    that begin from a minute before to a minute after it, in whole seconds.  A trace's logs by time are found by their places in
+    their service's order, the first ``most_logs`` only, so a crowded minute costs a trace no more than that.
     """
     by_start = Window.partitionBy("trace_id").orderBy("start_time_nano", "span_id")
     s = spans.withColumn("position", F.row_number().over(by_start)).filter(F.col("position") <= most_spans)
-    at = F.floor(F.col("start_time_nano") / 1_000_000)
-    lasted = F.greatest(F.floor((F.col("end_time_nano") - F.col("start_time_nano")) / 1_000_000), F.lit(0).cast("long"))
-    s = s.select("trace_id", F.lit("span").alias("what"), "position", F.col("span_id").alias("item"), "name", "service_name", "parent_span_id", at.alias("at_ms"), lasted.alias("duration_ms"), "status_code", "exception_type", "exception_message", "http_status_code")
-    head = s.groupBy("trace_id").agg(F.min_by("service_name", "position").alias("service_name"), F.min("at_ms").alias("from_ms"), F.max(F.col("at_ms") + F.col("duration_ms")).alias("to_ms"))
-    minute = lambda c: F.floor(F.col(c) / MINUTE_MS)
+    s = s.select(
+        "trace_id", F.lit("span").alias("what"), "position", F.col("span_id").alias("item"), "name", "service_name", "parent_span_id",
+        F.expr("start_time_nano div 1000000").alias("at_ms"), F.expr("(end_time_nano - start_time_nano) div 1000000").alias("duration_ms"),
+        "status_code", "exception_type", "exception_message", "http_status_code",
+    )
+    head = trace_heads(s)
     # logs: by id, and by service and time
-    l = logs.select(F.col("trace_id").alias("log_trace"), F.col("event_id").cast("string").alias("item"), F.col("severity_text").alias("name"), "service_name", F.floor(F.col("timestamp_nano") / 1_000_000).alias("at_ms"), "exception_type", "body")
-    own = l.join(head.select(F.col("trace_id").alias("log_trace")), "log_trace", "left_semi").withColumnRenamed("log_trace", "trace_id")
-    counts = l.groupBy("service_name", minute("at_ms").alias("minute")).agg(F.count("*").alias("n"))
-    near = minutes_within(head.withColumn("from_min", minute("from_ms")).withColumn("to_min", minute("to_ms")), counts)
-    # the first minute may hold logs from before the trace, so it doesn't count
-    before = F.sum(F.when(F.col("minute") > F.col("from_min"), F.col("n")).otherwise(0)).over(Window.partitionBy("trace_id").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1))
-    near = near.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most_logs).drop("n", "before", "from_min", "to_min")
-    near = near.join(l.withColumn("minute", minute("at_ms")), ["service_name", "minute"]).filter("at_ms between from_ms and to_ms").select(own.columns)
-    log_order = Window.partitionBy("trace_id").orderBy("at_ms", F.col("item").cast("long"))
-    both = own.union(near).distinct().withColumn("position", F.row_number().over(log_order)).filter(F.col("position") <= most_logs)
-    rows = s.unionByName(both.withColumn("what", F.lit("log")), allowMissingColumns=True)
+    l = logs.select(
+        F.col("trace_id").alias("log_trace_id"), F.col("span_id").alias("log_span_id"), F.col("event_id").alias("log_id"), F.col("severity_text").alias("name"),
+        "service_name", "timestamp_nano", "exception_type", "body",
+    )
+    own = l.join(s.select(F.col("trace_id").alias("log_trace_id")).distinct(), "log_trace_id", "left_semi").withColumn("trace_id", F.col("log_trace_id"))
+    ranges = head.select("trace_id", "service_name", (F.col("from_ms") * 1_000_000).alias("range_from"), (F.col("to_ms") * 1_000_000).alias("range_to"))
+    near = first_within(ranges, l, "service_name", "timestamp_nano", ["log_id"], most_logs).drop("position")
+    log_order = Window.partitionBy("trace_id").orderBy("timestamp_nano", "log_id")
+    both = own.unionByName(near).distinct().withColumn("position", F.row_number().over(log_order)).filter(F.col("position") <= most_logs)
+    both = both.withColumns({"what": F.lit("log"), "item": F.col("log_id").cast("string"), "at_ms": F.expr("timestamp_nano div 1000000")})
+    rows = s.unionByName(both.drop("log_id", "timestamp_nano"), allowMissingColumns=True)
     # rates of the service in the minutes around
-    red = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", (bucket("start_time_nano", 60) / (60 * NANO)).cast("long").alias("minute")).agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.round(F.percentile("duration_nano", F.lit(0.95)) / 1e6, 6).alias("p95_ms"))
-    around = head.select("trace_id", "service_name", F.ceil((F.col("from_ms") - MINUTE_MS) / MINUTE_MS).alias("from_min"), F.floor((F.col("to_ms") + MINUTE_MS) / MINUTE_MS).alias("to_min"))
+    red = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", (bucket("start_time_nano", 60) / (60 * NANO)).cast("long").alias("minute"))
+    red = red.agg(F.count("*").alias("n"), F.sum((F.col("status_code") == 2).cast("long")).alias("errors"), F.round(F.percentile("duration_nano", F.lit(0.95)) / 1e6, 6).alias("p95_ms"))
+    second = lambda c: F.expr(f"{c} div 1000")
+    around = head.select("trace_id", "service_name", F.ceil((second("from_ms") - 60) / 60).alias("from_min"), F.floor((second("to_ms") + 60) / 60).alias("to_min"))
     red = minutes_within(around, red).withColumn("position", F.row_number().over(Window.partitionBy("trace_id").orderBy("minute")))
     red = red.select("trace_id", F.lit("red").alias("what"), "position", F.col("service_name").alias("item"), "service_name", (F.col("minute") * MINUTE_MS).alias("at_ms"), "n", "errors", "p95_ms")
     return rows.unionByName(red, allowMissingColumns=True)
 
 
 def nearby_deployments(anomalies: DataFrame, deployments: DataFrame, window_ms: int = 300_000, most: int = 10) -> DataFrame:
-    """For each anomaly the deployments of its service within the window, newest first; joined by service and
-    time bucket as wide as the window."""
-    a = anomalies.select(F.col("id").alias("anomaly_id"), "service_name", "detected_at_ms").withColumn("b", F.explode(F.array(*[F.floor(F.col("detected_at_ms") / window_ms) + k for k in (-1, 0, 1)])))
-    d = deployments.select(F.col("id").alias("deployment_id"), "service_name", "version", "deployed_at_ms").withColumn("b", F.floor(F.col("deployed_at_ms") / window_ms))
-    both = a.join(d, ["service_name", "b"]).filter(F.abs(F.col("detected_at_ms") - F.col("deployed_at_ms")) <= window_ms)
-    rank = F.row_number().over(Window.partitionBy("anomaly_id").orderBy(F.col("deployed_at_ms").desc(), "deployment_id"))
-    return both.withColumn("position", rank).filter(F.col("position") <= most).select("anomaly_id", "service_name", "deployment_id", "version", "deployed_at_ms", "position")
+    """For each anomaly the deployments of its service within the window, newest first; times count backwards, so the newest
+    are the first of a range."""
+    at = -F.col("detected_at_ms")
+    a = anomalies.select(F.col("id").alias("anomaly_id"), "service_name", (at - window_ms).alias("range_from"), (at + window_ms).alias("range_to"))
+    d = deployments.select(F.col("id").alias("deployment_id"), "service_name", "version", "deployed_at_ms", (-F.col("deployed_at_ms")).alias("_back"))
+    found = first_within(a, d, "service_name", "_back", ["deployment_id"], most)
+    return found.select("anomaly_id", "service_name", "deployment_id", "version", "deployed_at_ms", "position")
 
 
 def red_baseline(spans: DataFrame, now_ms: int | None = None, days: int = 28) -> DataFrame:
@@ -96,28 +117,75 @@ def baseline_in_force(computed: DataFrame) -> DataFrame:
     return latest(computed, ["service_name", "span_name", "http_route", "dow", "hour"], F.col("computed_at_ms"))
 
 
+def alerting(candidates: DataFrame, place: list[str], time: str, quiet: int) -> DataFrame:
+    """The candidates that alert: of each place the first, and then each first one that comes ``quiet`` or more after the last
+    that alerted; so what lasts alerts again.  A candidate's time is its own within its place.
+
+    Each candidate points to the first one ``quiet`` on.  One that comes ``quiet`` or more after the candidate before it alerts
+    whatever went before; from these the alerts are reached along the pointers, which double their length in each round,
+    so a place with n alerts in a row takes log n rounds of joins and no walk.
+    """
+    end = 2**63 - 1
+    by_time = Window.partitionBy("_place").orderBy(time)
+    c = candidates.withColumn("_place", F.to_json(F.struct(*place)))
+    after, before = F.coalesce(F.lead(time).over(by_time), F.lit(end)), F.lag(time).over(by_time)
+    c = c.withColumns({"_after": after, "_starts": before.isNull() | (F.col(time) - before >= quiet)})
+    # the candidate after the last one within ``quiet``
+    c = cut(c.withColumn("_next", F.max("_after").over(by_time.rangeBetween(0, quiet - 1))))
+    reached = c.filter("_starts").select("_place", F.col(time).alias("_at"))
+    # a pointer to a start leads to what is reached already
+    starts = reached.withColumnRenamed("_at", "_to")
+    pointers = cut(c.filter(F.col("_next") < end).select("_place", F.col(time).alias("_at"), F.col("_next").alias("_to")).join(starts, ["_place", "_to"], "left_anti"))
+    while not pointers.isEmpty():
+        more = reached.join(pointers, ["_place", "_at"]).select("_place", F.col("_to").alias("_at"))
+        reached = cut(reached.unionByName(more).distinct())
+        far = pointers.select("_place", F.col("_at").alias("_to"), F.col("_to").alias("_far"))
+        pointers = cut(pointers.join(far, ["_place", "_to"]).select("_place", "_at", F.col("_far").alias("_to")))
+    reached = reached.withColumnRenamed("_at", time)
+    return c.join(reached, ["_place", time], "left_semi").select(candidates.columns)
+
+
+def _zscore_kinds() -> Column:
+    """The three measures of a minute against its baseline, each with its z-score upwards of trouble."""
+    of = {"latency_p95_spike": ("p95_mean", "p95_dev", 1), "error_rate_spike": ("error_mean", "error_dev", 1), "traffic_drop": ("count_mean", "count_dev", -1)}
+    each = []
+    for k, (mean, dev, sign) in of.items():
+        z = F.try_divide((F.col(k) - F.col(mean)) * sign, F.col(dev))
+        each.append(F.struct(F.lit(k).alias("anomaly_type"), F.col(k).alias("current_value"), F.col(mean).alias("baseline_value"), z.alias("z_score")))
+    return F.explode(F.array(*each))
+
+
 def detect_anomalies(spans: DataFrame, baseline: DataFrame, warning: float = 2.0, critical: float = 3.0, quiet_min: int = 10) -> DataFrame:
-    """Minutes that lie off their baseline by z-score: p95 and error rate above, traffic below.  After one, the
-    same kind at the same place is silent for ``quiet_min`` minutes, counted from the last candidate."""
-    m = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", F.col("name").alias("span_name"), "http_route", bucket("start_time_nano", 60).alias("minute")).agg(F.count("*").cast("double").alias("traffic_drop"), F.avg((F.col("status_code") == 2).cast("double")).alias("error_rate_spike"), (F.percentile("duration_nano", F.lit(0.95)) / 1e6).alias("latency_p95_spike"))
+    """Minutes that lie off their baseline by z-score: p95 and error rate above, traffic below.  After an alert, the
+    same kind at the same place is silent for ``quiet_min`` minutes; see alerting()."""
+    place = ["service_name", "span_name", "http_route"]
+    m = spans.filter(F.col("kind").isin(2, 5)).groupBy("service_name", F.col("name").alias("span_name"), "http_route", bucket("start_time_nano", 60).alias("minute"))
+    m = m.agg(
+        F.count("*").cast("double").alias("traffic_drop"),
+        F.avg((F.col("status_code") == 2).cast("double")).alias("error_rate_spike"),
+        (F.percentile("duration_nano", F.lit(0.95)) / 1e6).alias("latency_p95_spike"),
+    )
     hours = F.floor(F.col("minute") / (3600 * NANO))
-    m = m.withColumn("hour", F.pmod(hours, F.lit(24)).cast("int")).withColumn("dow", (F.pmod(F.floor(hours / 24) + 3, F.lit(7)) + 1).cast("int")).join(baseline, ["service_name", "span_name", "http_route", "dow", "hour"])
-    of = {"latency_p95_spike": ("p95_mean", "p95_dev", 1), "error_rate_spike": ("error_mean", "error_dev", 1), "traffic_drop": ("count_mean", "count_dev", -1)}
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("anomaly_type"), F.col(k).alias("current_value"), F.col(a).alias("baseline_value"), F.try_divide((F.col(k) - F.col(a)) * sign, F.col(d)).alias("z_score")) for k, (a, d, sign) in of.items()]))
-    c = m.select("service_name", "span_name", "http_route", "minute", kinds.alias("k")).select("service_name", "span_name", "http_route", "minute", "k.*").filter(F.col("z_score") >= warning)
-    before = F.lag("minute").over(Window.partitionBy("service_name", "span_name", "http_route", "anomaly_type").orderBy("minute"))
-    c = c.withColumn("before", before).filter(F.col("before").isNull() | (F.col("minute") - F.col("before") >= quiet_min * 60 * NANO)).drop("before")
-    key = F.concat_ws("|", "service_name", "span_name", "http_route", "anomaly_type", F.col("minute").cast("string"))
-    return c.select(F.sha2(key, 256).alias("id"), "service_name", "span_name", "anomaly_type", (F.col("minute") / 1_000_000).cast("long").alias("detected_at_ms"), F.round("current_value", 4).alias("current_value"), F.round("baseline_value", 4).alias("baseline_value"), F.round("z_score", 3).alias("z_score"),
-                    F.when(F.col("z_score") >= critical, "critical").otherwise("warning").alias("severity"))
+    m = m.withColumn("hour", F.pmod(hours, F.lit(24)).cast("int")).withColumn("dow", (F.pmod(F.floor(hours / 24) + 3, F.lit(7)) + 1).cast("int")).join(baseline, [*place, "dow", "hour"])
+    c = m.select(*place, "minute", _zscore_kinds().alias("k")).select(*place, "minute", "k.*").filter(F.col("z_score") >= warning)
+    c = alerting(c, [*place, "anomaly_type"], "minute", quiet_min * 60 * NANO)
+    key = F.concat_ws("|", *place, "anomaly_type", F.col("minute").cast("string"))
+    return c.select(
+        F.sha2(key, 256).alias("id"), "service_name", "span_name", "anomaly_type", (F.col("minute") / 1_000_000).cast("long").alias("detected_at_ms"),
+        F.round("current_value", 4).alias("current_value"), F.round("baseline_value", 4).alias("baseline_value"), F.round("z_score", 3).alias("z_score"),
+        F.when(F.col("z_score") >= critical, "critical").otherwise("warning").alias("severity"),
+    )
 
 
 def rca_rows(anomalies: DataFrame, spans: DataFrame, deployments: DataFrame, most: int = 10) -> DataFrame:
-    """Anomalies with the failed spans of their service and minute and the deployments nearby, as JSON lists."""
-    errors = spans.filter("status_code = 2").select("service_name", F.floor(F.col("start_time_nano") / (60 * NANO)).alias("m"), "span_id", "start_time_nano")
-    a = anomalies.withColumn("m", F.floor(F.col("detected_at_ms") / MINUTE_MS))
-    near = a.select("id", "service_name", "m").join(errors, ["service_name", "m"]).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("start_time_nano", "span_id"))).filter(F.col("r") <= most)
-    near = near.groupBy("id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("r", "span_id"))), lambda x: x.span_id)).alias("correlated_spans"))
-    deployed = nearby_deployments(anomalies, deployments).groupBy(F.col("anomaly_id").alias("id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("position", "deployment_id"))), lambda x: x.deployment_id)).alias("nearby_deployments"))
+    """Anomalies with the first failed spans of their service and minute and the deployments nearby, as JSON lists."""
+    listed = lambda position, item: F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(position, item))), lambda x: x[item]))
+    errors = spans.filter("status_code = 2").select("service_name", "span_id", "start_time_nano")
+    start = F.floor(F.col("detected_at_ms") / MINUTE_MS) * (60 * NANO)
+    ranges = anomalies.select("id", "service_name", start.alias("range_from"), (start + (60 * NANO - 1)).alias("range_to"))
+    near = first_within(ranges, errors, "service_name", "start_time_nano", ["span_id"], most)
+    near = near.groupBy("id").agg(listed("position", "span_id").alias("correlated_spans"))
+    deployed = nearby_deployments(anomalies, deployments).groupBy(F.col("anomaly_id").alias("id")).agg(listed("position", "deployment_id").alias("nearby_deployments"))
     out = anomalies.join(near, "id", "left").join(deployed, "id", "left")
-    return out.select("id", "service_name", "span_name", "anomaly_type", "severity", "detected_at_ms", F.coalesce("correlated_spans", F.lit("[]")).alias("correlated_spans"), F.coalesce("nearby_deployments", F.lit("[]")).alias("nearby_deployments"))
+    lists = [F.coalesce(c, F.lit("[]")).alias(c) for c in ("correlated_spans", "nearby_deployments")]
+    return out.select("id", "service_name", "span_name", "anomaly_type", "severity", "detected_at_ms", *lists)

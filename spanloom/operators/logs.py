@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.core import NANO, TIERS, bucket, buckets_between, choose_error_tier, equals, nanos_between, page, received_between
+from spanloom.functions.ranking import first_within
 
 ERROR = 17
 
 
 def logs(df: DataFrame, limit: int | None = 100, offset: int = 0, from_ms: int | None = None, to_ms: int | None = None, service: str = "", severity: str = "", trace_id: str = "") -> DataFrame:
-    """Logs received in a range, newest first."""
+    """Logs received in a range, the last received first."""
     df = equals(received_between(df, from_ms, to_ms), service_name=service, severity_text=severity, trace_id=trace_id)
-    return page(df, [F.col("timestamp_nano").desc(), F.col("event_id")], limit, offset)
+    return page(df, [F.col("received_at_ms").desc(), F.col("event_id")], limit, offset)
 
 
 def log_search(df: DataFrame, service: str = "", severity: str = "", keyword: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 100, offset: int = 0) -> DataFrame:
@@ -31,13 +32,10 @@ def log_context(df: DataFrame, service: str, at_nano: int, window_sec: int = 30,
 
 
 def log_context_join(points: DataFrame, df: DataFrame, window_sec: int = 30, limit: int = 50) -> DataFrame:
-    """The same for many points (point_id, service_name, at_nano): joined by service and time bucket as wide as
-    the window, so each point meets three buckets."""
+    """The same for many points (point_id, service_name, at_nano), with ``position``; see first_within()."""
     w = window_sec * NANO
-    p = points.withColumn("b", F.explode(F.array(*[F.floor(F.col("at_nano") / w) + k for k in (-1, 0, 1)])))
-    rows = df.withColumn("b", F.floor(F.col("timestamp_nano") / w)).join(p, ["service_name", "b"]).filter(F.abs(F.col("timestamp_nano") - F.col("at_nano")) <= w).drop("b")
-    rank = F.row_number().over(Window.partitionBy("point_id").orderBy("timestamp_nano", "event_id"))
-    return rows.withColumn("position", rank).filter(F.col("position") <= limit)
+    ranges = points.withColumns({"range_from": F.col("at_nano") - w, "range_to": F.col("at_nano") + w})
+    return first_within(ranges, df, "service_name", "timestamp_nano", ["event_id"], limit)
 
 
 def error_log_rollup(df: DataFrame, tier: str) -> DataFrame:
@@ -71,10 +69,10 @@ def log_volume(df: DataFrame, rollup: DataFrame | None = None, service: str = ""
 
 
 def log_patterns(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 20) -> DataFrame:
-    """Beginnings of bodies with long numbers blanked, most frequent first."""
+    """Beginnings of bodies with long numbers blanked, by severity and service, most frequent first."""
     df = equals(df.filter(nanos_between("timestamp_nano", from_ms, to_ms)), service_name=service)
-    g = df.groupBy(F.regexp_replace(F.left("body", F.lit(120)), "[0-9]{4,}", "N").alias("pattern")).agg(F.count("*").alias("n"), F.min("timestamp_nano").alias("first_seen"), F.max("timestamp_nano").alias("last_seen"))
-    return page(g, [F.col("n").desc(), F.col("pattern")], limit)
+    g = df.groupBy(F.regexp_replace(F.left("body", F.lit(120)), "[0-9]{4,}", "N").alias("pattern"), "severity_text", "service_name").agg(F.count("*").alias("n"), F.min("timestamp_nano").alias("first_seen"), F.max("timestamp_nano").alias("last_seen"))
+    return page(g, [F.col("n").desc(), F.col("pattern"), F.col("severity_text"), F.col("service_name")], limit)
 
 
 def log_fields(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, top: int = 10) -> DataFrame:

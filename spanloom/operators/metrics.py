@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.core import TIERS, at_between, attribute, bucket, buckets_between, choose_tier, equals, histogram_percentiles, nanos_between, page, received_between
@@ -26,12 +26,14 @@ HISTOGRAM_KEYS = ["service_name", "metric_name", "minute"]
 
 
 def metrics(scalars: DataFrame, histograms: DataFrame, limit: int | None = 100, offset: int = 0, from_ms: int | None = None, to_ms: int | None = None, service: str = "", name: str = "") -> DataFrame:
-    """Scalar rows and then histogram rows (value: their sum), each limited; the offset is for scalars."""
-    a = equals(received_between(scalars, from_ms, to_ms), service_name=service, name=name).select("event_id", "name", "type", "value", "service_name", "timestamp_nano")
-    h = histograms.select("event_id", F.col("metric_name").alias("name"), F.lit("HISTOGRAM").alias("type"), F.col("total_sum").alias("value"), "service_name", "timestamp_nano", "received_at_ms")
-    h = equals(received_between(h, from_ms, to_ms), service_name=service, name=name).drop("received_at_ms")
-    order = [F.col("timestamp_nano").desc(), F.col("event_id")]
-    return page(a, order, limit, offset).unionByName(page(h, order, limit))
+    """Scalar rows and then histogram rows (value: their sum), the last received first, each limited; the offset is for scalars.
+    Scalars have no count, bounds or bucket counts."""
+    point = ["event_id", "name", "type", "value", "service_name", "timestamp_nano", "received_at_ms", "attributes"]
+    a = equals(received_between(scalars, from_ms, to_ms), service_name=service, name=name).select(*point)
+    h = histograms.select("event_id", F.col("metric_name").alias("name"), F.lit("HISTOGRAM").alias("type"), F.col("total_sum").alias("value"), "service_name", "timestamp_nano", "received_at_ms", "attributes", F.col("total_count").alias("count"), "bounds", "bucket_counts")
+    h = equals(received_between(h, from_ms, to_ms), service_name=service, name=name)
+    order = [F.col("received_at_ms").desc(), F.col("event_id")]
+    return page(a, order, limit, offset).unionByName(page(h, order, limit), allowMissingColumns=True)
 
 
 def histogram_rollup(df: DataFrame, tier: str) -> DataFrame:
@@ -135,10 +137,14 @@ def pod_contexts(spans: DataFrame, service: str = "", from_ms: int | None = None
     return page(g, [F.col("span_count").desc(), *map(F.col, ("service_name", *keys))], limit)
 
 
-def infra_correlation(spans: DataFrame, scalars: DataFrame, from_ms: int | None = None, to_ms: int | None = None, service: str = "") -> DataFrame:
-    """Metric minutes of the services whose spans name some context."""
-    known = pod_contexts(spans, service, from_ms, to_ms, None).select("service_name").distinct()
-    return metric_minutes(scalars, service, from_ms, to_ms).join(known, "service_name", "left_semi")
+def infra_correlation(spans: DataFrame, scalars: DataFrame, from_ms: int | None = None, to_ms: int | None = None, service: str = "", most: int = 20) -> DataFrame:
+    """For each service whose spans name a pod or host: its ``most`` most frequent contexts (what: context) and its metric
+    minutes (what: minute).  A service without a context has no rows."""
+    places = pod_contexts(spans, service, from_ms, to_ms, None)
+    rank = F.row_number().over(Window.partitionBy("service_name").orderBy(F.col("span_count").desc(), "pod", "node", "namespace", "host"))
+    contexts = places.withColumn("position", rank).filter(F.col("position") <= most)
+    minutes = metric_minutes(scalars, service, from_ms, to_ms).join(contexts.select("service_name").distinct(), "service_name", "left_semi")
+    return contexts.withColumn("what", F.lit("context")).unionByName(minutes.withColumn("what", F.lit("minute")), allowMissingColumns=True)
 
 
 def pod_summary(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:

@@ -14,6 +14,8 @@ from spanloom.functions.core import NANO, matches_glob
 from spanloom.plans.tables import cut
 
 HIGH_CARDINALITY = "__high_cardinality__"
+#: Reasons for which a trace goes past the adaptive limit.
+CRITICAL = ("error", "latency")
 
 
 @dataclass(frozen=True)
@@ -55,14 +57,16 @@ def keeps_share(trace_id: Column, rate: float) -> Column:
 
 
 def trace_facts(spans: DataFrame) -> DataFrame:
-    """What decides on a trace: an error, the latency (of the first root to arrive, else of any span), the first service."""
+    """What decides on a trace: an error, the latency (of the first root to arrive, else of any span), the service (of that
+    root, else of the first span to arrive)."""
     arrival = F.struct("received_at_ms", "span_id")
     root = F.col("parent_span_id") == ""
     g = spans.groupBy("trace_id").agg(
         F.bool_or(F.col("status_code") == 2).alias("failed"), F.min_by(F.when(root, F.col("duration_nano")), F.when(root, arrival)).alias("root_nano"), F.max("duration_nano").alias("most_nano"),
-        F.min_by("service_name", arrival).alias("service_name"), F.min("received_at_ms").alias("first_ms"),
+        F.min_by(F.when(root, F.col("service_name")), F.when(root, arrival)).alias("root_service"), F.min_by("service_name", arrival).alias("service_name"), F.min("received_at_ms").alias("first_ms"),
     )
-    return g.withColumn("latency_nano", F.coalesce("root_nano", "most_nano"))
+    g = g.withColumn("latency_nano", F.coalesce("root_nano", "most_nano"))
+    return g.withColumn("service_name", F.coalesce("root_service", "service_name")).drop("root_service")
 
 
 def decision(config: Sampling) -> Column:
@@ -165,50 +169,57 @@ def adaptive_rates(traces: DataFrame, target_tps: float, least: float = 0.01, mo
 
 
 def adaptive_limit(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3, tick_ms: int = 1000) -> DataFrame:
-    """Traces that pass: of each tick every round(1/rate)-th by arrival; critical ones (error, latency) always."""
-    rates = adaptive_rates(traces, target_tps, least, most, alpha, tick_ms)
+    """Traces that pass: critical ones (error, latency) go by and are never counted; of the others every round(1/rate)-th
+    of each tick by arrival."""
+    critical = F.col("reason").isin(*CRITICAL)
+    offered = traces.filter(~critical)
+    rates = adaptive_rates(offered, target_tps, least, most, alpha, tick_ms)
     w = Window.partitionBy("tick").orderBy("first_ms", "trace_id")
-    t = traces.withColumn("tick", F.floor(F.col("first_ms") / tick_ms)).join(rates, "tick").withColumn("k", F.row_number().over(w))
+    t = offered.withColumn("tick", F.floor(F.col("first_ms") / tick_ms)).join(rates, "tick").withColumn("k", F.row_number().over(w))
     every = F.greatest(F.floor(1 / F.col("rate") + 0.5), F.lit(1))
-    return t.filter(F.col("reason").isin("error", "latency") | (F.col("k") % every == 0)).drop("tick", "rate", "k")
+    return traces.filter(critical).unionByName(t.filter(F.col("k") % every == 0).select(traces.columns))
 
 
 #: Lists of first values that are sent to all tasks at most; beyond it they are joined by an exchange.
 SENT = 1000
+#: Places over which the attributes of one service and key are dealt.
+SALTS = 32
 
 
 def limit_cardinality(df: DataFrame, bag: str, arrival: list[str], limit: int = 200, service: str = "service_name", types: str | None = None, sent: int = SENT) -> DataFrame:
     """Attribute bags in which, by service and key, the first ``limit`` distinct values stay and later ones become
     a marker.  types: a map from keys to value types, of which only ``string`` is limited.
 
-    First arrivals are minima per value (partial before the shuffle); only keys with more values than the
-    limit are looked at again: rows that use such a key get its first values, from a list sent to all tasks
-    if there are at most ``sent`` such keys, else by a join in which every service is dealt over SALTS places.
+    First arrivals are minima per value (partial before the shuffle); only keys with more values than the limit are looked
+    at again.  If there are at most ``sent`` of them, their first values (``limit`` each) are sent to all tasks; else the attributes
+    that use one are joined with its first values by service and key, and rows with the keys that are over in them.
     """
-    first = F.struct(*arrival)
-    each = df.select(service, first.alias("_at"), F.explode(bag).alias("_k", "_v"), *([F.col(types).alias("_t")] if types else []))
-    if types:
-        each = each.filter(F.try_element_at("_t", F.col("_k")) == "string")
+    of_string = (lambda d: d.filter(F.try_element_at(F.col(types), F.col("_k")) == "string")) if types else (lambda d: d)
+    more = [types] if types else []
+    each = of_string(df.select(service, F.struct(*arrival).alias("_at"), F.explode(bag).alias("_k", "_v"), *more))
     values = each.groupBy(service, "_k", "_v").agg(F.min("_at").alias("_at"))
     rank = F.row_number().over(Window.partitionBy(service, "_k").orderBy("_at", "_v"))
     ranked = values.withColumn("_r", rank).filter(F.col("_r") <= limit + 1)
-    full = ranked.groupBy(service, "_k").agg(F.max("_r").alias("_n"), F.collect_list(F.when(F.col("_r") <= limit, F.col("_v"))).alias("_first")).filter(F.col("_n") > limit)
-    full = cut(full)
-    allowed = full.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_first"))).alias("_allowed"))
+    first = F.collect_list(F.when(F.col("_r") <= limit, F.col("_v"))).alias("_first")
+    full = cut(ranked.groupBy(service, "_k").agg(F.max("_r").alias("_n"), first).filter(F.col("_n") > limit).drop("_n"))
     if full.limit(sent + 1).count() <= sent:
+        allowed = full.groupBy(service).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_first"))).alias("_allowed"))
+        typed = (lambda k: F.try_element_at(F.col(types), k) == "string") if types else (lambda k: F.lit(True))
+        over = lambda k, v: F.coalesce(typed(k) & ~F.array_contains(F.try_element_at("_allowed", k), v), F.lit(False))
+        new = F.transform_values(bag, lambda k, v: F.when(over(k, v), F.lit(HIGH_CARDINALITY)).otherwise(v))
         joined = df.join(F.broadcast(allowed), service, "left")
-    else:
-        allowed = allowed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*arrival), F.lit(SALTS)).cast("int"))
-        joined = salted.join(allowed, [service, "_salt"], "left")
-    typed = (lambda k: F.try_element_at(F.col(types), k) == "string") if types else (lambda k: F.lit(True))
-    over = lambda k, v: F.coalesce(typed(k) & ~F.array_contains(F.try_element_at("_allowed", k), v), F.lit(False))
-    new = F.transform_values(bag, lambda k, v: F.when(over(k, v), F.lit(HIGH_CARDINALITY)).otherwise(v))
-    return joined.withColumn(bag, F.when(F.col("_allowed").isNull(), F.col(bag)).otherwise(new)).select(df.columns)
-
-
-#: Places over which the rows of one service are dealt.
-SALTS = 32
+        return joined.withColumn(bag, F.when(F.col("_allowed").isNull(), F.col(bag)).otherwise(new)).select(df.columns)
+    # rows are told apart by service, arrival and bag: what these are equal in has equal keys over
+    row = {"_row": F.struct(service, *arrival, F.array_sort(F.map_entries(bag)).alias("_bag"))}
+    rows = df.withColumns(row)
+    salt = F.pmod(F.xxhash64(*arrival), F.lit(SALTS)).cast("int")
+    pieces = of_string(rows.select(service, "_row", salt.alias("_salt"), F.explode(bag).alias("_k", "_v"), *more))
+    lists = full.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    over = pieces.join(lists, [service, "_k", "_salt"]).filter(~F.array_contains("_first", F.col("_v")))
+    over = over.groupBy("_row").agg(F.collect_set("_k").alias("_over"))
+    new = F.transform_values(bag, lambda k, v: F.when(F.array_contains("_over", k), F.lit(HIGH_CARDINALITY)).otherwise(v))
+    joined = rows.join(over, "_row", "left")
+    return joined.withColumn(bag, F.when(F.col("_over").isNull(), F.col(bag)).otherwise(new)).select(df.columns)
 
 
 def trace_seconds(spans: DataFrame) -> DataFrame:

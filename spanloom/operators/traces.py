@@ -23,13 +23,13 @@ RED_KEYS = ["service_name", "span_name", "http_route", "minute"]
 
 
 def spans(df: DataFrame, limit: int | None = 100, offset: int = 0, from_ms: int | None = None, to_ms: int | None = None, service: str = "", trace_id: str = "", status: int = -1, min_duration_ms: float = 0) -> DataFrame:
-    """Spans received in a range, newest first."""
+    """Spans received in a range, the last received first."""
     df = equals(received_between(df, from_ms, to_ms), service_name=service, trace_id=trace_id)
     if status >= 0:
         df = df.filter(F.col("status_code") == status)
     if min_duration_ms > 0:
         df = df.filter(F.col("duration_nano") >= int(min_duration_ms * 1e6))
-    return page(df, [F.col("start_time_nano").desc(), F.col("span_id")], limit, offset)
+    return page(df, [F.col("received_at_ms").desc(), F.col("span_id")], limit, offset)
 
 
 def slow_queries(df: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, threshold_ms: float = 500, limit: int | None = 100) -> DataFrame:
@@ -154,19 +154,21 @@ def error_documents_from_spans(df: DataFrame) -> DataFrame:
 
 
 #: What trace_waterfall() reads of a span.
-_NODE = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, start_ms long, end_ms long"
-_NODES = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, depth int, start_ms long, offset_ms long, duration_ms long, subtree_end_ms long, critical boolean, position int, total_ms long, span_count long, error_count long"
+_NODE = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, start_ms long, duration_ms long"
+_NODES = "trace_id string, span_id string, parent_span_id string, span_name string, service_name string, kind int, status_code int, exception_type string, exception_message string, http_status_code int, depth int, start_ms long, offset_ms long, duration_ms long, subtree_end_ms long, critical boolean, position int, total_ms long, span_count long, error_count long, service_count long, root_span_count long"
 
 
 def trace_waterfall(df: DataFrame, per_trace: int = 500) -> DataFrame:
     """Depth, offset, subtree end, order and critical path of the spans of every trace.
 
-    A span whose parent is empty or missing is a root; spans in a cycle are left out.  Only the
+    A span ends its duration in whole milliseconds after the millisecond it starts in.  A span whose parent is empty or missing is a
+    root; spans in a cycle are left out, though they count as spans and services of the trace.  Only the
     first ``per_trace`` spans of a trace by start are looked at, so a trace is a bounded group.  One exchange
     by trace; the trees of all traces of an Arrow batch are then built at once in numpy.
     """
     first = Window.partitionBy("trace_id").orderBy("start_time_nano", "span_id")
-    s = df.withColumnRenamed("name", "span_name").withColumns({"start_ms": F.floor(F.col("start_time_nano") / 1_000_000), "end_ms": F.floor(F.col("end_time_nano") / 1_000_000), "n": F.row_number().over(first)})
+    whole = {"start_ms": F.expr("start_time_nano div 1000000"), "duration_ms": F.expr("(end_time_nano - start_time_nano) div 1000000")}
+    s = df.withColumnRenamed("name", "span_name").withColumns({**whole, "n": F.row_number().over(first)})
     s = s.filter(F.col("n") <= per_trace).sortWithinPartitions("trace_id", "start_time_nano", "span_id")
     return s.select(*[c.split()[0] for c in _NODE.split(", ")]).mapInPandas(_waterfalls, _NODES)
 
@@ -199,7 +201,8 @@ def _trees(b: pd.DataFrame) -> pd.DataFrame:
     for _ in range(int(np.bincount(trace).max()).bit_length()):
         depth, up = depth + depth[up], up[up]
     there = ~found[up]
-    start, end = b["start_ms"].to_numpy(), b["end_ms"].to_numpy()
+    start, lasts = b["start_ms"].to_numpy(), b["duration_ms"].to_numpy()
+    end = start + lasts
     levels = [np.flatnonzero(there & (depth == d)) for d in range(int(depth[there].max(initial=-1)) + 1)]
     most, size = end.copy(), np.ones(n, np.int64)
     for level in levels[:0:-1]:
@@ -207,7 +210,7 @@ def _trees(b: pd.DataFrame) -> pd.DataFrame:
         np.add.at(size, parent[level], size[level])
     first, last = np.full(trace.max() + 1, np.iinfo(np.int64).max), np.full(trace.max() + 1, np.iinfo(np.int64).min)
     np.minimum.at(first, trace, start)
-    np.maximum.at(last, trace, end)
+    np.maximum.at(last, trace[there], end[there])
     # siblings by start; of those whose subtree ends last in the trace, the first is chosen
     family = np.where(found, parent, n + trace)
     spelled, _ = pd.factorize(b["span_id"], sort=True)
@@ -220,12 +223,15 @@ def _trees(b: pd.DataFrame) -> pd.DataFrame:
     ends = order[(most == last[trace])[order]]
     chosen = np.zeros(n, bool)
     chosen[ends[np.diff(family[ends], prepend=-1) != 0]] = True
+    named, kinds = pd.factorize(b["service_name"])
+    services = np.bincount(np.unique(trace * (len(kinds) + 1) + named + 1) // (len(kinds) + 1))
     position = offset + 1
     for level in levels[1:]:
         chosen[level] &= chosen[parent[level]]
         position[level] += position[parent[level]]
     out = b.assign(
-        depth=depth.astype(np.int32), offset_ms=np.maximum(start - first[trace], 0), duration_ms=end - start, subtree_end_ms=most, critical=chosen, position=position.astype(np.int32),
+        depth=depth.astype(np.int32), offset_ms=np.maximum(start - first[trace], 0), subtree_end_ms=most, critical=chosen, position=position.astype(np.int32),
         total_ms=(last - first)[trace], span_count=np.bincount(trace)[trace], error_count=np.bincount(trace, b["status_code"].to_numpy() == 2).astype(np.int64)[trace],
+        service_count=services[trace], root_span_count=np.bincount(trace, ~found).astype(np.int64)[trace],
     )
     return out[there][[c.split()[0] for c in _NODES.split(", ")]]

@@ -25,6 +25,17 @@ add("slo_burn", on("spans", "slos")(lambda s, d: alerts.burn_rates(s, d, NOW)),
 add("burn_alerts", on("spans", "slos")(lambda s, d: alerts.burn_alerts(alerts.burn_rates(s, d, NOW), NOW)),
     _burn + f"""select service_name, slo_name, round(bad / (1 - target_pct / 100), 4) as burn_rate, concat(hours, 'h') as window, severity, {NOW} as alerted_at_ms from b
     where bad / (1 - target_pct / 100) > above order by service_name, slo_name, hours limit 100""", "spans", "slos")
+_span_of_time = (NOW - DAY // 4, NOW)
+add(
+    "burn_by_minute", on("spans", "slos")(lambda s, d: alerts.burn_by_minute(s, d, *_span_of_time)),
+    f""", {_slo}, {_minutes},
+    t as (select unnest(range({_span_of_time[0]}, {_span_of_time[1]} + 1, 60000)) as at_ms), w as (select 1 as hours, 14.4e0 as above, 'page' as severity union all select 6, 6e0, 'ticket'),
+    g as (select s.service_name, slo_name, target_pct, metric_type, threshold_ms, hours, above, severity, at_ms, sum(e) as e, sum(n) as n, avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late
+      from slo s cross join w cross join t left join m on m.service_name = s.service_name and minute // 1000000 between at_ms - hours * 3600000 and at_ms
+      where target_pct < 100 and metric_type in ('error_rate', 'latency_p95') group by all),
+    b as (select *, coalesce(case when metric_type = 'error_rate' then e / n when threshold_ms > 0 then late end, 0) as bad from g)
+    select service_name, slo_name, at_ms, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate, bad / (1 - target_pct / 100) > above as alert from b""", "spans", "slos",
+)
 _six = f"minute between {(NOW - 6 * 3_600_000) * 10**6} and {NOW * 10**6}"
 add("slo_error_rate", on("spans")(lambda s: alerts.slo_error_rate(alerts.service_minutes(s, NOW - 6 * 3_600_000, NOW))), f", {_minutes} select service_name, sum(e) / sum(n) as bad_rate from m where {_six} group by 1", "spans")
 add("slo_latency", on("spans", "slos")(lambda s, d: alerts.slo_latency(alerts.service_minutes(s, NOW - 6 * 3_600_000, NOW), d)),

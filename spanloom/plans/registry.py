@@ -24,7 +24,7 @@ add("red_top", on("spans")(lambda s: traces.red(s, "1m", "svc-3", T0 + 5 * DAY,
 _span = ["trace_id", "span_id", "service_name", "name", "start_time_nano", "duration_nano", "status_code"]
 add("spans_filter", on("spans")(lambda s: traces.spans(s, None, 0, T0 + DAY, T0 + 25 * DAY, "svc-2", min_duration_ms=10).select(*_span)),
     f"select {', '.join(_span)} from spans where received_at_ms between {T0 + DAY} and {T0 + 25 * DAY} and service_name = 'svc-2' and duration_nano >= 10000000", "spans")
-add("spans_page", on("spans")(lambda s: traces.spans(s, 100, 50, status=2).select(*_span)), f"select {', '.join(_span)} from spans where status_code = 2 order by start_time_nano desc, span_id limit 100 offset 50", "spans")
+add("spans_page", on("spans")(lambda s: traces.spans(s, 100, 50, status=2).select(*_span)), f"select {', '.join(_span)} from spans where status_code = 2 order by received_at_ms desc, span_id limit 100 offset 50", "spans")
 add("promoted_attributes", on("spans")(lambda s: traces.promote_attributes(s.withColumn("attributes", F.create_map(F.lit("http.route"), "http_route", F.lit("db.system"), "db_system", F.lit("http.response.status_code"), F.concat(F.col("event_id").cast("string"), F.lit(" ok"))))).select("span_id", "http_route", "db_system", "http_status_code", "rpc_method")),
     "select span_id, http_route, db_system, cast(event_id % 65536 as int) as http_status_code, '' as rpc_method from spans", "spans")
 add("derived_columns", on("spans")(lambda s: traces.derived_columns(s).select("span_id", F.round("duration_ms", 4).alias("duration_ms"), "is_error", "span_kind_str")),
@@ -36,6 +36,8 @@ add("topology", on("spans")(lambda s: traces.topology(traces.topology_rollup(s))
 # logs
 _log = ["event_id", "timestamp_nano", "severity_text", "body", "service_name"]
 add("logs_filter", on("logs")(lambda l: logs.logs(l, None, 0, T0 + DAY, T0 + 20 * DAY, "svc-4", "INFO").select(*_log)), f"select {', '.join(_log)} from logs where received_at_ms between {T0 + DAY} and {T0 + 20 * DAY} and service_name = 'svc-4' and severity_text = 'INFO'", "logs")
+add("logs_page", on("logs")(lambda l: logs.logs(l, 100, 20, T0 + DAY, T0 + 20 * DAY, severity="WARN").select(*_log)),
+    f"select {', '.join(_log)} from logs where received_at_ms between {T0 + DAY} and {T0 + 20 * DAY} and severity_text = 'WARN' order by received_at_ms desc, event_id limit 100 offset 20", "logs")
 add("severity_labels", on("logs")(lambda l: l.select("event_id", severity_label((F.col("event_id") % 27 - 2).cast("int")).alias("label"))),
     "select event_id, case when n <= 0 then 'UNSPECIFIED' when n <= 4 then 'TRACE' when n <= 8 then 'DEBUG' when n <= 12 then 'INFO' when n <= 16 then 'WARN' when n <= 20 then 'ERROR' else 'FATAL' end as label from (select event_id, event_id % 27 - 2 as n from logs)", "logs")
 add("log_search", on("logs")(lambda l: logs.log_search(l, severity="error", keyword="USER 1", limit=None).select(*_log)), f"select {', '.join(_log)} from logs where severity_text = 'ERROR' and contains(lower(body), 'user 1')", "logs")
@@ -46,7 +48,10 @@ for _tier, _seconds in (("1m", 60), ("1h", 3600)):
     add(f"error_logs_{_tier}", on("logs")(lambda l, t=_tier: logs.error_logs(logs.error_log_rollup(l, t), limit=None)), f"select service_name, exception_type, {bucket_sql('timestamp_nano', _seconds)} as minute, count(*) as n from logs where severity_number >= 17 group by 1, 2, 3", "logs")
 for _seconds in (60, 300):
     add(f"log_volume_{_seconds}", on("logs")(lambda l, n=_seconds: logs.log_volume(l, logs.log_volume_rollup(l), interval=n, limit=None)), f"select cast({bucket_sql('timestamp_nano', _seconds)} / 1000000 as bigint) as bucket_ms, severity_text, count(*) as n from logs group by 1, 2", "logs")
-add("log_patterns", on("logs")(lambda l: logs.log_patterns(l, limit=None)), "select regexp_replace(left(body, 120), '[0-9]{4,}', 'N', 'g') as pattern, count(*) as n, min(timestamp_nano) as first_seen, max(timestamp_nano) as last_seen from logs group by 1", "logs")
+add("log_patterns", on("logs")(lambda l: logs.log_patterns(l, limit=None)), "select regexp_replace(left(body, 120), '[0-9]{4,}', 'N', 'g') as pattern, severity_text, service_name, count(*) as n, min(timestamp_nano) as first_seen, max(timestamp_nano) as last_seen from logs group by 1, 2, 3", "logs")
+add("log_patterns_top", on("logs")(lambda l: logs.log_patterns(l, "svc-1", T0 + DAY, T0 + 20 * DAY, 20)),
+    f"""select regexp_replace(left(body, 120), '[0-9]{{4,}}', 'N', 'g') as pattern, severity_text, service_name, count(*) as n, min(timestamp_nano) as first_seen, max(timestamp_nano) as last_seen from logs
+    where service_name = 'svc-1' and timestamp_nano between {(T0 + DAY) * 10**6} and {(T0 + 20 * DAY) * 10**6} group by 1, 2, 3 order by n desc, pattern, severity_text, service_name limit 20""", "logs")
 add("log_fields", on("logs")(lambda l: logs.log_fields(l)),
     """, f as (select 'severity' as field, severity_text as value from logs union all select 'logger', logger_name from logs where logger_name <> '' union all select 'exception', exception_type from logs where exception_type <> '' union all select 'total', 'all' from logs)
     select * from (select field, value, count(*) as n, cast(row_number() over (partition by field order by count(*) desc, value) as int) as rank from f group by 1, 2) where rank <= 10 or field = 'severity'""", "logs")
@@ -71,12 +76,17 @@ _base = f""", z as ({_zone}), k as (select *, cast(h % 24 as int) as hour, cast(
     y as (select service_name, span_name, http_route, dow, hour, count(*) as minutes, avg(n) as nm, stddev_pop(n) as nd, avg(e) as em, stddev_pop(e) as ed, avg(d) as dm, stddev_pop(d) as dd from mm group by 1, 2, 3, 4, 5)"""
 add("red_baseline", on("spans")(correlate.red_baseline),
     _base + " select service_name, span_name, http_route, dow, hour, round(a / 1e6, 6) as p50, round(b / 1e6, 6) as p95, round(c / 1e6, 6) as p99, round(er, 6) as error_rate, round(sc / (minutes * 60), 6) as avg_rps, sc as sample_count, round(nm, 6) as count_mean, round(nd, 6) as count_dev, round(em, 6) as error_mean, round(ed, 6) as error_dev, round(dm / 1e6, 6) as p95_mean, round(dd / 1e6, 6) as p95_dev from x join y using (service_name, span_name, http_route, dow, hour)", "spans")
-add("zscore_anomalies", on("spans")(lambda s: correlate.detect_anomalies(s, correlate.red_baseline(s), 1.2, 2.0).select("service_name", "span_name", "anomaly_type", "detected_at_ms", "severity")),
-    _base + """, q as (select service_name, span_name, http_route, dow, hour, round(nm, 6) as nm, round(nd, 6) as nd, round(em, 6) as em, round(ed, 6) as ed, round(dm / 1e6, 6) as dm, round(dd / 1e6, 6) as dd from y),
+_zscores = _base + """, q as (select service_name, span_name, http_route, dow, hour, round(nm, 6) as nm, round(nd, 6) as nd, round(em, 6) as em, round(ed, 6) as ed, round(dm / 1e6, 6) as dm, round(dd / 1e6, 6) as dd from y),
     v as (select mm.*, q.nm, q.nd, q.em, q.ed, q.dm, q.dd from mm join q using (service_name, span_name, http_route, dow, hour)),
     u as (select service_name, span_name, http_route, minute, 'latency_p95_spike' as anomaly_type, (d / 1e6 - dm) / nullif(dd, 0) as z from v union all select service_name, span_name, http_route, minute, 'error_rate_spike', (e - em) / nullif(ed, 0) from v union all select service_name, span_name, http_route, minute, 'traffic_drop', (nm - n) / nullif(nd, 0) from v),
-    g as (select *, lag(minute) over (partition by service_name, span_name, http_route, anomaly_type order by minute) as before from u where z >= 1.2)
-    select service_name, span_name, anomaly_type, cast(minute / 1000000 as bigint) as detected_at_ms, case when z >= 2.0 then 'critical' else 'warning' end as severity from g where before is null or minute - before >= 600000000000""", "spans")
+    g as (select * from u where z >= 1.2),
+    a as (with recursive t as (select service_name, span_name, http_route, anomaly_type, min(minute) as minute from g group by 1, 2, 3, 4
+      union all select service_name, span_name, http_route, anomaly_type, min(g.minute) from t join g using (service_name, span_name, http_route, anomaly_type) where g.minute >= t.minute + {quiet} group by service_name, span_name, http_route, anomaly_type) select * from t)
+    select service_name, span_name, anomaly_type, cast(minute / 1000000 as bigint) as detected_at_ms, case when z >= 2.0 then 'critical' else 'warning' end as severity from g join a using (service_name, span_name, http_route, anomaly_type, minute)"""
+_columns = ["service_name", "span_name", "anomaly_type", "detected_at_ms", "severity"]
+add("zscore_anomalies", on("spans")(lambda s: correlate.detect_anomalies(s, correlate.red_baseline(s), 1.2, 2.0).select(*_columns)), _zscores.replace("{quiet}", str(10 * 60 * 10**9)), "spans")
+# so long a silence that alerts follow one another in long rows
+add("zscore_anomalies_quiet", on("spans")(lambda s: correlate.detect_anomalies(s, correlate.red_baseline(s), 0.5, 2.0, 1440).select(*_columns)), _zscores.replace("{quiet}", str(1440 * 60 * 10**9)).replace("z >= 1.2", "z >= 0.5"), "spans")
 add("rca_rows", on("anomalies", "spans", "deployments")(lambda a, s, d: correlate.rca_rows(a, s, d)),
     """, e as (select a.id, span_id, row_number() over (partition by a.id order by start_time_nano, span_id) as r from anomalies a join spans s on s.service_name = a.service_name and s.status_code = 2 and floor(s.start_time_nano / 60000000000) = floor(a.detected_at_ms / 60000)),
     c as (select id, concat('["', string_agg(span_id, '","' order by r), '"]') as spans from e where r <= 10 group by 1),
@@ -95,7 +105,7 @@ add("schema_evolution", on("spans", "logs")(lambda s, l: alerts.evolve([s.select
 # sampling and cardinality
 _hash = "case when length(trace_id) >= 32 then cast(concat('0x', right(trace_id, 16)) as ubigint) else 0 end"
 add("trace_hash", on("spans")(lambda s: s.select("trace_id").distinct().select("trace_id", sampling.trace_hash(F.col("trace_id")).cast("string").alias("hash"))), f"select distinct trace_id, cast({_hash} as string) as hash from spans", "spans")
-_kept = f"""f as (select trace_id, bool_or(status_code = 2) as failed, coalesce(arg_min(duration_nano, (received_at_ms, span_id)) filter (parent_span_id = ''), max(duration_nano)) as ms, arg_min(service_name, (received_at_ms, span_id)) as service_name from spans group by 1),
+_kept = f"""f as (select trace_id, bool_or(status_code = 2) as failed, coalesce(arg_min(duration_nano, (received_at_ms, span_id)) filter (parent_span_id = ''), max(duration_nano)) as ms, coalesce(arg_min(service_name, (received_at_ms, span_id)) filter (parent_span_id = ''), arg_min(service_name, (received_at_ms, span_id))) as service_name from spans group by 1),
     k as (select trace_id, case when service_name in ('svc-0', 'svc-1') then case when {_hash} < {2**63} then 'probabilistic' end when service_name = 'svc-7' then null when failed then 'error' when ms > 150000000 then 'latency' when {_hash} < {2**62} then 'probabilistic' end as reason from f)"""
 add("tail_sample", on("spans")(lambda s: sampling.tail_sample(s, SAMPLING).select("trace_id", "span_id")), f", {_kept} select trace_id, span_id from spans where trace_id in (select trace_id from k where reason is not null)", "spans")
 add("sampling_reasons", on("spans")(lambda s: sampling.sampled_traces(s, SAMPLING).select("trace_id", "reason")), f", {_kept} select trace_id, reason from k where reason is not null", "spans")

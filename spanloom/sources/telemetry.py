@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 _five, _third = "cast(floor(event_id/5) as bigint)", "cast(floor(event_id/3) as bigint)"
 _received = "cast(floor(US(ts)/1000) as bigint) + 250"
 _service = "concat('svc-', cast(user_id%8 as string))"
+#: Some rows arrive an hour late.
+_late = f"{_received} + case when event_id%40 = 7 then 3600000 else 0 end"
 _duration = "cast(round(value*100) as bigint)*10000"
 _exception = "case when event_type = 'error' and event_id%6 <> 1 then concat('Exc', cast(event_id%4 as string)) else '' end"
 _span = "substr(md5(concat('s', cast(event_id as string))), 1, 16)"
@@ -31,7 +33,7 @@ SPANS = {
     "duration_nano": _duration,
     "status_code": "case when event_type = 'error' then 2 else 1 end",
     "status_message": "case when event_type = 'error' and event_id%3 <> 0 then concat('failed ', cast(event_id%4 as string)) else '' end",
-    "service_name": _service,
+    "service_name": f"case when {_five}%11 = 3 and event_id%5 < 2 then '' else {_service} end",
     "scope_name": "case when event_id%3 = 0 then 'web' else '' end",
     "received_at_ms": f"{_received} + case when event_id%50 = 0 then 86400000 else 0 end",
     "http_route": "concat('/api/', event_type)",
@@ -50,16 +52,16 @@ SPANS = {
 }
 LOGS = {
     "event_id": "event_id",
-    "timestamp_nano": "US(ts)*1000",
+    "timestamp_nano": f"US(ts)*1000 + case when event_id%4 = 0 then {_duration} + 300000 else 0 end",
     "severity_number": "case event_type when 'error' then 17 when 'signup' then 13 when 'view' then 5 else 9 end",
     "severity_text": "case event_type when 'error' then 'ERROR' when 'signup' then 'WARN' when 'view' then 'DEBUG' else 'INFO' end",
-    "body": "concat('Request ', cast(event_id+10000 as string), ' of user ', cast(user_id as string), ' ended in ', event_type)",
+    "body": "case when event_id%9 = 4 then 'Heartbeat 2024 of the group' else concat('Request ', cast(event_id+10000 as string), ' of user ', cast(user_id as string), ' ended in ', event_type) end",
     "service_name": _service,
     "trace_id": f"case when event_id%4 = 0 then '' else {_trace} end",
     "span_id": f"case when event_id%4 = 0 then '' else {_span} end",
     "exception_type": _exception,
     "logger_name": "case when event_id%9 = 0 then '' else concat('com.acme.', event_type) end",
-    "received_at_ms": _received,
+    "received_at_ms": _late,
 }
 _names = (
     "jvm.memory.heap.used", "jvm.memory.heap.committed", "jvm.memory.heap.max", "jvm.thread.count", "jvm.threads.count", "process.runtime.jvm.threads.count", "jvm.thread.peak", "jvm.thread.daemon.count",
@@ -73,7 +75,7 @@ METRICS = {
     "value": "value",
     "service_name": _service,
     "timestamp_nano": "US(ts)*1000",
-    "received_at_ms": _received,
+    "received_at_ms": _late,
 }
 _edges = (5, 10, 25, 50, 100)
 _counts = [f"case when {f'value > {a} and ' if a else ''}{f'value <= {b}' if b else 'true'} then 1 else 0 end{more}" for a, b, more in zip((0, *_edges), (*_edges, 0), ("", " + event_id%2", "", " + event_id%3", "", ""))]
@@ -89,7 +91,7 @@ HISTOGRAMS = {
     "bucket_counts": f"case when {_bare} then NONE(bigint) else ARR(" + ", ".join(f"cast({c} as bigint)" for c in _counts) + ") end",
     "total_count": "cast(1 + event_id%2 + event_id%3 as bigint)",
     "total_sum": "value",
-    "received_at_ms": _received,
+    "received_at_ms": _late,
 }
 DEPLOYMENTS = {
     "id": "concat('d', cast(o_orderkey as string))",
@@ -159,6 +161,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         bag = {"k8s.pod.name": "pod_name", "k8s.node.name": "node_name", "host.name": "host_name", "db.statement": "db_statement"}
         out = out.withColumn("attributes", F.map_filter(F.create_map(*[F.lit(k) if i == 0 else F.col(c) for k, c in bag.items() for i in (0, 1)]), lambda _, v: v != ""))
         out = out.withColumn("dt", F.to_date(F.timestamp_millis("received_at_ms")))
+    if name == "metrics":
+        out = out.withColumn("attributes", F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("pool"), F.concat(F.lit("p"), (F.col("event_id") % 4).cast("string")))).otherwise(F.create_map().cast("map<string,string>")))
     if name == "histograms":
         out = out.withColumn("attributes", F.create_map(F.lit("jvm.gc.name"), "gc_name"))
     return out

@@ -1,10 +1,13 @@
 """Known answers on tiny frames."""
 
+import bisect
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import ranking
 from spanloom.functions.core import choose_error_tier, choose_tier, glob_regex, histogram_percentiles, leading_uint16, severity_label
 from spanloom.operators import alerts, correlate, metrics, sampling, traces
 from spanloom.sources import otlp, retention, sinks
@@ -36,7 +39,7 @@ def test_sql_guard(spark):
     check_select("select created_at, updated_at from t where x = 'drop it'")
     check_select("with a as (select 1) select * from a")
     assert sql(spark, "with a as (select id from {t}) select count(*) as n from a where id in (select id from {t})", t=spark.range(3)).first().n == 3
-    bad = ["", "drop table t", "select 1; delete from t", "insert into t select 1", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select `reflect`('java.lang.System', 'lineSeparator')"]
+    bad = ["", "drop table t", "select 1; system reload", "select 1 union kill query x", "select 1; delete from t", "insert into t select 1", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select `reflect`('java.lang.System', 'lineSeparator')"]
     bad += [r"with x as (select r'\' as c) insert into t select ' a'", "with x as (select 1 as c) from x insert into t select c"]
     for text in bad:
         with pytest.raises(ValueError):
@@ -44,17 +47,21 @@ def test_sql_guard(spark):
     for text in (r"with x as (select r'\' as c) insert into t select ' a'", "cache table t", "set a = 1", "explain select 1"):
         with pytest.raises(ValueError):
             check_plan(spark, text)
-    with pytest.raises(Exception, match="parquet|NOT_FOUND|UNSUPPORTED"):
-        sql(spark, "select * from parquet.`/root/testdata/sf0.001/nation.parquet`")
-    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+    for path in ("parquet.`/root/testdata/sf0.001/nation.parquet`", "json.x"):
+        for text in (f"select * from {path}", f"select 1 where 1 in (select 1 from {path})", f"with a as (select * from {path}) select * from a"):
+            with pytest.raises(ValueError, match="not a table"):
+                sql(spark, text)
+    check_select("select granted, killed_at from t")
 
 
 def test_trace_hash_and_rates(spark):
-    ids = ["0" * 31 + "1", "0" * 16 + "f" * 16, "invalid", "a" * 16, "0" * 16 + "a3ce929dffffffff"]
+    """The last 16 digits of an id of 32 or more; the lower half of the range is kept at a rate of a half."""
+    ids = {"5c1d" * 7 + "0b9e": 0x5C1D5C1D5C1D0B9E, "77" * 15 + "ab" * 3: 0x7777777777ABABAB, "beef" * 8: 0xBEEFBEEFBEEFBEEF, "12" * 15: 0, "z" * 32: 0}
     df = spark.createDataFrame([(i,) for i in ids], "t string")
-    assert [int(r[0]) for r in df.select(sampling.trace_hash(F.col("t"))).collect()][:4] == [1, 18446744073709551615, 0, 0]
-    assert [r[0] for r in df.select(sampling.keeps_share(F.col("t"), 0.5)).collect()] == [True, False, True, True, False]
-    assert all(r[0] for r in df.select(sampling.keeps_share(F.col("t"), 1.0)).collect()) and not any(r[0] for r in df.select(sampling.keeps_share(F.col("t"), 0.0)).collect())
+    kept = lambda rate: [r[0] for r in df.select(sampling.keeps_share(F.col("t"), rate)).collect()]
+    assert [int(r[0]) for r in df.select(sampling.trace_hash(F.col("t"))).collect()] == list(ids.values())
+    assert kept(0.5) == [n < 2**63 for n in ids.values()] == [True, True, False, True, True]
+    assert all(kept(1.0)) and not any(kept(0.0))
 
 
 def test_adaptive_rates_fold_in_time_order(spark):
@@ -103,15 +110,110 @@ def test_waterfall_of_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
-def test_trace_context_of_a_trace_with_a_wrong_clock(spark):
+LOG = "event_id long, trace_id string, span_id string, service_name string, timestamp_nano long, severity_text string, exception_type string, body string"
+
+
+def test_trace_context_by_the_times_and_services_of_traces(spark):
     ms, now = 1_000_000, 1_700_000_000_000
-    rows = [("bad", "a", "", "root", "svc", 1, 0, now * ms, 2, "", "", 0), ("good", "b", "", "root", "svc", 2, (now - 5) * ms, now * ms, 2, "", "", 0), ("back", "c", "", "root", "svc", 1, now * ms, 0, 2, "", "", 0)]
+    at = lambda t, i, service, start, end: (t, i, "", "root", service, 1, start * ms, end * ms, 2, "", "", 0)
+    rows = [
+        at("zero", "a", "svc", 0, now), at("good", "b", "svc", now - 5, now), at("back", "c", "svc", now, 0),
+        at("blank", "d", "", now - 9, now), at("blank", "e", "svc", now - 8, now), at("nameless", "f", "", now, now + 1),
+        at("later", "g", "svc", now + 500, now + 501),  # half a second into a minute
+    ]
     spans = spark.createDataFrame(rows, SPAN).withColumn("duration_nano", F.col("end_time_nano") - F.col("start_time_nano"))
-    logs = spark.range(3000).select(F.col("id").alias("event_id"), F.lit("").alias("trace_id"), F.lit("svc").alias("service_name"), ((F.lit(now) - F.col("id") * 30_000) * ms).alias("timestamp_nano"), F.lit("INFO").alias("severity_text"), F.lit("").alias("exception_type"), F.lit("x").alias("body"))
+    logs = spark.createDataFrame([(1, "", "", "svc", now * ms, "INFO", "", "x"), (2, "", "", "svc", now * ms + 700_000, "INFO", "", "x"), (3, "zero", "s3", "other", 5, "INFO", "", "y"), (4, "", "", "", now * ms, "INFO", "", "z")], LOG)
     got = correlate.trace_context(spans, logs).collect()
     named = lambda t, what: sorted((r.position, r.item) for r in got if r.trace_id == t and r.what == what)
-    assert named("bad", "log") == [(k + 1, str(2999 - k)) for k in range(200)] and named("good", "log") == [(1, "0")] == named("back", "log")
-    assert len(named("bad", "red")) == 2 and [r.duration_ms for r in got if r.trace_id == "back" and r.what == "span"] == [0]
+    # a start of 0 leaves the logs that name the trace, and no rates; so does an end before the start
+    assert named("zero", "log") == [(1, "3")] and named("zero", "red") == [] == named("back", "log") == named("back", "red")
+    assert [(r.log_trace_id, r.log_span_id) for r in got if r.item == "3"] == [("zero", "s3")]
+    # not the log 0.7 ms after the end; a blank first service is passed over
+    assert named("good", "log") == [(1, "1")] == named("blank", "log") and named("nameless", "log") == []
+    assert [r.duration_ms for r in got if r.trace_id == "back" and r.what == "span"] == [-now]
+    # now is 20 seconds into a minute: this one counts, and what begins up to 60 seconds before the whole second
+    minute = (now - 20_000) * ms
+    more = spark.createDataFrame([("m", f"m{k}", "", "x", "svc", 1, minute + k * 60_000 * ms, minute + k * 60_000 * ms, 2, "", "", 0) for k in (-2, -1, 0, 1, 2)], SPAN)
+    more = more.withColumn("duration_nano", F.lit(0).cast("long"))
+    got = [r for r in correlate.trace_context(spans.unionByName(more), logs).collect() if r.what == "red" and r.trace_id == "later"]
+    assert sorted(r.at_ms - now for r in got) == [-20_000, 40_000]
+
+
+def test_first_within_of_a_crowded_minute(spark):
+    """Half of all points lie in one minute of one service, and 10,000 ranges look at it: no range makes more than 200 rows."""
+    points = spark.range(100_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 97)).alias("service_name"), (F.col("id") * 7919 % 60_000).alias("at"))
+    ranges = spark.range(10_000).select(F.col("id").alias("n"), F.lit("hot").alias("service_name"), (F.col("id") * 31 % 60_000).alias("range_from"), (F.col("id") * 31 % 60_000 + F.col("id") % 500).alias("range_to"))
+    got = ranking.first_within(ranges, points, "service_name", "at", ["event_id"], 200)
+    per = got.groupBy("n").agg(F.count("*").alias("k"), F.max("position").alias("p"), F.sum("event_id").alias("e"))
+    mine = {r.n: (r.k, r.p, r.e) for r in per.collect()}
+    hot = sorted((i * 7919 % 60_000, i) for i in range(0, 100_000, 2))
+    times = [t for t, _ in hot]
+    for n in range(10_000):
+        a = bisect.bisect_left(times, n * 31 % 60_000)
+        b = min(bisect.bisect_right(times, n * 31 % 60_000 + n % 500), a + 200)
+        assert mine.get(n, (0, 0, 0)) == (b - a, b - a, sum(i for _, i in hot[a:b]))
+    join = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x]
+    assert len(join) >= 1 and "_block" in "".join(join)
+
+
+def test_first_within_of_odd_rows(spark):
+    points = spark.createDataFrame([(1, "a", 5), (2, "a", 5), (3, "a", None), (4, None, 5), (5, "b", 5), (6, "a", 9)], "event_id long, s string, at long")
+    ranges = spark.createDataFrame([(1, "a", 5, 5), (2, "a", 5, 9), (3, "a", 9, 5), (4, None, 0, 9), (5, "c", 0, 9), (6, "a", None, 9), (2, "a", 5, 9)], "n long, s string, range_from long, range_to long")
+    got = ranking.first_within(ranges, points, "s", "at", ["event_id"], 2)
+    assert sorted((r.n, r.event_id, r.position) for r in got.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 1, 1), (2, 2, 2), (2, 2, 2)]
+    assert ranking.first_within(ranges, points.limit(0), "s", "at", ["event_id"], 2).count() == 0 == ranking.first_within(ranges.limit(0), points, "s", "at", ["event_id"], 2).count()
+
+
+def test_exact_percentiles_of_a_hot_group(spark):
+    """A group with half of all rows is ranked over several partitions; all groups equal percentile()."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 13)).alias("k"), F.when(F.col("id") % 11 != 0, F.col("id") * 7919 % 1009 * 1_000_003).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("nulls", None)], "k string, v long"))
+    shares = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99, "e": 1.0}
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(c) for c, p in shares.items()])
+    for most in (5_000, 10**6):
+        got = ranking.exact_percentiles(df, ["k"], "v", shares, most)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_alerts_after_a_silence(spark):
+    pick = random.Random(4)
+    rows, want = [], []
+    for place in ("steady", "rare", "mixed", None):
+        now, last = 0, None
+        for _ in range(1 if place == "rare" else 900):
+            now += 1 if place == "steady" else pick.choice((1, 1, 1, 2, 9, 10, 11, 40))
+            rows.append((place, now, "x"))
+            if last is None or now - last >= 10:
+                want.append((place, now, "x"))
+                last = now
+    df = spark.createDataFrame(rows, "place string, minute long, other string").repartition(3)
+    assert sorted(map(tuple, correlate.alerting(df, ["place"], "minute", 10).collect()), key=str) == sorted(want, key=str)
+    assert correlate.alerting(df.limit(0), ["place"], "minute", 10).count() == 0
+
+
+def test_cardinality_of_more_full_keys_than_are_sent(spark):
+    rows = [(k, "big" if k % 3 else "small", {f"k{j}": f"v{(k * (j + 1)) % (5 * j + 3)}" for j in range(8)}) for k in range(600)]
+    df = spark.createDataFrame(rows, "n long, service_name string, attributes map<string,string>")
+    sent, joined = (sampling.limit_cardinality(df, "attributes", ["n"], 6, sent=n) for n in (1000, 2))
+    key = lambda d: sorted((r.n, sorted(r.attributes.items())) for r in d.collect())
+    assert key(sent) == key(joined) and len(key(joined)) == 600
+    assert any(v == sampling.HIGH_CARDINALITY for r in joined.collect() for v in r.attributes.values())
+
+
+def test_sampling_by_the_service_of_the_root(spark):
+    rows = [("t", "c", "r", 5, 1, "child"), ("t", "r", "", 9, 1, "front"), ("u", "a", "x", 1, 1, "child"), ("u", "b", "x", 2, 1, "front"), ("v", "a", "", 3, 1, "child"), ("v", "b", "", 2, 1, "front")]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, received_at_ms long, status_code int, service_name string").withColumn("duration_nano", F.lit(1).cast("long"))
+    assert {r.trace_id: r.service_name for r in sampling.trace_facts(spans).collect()} == {"t": "front", "u": "child", "v": "front"}
+
+
+def test_critical_traces_are_not_counted(spark):
+    """A tick with any number of failed traces gives the others the rate they would have without them."""
+    rows = [(f"p{k}", k * 10, "probabilistic") for k in range(300)] + [(f"e{k}", k, "error") for k in range(3000)] + [(f"l{k}", k, "latency") for k in range(500)]
+    df = spark.createDataFrame(rows, "trace_id string, first_ms long, reason string")
+    got = sampling.adaptive_limit(df, 20, 0.1)
+    alone = sampling.adaptive_limit(df.filter("reason = 'probabilistic'"), 20, 0.1)
+    assert got.filter("reason <> 'probabilistic'").count() == 3500
+    assert sorted(got.filter("reason = 'probabilistic'").collect()) == sorted(alone.collect()) and 0 < alone.count() < 300
 
 
 def test_histograms_merge_on_reading(spark):
@@ -170,23 +272,23 @@ def attr(k, **v):
 
 def test_otlp(spark):
     res = {"attributes": [attr("service.name", stringValue="shop")]}
-    span = {"traceId": "AB" * 16, "spanId": "cd" * 8, "parentSpanId": "0" * 16, "name": "get", "kind": 2, "startTimeUnixNano": "1000", "endTimeUnixNano": "3000", "attributes": [attr("http.route", stringValue="/a"), attr("n", intValue="42"), attr("d", doubleValue=3.14), attr("b", boolValue=True)], "status": {"code": 2, "message": "no"}, "links": [{"traceId": "ab", "spanId": "cd"}]}
+    span = {"traceId": "AB" * 16, "spanId": "cd" * 8, "parentSpanId": "0" * 16, "name": "get", "kind": 2, "startTimeUnixNano": "1000", "endTimeUnixNano": "3000", "attributes": [attr("http.route", stringValue="/a"), attr("n", intValue="-708"), attr("d", doubleValue=0.0625), attr("b", boolValue=False)], "status": {"code": 2, "message": "no"}, "links": [{"traceId": "ab", "spanId": "cd"}]}
     line = json.dumps({"resourceSpans": [{"resource": res, "scopeSpans": [{"scope": {"name": "lib"}, "spans": [span]}]}]})
     got = otlp.otlp_traces(spark.createDataFrame([(line,), ("broken",)], "value string"), received_at_ms=F.lit(7)).collect()
     assert len(got) == 1
     r = got[0]
     assert (r.trace_id, r.parent_span_id, r.kind, r.duration_nano, r.status_code, r.service_name, r.received_at_ms) == ("ab" * 16, "", 2, 2000, 2, "shop", 7)
-    assert r.attributes == {"http.route": "/a", "n": "42", "d": "3.14", "b": "true"} and json.loads(r.span_links)[0]["traceId"] == "ab"
+    assert r.attributes == {"http.route": "/a", "n": "-708", "d": "0.0625", "b": "false"} and json.loads(r.span_links)[0]["traceId"] == "ab"
     stored = sinks.span_rows(otlp.otlp_traces(spark.createDataFrame([(line,)], "value string"), received_at_ms=F.lit(7))).first()
     assert stored.http_route == "/a" and str(stored.dt) == "1970-01-01"
-    point = {"timeUnixNano": "5", "asInt": "42"}
+    point = {"timeUnixNano": "5", "asInt": "19"}
     hist = {"timeUnixNano": "6", "count": "9", "sum": 31.5, "bucketCounts": ["4", "0", "5"], "explicitBounds": [2, 8], "exemplars": [{"timeUnixNano": "1", "asDouble": 2.5, "traceId": "AA", "spanId": "BB", "filteredAttributes": [attr("x", stringValue="y")]}]}
     line = json.dumps({"resourceMetrics": [{"resource": res, "scopeMetrics": [{"metrics": [{"name": "m", "sum": {"dataPoints": [point]}}, {"name": "h", "histogram": {"dataPoints": [hist]}}, {"name": "e", "summary": {}}]}]}]})
     m = otlp.otlp_metrics(spark.createDataFrame([(line,)], "value string"), received_at_ms=F.lit(7))
     rows = {r.name: r for r in m.collect()}
-    assert rows["m"].type == "SUM" and rows["m"].data_points[0].value == 42.0 and rows["e"].type == "UNSPECIFIED" and rows["e"].data_points == []
+    assert rows["m"].type == "SUM" and rows["m"].data_points[0].value == 19.0 and rows["e"].type == "UNSPECIFIED" and rows["e"].data_points == []
     assert rows["h"].data_points[0].bucket_counts == [4, 0, 5]
-    assert {(r.name, r.value) for r in sinks.metric_rows(m).collect()} == {("m", 42.0), ("h", 31.5)}
+    assert {(r.name, r.value) for r in sinks.metric_rows(m).collect()} == {("m", 19.0), ("h", 31.5)}
     h = sinks.histogram_rows(m).first()
     assert h.total_count == 9 and h.exemplar_values == [2.5] and json.loads(h.exemplar_attributes[0]) == {"x": "y"}
     line = json.dumps({"resourceLogs": [{"resource": res, "scopeLogs": [{"logRecords": [{"timeUnixNano": "9", "severityNumber": 9, "severityText": "INFO", "body": {"stringValue": "hi"}, "attributes": [attr("exception.type", stringValue="E")]}]}]}]})

@@ -13,6 +13,7 @@ the ids of short chunks are remembered.  Characters that the vocabulary lacks be
 from __future__ import annotations
 
 import codecs
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -50,18 +51,28 @@ class PieceCodec:
             raise ValueError("a piece has the word mark inside; chunks wouldn't be independent")
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte)}
-        self.surface = [b"" if sp.is_control(i) or sp.is_unused(i) else UNKNOWN.encode() if sp.is_unknown(i) else byte_of.get(i) or self.piece[i].replace(MARK, " ").encode() for i in ids]
+        surface = [b"" if sp.is_control(i) or sp.is_unused(i) else UNKNOWN.encode() if sp.is_unknown(i) else byte_of.get(i) or self.piece[i].replace(MARK, " ").encode() for i in ids]
+        self.surface = np.array(surface, object)
+        # the order in which pieces are made, and the two parts that each is made of last; single characters are there from the start
+        self.made = {p: k for k, p in enumerate(sorted((p for p in self.score if len(p) > 1), key=lambda p: -self.score[p]))}
+        named = [self.score[p] for p in self.made if p.strip(MARK)]
+        if len(set(named)) < len(named):
+            raise ValueError("two pieces have one score; which is made first would depend on their places")
+        self.parts = {p: parts for p in self.made if len(parts := self.merged(p, 2)) == 2 and "".join(parts) in self.score}
         self.automaton = ahocorasick.Automaton()
-        for i in plain:
-            self.automaton.add_word(self.piece[i], self.piece[i])
+        for p in self.score:
+            if len(p) == 1 or p in self.parts:
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by the definition: best score first, leftmost of equals."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """The pieces of a short text by the definition: best score first, leftmost of equals; as soon as there are ``stop`` of them."""
         parts = list(text)
         while True:
+            if len(parts) <= stop:
+                return parts
             best = max(((self.score[parts[k] + parts[k + 1]], -k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.score), default=None)
             if best is None:
                 return parts
@@ -69,38 +80,67 @@ class PieceCodec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def fit(self, a: str, b: str) -> bool:
-        """Whether piece b may stand right after piece a."""
+        """Whether piece b may stand right after piece a: whether no merge across the border comes before one inside them.
+
+        The merges are undone from the last one back; whenever the parts at the border would have made a piece that comes
+        before the merge undone last, that would have been made instead.  Of two equal ones the left is made first.
+        """
         out = self.fits.get((a, b))
         if out is None:
             if len(self.fits) > KEEP:
                 self.fits.clear()
-            out = self.fits[a, b] = self.merged(a + b) == [a, b]
+            # runs of marks may have one score for all lengths: they are merged by the definition
+            out = self.fits[a, b] = self._fit(a, b) if a.strip(MARK) else self.merged(a + b) == [a, b]
         return out
 
+    def _fit(self, a: str, b: str) -> bool:
+        made, parts, before = self.made, self.parts, len(self.made)
+        while True:
+            if made.get(a + b, before) < before:
+                return False
+            at, bt = made.get(a, -1), made.get(b, -1)
+            if at > bt:
+                before, a = at, parts[a][1]
+            elif bt >= 0:
+                before, b = bt + 1, parts[b][0]
+            else:
+                return True
+
     def prefixes(self, chunk: str) -> list[str]:
         """The last piece of the encoding of each prefix of the chunk, or its last character where no piece ends there."""
         last: list[str] = []
-        ending: list[list[str]] = [[] for _ in chunk]
-        for at, piece in self.automaton.iter(chunk):
-            ending[at].append(piece)
-        for at, pieces in enumerate(ending):
-            for piece in pieces or chunk[at]:
-                before = at - len(piece)
-                if before < 0 or self.fit(last[before], piece):
-                    last.append(piece)
-                    break
-            else:  # a character that isn't a piece though longer pieces end in it
-                last.append(chunk[at])
+        known, done = self.fits.get, 0
+        for at, piece in self.automaton.iter(chunk):  # by end, and of one end the longest first
+            if done > at:
+                continue
+            while done < at:
+                last.append(chunk[done])
+                done += 1
+            before = at - len(piece)
+            if before >= 0:
+                fits = known((last[before], piece))
+                if fits is None:
+                    fits = self.fit(last[before], piece)
+                if not fits:
+                    continue
+            last.append(piece)
+            done += 1
+        last += chunk[done:]
         return last
 
     def chunk(self, chunk: str) -> bytes:
         """The packed ids of a chunk that begins with marks and has none after another character."""
-        last, at, out = self.prefixes(chunk), len(chunk) - 1, []
+        last, at, out, ids = self.prefixes(chunk), len(chunk) - 1, [], self.id
         while at >= 0:
-            i = self.id.get(last[at])
-            out += [self.byte[b] for b in reversed(last[at].encode())] if i is None else [i]
-            at -= len(last[at])
-        return np.array(out[::-1], "<u4").tobytes()
+            piece = last[at]
+            i = ids.get(piece)
+            if i is None:
+                out += [self.byte[b] for b in reversed(piece.encode())]
+            else:
+                out.append(i)
+            at -= len(piece)
+        out.reverse()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def remembered(self, chunk: str) -> bytes:
         out = self.known.get(chunk)
@@ -127,10 +167,10 @@ class PieceCodec:
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids: the first piece loses one leading space, control ids are nothing, bytes that aren't UTF-8 are replaced one by one."""
-        surface = self.surface
-        ids = np.frombuffer(packed, "<u4").tolist()
-        out = b"".join([surface[i] for i in ids])
-        first = next((i for i in ids if surface[i]), None)
+        ids = np.frombuffer(packed, "<u4")
+        surface = self.surface[ids].tolist()
+        out = b"".join(surface)
+        first = next((i for i, x in zip(ids, surface) if x), None)
         if first is not None and self.piece[first].startswith(MARK):
             out = out[1:]
         return out.decode("utf-8", "each_byte")

@@ -46,6 +46,17 @@ def test_last_pieces_of_prefixes_are_those_of_their_encodings():
     assert c.prefixes(text) == [c.merged(text[: k + 1])[-1] for k in range(len(text))]
 
 
+def test_which_pieces_may_stand_side_by_side():
+    """Undoing merges says the same as merging the two anew."""
+    c, pick = codec(MODEL), random.Random(4)
+    whole = [*c.parts, *(p for p in c.score if len(p) == 1)]
+    short = [p for p in whole if len(p) <= 3 and p.isascii()]
+    for _ in range(20_000):
+        a, b = pick.choice(short), pick.choice(pick.choice((short, whole)))
+        if not b.startswith("▁"):
+            assert c.fit(a, b) == (c.merged(a + b) == [a, b]), (a, b)
+
+
 def test_rows(spark):
     rows = [(1, "hello world", "x"), (1, "hello world", "y"), (2, None, "x"), (None, " a▁ ", "x"), (3, "", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")

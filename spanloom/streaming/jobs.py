@@ -1,17 +1,14 @@
-"""Streams: rollups by micro-batch, trace assembly, attribute limits, snapshots, tails."""
+"""Streams: rollups by micro-batch, windows, sampled batches, tails."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import DataStreamWriter
 
-from spanloom.operators.sampling import HIGH_CARDINALITY, Sampling, decision
+from spanloom.operators.sampling import Sampling, decision
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,54 +40,6 @@ def windowed_counts(stream: DataFrame, time: str, keys: list[str], length: str,
     return stream.withWatermark(time, late).groupBy(F.window(time, length, slide), *keys).agg(F.count("*").alias("n"))
 
 
-class _Assemble(StatefulProcessor):
-    """Collects a trace's spans; closes it a little after its root was seen, or at the latest after ``most_ms``."""
-
-    def __init__(self, schema: StructType, wait_ms: int, most_ms: int, most_spans: int):
-        self.schema, self.wait_ms, self.most_ms, self.most_spans = schema, wait_ms, most_ms, most_spans
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.spans = handle.getListState("spans", self.schema)
-        self.about = handle.getValueState("about", "first long, due long, root boolean, n int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        first, due, root, n = self.about.get() if self.about.exists() else (now, 0, False, 0)
-        for batch in rows:
-            batch = batch[[f.name for f in self.schema.fields]]
-            self.spans.appendList(list(batch.itertuples(index=False, name=None)))
-            root, n = root or bool((batch["parent_span_id"] == "").any()), n + len(batch)
-        want = max(first + self.wait_ms, now) if root else first + self.most_ms
-        if n >= self.most_spans:
-            want = now
-        want = max(want, now + 1)
-        if due == 0 or want < due:
-            if due:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(want)
-            due = want
-        self.about.update((first, due, root, n))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r) for r in self.spans.get()]
-        self.spans.clear()
-        self.about.clear()
-        yield pd.DataFrame(rows, columns=[f.name for f in self.schema.fields])
-
-    def close(self) -> None:
-        pass
-
-
-def assemble_traces(stream: DataFrame, wait_ms: int = 100, most_ms: int = 30_000, most_spans: int = 50_000) -> DataFrame:
-    """The stream's spans, released trace by trace: at least ``wait_ms`` after a trace's first span once its root
-    is there, or after ``most_ms``, or when it has very many spans.  A late span begins anew.  Needs the RocksDB state store.
-    """
-    schema = stream.schema
-    return stream.groupBy("trace_id").transformWithStateInPandas(_Assemble(schema, wait_ms, most_ms, most_spans), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
-
-
 def sample_batch(config: Sampling, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps the spans of whole traces by the sampling policy."""
     from spanloom.operators.sampling import trace_facts
@@ -102,42 +51,6 @@ def sample_batch(config: Sampling, write: Callable[[DataFrame, int], None]) -> C
     return run
 
 
-class _Limit(StatefulProcessor):
-    """Remembers the first values of one service's attribute; later new ones become the marker."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "value string", "at int")
-        self.size = handle.getValueState("size", "n int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        n = self.size.get()[0] if self.size.exists() else 0
-        for batch in rows:
-            batch = batch.sort_values(["arrival", "row_id"])
-            out = []
-            for v in batch["value"]:
-                if not self.values.containsKey((v,)):
-                    if n >= self.limit:
-                        out.append(HIGH_CARDINALITY)
-                        continue
-                    self.values.updateValue((v,), (n,))
-                    n += 1
-                out.append(v)
-            yield batch.assign(value=out)[["service_name", "key", "row_id", "arrival", "value"]]
-        self.size.update((n,))
-
-    def close(self) -> None:
-        pass
-
-
-def limit_values(stream: DataFrame, limit: int = 200) -> DataFrame:
-    """``service_name, key, row_id, arrival, value`` with values beyond the first ``limit`` of a service's key marked;
-    the state lives as long as the query.  Needs the RocksDB state store."""
-    return stream.groupBy("service_name", "key").transformWithStateInPandas(_Limit(limit), outputStructType="service_name string, key string, row_id long, arrival long, value string", outputMode="Update", timeMode="None")
-
-
 def latest_values(stream: DataFrame, keys: list[str], value: str, time: Column) -> DataFrame:
     """The newest value by keys, for an update-mode sink."""
     return stream.groupBy(*keys).agg(F.max_by(value, time).alias(value), F.max(time).alias("at"))

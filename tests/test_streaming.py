@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import logs, metrics, sampling, traces
 from spanloom.sources.telemetry import view
-from spanloom.streaming import jobs
+from spanloom.streaming import assembly, bags, jobs, snapshots
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,19 +81,106 @@ def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
 
 
-def test_limit_values_equals_the_batch(spark, tmp_path):
+def _files(df, path, n, order):
+    """df in n files, read one by one in the order of their rows."""
+    rows = df.orderBy(*order).collect()
+    size = -(-len(rows) // n)
+    for k in range(n):
+        df.sparkSession.createDataFrame(rows[k * size : (k + 1) * size], df.schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+
+
+@pytest.mark.parametrize("signal", ("spans", "metrics", "logs"))
+def test_limited_bags_equal_the_batch(spark, tmp_path, signal):
+    """Whole rows of each signal, in several triggers; the first values by service and key are those of the batch."""
     _stateful(spark)
-    rows = [("s", "k", i, i, v) for i, v in enumerate("abcacd")] + [("t", "k", 10 + i, i, v) for i, v in enumerate("xyx")]
+    df = view(spark, SF, signal).limit(240)
+    at = ["start_time_nano" if signal == "spans" else "timestamp_nano", "event_id"]
+    id_, number = F.col("event_id").cast("string"), F.col("event_id").cast("long")
+    bag = F.create_map(F.lit("id"), id_, F.lit("seven"), (number * 7 % 11).cast("string"), F.lit("one"), F.lit("x"), F.lit("count"), id_)
+    df = df.withColumn("attributes", F.when(number % 10 != 3, bag)).withColumn("types", F.create_map(F.lit("id"), F.lit("string"), F.lit("seven"), F.lit("string"), F.lit("one"), F.lit("string"), F.lit("count"), F.lit("int")))
+    df = df.drop("dt", "bounds").cache()
     path = str(tmp_path / "in")
-    schema = "service_name string, key string, row_id long, arrival long, value string"
-    for k in range(0, 9, 3):
-        spark.createDataFrame(rows[k : k + 3], schema).coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.05)
+    _files(df, path, 3, at)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = bags.limit_bags(stream, "attributes", ["event_id"], at, 5, types="types").writeStream.format("memory").queryName(f"limited_{signal}").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    want = sampling.limit_cardinality(df, "attributes", at, 5, types="types")
+    key = lambda d: sorted(str(sorted(r.asDict(recursive=True).items(), key=str)) if r.attributes is None else str(sorted({**r.asDict(), "attributes": sorted(r.attributes.items()), "types": None}.items())) for r in d.collect())
+    got = spark.table(f"limited_{signal}")
+    assert got.columns == df.columns and key(got) == key(want) and got.count() == df.count() == 240
+    assert got.filter(F.array_contains(F.map_values("attributes"), sampling.HIGH_CARDINALITY)).count() > 50
+
+
+def _until(stop, seconds=100):
+    end = time.time() + seconds
+    while not stop() and time.time() < end:
+        time.sleep(0.5)
+    assert stop()
+
+
+def test_the_oldest_trace_closes_when_too_many_are_open(spark, tmp_path):
+    """The fourth of three closes the first; its late span begins it anew, and a sampler decides a second time."""
+    _stateful(spark)
+    schema = "trace_id string, span_id string, parent_span_id string, received_at_ms long, status_code int, service_name string, duration_nano long"
+    path, check = str(tmp_path / "in"), str(tmp_path / "c")
+    add = lambda *rows: spark.createDataFrame([(t, s, "x", k, code, "svc", None) for k, (t, s, code) in enumerate(rows)], schema).coalesce(1).write.mode("append").parquet(path)
+    add(("a", "a1", 1), ("a", "a2", 1), ("b", "b1", 1))
+    batches, decided = {}, {}  # a batch that was stopped half-way runs again and counts once
+    config = sampling.Sampling(sampling.Policy(errors=True))
+    decide = jobs.sample_batch(config, lambda df, b: decided.update({b: [(r.trace_id, r.span_id) for r in df.collect()]}))
+    released = lambda: [x for b in sorted(batches) for x in batches[b]]
+    kept = lambda: [x for b in sorted(decided) for x in decided[b]]
+
+    def sink(df, batch):
+        batches[batch] = [(r.trace_id, r.span_id, r.duration_nano) for r in df.collect()]
+        decide(df, batch)
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = jobs.limit_values(stream, 2).writeStream.format("memory").queryName("limited").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(150)
-    x = sampling.HIGH_CARDINALITY
-    assert [r.value for r in spark.table("limited").orderBy("row_id").collect()] == ["a", "b", x, "a", x, x, "x", "y", "x"]
+    q = assembly.assemble_traces(stream, most_ms=3_600_000, most_open=3, shards=1).writeStream.foreachBatch(sink).option("checkpointLocation", check).trigger(processingTime="1 second").start()
+    try:
+        time.sleep(4)
+        assert released() == []
+        add(("c", "c1", 1), ("b", "b2", 1))
+        time.sleep(3)
+        add(("d", "d1", 1))
+        _until(released)
+        assert released() == [("a", "a1", None), ("a", "a2", None)] and kept() == []
+        add(("a", "a3", 2))  # too late: a new trace, and b is the oldest now
+        _until(lambda: len(released()) == 4)
+        assert sorted(released()[2:]) == [("b", "b1", None), ("b", "b2", None)]
+    finally:
+        q.stop()
+    # what is open is still so after a restart
+    add(("e", "e1", 1), ("f", "f1", 1), ("g", "g1", 1))
+    q = assembly.assemble_traces(stream, most_ms=3_600_000, most_open=3, shards=1).writeStream.foreachBatch(sink).option("checkpointLocation", check).trigger(processingTime="1 second").start()
+    try:
+        _until(lambda: len(released()) == 7)
+        _until(kept)
+        assert [r[1] for r in released()[4:]] == ["c1", "d1", "a3"] and kept() == [("a", "a3")]
+    finally:
+        q.stop()
+
+
+def test_snapshots_are_told_again_without_news(spark, tmp_path):
+    _stateful(spark)
+    m, h = (view(spark, SF, n) for n in ("metrics", "histograms"))
+    points = snapshots.runtime_points(m, h).cache()
+    path = str(tmp_path / "in")
+    _files(points, path, 2, ["event_id", "field"])
+    stream = spark.readStream.schema(points.schema).parquet(path)
+    told = []
+    q = snapshots.snapshots(stream, 1500).writeStream.foreachBatch(lambda df, b: told.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        services = points.select("service_name").distinct().count()
+        _until(lambda: len(told) >= 3 * services)
+    finally:
+        q.stop()
+    want = {r.service_name: r.asDict() for r in metrics.jvm_snapshot(m, h).collect()}
+    for r in told:
+        assert {c: v for c, v in r.asDict().items() if c != "flushed_at_ms"} == {c: want[r.service_name].get(c) for c in r.asDict() if c != "flushed_at_ms"}
+    times = {s: sorted(r.flushed_at_ms for r in told if r.service_name == s) for s in want}
+    assert all(len(t) >= 2 and len(set(t)) == len(t) for t in times.values())
 
 
 def test_traces_are_assembled_whole(spark, parts, tmp_path):
@@ -101,7 +188,7 @@ def test_traces_are_assembled_whole(spark, parts, tmp_path):
     path, spans = parts
     stream = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(path)
     batches = []
-    q = jobs.assemble_traces(stream, 100, 4000).writeStream.foreachBatch(lambda df, b: batches.append(df.select("trace_id", "span_id").collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    q = assembly.assemble_traces(stream, 100, 4000, shards=4).writeStream.foreachBatch(lambda df, b: batches.append(df.select("trace_id", "span_id").collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
     total, end = spans.count(), time.time() + 100
     while sum(map(len, batches)) < total and time.time() < end:
         time.sleep(1)

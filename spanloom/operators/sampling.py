@@ -168,16 +168,20 @@ def adaptive_rates(traces: DataFrame, target_tps: float, least: float = 0.01, mo
     return grouped(per, rates, "tick long, rate double")
 
 
+def every_kth(traces: DataFrame, rates: DataFrame, tick_ms: int = 1000) -> DataFrame:
+    """Of the traces of each tick of ``rates`` (tick, rate) every round(1/rate)-th by arrival."""
+    w = Window.partitionBy("tick").orderBy("first_ms", "trace_id")
+    t = traces.withColumn("tick", F.floor(F.col("first_ms") / tick_ms)).join(rates, "tick").withColumn("k", F.row_number().over(w))
+    every = F.greatest(F.floor(1 / F.col("rate") + 0.5), F.lit(1))
+    return t.filter(F.col("k") % every == 0).select(traces.columns)
+
+
 def adaptive_limit(traces: DataFrame, target_tps: float, least: float = 0.01, most: float = 1.0, alpha: float = 0.3, tick_ms: int = 1000) -> DataFrame:
     """Traces that pass: critical ones (error, latency) go by and are never counted; of the others every round(1/rate)-th
     of each tick by arrival."""
     critical = F.col("reason").isin(*CRITICAL)
     offered = traces.filter(~critical)
-    rates = adaptive_rates(offered, target_tps, least, most, alpha, tick_ms)
-    w = Window.partitionBy("tick").orderBy("first_ms", "trace_id")
-    t = offered.withColumn("tick", F.floor(F.col("first_ms") / tick_ms)).join(rates, "tick").withColumn("k", F.row_number().over(w))
-    every = F.greatest(F.floor(1 / F.col("rate") + 0.5), F.lit(1))
-    return traces.filter(critical).unionByName(t.filter(F.col("k") % every == 0).select(traces.columns))
+    return traces.filter(critical).unionByName(every_kth(offered, adaptive_rates(offered, target_tps, least, most, alpha, tick_ms), tick_ms))
 
 
 #: Lists of first values that are sent to all tasks at most; beyond it they are joined by an exchange.

@@ -73,6 +73,12 @@ def red_rollup(df: DataFrame, tier: str) -> DataFrame:
     )
 
 
+def merged_red(rollup: DataFrame) -> DataFrame:
+    """Partial aggregates of red_rollup() as fewer of them, one for each key."""
+    sums = [F.sum(c).alias(c) for c in ("requests", "errors", "duration_sum")]
+    return rollup.groupBy(*RED_KEYS).agg(*sums, F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
 def red_from_rollup(rollup: DataFrame, service: str = "", from_ms: int | None = None, to_ms: int | None = None, limit: int | None = 1000) -> DataFrame:
     """Rates, errors and durations from partial aggregates; percentiles by merged sketches."""
     df = equals(rollup.filter(buckets_between("minute", from_ms, to_ms)), service_name=service)

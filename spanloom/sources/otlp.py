@@ -130,10 +130,14 @@ def write_dlq(df: DataFrame, path: str, reason: str, day: str, signal: str) -> N
 
 def read_dlq(spark: SparkSession, path: str, signal: str, today: str) -> DataFrame:
     """Rows of failed batches of days before today, from lines with a batch and from lines with one row."""
-    schema = RECORDS[signal]
     day = F.regexp_extract(F.input_file_name(), rf"/{signal}-(\d{{4}}-\d{{2}}-\d{{2}})[^/]*(?:/|$)", 1)
     lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("day", day)
-    lines = lines.filter((F.col("day") != "") & (F.col("day") != today))
+    return dlq_rows(lines.filter((F.col("day") != "") & (F.col("day") != today)), signal)
+
+
+def dlq_rows(lines: DataFrame, signal: str) -> DataFrame:
+    """The rows of dead-letter lines (``value``)."""
+    schema = RECORDS[signal]
     struct = "struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in _columns(schema)) + ">"
     both = _records(_records(lines, f"error_reason string, batch array<{struct}>", "b"), schema)
     batch = both.filter("b.batch is not null").select(F.explode("b.batch").alias("r")).select("r.*")

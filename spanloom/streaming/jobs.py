@@ -49,13 +49,3 @@ def sample_batch(config: Sampling, write: Callable[[DataFrame, int], None]) -> C
         write(df.join(kept, "trace_id", "left_semi"), batch)
 
     return run
-
-
-def latest_values(stream: DataFrame, keys: list[str], value: str, time: Column) -> DataFrame:
-    """The newest value by keys, for an update-mode sink."""
-    return stream.groupBy(*keys).agg(F.max_by(value, time).alias(value), F.max(time).alias("at"))
-
-
-def tail(stream: DataFrame, where: Column | None = None) -> DataFrame:
-    """New rows of a growing table, each once."""
-    return stream if where is None else stream.filter(where)

@@ -1,13 +1,15 @@
 """Streams give what the batch gives, also in several micro-batches and out of order."""
 
+import json
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import logs, metrics, sampling, traces
+from spanloom.sources import otlp, replay
 from spanloom.sources.telemetry import view
-from spanloom.streaming import assembly, bags, jobs, snapshots
+from spanloom.streaming import adaptive, assembly, bags, jobs, merging, snapshots, tails
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,16 +59,14 @@ def test_other_rollups_by_micro_batch(spark, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, read(rollup(df)).select(got.columns).collect()))
 
 
-def test_windows_and_latest(spark, parts, tmp_path):
+def test_windows(spark, parts, tmp_path):
     path, spans = parts
     stream = spark.readStream.schema(spans.schema).parquet(path).withColumn("at", F.timestamp_micros(F.floor(F.col("start_time_nano") / 1000)))
-    for name, df in (("windows", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days")), ("sliding", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days", "20 minutes")), ("last", jobs.latest_values(stream, ["service_name"], "duration_nano", F.struct("start_time_nano", "span_id")))):
-        q = df.writeStream.format("memory").queryName(name).outputMode("update" if name == "last" else "complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    for name, df in (("windows", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days")), ("sliding", jobs.windowed_counts(stream, "at", ["service_name"], "1 hour", "60 days", "20 minutes"))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spans.count()
     assert spark.table("sliding").agg(F.sum("n")).first()[0] == 3 * spans.count()
-    want = {r[0]: r[1] for r in spans.groupBy("service_name").agg(F.max_by("duration_nano", F.struct("start_time_nano", "span_id"))).collect()}
-    assert {r.service_name: r.duration_nano for r in spark.table("last").collect()} == want
 
 
 def test_sampled_batches(spark, parts):
@@ -197,10 +197,129 @@ def test_traces_are_assembled_whole(spark, parts, tmp_path):
     assert sorted(got) == sorted(map(tuple, spans.select("trace_id", "span_id").collect()))
 
 
-def test_tail(spark, parts, tmp_path):
-    path, spans = parts
-    stream = spark.readStream.schema(spans.schema).parquet(path)
-    q = jobs.tail(stream, F.col("status_code") == 2).writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("tailed").count() == spans.filter("status_code = 2").count()
-    assert logs.ERROR == 17
+def test_tails_tell_each_row_once(spark, tmp_path):
+    """Rows of one time on both sides of a poll; the 50 newest of a poll and no others; by service and severity."""
+    _stateful(spark)
+    schema = "event_id long, service_name string, severity_text string, received_at_ms long, body string"
+    path = str(tmp_path / "in")
+    subscriptions = spark.createDataFrame([("all", "", ""), ("errors", None, "ERROR"), ("a", "a", ""), ("b-errors", "b", "ERROR")], "subscription_id string, service string, severity string")
+    rows = lambda first, n, at: [(k, "ab"[k % 2], ("ERROR", "INFO", None)[k % 3], at(k), f"body {k}") for k in range(first, first + n)]
+    add = lambda r: spark.createDataFrame(r, schema).repartition(2).write.mode("append").parquet(path)
+    one, two = rows(0, 200, lambda k: 1000 + k // 7), rows(200, 30, lambda k: 1000 + 199 // 7)  # the second has the last time of the first
+    add(one)
+    told = {}
+    stream = spark.readStream.schema(schema).parquet(path)
+    sink = lambda df, b: told.update({b: df.collect()})
+    q = tails.tails(stream, subscriptions, every_ms=2000).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    seen = lambda: [r for b in sorted(told) for r in told[b]]
+    try:
+        _until(lambda: len({r.subscription_id for r in seen()}) == 4)
+        add(two)
+        _until(lambda: {r.subscription_id for r in seen() if r.poll == 2} == {"all", "errors", "a", "b-errors"})
+        time.sleep(3)
+    finally:
+        q.stop()
+    of = {"all": lambda r: True, "errors": lambda r: r[2] == "ERROR", "a": lambda r: r[1] == "a", "b-errors": lambda r: r[1] == "b" and r[2] == "ERROR"}
+    for name, test in of.items():
+        for poll, part in ((1, one), (2, two)):
+            want = sorted(filter(test, part), key=lambda r: (-r[3], str(r[0])))[:50]
+            got = sorted((r.position, json.loads(r.row)["event_id"], r.at_ms) for r in seen() if r.subscription_id == name and r.poll == poll)
+            assert got == [(k + 1, r[0], r[3]) for k, r in enumerate(want)], (name, poll)
+    assert max(r.poll for r in seen()) == 2
+
+
+def test_adaptive_rates_of_a_stream_equal_the_batch(spark, tmp_path):
+    _stateful(spark)
+    offered = [(0, 10), (1, 40), (2, 5), (9, 300), (10, 300), (11, 2), (12, 1), (30, 900), (31, 7)]
+    rows = [(f"t{s}-{k}", s * 1000 + k, "probabilistic") for s, n in offered for k in range(n)] + [(f"e{s}", s * 1000 + 5, "error") for s in range(40)]
+    df = spark.createDataFrame(rows, "trace_id string, first_ms long, reason string")
+    path = str(tmp_path / "in")
+    _files(df, path, 4, ["first_ms", "trace_id"])
+    # the last row only moves the watermark on
+    spark.createDataFrame([("end", 10**6, "probabilistic")], df.schema).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rates, passed = {}, {}
+    gate = adaptive.gate_sink(lambda ticks: df, lambda d, b: passed.update({b: d.collect()}))
+
+    def sink(d, b):
+        rates[b] = d.collect()
+        gate(d, b)
+
+    q = adaptive.rates_stream(stream, 10, 0.05).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    plain = df.filter("reason = 'probabilistic'")
+    want = {r.tick: round(r.rate, 9) for r in sampling.adaptive_rates(plain, 10, 0.05).collect()}
+    assert {r.tick: round(r.rate, 9) for b in rates.values() for r in b} == want and sum(len(b) for b in rates.values()) == len(want)
+    assert sum(1 for b in rates.values() if b) > 1
+    assert sorted(r for b in passed.values() for r in b) == sorted(sampling.adaptive_limit(df, 10, 0.05).filter("reason = 'probabilistic'").collect())
+
+
+def test_rollup_folders_are_merged_while_readers_go_on(spark, parts, tmp_path):
+    _, spans = parts
+    path = str(tmp_path / "topology")
+    for k in range(12):
+        jobs.rollup_sink(str(tmp_path), {"topology": traces.topology_rollup})(spans.filter(F.pmod("event_id", F.lit(12)) == k), k)
+    want = sorted(traces.topology(traces.topology_rollup(spans)).collect())
+    same = lambda: sorted(traces.topology(merging.read_rollup(spark, path)).collect()) == want
+    keys = ["caller", "callee", "minute5"]
+    combine = lambda d: d.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("calls", "errors", "duration_sum")])
+    during = []
+
+    def watched(d):  # a reader while the merge is being written
+        during.append(same())
+        return combine(d)
+
+    before = merging.read_rollup(spark, path)
+    assert same()
+    merging.merge(spark, path, watched, 3)
+    assert same() and during == [True]
+    assert sorted(traces.topology(before).collect()) == want  # one that began before
+    with pytest.raises(ZeroDivisionError):
+        merging.merge(spark, path, lambda d: 1 / 0, 7)
+    assert same()
+    merging.merge(spark, path, watched, 7, most_folders=1)
+    folders = merging.merge(spark, path, watched, 9, most_folders=1)["folders"]
+    assert len(folders) == 1 and same() and during == [True] * 3
+    assert len(merging.clean(spark, path)) == 10 + 2 and same()
+    assert sorted(p.name for p in (tmp_path / "topology").iterdir() if p.name[0] not in "._") == ["batch=10", "batch=11", *folders]
+    assert merging.merge(spark, path, watched, 9)["folders"] == folders and merging.clean(spark, path) == []
+    # sketches merge too
+    red = str(tmp_path / "red")
+    for k in range(4):
+        jobs.rollup_sink(str(tmp_path), {"red": lambda d: traces.red_rollup(d, "1h")})(spans.filter(F.pmod("event_id", F.lit(4)) == k), k)
+    one = sorted(traces.red_from_rollup(merging.read_rollup(spark, red), limit=None).collect())
+    merging.merge(spark, red, traces.merged_red, 2)
+    assert sorted(traces.red_from_rollup(merging.read_rollup(spark, red), limit=None).collect()) == one
+
+
+def test_dead_letters_are_replayed_exactly_once(spark, tmp_path):
+    """Stopped before the rows are marked as written, and between that and the files' removal."""
+    path, target, ledger = (str(tmp_path / x) for x in ("dlq", "target", "ledger"))
+    row = lambda k: spark.createDataFrame([(f"body {k}",)], "body string").coalesce(1)
+    for k, day in enumerate(("2024-01-01", "2024-01-02", "2024-01-03")):
+        otlp.write_dlq(row(k), path, "down", day, "logs")
+        otlp.write_dlq(row(10 + k), path, "down", day, "spans")
+    bodies = lambda: sorted(r.body for r in replay.replayed(spark, target, ledger).collect())
+    stopped = RuntimeError("stopped")
+
+    def stop():
+        raise stopped
+
+    with pytest.raises(RuntimeError):  # written and marked, not removed
+        replay.replay(spark, path, "logs", "2024-01-03", target, ledger, before_removal=stop)
+    assert bodies() == ["body 0", "body 1"] and len(replay.pending(spark, path, "logs", "2024-01-03")) == 2
+    otlp.write_dlq(row(7), path, "down", "2024-01-02", "logs")  # comes late: a group of its own
+    assert replay.replay(spark, path, "logs", "2024-01-03", target, ledger) == 3
+    assert bodies() == ["body 0", "body 1", "body 7"] and replay.pending(spark, path, "logs", "2024-01-03") == []
+    assert len(replay.pending(spark, path, "spans", "2024-01-03")) == 2
+    # the rows are there but not marked: the group is written anew
+    otlp.write_dlq(row(8), path, "down", "2024-01-02", "logs")
+    with pytest.raises(RuntimeError):
+        replay.replay(spark, path, "logs", "2024-01-03", target, ledger, before_removal=stop)
+    for done in (tmp_path / "ledger").glob("*.done"):
+        if not done.with_suffix(".removed").exists():
+            done.unlink()
+    assert bodies() == ["body 0", "body 1", "body 7"]
+    assert replay.replay(spark, path, "logs", "2024-01-03", target, ledger) == 1 and bodies() == ["body 0", "body 1", "body 7", "body 8"]
+    assert replay.replay(spark, path, "logs", "2024-01-03", target, ledger) == 0
+    assert replay.replay(spark, path, "logs", "2024-01-04", target, ledger) == 1 and bodies()[2] == "body 2"

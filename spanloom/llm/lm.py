@@ -1,20 +1,22 @@
 """Language-model scoring with causal self-attention (operator 6).
 
-The model reads subword ids of a public tokenizer, word by word.  Every frequent id has embeddings of its own
-(query, key, value and a direct one), the rare ids of a class share theirs.  A single layer of causal
-self-attention predicts the next id in two steps, its class and then the id among its class's members;
-classes are ranges of the pieces in alphabetical order with about equal shares of the counts.
+The model reads subword ids of a public tokenizer, word by word, and predicts the next id in two steps: its class, and then the id
+among its class's members; classes are ranges of the pieces in alphabetical order with about equal shares of the counts.
+What an id says about the next one by itself, its direct path, starts from counts over all training texts: of the next class
+for each frequent id, and of the next member for each very frequent one.  A single layer of causal self-attention over embeddings
+(query, key, value and a direct one for each frequent id; the rare ids of a class share theirs) is fitted on top of it.
 Texts are scored in blocks: each block's tokens are predicted once, with the tokens before it as context, under a causal
 mask, many blocks at a time.
 
 Texts are read once: what leaves a piece of input is its ids, and its distinct words by range of hash for the base score's
-counts.  The ids are then counted, trained on and scored from a written table.  The layer starts from
-a fit on a bounded draw of windows; each task then goes on from there over all windows of its training texts,
-and the weights of the tasks are averaged by their numbers of windows, so every training text is trained on.
+counts.  The texts' ids are put in order by unit, a range of hashes of the text and its key, and by key; so what a
+unit holds doesn't depend on how the input lies in partitions.  The layer is fitted in a few rounds: in each a part of the units, each
+unit on its own copy, and the copies are averaged by their numbers of windows.  Every block of every training text is a target once a pass.
 """
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,23 +29,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.shared import cut, parts
-from spanloom.llm.words import LOWER, buffers, hashes, ranges, slices, spans
+from spanloom.llm.words import LOWER, P, buffers, hashes, mix, ranges, slices, spans
 
-#: Classes, ids of a class that are told apart by the model, and ids with embeddings of their own.
-CLASSES, MEMBERS, KNOWN = 32, 32, 4096
-WIDTH, HIDDEN, BLOCK, CONTEXT = 8, 24, 16, 16
+#: Classes, members of a class that are told apart, ids with embeddings of their own, and ids with member counts of their own.
+CLASSES, MEMBERS, KNOWN, NEAR = 32, 32, 4096, 480
+WIDTH, HIDDEN, BLOCK, CONTEXT = 4, 16, 16, 8
 LENGTH = BLOCK + CONTEXT
 #: Offsets from a query to a key; keys after it are masked.
 OFFSET = np.arange(CONTEXT, LENGTH)[:, None] - np.arange(LENGTH)
 SEEN = OFFSET >= 0
 #: Rows of the embeddings beyond those of known ids and of classes: the beginning of a text, and nothing.
 BEGIN, NONE = KNOWN + CLASSES, KNOWN + CLASSES + 1
+ROWS, GROUPS = KNOWN + CLASSES + 2, NEAR + CLASSES + 1
 NEVER = np.float32(-1e9)
 _table = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words whose ids are remembered, and bytes of text of a piece.
 KEEP, PIECE = 150_000, 2 << 20
 #: Bound of queries and keys, so that no product of two overflows.
 MOST = 2.0
+#: How much the counts after any id weigh against those after one id.
+WEIGHT = 20.0
+#: Bytes of text of a unit at most, on average, and ids of which a larger one is cut.
+UNIT, UNIT_IDS = 8 << 20, 1 << 22
 
 
 class Subwords:
@@ -142,14 +149,19 @@ def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]
 @dataclass
 class Attention:
     """What is fixed by the counts (for each id its row of the embeddings, class, place among members, and log share of
-    the ids that share a place), and the layer's weights."""
+    the ids that share a place; for each row its group; the counts of members), the layer's weights, and what rows and groups say
+    of the next class and member."""
 
     row: np.ndarray
     of: np.ndarray
     place: np.ndarray
     share: np.ndarray
+    group: np.ndarray
+    counted: np.ndarray
     w: dict[str, np.ndarray]
     squares: dict[str, np.ndarray] = field(default_factory=dict)
+    after: np.ndarray | None = None
+    within: np.ndarray | None = None
 
     @staticmethod
     def start(counts: np.ndarray, pieces: list[str] | None = None, seed: int = 5) -> Attention:
@@ -158,31 +170,52 @@ class Attention:
         order = np.array(sorted(range(n), key=lambda i: pieces[i])) if pieces else np.arange(n)
         of = np.empty(n, np.int64)
         of[order] = np.minimum(((np.cumsum(counts[order]) - counts[order] / 2) / counts.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-        row, frequent = KNOWN + of, np.argsort(-counts, kind="stable")
+        frequent = np.argsort(-counts, kind="stable")
+        row, group = KNOWN + of, NEAR + of
         row[frequent[:KNOWN]] = np.arange(min(KNOWN, n))
+        group[frequent[:NEAR]] = np.arange(min(NEAR, n))
+        of_row = np.full(ROWS, GROUPS - 1)
+        of_row[row] = group
+        of_row[KNOWN : KNOWN + CLASSES] = NEAR + np.arange(CLASSES)
         # the most frequent ids of a class are members of their own, the last place is for all others
         by = np.lexsort((-counts, of))
         rank = np.empty(n, np.int64)
         rank[by] = np.arange(n) - np.searchsorted(of[by], of[by])
         place = np.minimum(rank, MEMBERS - 1)
-        within = np.bincount(of * MEMBERS + place, counts, CLASSES * MEMBERS)
-        total = within.reshape(CLASSES, MEMBERS).sum(1)
+        members = np.bincount(of * MEMBERS + place, counts, CLASSES * MEMBERS).reshape(CLASSES, MEMBERS)
         r = np.random.default_rng(seed)
-        rows = KNOWN + CLASSES + 2
-        shapes = {"q": (rows, WIDTH), "k": (rows, WIDTH), "v": (rows, WIDTH), "own": (rows, HIDDEN), "mix": (WIDTH, HIDDEN), "out": (HIDDEN, CLASSES), "unit": (CLASSES, HIDDEN, MEMBERS)}
+        shapes = {"qo": (ROWS, WIDTH + HIDDEN), "kv": (ROWS, 2 * WIDTH), "mix": (WIDTH, HIDDEN), "out": (HIDDEN, CLASSES), "unit": (CLASSES, HIDDEN, MEMBERS)}
         w = {k: r.normal(0, 0.05 if k in ("out", "unit") else 0.3, s).astype(np.float32) for k, s in shapes.items()}
-        with np.errstate(divide="ignore"):
-            w["bias"] = np.maximum(np.log(total / total.sum()), -30).astype(np.float32)
-            w["each"] = np.maximum(np.log(within), NEVER).astype(np.float32).reshape(CLASSES, MEMBERS)
-        w["each"] -= np.log(np.exp(w["each"]).sum(1, keepdims=True) + 1e-30)
         w["far"] = (-0.15 * np.arange(LENGTH)).astype(np.float32)
-        return Attention(row, of, place, np.log(counts / within[of * MEMBERS + place]).astype(np.float32), w)
+        layer = Attention(row, of, place, np.log(counts / members[of, place]).astype(np.float32), of_row, members, w)
+        return layer.with_pairs(np.zeros(ROWS * CLASSES + GROUPS * CLASSES * MEMBERS))
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of windows the place of each pair of ids in the counts that with_pairs() takes: by row and class, and by group, class and member."""
+        there = y >= 0
+        last, ids = x[:, CONTEXT:][there].astype(np.int64), y[there]
+        return np.concatenate([last * CLASSES + self.of[ids], ROWS * CLASSES + (self.group[last] * CLASSES + self.of[ids]) * MEMBERS + self.place[ids]])
+
+    def with_pairs(self, counts: np.ndarray) -> Attention:
+        """The layer with the logs of what rows and groups say of the next class and member, from start()'s counts of members and those of pairs."""
+        members = self.counted
+        first, second = counts[: ROWS * CLASSES].reshape(ROWS, CLASSES), counts[ROWS * CLASSES :].reshape(GROUPS, CLASSES, MEMBERS)
+        by_class = members.sum(1) / members.sum()
+        by_member = members / np.maximum(members.sum(1, keepdims=True), 1e-9)
+        with np.errstate(divide="ignore"):
+            self.after = np.maximum(np.log((first + WEIGHT * by_class) / (first.sum(1, keepdims=True) + WEIGHT)), -30).astype(np.float32)
+            within = np.log((second + WEIGHT * by_member) / (second.sum(2, keepdims=True) + WEIGHT))
+        self.within = np.maximum(within, NEVER).astype(np.float32).reshape(GROUPS * CLASSES, MEMBERS)
+        return self
+
+    def copy(self) -> Attention:
+        return Attention(self.row, self.of, self.place, self.share, self.group, self.counted, {k: v.copy() for k, v in self.w.items()}, {}, self.after, self.within)
 
     def hidden(self, x: np.ndarray) -> tuple:
         """x: [block, LENGTH] rows of the embeddings; what the layer makes of each of the last BLOCK."""
         w = self.w
-        last = x[:, CONTEXT:]
-        q, k, v = w["q"][last], w["k"][x], w["v"][x]
+        qo, kv = w["qo"][x[:, CONTEXT:]], w["kv"][x]
+        q, k, v = qo[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
         a = q @ k.transpose(0, 2, 1)
         a += np.where(SEEN, w["far"][np.maximum(OFFSET, 0)], NEVER)
         np.exp(a, out=a)
@@ -190,7 +223,7 @@ class Attention:
         seen = a @ v
         seen *= over
         h = seen.reshape(-1, WIDTH) @ w["mix"]
-        h += w["own"][last.ravel()]
+        h += qo[..., WIDTH:].reshape(-1, HIDDEN)
         h += np.abs(h)
         h *= np.float32(0.5)  # the positive part, faster than a maximum
         return q, k, v, a, over, seen, h
@@ -202,39 +235,41 @@ class Attention:
         cuts = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
         return order, [(k, i, j) for k, i, j in zip(range(CLASSES), cuts, cuts[1:]) if i < j]
 
+    def members(self, h: np.ndarray, last: np.ndarray, ids: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Of tokens in order of class the logits of the members of that class."""
+        z = self.within[self.group[last] * CLASSES + self.of[ids]]
+        for c, i, j in cuts:
+            z[i:j] += h[i:j] @ self.w["unit"][c]
+        return z
+
     def chances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each id of y (-1: none, 0) after what x holds before it."""
         h, w = self.hidden(x)[-1], self.w
         flat = y.ravel()
         there = np.flatnonzero(flat >= 0)
-        ids = flat[there]
-        order, cuts = self.by_class(ids)
-        there, ids = there[order], ids[order]
-        h = h[there]
-        z, place = h @ w["out"], self.place[ids]
-        z += w["bias"]
-        got = z[np.arange(len(ids)), self.of[ids]] + self.share[ids]
+        order, cuts = self.by_class(flat[there])
+        there = there[order]
+        ids, last, h = flat[there], x[:, CONTEXT:].ravel()[there], h[there]
+        each = np.arange(len(ids))
+        z = h @ w["out"]
+        z += self.after[last]
+        got = z[each, self.of[ids]] + self.share[ids]
         _, sums, moved = _chances(z)
         got -= np.log(sums) + moved
-        z = np.empty((len(ids), MEMBERS), np.float32)
-        for c, i, j in cuts:
-            np.matmul(h[i:j], w["unit"][c], out=z[i:j])
-            z[i:j] += w["each"][c]
-        got += z[np.arange(len(ids)), place]
+        z = self.members(h, last, ids, cuts)
+        got += z[each, self.place[ids]]
         _, sums, moved = _chances(z)
         out = np.zeros(len(flat), np.float32)
         out[there] = got - np.log(sums) - moved
         return out.reshape(y.shape)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 1, batch: int = 256, rate: float = 1.0, seed: int = 6, least_steps: int = 0) -> Attention:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 1, batch: int = 256, rate: float = 1.0, seed: int = 6) -> Attention:
         """Adagrad on the mean log-likelihood of the next id, going on from the fit before; y: [block, BLOCK], -1 where there is none."""
-        if len(x):
-            epochs = max(epochs, -(-least_steps * batch // len(x)))
-            r = np.random.default_rng(seed)
-            for _ in range(epochs):
-                order = r.permutation(len(x))
-                for s in range(0, len(x), batch):
-                    self._step(x[order[s : s + batch]], y[order[s : s + batch]], rate)
+        r = np.random.default_rng(seed)
+        for _ in range(epochs):
+            order = r.permutation(len(x))
+            for s in range(0, len(x), batch):
+                self._step(x[order[s : s + batch]], y[order[s : s + batch]], rate)
         return self
 
     def _move(self, name: str, g: np.ndarray, rate: float, at: np.ndarray | None = None) -> None:
@@ -250,39 +285,35 @@ class Attention:
             some += g * g
             squares[at] = some
             new = w[at] - rate * g / np.sqrt(some)
-            w[at] = np.clip(new, -MOST, MOST) if name in ("q", "k") else new
+            new[:, :WIDTH] = np.clip(new[:, :WIDTH], -MOST, MOST)  # queries and keys stand first
+            w[at] = new
 
     def _step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
         w = self.w
         q, k, v, a, over, seen, h = self.hidden(x)
-        flat = y.ravel()
+        flat, last = y.ravel(), x[:, CONTEXT:].ravel()
         there = np.flatnonzero(flat >= 0)
         if not len(there):
             return
         order, cuts = self.by_class(flat[there])
         there = there[order]
-        ids, ht = flat[there], h[there]
+        ids, ht, before = flat[there], h[there], last[there]
         each, scale = np.arange(len(ids)), np.float32(1 / len(ids))
         # classes
         p = ht @ w["out"]
-        p += w["bias"]
+        p += self.after[before]
         p, total, _ = _chances(p)
         p *= (scale / total)[:, None]
         p[each, self.of[ids]] -= scale
         dh = p @ w["out"].T
-        slopes = {"out": ht.T @ p, "bias": _ones(len(ids)) @ p}
+        slopes = {"out": ht.T @ p}
         # members
-        z = np.empty((len(ids), MEMBERS), np.float32)
-        for c, i, j in cuts:
-            np.matmul(ht[i:j], w["unit"][c], out=z[i:j])
-            z[i:j] += w["each"][c]
-        z, total, _ = _chances(z)
+        z, total, _ = _chances(self.members(ht, before, ids, cuts))
         z *= (scale / total)[:, None]
         z[each, self.place[ids]] -= scale
-        slopes |= {n: np.zeros_like(w[n]) for n in ("unit", "each")}
+        slopes["unit"] = np.zeros_like(w["unit"])
         for c, i, j in cuts:
             slopes["unit"][c] = ht[i:j].T @ z[i:j]
-            slopes["each"][c] = _ones(j - i) @ z[i:j]
             dh[i:j] += z[i:j] @ w["unit"][c].T
         # the layer
         d = np.zeros_like(h)
@@ -291,21 +322,22 @@ class Attention:
         slopes["mix"] = seen.reshape(-1, WIDTH).T @ d
         dseen = (d @ w["mix"].T).reshape(seen.shape)
         dseen *= over
-        last = x[:, CONTEXT:].ravel()
-        dv = a.transpose(0, 2, 1) @ dseen
+        dkv, dqo = np.empty((*x.shape, 2 * WIDTH), np.float32), np.empty((len(last), WIDTH + HIDDEN), np.float32)
+        dkv[..., WIDTH:] = a.transpose(0, 2, 1) @ dseen
         da = dseen @ v.transpose(0, 2, 1)
         da -= np.einsum("nij,nij->ni", dseen, seen)[..., None]
         da *= a
-        slopes["far"] = np.bincount(np.maximum(OFFSET, 0).ravel(), (np.einsum("nij->ij", da) * SEEN).ravel(), LENGTH).astype(np.float32)
-        dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+        slopes["far"] = np.bincount(np.maximum(OFFSET, 0).ravel(), (da.sum(0) * SEEN).ravel(), LENGTH).astype(np.float32)
+        dkv[..., :WIDTH] = da.transpose(0, 2, 1) @ q
+        dqo[:, :WIDTH] = (da @ k).reshape(-1, WIDTH)
+        dqo[:, WIDTH:] = d
         for name, g in slopes.items():
             self._move(name, g, rate)
-        for rows, tables in ((last, {"q": dq.reshape(-1, WIDTH), "own": d}), (x.ravel(), {"k": dk.reshape(-1, WIDTH), "v": dv.reshape(-1, WIDTH)})):
-            order = np.argsort(rows.astype(np.uint16), kind="stable")
+        for rows, name, g in ((last, "qo", dqo), (x.ravel(), "kv", dkv.reshape(-1, 2 * WIDTH))):
+            order = np.argsort(rows, kind="stable")
             sorted_ = rows[order]
-            first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-            for name, g in tables.items():
-                self._move(name, np.add.reduceat(g[order], first, axis=0), rate, sorted_[first])
+            first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1))
+            self._move(name, np.add.reduceat(g[order], first, axis=0), rate, sorted_[first])
 
     def score(self, ids: np.ndarray, counts: np.ndarray, most: int = 512) -> np.ndarray:
         """log10 probability of each text; ids end to end."""
@@ -322,13 +354,13 @@ class Attention:
         n = -(-counts // BLOCK)
         text, places = np.repeat(np.arange(len(counts)), n), n * BLOCK
         if not len(text):
-            return np.empty((0, LENGTH), np.int64), np.empty((0, BLOCK), np.int64), text
+            return np.empty((0, LENGTH), np.int16), np.empty((0, BLOCK), np.int32), text
         # texts padded to whole blocks; as input one place later, after BEGIN and a context of nothing
         base = np.cumsum(places) - places
         at = np.arange(len(ids)) + np.repeat(base - (np.cumsum(counts) - counts), counts)
-        y = np.full(places.sum(), -1, np.int64)
+        y = np.full(places.sum(), -1, np.int32)
         y[at] = ids
-        x = np.full(places.sum() + CONTEXT * len(counts) + 1, NONE, np.int64)
+        x = np.full(places.sum() + CONTEXT * len(counts) + 1, NONE, np.int16)
         lead = CONTEXT * (np.arange(len(counts)) + 1)
         x[at + np.repeat(lead, counts) + 1] = self.row[ids]
         last = (base + lead + counts)[counts % BLOCK == 0]  # the last id of a whole block has nothing after it
@@ -339,18 +371,18 @@ class Attention:
         return rows[first], y.reshape(-1, BLOCK), text
 
 
-SCATTERED = "bucket int, piece long, hashes binary, train binary, texts binary, docs binary, times binary, keys binary, held binary, words binary, tokens binary, ids binary"
-COUNTED = "piece long, sums binary, known binary, kinds long, total long, keys binary, held binary, words binary, tokens binary, ids binary"
+SCATTERED = "bucket int, unit int, doc long, tie long, piece long, at int, held boolean, hashes binary, train binary, texts binary, docs binary, times binary, keys binary, blank binary, words binary, ids binary"
+COUNTED = "piece long, sums binary, known binary, kinds long, total long, unit int, keys binary, blank binary, held binary, words binary, tokens binary, pieces binary, ats binary, ids binary"
 
 
-def _arrays(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = [x.split() for x in schema.split(", ")]
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[t]) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+def _arrays(rows: list[dict], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(n, types[t]) for n, t in (x.split() for x in schema.split(", "))]))
 
 
-def _scatter(model: str, buckets: int):
-    """Texts to the ids of their piece, and to its distinct words by range of hash, each with its count in training texts and its texts."""
+def _scatter(model: str, buckets: int, units: int):
+    """Texts to their ids, by unit; to the keys and words of their piece; and to its distinct words by range of hash, each with its
+    count in training texts and its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -361,10 +393,19 @@ def _scatter(model: str, buckets: int):
             at, words, of, spelled, order = distinct_words(b.column(1))
             n, train = np.diff(at), ~np.asarray(b.column(2).cast(pa.int8())).astype(bool)
             ids, counts = expand(subwords(model), at, of, spelled)
-            rows = [(piece % buckets, piece, None, None, None, None, None, np.asarray(b.column(0)).astype(np.int64).tobytes(), (~train).tobytes(), n.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes(), ids.astype(id_type(model)).tobytes())]
+            keys, blank = np.asarray(b.column(0).fill_null(0)).astype(np.int64), np.asarray(b.column(0).is_null().cast(pa.int8())).astype(bool)
+            yield _arrays([{"bucket": piece % buckets, "piece": piece, "keys": keys.tobytes(), "blank": blank.tobytes(), "words": n.astype(np.int64).tobytes(), "train": train.tobytes()}], SCATTERED)
+            # each text's ids, to its unit
+            flat, ends = ids.astype(id_type(model)), np.cumsum(counts)
+            each_ids = [flat[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
+            ties = np.array([zlib.crc32(x) for x in each_ids], np.int64)
+            unit = (mix(keys.astype(np.uint64) * np.uint64(P) + ties.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) * units >> 24
+            columns = {"bucket": pa.array((unit * buckets // units).astype(np.int32)), "unit": pa.array(unit.astype(np.int32)), "doc": b.column(0).cast(pa.int64()), "tie": pa.array(ties), "piece": pa.array(np.full(len(keys), piece)), "at": pa.array(np.arange(len(keys), dtype=np.int32)), "held": pa.array(~train), "ids": pa.array(each_ids, pa.binary())}
+            names = [x.split()[0] for x in SCATTERED.split(", ")]
+            yield pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(len(keys), pa.binary()) for c in names], names)
+            # pairs of a word and a text, with how often
             text = np.repeat(np.arange(len(n)), n)
             seen = np.bincount(of, train[text], len(words)).astype(np.uint32)
-            # pairs of a word and a text, with how often
             word, doc = of[order], text[order]
             first = np.ones(len(order), bool)
             first[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
@@ -373,56 +414,87 @@ def _scatter(model: str, buckets: int):
             times = np.diff(np.append(first, len(order))).astype(np.uint32)
             bucket = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            each = np.concatenate([[0], np.cumsum(texts, dtype=np.int64)])
+            each, rows = np.concatenate([[0], np.cumsum(texts, dtype=np.int64)]), []
             for k, i, j in zip(range(buckets), cuts, cuts[1:]):
                 if i < j:
                     p, q = each[i], each[j]
-                    rows.append((k, piece, words[i:j].tobytes(), seen[i:j].tobytes(), texts[i:j].tobytes(), docs[p:q].tobytes(), times[p:q].tobytes(), *[None] * 5))
+                    rows.append({"bucket": k, "piece": piece, "hashes": words[i:j].tobytes(), "train": seen[i:j].tobytes(), "texts": texts[i:j].tobytes(), "docs": docs[p:q].tobytes(), "times": times[p:q].tobytes()})
             yield _arrays(rows, SCATTERED)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a bucket's words over all pieces, as sums for each text of each piece; the ids of pieces go on as they are."""
-    rows, out = [], []
-    for b in batches:
-        for r in b.to_pylist():
-            if r["hashes"] is None:
-                yield _arrays([(r["piece"], None, None, 0, 0, r["keys"], r["held"], r["words"], r["tokens"], r["ids"])], COUNTED)
-            else:
-                rows.append(r)
-    if rows:
-        words, of = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
-        seen = np.concatenate([np.frombuffer(r["train"], np.uint32) for r in rows])
-        total = np.bincount(of, seen, len(words))
-        out.append((-1, None, None, int((total > 0).sum()), int(total.sum()), *[None] * 5))
-        at = 0
-        for r in rows:
-            texts = np.frombuffer(r["texts"], np.uint16)
-            c = np.repeat(total[of[at : at + len(texts)]], texts)
-            at += len(texts)
-            docs, times = np.frombuffer(r["docs"], np.uint16), np.frombuffer(r["times"], np.uint32)
-            out.append((r["piece"], np.bincount(docs, np.log10(c + 1) * times).tobytes(), np.bincount(docs, times * (c > 0)).astype(np.int64).tobytes(), 0, 0, *[None] * 5))
+def _unit(rows: list[dict], width: int) -> dict:
+    """The texts of a unit, or of a part of a very large one, as one row."""
+    pack = lambda c, kind: np.array([r[c] for r in rows], kind).tobytes()
+    size = np.array([len(r["ids"]) // width for r in rows], np.int64)
+    return {"piece": -2, "unit": rows[0]["unit"], "held": pack("held", bool), "tokens": size.tobytes(), "pieces": pack("piece", np.int64), "ats": pack("at", np.int32), "ids": b"".join(r["ids"] for r in rows)}
+
+
+def _count(width: int):
+    """Counts of a bucket's words over all pieces, as sums for each text of each piece; its units, whose texts come in order after the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, texts, held = [], [], 0
+        for b in batches:
+            for k in range(0, len(b), 512):
+                for r in b.slice(k, 512).to_pylist():
+                    if r["keys"] is not None:
+                        yield _arrays([{c: r[c] for c in ("piece", "keys", "blank", "words")} | {"held": np.logical_not(np.frombuffer(r["train"], bool)).tobytes()}], COUNTED)
+                    elif r["unit"] is None:
+                        words.append(r)
+                    else:
+                        if words:
+                            yield from _sums(words)
+                            words = []
+                        if texts and (texts[0]["unit"] != r["unit"] or held + len(r["ids"]) > UNIT_IDS * width):
+                            yield _arrays([_unit(texts, width)], COUNTED)
+                            texts, held = [], 0
+                        texts.append(r)
+                        held += len(r["ids"])
+        if words:
+            yield from _sums(words)
+        if texts:
+            yield _arrays([_unit(texts, width)], COUNTED)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def _sums(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    words, of = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
+    seen = np.concatenate([np.frombuffer(r["train"], np.uint32) for r in rows])
+    total = np.bincount(of, seen, len(words))
+    out, at = [{"piece": -1, "kinds": int((total > 0).sum()), "total": int(total.sum())}], 0
+    for r in rows:
+        texts = np.frombuffer(r["texts"], np.uint16)
+        c = np.repeat(total[of[at : at + len(texts)]], texts)
+        at += len(texts)
+        docs, times = np.frombuffer(r["docs"], np.uint16), np.frombuffer(r["times"], np.uint32)
+        out.append({"piece": r["piece"], "sums": np.bincount(docs, np.log10(c + 1) * times).tobytes(), "known": np.bincount(docs, times * (c > 0)).astype(np.int64).tobytes()})
     for i in range(0, len(out), 256):
         yield _arrays(out[i : i + 256], COUNTED)
-    pa.default_memory_pool().release_unused()
 
 
-SCORED = "piece long, sums binary, known binary, keys binary, held binary, words binary, score binary"
+SCORED = "piece long, sums binary, known binary, keys binary, blank binary, held binary, words binary, ats binary, score binary"
 
 
 def _score(model: str, layer: Attention):
-    """Pieces' ids to their texts' scores; sums of counts go on as they are."""
+    """Units' ids to their texts' scores, by piece; what else there is of pieces goes on as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                score = None
-                if r["ids"] is not None:
-                    score = layer.score(np.frombuffer(r["ids"], id_type(model)), np.frombuffer(r["tokens"], np.int64)).tobytes()
-                yield _arrays([(r["piece"], r["sums"], r["known"], r["keys"], r["held"], r["words"], score)], SCORED)
+                if r["ids"] is None:
+                    yield _arrays([{c.split()[0]: r.get(c.split()[0]) for c in SCORED.split(", ")}], SCORED)
+                    continue
+                score = layer.score(np.frombuffer(r["ids"], id_type(model)), np.frombuffer(r["tokens"], np.int64))
+                piece, at = np.frombuffer(r["pieces"], np.int64), np.frombuffer(r["ats"], np.int32)
+                order = np.argsort(piece, kind="stable")
+                first = np.flatnonzero(np.diff(piece[order], prepend=piece[order][:1] - 1)).tolist()
+                rows = [{"piece": int(piece[order[i]]), "ats": at[order[i:j]].tobytes(), "score": score[order[i:j]].tobytes()} for i, j in zip(first, [*first[1:], len(order)])]
+                yield _arrays(rows, SCORED)
 
     return run
 
@@ -437,122 +509,119 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows[r["piece"]].append(r)
     for piece, head in heads.items():
         keys = np.frombuffer(head["keys"], np.int64)
-        sums, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        sums, known, score = np.zeros(len(keys)), np.zeros(len(keys), np.int64), np.zeros(len(keys))
         for r in rows.pop(piece, []):
+            if r["score"] is not None:
+                score[np.frombuffer(r["ats"], np.int32)] = np.frombuffer(r["score"])
+                continue
             s, k = np.frombuffer(r["sums"]), np.frombuffer(r["known"], np.int64)
             sums[: len(s)] += s
             known[: len(k)] += k
-        columns = [keys, np.frombuffer(head["held"], bool), np.frombuffer(head["words"], np.int64), known, sums, np.frombuffer(head["score"])]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc", "held", "words", "known", "sums", "score"])
+        columns = [pa.array(keys, mask=np.frombuffer(head["blank"], bool)), *map(pa.array, (np.frombuffer(head["held"], bool), np.frombuffer(head["words"], np.int64), known, sums, score))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "held", "words", "known", "sums", "score"])
 
 
 def training_ids(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of rows (ids, tokens, held) of pieces: the ids of each piece's training texts end to end, and each text's number."""
+    """Of rows (ids, tokens, held) of units: the ids of each unit's training texts end to end, and each text's number."""
     for b in batches:
         for r in b.to_pylist():
             ids, counts, held = np.frombuffer(r["ids"], id_type(model)), np.frombuffer(r["tokens"], np.int64), np.frombuffer(r["held"], bool)
             yield ids[np.repeat(~held, counts)], counts[~held]
 
 
-def id_counts(pieces: DataFrame, model: str, size: int) -> np.ndarray:
-    """How often each id is in the training texts of pieces."""
+def _added(units: DataFrame, model: str, size: int, places) -> np.ndarray:
+    """How often each of ``size`` places is named by ``places(ids, counts)`` over all training texts; the model's size, not the input's, bounds what comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for ids, _ in training_ids(model, batches):
-            total += np.bincount(ids, minlength=size)
+        for ids, counts in training_ids(model, batches):
+            total += np.bincount(places(ids, counts), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
+    rows = units.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
-    for r in pieces.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
-        out[r.id] = r.n
+    out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-#: Of a training text the first block of ids and every so many-th after it are targets of training; all are context.
-EVERY = 4
+def id_counts(units: DataFrame, model: str, size: int) -> np.ndarray:
+    """How often each id is in the training texts of units."""
+    return _added(units, model, size, lambda ids, counts: ids)
+
+
+def pair_counts(units: DataFrame, model: str, layer: Attention) -> np.ndarray:
+    """How often each pair that with_pairs() counts is in the training texts of units."""
+    return _added(units, model, ROWS * CLASSES + GROUPS * CLASSES * MEMBERS, lambda ids, counts: layer.pairs(*layer.blocks(ids, counts)[:2]))
+
+
 #: Weights are summed as whole numbers of this, so the order of tasks changes nothing.
 GRAIN = 2.0**-20
 
 
-def fit_all(layer: Attention, pieces: DataFrame, model: str, rounds: int = 1, every: int = 1) -> Attention:
-    """The layer after ``rounds`` over all training texts: each task fits its own copy, a piece at a time, and
-    the copies are averaged by numbers of windows.  Of each text the first block and every ``every``-th after it are targets."""
+def fit_all(layer: Attention, units: DataFrame, model: str, rounds: int, epochs: int = 1) -> Attention:
+    """The layer after ``rounds``, in each of which every rounds-th unit is fitted ``epochs`` times over on a copy of its own, and the
+    copies are averaged by numbers of windows."""
     names = sorted(layer.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine, n = Attention(layer.row, layer.of, layer.place, layer.share, {k: v.copy() for k, v in layer.w.items()}), 0
         for ids, counts in training_ids(model, batches):
-            x, y, text = mine.blocks(ids, counts)
-            if every > 1:
-                some = (np.arange(len(text)) - np.searchsorted(text, text)) % every == 0
-                x, y = x[some], y[some]
-            mine.fit(x, y, batch=512)
-            n += len(x)
-        if n:
+            x, y, _ = layer.blocks(ids, counts)
+            if not len(x):
+                continue
+            mine = layer.copy().fit(x, y, epochs)
             flat = np.concatenate([mine.w[k].ravel() - layer.w[k].ravel() for k in names]).astype(float)
-            sums = np.append(np.rint(flat * n / GRAIN), n).astype(np.int64)
+            sums = np.append(np.rint(flat * len(x) / GRAIN), len(x)).astype(np.int64)
             some = np.append(np.flatnonzero(sums[:-1]), len(sums) - 1)  # what never moved isn't sent
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "sum"])
 
-    for _ in range(rounds):
-        rows = pieces.mapInArrow(run, "place long, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()  # one row for each weight at most
+    for k in range(rounds):
+        mine = units.filter(F.col("unit") % rounds == k)
+        rows = mine.mapInArrow(run, "place long, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()  # one row for each weight at most
         if rows.num_rows:
             place, sums = rows.column("place").to_numpy(), rows.column("sum").to_numpy()
             size = sum(layer.w[k].size for k in names)
             by, at = np.zeros(size + 1), 0
             by[place] = sums
-            for k in names:
-                v = layer.w[k]
-                layer.w[k] = v + (by[at : at + v.size] * GRAIN / by[-1]).reshape(v.shape).astype(np.float32)
+            for name in names:
+                v = layer.w[name]
+                layer.w[name] = v + (by[at : at + v.size] * GRAIN / by[-1]).reshape(v.shape).astype(np.float32)
                 at += v.size
     return layer
 
 
-def draw_windows(pieces: DataFrame, model: str, layer: Attention, most: int, from_pieces: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``most`` windows of training texts of so many pieces, those with the least hashes, each giving a seeded draw."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, counts in training_ids(model, batches):
-            x, y, _ = layer.blocks(ids, counts)
-            pick = np.sort(np.random.default_rng(len(x)).permutation(len(x))[: -(-most // some)])
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[pick].astype(np.int16)], pa.binary()), pa.array([r.tobytes() for r in y[pick].astype(np.int32)], pa.binary())], ["x", "y"])
-
-    chosen = [r.piece for r in pieces.select("piece").orderBy(F.xxhash64("piece"), "piece").limit(from_pieces).collect()]
-    some = max(len(chosen), 1)
-    rows = pieces.filter(F.col("piece").isin(chosen)).mapInArrow(run, "x binary, y binary").orderBy("x", "y").collect() if chosen else []
-    x = np.frombuffer(b"".join(r.x for r in rows), np.int16).reshape(-1, LENGTH).astype(np.int64)
-    return x, np.frombuffer(b"".join(r.y for r in rows), np.int32).reshape(-1, BLOCK).astype(np.int64)
-
-
-def language_model_scores(docs: DataFrame, model: str, start_windows: int = 50_000, start_steps: int = 1000, rounds: int = 1, every: int = EVERY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def language_model_scores(docs: DataFrame, model: str, rounds: int = 4, least_steps: int = 2000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of docs.
 
     Texts whose crc32 of the key as text leaves 2 modulo 7 are held out, the others train.  Base: words
     in lower-cased A-Z and one end, by add-one unigram counts over all training texts.  score: log10
-    probability by the attention model over the subword ids of ``model``.  Its layer starts from at
-    most ``start_windows`` windows (see draw_windows()), at least ``start_steps`` steps, and is then fitted ``rounds``
-    times on all training texts; see fit_all().
+    probability by the attention model over the subword ids of ``model``.  Its layer is fitted on all blocks of all training
+    texts in at most ``rounds`` rounds, see fit_all(); over little input several times, so that there are ``least_steps`` steps.
 
-    A null text counts as empty: one token, the end.  Rows with a null key are left out; repeated rows each
-    count and give a row.  An empty table gives no rows; without training texts all counts are 0.  A text of any
-    length is scored whole, in blocks.  Other columns are not read.
+    How the input lies in partitions changes nothing but the last digits of sums.  A null text counts as empty: one token, the end.
+    A row with a null key trains; repeated rows each count and give a row.  An empty table gives no rows; without training texts
+    all counts are 0.  A text of any length is scored whole, in blocks.  Other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
-    docs = docs.withColumn("held", F.pmod(F.crc32(F.col("doc").cast("string")), F.lit(7)) == 2)
-    buckets = 2 * parts(spark)  # a bucket is held whole by its task, with the ids of its share of the pieces
-    counted = cut(docs.select("doc", "text", "held").mapInArrow(_scatter(model, buckets), SCATTERED).repartitionById(buckets, F.col("bucket")).mapInArrow(_count, COUNTED))
-    pieces = counted.filter("ids is not null").select("piece", "ids", "tokens", "held")
-    layer = Attention.start(id_counts(pieces, model, subwords(model).size), subwords(model).pieces)
-    x, y = draw_windows(pieces, model, layer, start_windows)
-    layer.fit(x, y, least_steps=start_steps)
-    layer = fit_all(layer, pieces, model, rounds, every)
+    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.withColumn("held", F.coalesce(F.pmod(F.crc32(F.col("doc").cast("string")), F.lit(7)) == 2, F.lit(False)))
+    known = docs.agg(F.sum(F.octet_length("text")).alias("size"), F.sum((~F.col("held")).cast("long")).alias("ends")).first()
+    size, ends = known["size"] or 0, known["ends"] or 0
+    # units are as many as the input asks for; a bucket, which its task holds whole, has several of them or is one
+    units = 1 << max(0, int(-(-size // UNIT) - 1).bit_length())
+    buckets = min(units, 1 << (2 * parts(spark) - 1).bit_length())
+    placed = docs.mapInArrow(_scatter(model, buckets, units), SCATTERED).repartitionById(buckets, F.col("bucket"))
+    placed = placed.sortWithinPartitions(F.col("unit").asc_nulls_first(), "doc", "tie")
+    counted = cut(placed.mapInArrow(_count(np.dtype(id_type(model)).itemsize), COUNTED))
+    rows = counted.filter("ids is not null").select("unit", "ids", "tokens", "held")
+    layer = Attention.start(id_counts(rows, model, subwords(model).size), subwords(model).pieces)
+    pairs = pair_counts(rows, model, layer)
+    layer.with_pairs(pairs)
+    steps = pairs[: ROWS * CLASSES].sum() / (BLOCK * 256)
+    layer = fit_all(layer, rows, model, min(rounds, units), max(1, int(-(-least_steps // max(steps, 1)))) if steps < least_steps else 1)
     all_ = counted.filter("piece = -1").agg(F.sum("kinds"), F.sum("total")).first()
-    ends = docs.filter(~F.col("held")).count()
     kinds, total = (all_[0] or 0) + (ends > 0), (all_[1] or 0) + ends
-    scored = counted.filter("piece >= 0").mapInArrow(_score(model, layer), SCORED)
+    scored = counted.filter("piece <> -1").mapInArrow(_score(model, layer), SCORED)
     rows = scored.repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_gather, "doc long, held boolean, words long, known long, sums double, score double")
     tokens = F.col("words") + 1
     base = F.col("sums") + float(np.log10(ends + 1)) - tokens * float(np.log10(total + kinds + 1))

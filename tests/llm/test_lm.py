@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from spanloom.llm.lm import BEGIN, BLOCK, CONTEXT, LENGTH, NONE, Attention, language_model_scores, text_ids
+from spanloom.llm.lm import BEGIN, BLOCK, CLASSES, CONTEXT, GROUPS, LENGTH, MEMBERS, NONE, ROWS, WIDTH, Attention, language_model_scores, text_ids
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -19,14 +19,13 @@ def test_base_equals_brute_force_and_model_beats_its_unigrams(spark):
     rows = [(k, " ".join((verse * 9)[pick.randrange(13) :][: pick.randint(0, 90)]) + pick.choice(["", " été", "\n\tX"])) for k in range(300)]
     rows += [(1000, None), (1001, ""), (1002, "zebra unknown words"), (1003, "a " * 30000), (1003, "twice"), (None, "x")]
     docs = spark.createDataFrame([(k, t, True) for k, t in rows], "doc_id long, text string, held_out boolean")
-    got = language_model_scores(docs, MODEL, start_windows=500).collect()
+    got = language_model_scores(docs, MODEL, least_steps=300).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    rows = [r for r in rows if r[0] is not None]
-    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
     c = Counter(w for k, t in rows if not held(k) for w in [*words(t), None])
     n, v = sum(c.values()), len(c)
-    want = sorted((k, held(k), len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), None]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t), None]), 3)) for k, t in rows)
-    assert sorted((*r[:5], round(r.base_score, 3)) for r in got) == want
+    want = sorted(((k, held(k), len(words(t)) + 1, sum(c[w] > 0 for w in [*words(t), None]), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t), None]), 3)) for k, t in rows), key=str)
+    assert sorted(((*r[:5], round(r.base_score, 3)) for r in got), key=str) == want
     ids, counts = text_ids(MODEL, pa.array([t for k, t in rows if not held(k)]))
     share = np.log10((np.bincount(ids, minlength=32000) + 1) / (len(ids) + 32000))
     test = [(r.doc_id, r.score) for r in got if r.held_out and r.doc_id < 1000]
@@ -66,6 +65,8 @@ def test_scores_equal_a_plain_model():
     w = {k: v.astype(float) for k, v in layer.w.items()}
     counts = np.array([3, BLOCK, 2 * BLOCK + 3])
     ids = r.integers(0, 300, counts.sum())
+    pairs = np.bincount(layer.pairs(*layer.blocks(ids, counts)[:2]), minlength=ROWS * CLASSES + GROUPS * CLASSES * MEMBERS)
+    layer.with_pairs(pairs)
     want, at = [], 0
     for n in counts:
         text, total = ids[at : at + n], 0.0
@@ -74,15 +75,21 @@ def test_scores_equal_a_plain_model():
             block = i // BLOCK * BLOCK
             keys = list(range(block - CONTEXT, i + 1))
             seen = [rows[j] if j >= 0 else NONE for j in keys]
-            q = w["q"][rows[i]]
-            a = np.array([np.exp(q @ w["k"][x] + w["far"][i - j]) for x, j in zip(seen, keys)])
-            h = np.maximum((a @ w["v"][seen]) / a.sum() @ w["mix"] + w["own"][rows[i]], 0)
-            z, c = h @ w["out"] + w["bias"], layer.of[t]
-            u = h @ w["unit"][c] + w["each"][c]
+            q = w["qo"][rows[i]][:WIDTH]
+            a = np.array([np.exp(q @ w["kv"][x][:WIDTH] + w["far"][i - j]) for x, j in zip(seen, keys)])
+            h = np.maximum((a @ w["kv"][seen][:, WIDTH:]) / a.sum() @ w["mix"] + w["qo"][rows[i]][WIDTH:], 0)
+            z, c = h @ w["out"] + layer.after[rows[i]], layer.of[t]
+            u = h @ w["unit"][c] + layer.within[layer.group[rows[i]] * CLASSES + c]
             total += z[c] - np.log(np.exp(z).sum()) + u[layer.place[t]] - np.log(np.exp(u).sum()) + layer.share[t]
         want.append(total / np.log(10))
         at += n
     assert np.allclose(layer.score(ids, counts), want, rtol=1e-4)
+    # what stands after an id is counted: of the pairs there are, as often as they are
+    row, of = [BEGIN, *layer.row[ids[:3]]], layer.of[ids[:3]]
+    assert all(pairs[row[k] * CLASSES + of[k]] >= 1 for k in range(3)) and pairs[: ROWS * CLASSES].sum() == counts.sum() == pairs[ROWS * CLASSES :].sum()
+    alone = layer.after[BEGIN].astype(float)
+    share = layer.counted.sum(1) / layer.counted.sum()
+    assert np.allclose(np.exp(alone), (pairs[BEGIN * CLASSES :][:CLASSES] + 20 * share) / (3 + 20), rtol=1e-3)
 
 
 def test_gradients():
@@ -127,16 +134,43 @@ def test_ids_are_those_of_each_word_in_order():
     assert not len(ids) and not len(counts)
 
 
-def test_texts_outside_the_first_draw_are_trained_on(spark):
+def test_scores_do_not_depend_on_partitions(spark):
+    """Also where a unit is cut and units are many; repeated rows and ids, null keys and texts among them."""
     from pyspark.sql import functions as F
 
+    from spanloom.llm import lm
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(1, "one more text of this key"), (None, "a null key"), (7, None), (8, "x " * 9000)], "doc_id long, text string")
+    docs = docs.unionByName(more).unionByName(docs.filter("doc_id < 9")).withColumn("score", F.lit("clash"))
+    before, results = lm.UNIT, []
+    lm.UNIT = 1 << 17
+    try:
+        for n in (1, 7):
+            got = language_model_scores(docs.repartition(n, F.xxhash64("text", F.lit(n))), MODEL, least_steps=20)
+            results.append(sorted(map(tuple, got.select("doc_id", "held_out", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6)).collect()), key=str))
+    finally:
+        lm.UNIT = before
+    assert results[0] == results[1] and len(results[0]) == docs.count() and len({r[5] for r in results[0]}) > 150
+
+
+def test_held_out_texts_of_little_input_are_likelier_than_by_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_model_scores(docs, MODEL).filter("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    assert got[0] > got[1]
+
+
+def test_every_training_text_is_trained_on(spark):
+    """Texts of one kind that lie in one unit of many: their words are learned."""
     pick = random.Random(4)
     verse = "the cat sat on the mat and then it ran away from the dog".split()
-    text = lambda: " ".join((verse * 9)[pick.randrange(13) :][:80])
-    keys = [r.doc_id for r in spark.range(400).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    rows = [(k, "dog " * 80 if i < 60 and zlib.crc32(str(k).encode()) % 7 != 2 else text()) for i, k in enumerate(keys)]
-    got = language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), MODEL, start_windows=20, start_steps=10).filter("held_out").collect()
-    ids, counts = text_ids(MODEL, pa.array([t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]))
+    rows = [(k, " ".join((verse * 9)[pick.randrange(13) :][:80])) for k in range(400)] + [(10_000 + k, "dog " * 80) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in language_model_scores(docs, MODEL, least_steps=400).collect()}
+    held = [r for r in got.values() if r.held_out]
+    ids, counts = text_ids(MODEL, pa.array([t for k, t in rows if not got[k].held_out]))
     share = np.log10((np.bincount(ids, minlength=32000) + 1) / (len(ids) + 32000))
     texts = dict(rows)
-    assert sum(r.score for r in got) > 0.5 * sum(share[text_ids(MODEL, pa.array([texts[r.doc_id]]))[0]].sum() for r in got)
+    for kind in (lambda r: r.doc_id < 10_000, lambda r: r.doc_id >= 10_000):
+        some = [r for r in held if kind(r)]
+        assert some and sum(r.score for r in some) > 0.5 * sum(share[text_ids(MODEL, pa.array([texts[r.doc_id]]))[0]].sum() for r in some)

@@ -61,23 +61,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     size: words of the text, 0 for null; taken: words that the mix takes of it, repeats counted, at
     most ``cap`` times its size (rounded down to whole passes where cap isn't whole).  A null source is
     a source.  Repeated rows are rows of their own; rows with equal keys and sizes differ in nothing
-    that could order them, so which of them is taken first doesn't matter.  Empty tables
-    give no rows; with no words nothing is taken.  Other columns are not read.
+    that could order them, so they are numbered, and which of them has which number doesn't matter.  Equal quotients go to the
+    unit that comes first.  Empty tables give no rows; with no words nothing is taken.  A text of any length is
+    counted whole and may be taken in part.  Other columns are not read.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sizes = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size")))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), size.alias("size"))
+    # equal rows are told apart by a number, so that those of one key, or of none, are dealt like others
+    rows = rows.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
+    sizes = cut(rows.select("key", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sources, weights, share, cap)
     blocks = F.round(F.sum("target").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block)
     plan = cut(sainte_lague(plan.withColumn("all", blocks).withColumn("one", F.lit(1)), ["one"], ["source"], "target", "all", "blocks"))
     near = join_same(sizes, plan.select("source", "source_size", "target", "blocks", "n"), ["source"])
-    near = near.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(seed)), F.ceil(F.col("n") / shard_docs)))
+    near = near.withColumn("shard", F.pmod(F.xxhash64("key", "size", "copy", F.lit(seed)), F.ceil(F.col("n") / shard_docs)))
     shards = near.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     quotas = cut(sainte_lague(shards, ["source"], ["shard"], "shard_size", "blocks", "quota").select("source", "shard", "shard_size", "quota"))
     both = join_same(near, quotas, ["source", "shard"]).withColumn("due", F.col("quota") * block)
     most = int(cap)
     passes = F.least(F.lit(most), F.coalesce(F.floor(F.try_divide("due", "shard_size")), F.lit(0)))
-    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("key", "size", "copy", F.lit(seed + 1)), "key", "size", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("passes", passes).withColumn("before", F.sum("size").over(order) - F.col("size"))
     open_ = F.greatest(F.col("due") - F.col("passes") * F.col("shard_size") - F.col("before"), F.lit(0))
     rest = F.when(F.col("passes") < most, F.least("size", F.ceil(open_ / block) * block)).otherwise(0)

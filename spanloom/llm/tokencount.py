@@ -7,9 +7,10 @@ compose, and their composition from the start state gives its count.
 
 A byte-pair vocabulary whose pieces hold the word mark only in front synchronises at
 every mark: what stands before it can't change what follows.  So the map of a piece that begins at a mark is constant; it is read once
-and remembered.  A long stretch without marks is cut anywhere, after every PIECE characters.  Its pieces are read side
-by side, each from the state that the characters just before it lead to; a scan over the pieces
-then takes each map at the state that is really there, and reads a piece again only where the two differ.
+and remembered.  A long stretch without marks is cut anywhere, after every PIECE characters.  Each piece's map is made over
+the states that can be there: that which the characters just before it lead to, and all that the map of the piece
+before it, over its own states, ends in; all pieces are read side by side, again and again until no map ends outside the
+next one's states.  Then the maps compose by a parallel prefix scan, in as many steps as the logarithm of their number.
 
 States are made when a transition is first needed and kept for the life of the Python
 worker.  A state holds all that later characters can depend on: the longest suffix that
@@ -128,20 +129,16 @@ class Transducer:
         size[-1] = len(codes) - PIECE * (n - 1)
         guess = np.zeros(n, np.int64)
         guess[1:] = self.side_by_side(guess[1:], chars[:-1, -BEFORE:], np.full(n - 1, BEFORE))[0]
-        after, added = self.side_by_side(guess, chars, size)
-        maps = {(g, chars[k].tobytes()): (s, a) for k, (g, s, a) in enumerate(zip(guess.tolist(), after.tolist(), added.tolist())) if k < n - 1}
-        state, total = 0, 0
-        for k in range(n):
-            if k == n - 1 and guess[k] == state:
-                total += int(added[k])
-                break
-            key = (state, chars[k].tobytes())
-            if k == n - 1 or key not in maps:  # the characters before weren't enough: the map at this state
-                s, a = self.side_by_side(np.array([state]), chars[k : k + 1], size[k : k + 1])
-                maps[key] = int(s[0]), int(a[0])
-            state, a = maps[key]
-            total += a
-        return total
+        # the states that can be before each piece, and where each of them leads
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in range(n)]
+        todo = list(enumerate(guess.tolist()))
+        while todo:
+            pieces, states = np.array(todo).T
+            after, added = self.side_by_side(states, chars[pieces], size[pieces])
+            for k, s, t, a in zip(pieces.tolist(), states.tolist(), after.tolist(), added.tolist()):
+                maps[k][s] = t, a
+            todo = sorted({(k + 1, t) for k, t in zip(pieces.tolist(), after.tolist()) if k + 1 < n and t not in maps[k + 1]})
+        return composed(maps)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -169,6 +166,24 @@ class Transducer:
         return total[np.append(firsts[1:], len(out))] - total[firsts] if len(texts) else firsts
 
 
+def composed(maps: list[dict[int, tuple[int, int]]]) -> int:
+    """Tokens added by maps in a row, from state 0: each leads from states to (state of the next one's, tokens)."""
+    n, most = len(maps), max(map(len, maps))
+    place = [{s: i for i, s in enumerate(m)} for m in maps]
+    to, added = np.zeros((n, most), np.int64), np.zeros((n, most), np.int64)
+    for k, m in enumerate(maps):
+        for i, (t, a) in enumerate(m.values()):
+            to[k, i], added[k, i] = place[k + 1][t] if k + 1 < n else 0, a
+    step = 1
+    while step < n:  # map k becomes that of pieces k - 2 step + 1 to k
+        through = to[:-step].copy()
+        more = np.take_along_axis(added[step:], through, 1) + added[:-step]
+        further = np.take_along_axis(to[step:], through, 1)
+        added[step:], to[step:] = more, further
+        step *= 2
+    return int(added[-1, place[0][0]])
+
+
 _made: dict[str, Transducer] = {}
 
 

@@ -57,3 +57,23 @@ def test_mix(spark):
         assert abs(taken[s] - want[s]) <= 64 * (2 + len(rows) // 100)
     assert sorted(map(str, mix(docs.repartition(7), shard_docs=100).collect())) == sorted(map(str, got))
     assert mix(docs.limit(0)).count() == 0 and mix(docs.filter("text is null")).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_rows_without_a_key_are_dealt_over_shards(spark):
+    """20,000 of them, equal ones too, take about the same share as rows with keys, and reruns agree."""
+    rows = [(None if k < 20_000 else k, "w " * (1 + k % 3), "a" if k % 4 else "b") for k in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    one, two = (sorted(map(tuple, mix(d).collect()), key=str) for d in (docs, docs.repartition(2)))
+    assert one == two
+    for source, least in (("a", 0.9), ("b", 0.9)):
+        size = sum(len(t.split()) for k, t, s in rows if s == source)
+        taken = [(r.doc_id, r.taken, r.target) for r in mix(docs.filter(docs.source == source)).collect()]
+        assert least * taken[0][2] <= sum(x[1] for x in taken) <= taken[0][2] / least and size
+        share = [sum(x[1] for x in taken if (x[0] is None) == none) / sum(len(t.split()) for k, t, s in rows if s == source and (k is None) == none) for none in (True, False)]
+        assert abs(share[0] - share[1]) < 0.25
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x", "a"), (3, "y z", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mix(docs).collect()}
+    assert got[1].size == 300_000 and abs(sum(r.taken for r in got.values() if r.doc_id < 3) - got[1].target) < 200 and got[1].taken <= 600_000

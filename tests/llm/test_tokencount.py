@@ -38,6 +38,27 @@ def test_maps_of_pieces_cut_anywhere_compose():
         assert [two, a + b] == read(0, text) and a + b == t(text)
 
 
+def test_maps_compose_as_they_follow_one_another():
+    pick = random.Random(5)
+    for n in (1, 2, 3, 7, 8, 33):
+        domains = [[0]] + [pick.sample(range(9), pick.randint(1, 4)) for _ in range(n)]
+        maps = [{s: (pick.choice(domains[k + 1]), pick.randint(-2, 9)) for s in domains[k]} for k in range(n)]
+        state, total = 0, 0
+        for m in maps:
+            state, a = m[state]
+            total += a
+        assert tokencount.composed(maps) == total
+
+
+def test_pieces_whose_first_state_is_not_that_of_the_characters_before(monkeypatch):
+    """With nothing read before a piece, every map is first made at the wrong state."""
+    monkeypatch.setattr(tokencount, "BEFORE", 0)
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pick = random.Random(6)
+    texts = ["".join(pick.choices(["tion", "ing", "qzx", "é", "aab", "the"], k=1500)) for _ in range(5)]
+    assert transducer(MODEL).texts(texts).tolist() == [len(x) for x in sp.encode(texts)]
+
+
 def test_a_very_long_text_without_a_space(spark):
     text = "".join(random.Random(3).choices(["tion", "ing", "qzx", "é"], k=100_000))
     got = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).first()

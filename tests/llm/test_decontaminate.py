@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from spanloom.llm.decontaminate import align, contaminated, without_contaminated
+from spanloom.llm import decontaminate
+from spanloom.llm.decontaminate import align, contaminated, matched_whole, seed_length, without_contaminated
 
 
 def plain(item, text):
@@ -21,6 +22,41 @@ def test_alignment_equals_the_recurrence():
         assert align(np.array(item), np.array(text)) == plain(item, text)
 
 
+def test_whole_n_grams_of_any_alignment():
+    """No edited copy of a score has fewer n-grams whole than is said: every way to edit short items, and random ways."""
+    assert [seed_length(m, 0.6) for m in (1, 5, 6, 40)] == [1, 1, 2, 2] and seed_length(40, 0.95) == 5 and matched_whole(40, 2, 0.6) == 7
+    pick = random.Random(6)
+    for _ in range(3000):
+        m, score = pick.randint(1, 14), pick.choice((0.6, 0.7, 0.9))
+        text = []
+        for i in range(m):  # item words i in order; a new word is -1
+            if pick.random() < 0.15:
+                text.append(-1)  # put for it
+            else:
+                text += [-1] * (pick.random() < 0.3)
+                text.append(i)
+        if plain(list(range(m)), text) >= score:
+            for n in (1, 2, 3):
+                whole = sum(text[j : j + n] == list(range(text[j], text[j] + n)) for j in range(len(text) - n + 1) if text[j] >= 0)
+                assert whole >= matched_whole(m, n, score), (m, score, n, text)
+
+
+def test_more_hashes_than_are_sent(spark, monkeypatch):
+    """With a bitmap in place of the hashes the same copies are found."""
+    pick = random.Random(7)
+    fresh = lambda n: [f"w{pick.randrange(400)}" for _ in range(n)]
+    items = [fresh(pick.randint(3, 30)) for _ in range(60)]
+    texts = [[*fresh(20), *(w for w in pick.choice(items) if pick.random() < 0.9), *fresh(20)] for _ in range(80)]
+    docs = spark.createDataFrame([(k % 50, " ".join(t)) for k, t in enumerate(texts)] * 2, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = sorted(map(tuple, contaminated(docs, bench).collect()))
+    full = sorted((k % 50, i, s) for k, t in enumerate(texts) for i, w in enumerate(items) if (s := align(np.array(w), np.array(t))) >= 0.6)
+    assert want == sorted(full * 2)
+    monkeypatch.setattr(decontaminate, "SENT", 10)
+    monkeypatch.setattr(decontaminate, "BITS", 14)
+    assert sorted(map(tuple, contaminated(docs, bench).collect())) == want
+
+
 def test_copies_are_found_and_clean_texts_left(spark):
     pick = random.Random(2)
     fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
@@ -43,8 +79,8 @@ def test_copies_are_found_and_clean_texts_left(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(0, " ".join(items[0][1])), (30, None), (31, "")], "item_id long, text string")
     got = contaminated(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
-    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench, slice_items=5).collect()} == want
-    left = without_contaminated(docs, bench, slice_items=5)
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, bench, shortest=1).collect()} == want | {(502, 20)}
+    left = without_contaminated(docs, bench)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {k for k, _ in want}
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
@@ -67,4 +103,4 @@ def test_edits_up_to_the_limit_are_found_as_by_full_alignment(spark):
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     assert {(r.doc_id, r.item_id): r.score for r in contaminated(docs, bench).collect()} == want
-    assert {r.doc_id for r in without_contaminated(docs, bench, slice_items=60).collect()} == set(range(len(texts))) - {k for k, _ in want}
+    assert {r.doc_id for r in without_contaminated(docs, bench).collect()} == set(range(len(texts))) - {k for k, _ in want}

@@ -213,7 +213,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     Words are lower-cased in A-Z.  A text of fewer than n words has its whole word sequence as
     its one n-gram.  Null, empty and wordless texts have empty sets and no links.  Rows
     with a null key are left out; of rows with one key, the one with the least text counts.
-    Empty tables give no rows; other columns are not read.
+    Texts of any length are read whole; n-grams of equal count are ordered by their hashes, which
+    changes no result.  Empty tables give no rows; other columns are not read.
     """
     docs = one_row_per_key(docs, key, text)
     sets = cut(gram_sets(docs, n, percent))

@@ -146,7 +146,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     A null text has no words and fails the base.  Rows are independent: repeated rows and null
     keys each give a row, an empty table gives none.  With no labelled texts, or with labels of
-    one kind, the list is empty and the base decides alone.  Other columns are not read.
+    one kind, the list is empty and the base decides alone.  Conditions of equal gain are taken in the order of
+    statistics and thresholds.  Texts of any length are read whole.  Other columns are not read.
     """
     rules = learn(docs, labels, most, key, text)
     rows = with_statistics(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))

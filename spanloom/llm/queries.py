@@ -110,10 +110,28 @@ def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What operator 3 counts of each text, and its base's verdict."""
+    return op3_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 without the model's score."""
+    return op6_language_model(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of operator 9 with their sizes and targets, and whether what is taken comes within one in twenty."""
+    df = op9_mixing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    near = F.abs(F.sum("taken") - F.max("target")) <= F.greatest(F.max("target") / 20, F.lit(256.0))
+    whole = F.max(F.col("taken") - 2 * F.col("size")) <= 0
+    return df.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 4).alias("target"), (near & whole).alias("near"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts, op11_dataset_manifest, op12_conversation_repair, op13_piece_codec)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_quality_rules, op4_personal_data, op5_decontamination, op6_language_model, op7_site_quality, op7_site_quality_of_pages, op8_substring_dedup, op9_mixing, op10_token_counts, op11_dataset_manifest, op12_conversation_repair, op13_piece_codec, base_rules, base_word_scores, mixing_targets)}
 
 
 #: Words of a text, in the checking engine's SQL.
@@ -179,9 +197,26 @@ c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn),
 select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(z.v.cost, 0) as cost, coalesce(z.v.audit, '') as audit, sha256(coalesce(y.text, '')) as repaired_sha256
 from (select distinct conv_id from conversations) a left join c on c.conv_id is not distinct from a.conv_id left join z on z.conv_id is not distinct from a.conv_id left join y on y.conv_id is not distinct from a.conv_id"""
 
+BASE_RULES_SQL = f"""with t as (select doc_id, coalesce(text, '') as text, {_WORDS.format("coalesce(text, '')")} as w from documents), n as (select *, len(w) as n from t),
+g as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(w[i:i + 2], ' ')) as c from (select doc_id, w, unnest(range(1, n - 1)) as i from n where n >= 3)),
+r as (select doc_id, count(distinct p) as n_repeat from (select doc_id, unnest(range(i, i + 3)) as p from g where c > 1) group by 1),
+l as (select doc_id, line, row_number() over (partition by doc_id, line) as k from (select doc_id, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+d as (select doc_id, count(*) as n_dup from l where k > 1 group by 1)
+select n.doc_id, n as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+  coalesce(n_dup, 0) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words, n < 50 or 100 * coalesce(n_repeat, 0) > 50 * n as base_failed from n left join r using (doc_id) left join d using (doc_id)"""
+BASE_WORD_SCORES_SQL = f"""with t as (select doc_id, {_CRC.format("cast(doc_id as varchar)")} % 7 = 2 as held_out, {_WORDS.format(_LOWER)} as w from documents),
+x as (select doc_id, held_out, unnest(list_append(w, '')) as word from t), c as (select word, count(*) as c from x where not held_out group by 1),
+a as (select cast(sum(c) as bigint) as n, count(*) as v from c)
+select doc_id, held_out, count(*) as n_tokens, count(c.c) as n_known, n as train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n + 1e0 * (v + 1)))), 6) as base_score from x left join c using (word), a group by doc_id, held_out, n, v"""
+MIXING_TARGETS_SQL = f"""with recursive s as (select source, cast(sum(len({_WORDS.format("coalesce(text, '')")})) as bigint) as size, row_number() over (order by source nulls last) - 1 as i from documents group by 1),
+w as (select *, [3e0, 1e0, 2e0][i % 3 + 1] as w, 1.5e0 * sum(size) over () as due from s),
+r(source, size, w, free, target, round, due) as (select source, size, w, true, least(2e0 * size, w * due / sum(w) over ()), 1, due from w
+  union all select source, size, w, free and target < 2e0 * size, case when free and target < 2e0 * size then least(2e0 * size, target + w * (due - sum(target) over ()) / nullif(sum(case when free and target < 2e0 * size then w end) over (), 0)) else target end, round + 1, due from r where round < 60)
+select source, size as source_size, round(target, 4) as target, true as near from r where round = 60"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     more = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op11_dataset_manifest": OP11_SQL, "op12_conversation_repair": OP12_SQL} | more
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op11_dataset_manifest": OP11_SQL, "op12_conversation_repair": OP12_SQL, "base_rules": BASE_RULES_SQL, "base_word_scores": BASE_WORD_SCORES_SQL, "mixing_targets": MIXING_TARGETS_SQL} | more

@@ -89,7 +89,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     most: labelled documents that the evidence is fitted on, those with the least hashes of
     their keys.  labelled: the table that labels belong to, where that isn't docs itself, with its key and text columns.
     A null host or path is a site of its own.  A null text has the statistics of an empty
-    one; a text of any length is read whole.  Repeated rows each count and give a row; an empty table gives none; without labels of
+    one; a text of any length is read whole, and a posterior of just a half is kept.  Repeated rows each count and give a row; an empty table gives none; without labels of
     both kinds all evidence is even.
     """
     fitted = evidence(docs if labelled is None else labelled, labels, most, label_key or key, label_text or text, label)

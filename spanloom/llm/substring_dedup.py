@@ -262,8 +262,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     place, of the same text or another; the first place has no privilege.  Words are
     compared as they are.  window: odd, so that each window has one anchor.  A null text has no
     words; its digest is that of the empty string.  Rows with a null key are left out; of rows
-    with one key, the one with the least text counts.  An empty table gives no rows; other
-    columns are not read.
+    with one key, the one with the least text counts.  Texts of any length are read whole, and there
+    are no ties: all places of a repeated window lose their words.  An empty table gives no rows; other columns are not read.
     """
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")

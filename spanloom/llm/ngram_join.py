@@ -37,13 +37,14 @@ from spanloom.llm.words import LOWER, buffers, hashes, mix, slices, spans, windo
 LOW = np.uint64((1 << 48) - 1)
 
 
-def one_row_per_key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc long, text`` without null keys; of rows with one key, the least text counts.
-    Where an exchange was needed its result is written, so that a task that runs again sees its rows in the same order."""
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
-    if docs.groupBy("doc").count().filter("count > 1").isEmpty():
-        return docs
-    return cut(docs.groupBy("doc").agg(F.min("text").alias("text")))
+def rows_by_number(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc long, text`` with a number for each row, and the key of each number (doc, key).  Where keys are there and don't
+    repeat they are the numbers, and the second is None; else the rows are numbered in a written table, so that a task that runs again sees the same ones."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if rows.groupBy("key").count().filter("key is null or count > 1").isEmpty():
+        return rows.select(F.col("key").alias("doc"), "text"), None
+    rows = cut(rows.withColumn("doc", F.monotonically_increasing_id()))
+    return rows.select("doc", "text"), rows.select("doc", "key")
 
 
 def _sets(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,12 +212,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     similarity of their sets is at least ``percent``/100.
 
     Words are lower-cased in A-Z.  A text of fewer than n words has its whole word sequence as
-    its one n-gram.  Null, empty and wordless texts have empty sets and no links.  Rows
-    with a null key are left out; of rows with one key, the one with the least text counts.
+    its one n-gram.  Null, empty and wordless texts have empty sets and no links.  Repeated rows and keys, and
+    rows without a key, are documents like others, each with a row; a null key is no least one, so where
+    there are only such the component has none.
     Texts of any length are read whole; n-grams of equal count are ordered by their hashes, which
     changes no result.  Empty tables give no rows; other columns are not read.
     """
-    docs = one_row_per_key(docs, key, text)
+    docs, names = rows_by_number(docs, key, text)
+    out = _components(docs, n, percent)
+    if names is not None:
+        out = out.join(names, "doc")
+        least = out.groupBy("component").agg(F.min("key").alias("least"))
+        out = out.join(least, "component").select(F.col("key").alias("doc"), "n", F.col("least").alias("component"))
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc, n, component`` of rows with numbers of their own."""
     sets = cut(gram_sets(docs, n, percent))
     classes = sets.filter("n > 0").groupBy("n", "print1", "print2").agg(F.min("doc").alias("least"), F.count("*").alias("copies")).filter("copies > 1")
     classes = cut(sets.join(classes, ["n", "print1", "print2"]).select("doc", "least"))
@@ -245,7 +257,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, percent: int = 85, key: str
     links = links.union(overlaps(rest, segments, percent).filter("linked").select("a", "b"))
     joined = components(links.union(copies.select(F.col("least").alias("a"), F.col("doc").alias("b"))))
     out = sets.select("doc", "n").join(joined, F.col("doc") == F.col("node"), "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
 
 def _apart(blocks: DataFrame, joined: DataFrame) -> DataFrame:

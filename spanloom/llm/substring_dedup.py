@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.ngram_join import one_row_per_key
+from spanloom.llm.ngram_join import rows_by_number
 from spanloom.llm.shared import parts
 from spanloom.llm.words import buffers, hashes, mix, ranges, slices, spans, windows
 
@@ -261,13 +261,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     Every word goes that is in a window of ``window`` words whose sequence also starts in another
     place, of the same text or another; the first place has no privilege.  Words are
     compared as they are.  window: odd, so that each window has one anchor.  A null text has no
-    words; its digest is that of the empty string.  Rows with a null key are left out; of rows
-    with one key, the one with the least text counts.  Texts of any length are read whole, and there
+    words; its digest is that of the empty string.  Repeated rows and keys, and rows without a key, are
+    texts like others, each with a row; so a row that is there twice keeps nothing that is a window long.  Texts of any length are read whole, and there
     are no ties: all places of a repeated window lose their words.  An empty table gives no rows; other columns are not read.
     """
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
-    docs = one_row_per_key(docs, key, text)
+    docs, names = rows_by_number(docs, key, text)
     buckets, block = parts(docs.sparkSession), (window + 1) // 2
     hits = docs.mapInArrow(_probe(block, buckets), PROBED).repartitionById(buckets, F.col("bucket")).mapInArrow(_hit, HIT)
     hits = hits.repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_places, "doc long, places array<int>")
@@ -275,4 +275,6 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     found = near.mapInArrow(_extend(window, block, buckets), "bucket int, hashes binary, docs binary, places binary").repartitionById(buckets, F.col("bucket")).mapInArrow(_repeats(buckets), "bucket int, docs binary, places binary")
     found = found.repartitionById(buckets, F.col("bucket")).mapInArrow(_merge, "doc long, starts array<int>")
     out = docs.join(found, "doc", "left").select("doc", "text", "starts").mapInArrow(_remove(window, with_text), "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
-    return out.withColumnRenamed("doc", key)
+    if names is not None:
+        out = out.join(names, "doc").drop("doc").withColumnRenamed("key", "doc")
+    return out.select("doc", *[c for c in out.columns if c != "doc"]).withColumnRenamed("doc", key)

@@ -6,13 +6,10 @@ from spanloom.llm.ngram_join import ngram_jaccard_join
 
 def brute(rows, n=4, percent=85):
     sets = {}
-    for key, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
-        if key is None or (key in sets and sets[key][1] is not None):
-            continue
+    for number, (_, text) in enumerate(rows):
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets[key] = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}, text)
-    sets = {k: v[0] for k, v in sets.items()}
+        sets[number] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
     up = {k: k for k in sets}
 
     def root(x):
@@ -25,7 +22,10 @@ def brute(rows, n=4, percent=85):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    return sorted((k, len(v), root(k)) for k, v in sets.items())
+    keys = {}
+    for k in sets:
+        keys.setdefault(root(k), []).append(rows[k][0])
+    return sorted(((rows[k][0], len(v), min((x for x in keys[root(k)] if x is not None), default=None)) for k, v in sets.items()), key=str)
 
 
 def corpus(seed, size=160):
@@ -53,7 +53,7 @@ def test_equals_brute_force(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
-        assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == brute(rows)
+        assert sorted(map(tuple, ngram_jaccard_join(docs).collect()), key=str) == brute(rows)
 
 
 def test_a_large_near_group_and_other_cases(spark):
@@ -66,9 +66,9 @@ def test_a_large_near_group_and_other_cases(spark):
             text[pick.randrange(120)] = f"y{pick.randrange(1000)}"
         rows.append((k + 10, " ".join(text)))
     rows += [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "ONE Two"), (6, "one two three"), (7, "a " * 30000), (8, "a a a a"), (9, "a a a a a")]
-    rows += [(4, "one two"), (None, "one two"), (None, None)]
+    rows += [(4, "one two"), (None, "one two"), (None, None), (None, "only rows without a key"), (None, "Only rows without a key"), (4, "other words of a known key")]
     docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, n int")
-    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == brute(rows)
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect()), key=str) == brute(rows)
     assert ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_one_passage_in_every_text(spark):
             own[0] = "changed"
         rows.append((k, " ".join(passage + own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == brute(rows)
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect()), key=str) == brute(rows)
 
 
 def test_an_ngram_leaves_a_piece_once():

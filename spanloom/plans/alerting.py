@@ -15,13 +15,15 @@ _minutes = f"""m as (select service_name, {bucket_sql('start_time_nano', 60)} as
   from spans where kind in (2, 5) group by 1, 2)"""
 _burn = f""", {_slo}, {_minutes},
 w as (select 1 as hours, 14.4e0 as above, 'page' as severity union all select 6, 6e0, 'ticket'),
-g as (select s.service_name, slo_name, target_pct, metric_type, threshold_ms, hours, above, severity, sum(e) as e, sum(n) as n, avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late
+g as (select s.service_name, slo_name, target_pct, metric_type, threshold_ms, hours, above, severity, sum(e) as e, sum(n) as n,
+    avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late
   from slo s cross join w left join m on m.service_name = s.service_name and minute between ({NOW} - hours * 3600000) * 1000000 and {NOW} * 1000000
   where target_pct < 100 and metric_type in ('error_rate', 'latency_p95') group by 1, 2, 3, 4, 5, 6, 7, 8),
 b as (select *, coalesce(case when metric_type = 'error_rate' then e / n when threshold_ms > 0 then late end, 0) as bad from g)
 """
 add("slo_burn", on("spans", "slos")(lambda s, d: alerts.burn_rates(s, d, NOW)),
-    _burn + "select service_name, slo_name, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate, bad / (1 - target_pct / 100) > above as alert from b", "spans", "slos")
+    _burn + """select service_name, slo_name, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate,
+    bad / (1 - target_pct / 100) > above as alert from b""", "spans", "slos")
 add("burn_alerts", on("spans", "slos")(lambda s, d: alerts.burn_alerts(alerts.burn_rates(s, d, NOW), NOW)),
     _burn + f"""select service_name, slo_name, round(bad / (1 - target_pct / 100), 4) as burn_rate, concat(hours, 'h') as window, severity, {NOW} as alerted_at_ms from b
     where bad / (1 - target_pct / 100) > above order by service_name, slo_name, hours limit 100""", "spans", "slos")
@@ -29,12 +31,16 @@ _span_of_time = (NOW - DAY // 4, NOW)
 add(
     "burn_by_minute", on("spans", "slos")(lambda s, d: alerts.burn_by_minute(s, d, *_span_of_time)),
     f""", {_slo}, {_minutes},
-    t as (select unnest(range({_span_of_time[0]}, {_span_of_time[1]} + 1, 60000)) as at_ms), w as (select 1 as hours, 14.4e0 as above, 'page' as severity union all select 6, 6e0, 'ticket'),
-    g as (select s.service_name, slo_name, target_pct, metric_type, threshold_ms, hours, above, severity, at_ms, sum(e) as e, sum(n) as n, avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late
-      from slo s cross join w cross join t left join m on m.service_name = s.service_name and minute // 1000000 between at_ms - hours * 3600000 and at_ms
+    t as (select unnest(range({_span_of_time[0]}, {_span_of_time[1]} + 1, 60000)) as at_ms), w as (select 1 as hours, 14.4e0 as above,
+    'page' as severity union all select 6, 6e0, 'ticket'),
+    g as (select s.service_name, slo_name, target_pct, metric_type, threshold_ms, hours, above, severity, at_ms, sum(e) as e, sum(n) as n,
+    avg(case when p / 1e6 > threshold_ms then 1e0 when p is not null then 0e0 end) as late
+      from slo s cross join w cross join t left join m on m.service_name = s.service_name and minute // 1000000 between at_ms - hours * 3600000
+    and at_ms
       where target_pct < 100 and metric_type in ('error_rate', 'latency_p95') group by all),
     b as (select *, coalesce(case when metric_type = 'error_rate' then e / n when threshold_ms > 0 then late end, 0) as bad from g)
-    select service_name, slo_name, at_ms, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate, bad / (1 - target_pct / 100) > above as alert from b""", "spans", "slos",
+    select service_name, slo_name, at_ms, hours, severity, round(bad, 6) as bad_rate, round(bad / (1 - target_pct / 100), 4) as burn_rate,
+    bad / (1 - target_pct / 100) > above as alert from b""", "spans", "slos",
 )
 _six = f"minute between {(NOW - 6 * 3_600_000) * 10**6} and {NOW * 10**6}"
 add("slo_error_rate", on("spans")(lambda s: alerts.slo_error_rate(alerts.service_minutes(s, NOW - 6 * 3_600_000, NOW))), f", {_minutes} select service_name, sum(e) / sum(n) as bad_rate from m where {_six} group by 1", "spans")
@@ -72,9 +78,11 @@ add("unacknowledged", on("anomalies")(lambda a: alerts.unacknowledged(fired(a),
 
 # lists, newest first
 add("anomalies_list", on("anomalies")(lambda a: alerts.newest(a, "detected_at_ms", "id", 100, T0 + DAY, T0 + 15 * DAY, severity="critical").select("id", "service_name", "detected_at_ms")),
-    f"select id, service_name, detected_at_ms from anomalies where detected_at_ms between {T0 + DAY} and {T0 + 15 * DAY} and severity = 'critical' order by detected_at_ms desc, id limit 100", "anomalies")
+    f"""select id, service_name, detected_at_ms from anomalies where detected_at_ms between {T0 + DAY} and {T0 + 15 * DAY}
+    and severity = 'critical' order by detected_at_ms desc, id limit 100""", "anomalies")
 add("alert_history", on("anomalies")(lambda a: alerts.newest(fired(a), "fired_at_ms", "event_id", 100, service_name="svc-3").select("event_id", "service_name", "fired_at_ms")),
     "select id as event_id, service_name, detected_at_ms as fired_at_ms from anomalies where service_name = 'svc-3' order by detected_at_ms desc, id limit 100", "anomalies")
 add("rca_reports", on("anomalies", "spans", "deployments")(lambda a, s, d: alerts.newest(correlate.rca_rows(a, s, d).withColumnRenamed("detected_at_ms", "created_at_ms"), "created_at_ms", "id", 50, T0 + 2 * DAY, T0 + 12 * DAY, service_name="svc-5", severity="warning").select("id", "anomaly_type", "created_at_ms")),
-    f"select id, anomaly_type, detected_at_ms as created_at_ms from anomalies where service_name = 'svc-5' and severity = 'warning' and detected_at_ms between {T0 + 2 * DAY} and {T0 + 12 * DAY} order by detected_at_ms desc, id limit 50", "anomalies")
+    f"""select id, anomaly_type, detected_at_ms as created_at_ms from anomalies where service_name = 'svc-5' and severity = 'warning'
+    and detected_at_ms between {T0 + 2 * DAY} and {T0 + 12 * DAY} order by detected_at_ms desc, id limit 50""", "anomalies")
 add("soft_delete", on("routes")(lambda r: latest(alerts.soft_delete(r, "id", "r3", "created_at", F.lit(10**6).cast("bigint")), ["id"], F.col("created_at")).select("id", "enabled")), f", {_route} select id, enabled and id <> 'r3' as enabled from route", "routes")

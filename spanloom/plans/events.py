@@ -29,7 +29,8 @@ add(
     "span_events",
     on("spans")(lambda s: read_back(sinks.span_events(s), trace_id="string", span_id="string", parent_span_id="string", name="string", kind="int", start_time_nano="long", end_time_nano="long", status_code="int", status_message="string", service_name="string", scope_name="string")),
     "select service_name as key, " + optional("trace_id", "span_id", "parent_span_id=parent_span_id <> ''", "name", "kind", "start_time_nano", "end_time_nano", f"attributes={_bag}", "status_code", "status_message=status_message <> ''", "service_name", "scope_name=scope_name <> ''")
-    + """, trace_id, span_id, nullif(parent_span_id, '') as parent_span_id, name, kind, start_time_nano, end_time_nano, status_code, nullif(status_message, '') as status_message, service_name, nullif(scope_name, '') as scope_name from spans""", "spans",
+    + """, trace_id, span_id, nullif(parent_span_id, '') as parent_span_id, name, kind, start_time_nano, end_time_nano, status_code, nullif(status_message,
+    '') as status_message, service_name, nullif(scope_name, '') as scope_name from spans""", "spans",
 )
 add("span_event_attributes", on("spans")(lambda s: sinks.span_events(s).select(F.get_json_object("value", "$.span_id").alias("span_id"), F.from_json(F.get_json_object("value", "$.attributes"), "map<string,string>").alias("a")).select("span_id", F.col("a")["k8s.pod.name"].alias("pod"), F.col("a")["db.statement"].alias("statement"))),
     "select span_id, nullif(pod_name, '') as pod, nullif(db_statement, '') as statement from spans", "spans")
@@ -54,7 +55,8 @@ add(
 add(
     "log_events", on("logs")(lambda l: read_back(sinks.log_events(l.withColumn("attributes", F.create_map(F.lit("logger.name"), "logger_name"))), service_name="string", severity="string", body="string", timestamp_ms="long", trace_id="string", span_id="string")),
     "select service_name as key, " + optional("service_name", "severity", "body", "timestamp_ms", "trace_id=trace_id <> ''", "span_id=span_id <> ''", "attributes")
-    + ", service_name, severity_text as severity, body, cast(floor(timestamp_nano / 1000000) as bigint) as timestamp_ms, nullif(trace_id, '') as trace_id, nullif(span_id, '') as span_id from logs", "logs",
+    + """, service_name, severity_text as severity, body, cast(floor(timestamp_nano / 1000000) as bigint) as timestamp_ms, nullif(trace_id, '') as trace_id,
+    nullif(span_id, '') as span_id from logs""", "logs",
 )
 
 
@@ -81,16 +83,22 @@ def _metric_rows(m: DataFrame, h: DataFrame) -> DataFrame:
 
 
 add("metric_rows", on("metrics", "histograms")(_metric_rows),
-    "select name, type, round(value, 4) as value, service_name, timestamp_nano from metrics union all select metric_name, 'HISTOGRAM', round(total_sum, 4), service_name, timestamp_nano from histograms", "metrics", "histograms")
+    """select name, type, round(value, 4) as value, service_name, timestamp_nano from metrics union all select metric_name, 'HISTOGRAM', round(total_sum, 4),
+    service_name, timestamp_nano from histograms""", "metrics", "histograms")
 
 add(
     "error_documents", on("spans", "logs")(lambda s, l: traces.error_documents_from_spans(s).unionByName(logs.error_documents_from_logs(l))),
-    """select sha256(concat('span_error|', trace_id, '|', span_id)) as id, 'span_error' as source_type, span_id as source_id, service_name, trace_id, span_id, cast(floor(start_time_nano / 1000000) as bigint) as occurred_ms,
-      concat('[', service_name, '] ', name, chr(10), 'ERROR: ', status_message, chr(10), case when exception_type <> '' then concat('Exception: ', exception_type, chr(10)) else '' end,
-        case when exception_message <> '' then concat('Message: ', exception_message, chr(10)) else '' end, substr(exception_stacktrace, 1, 2000)) as document
+    """select sha256(concat('span_error|', trace_id, '|', span_id)) as id, 'span_error' as source_type, span_id as source_id, service_name, trace_id,
+    span_id, cast(floor(start_time_nano / 1000000) as bigint) as occurred_ms,
+      concat('[', service_name, '] ', name, chr(10), 'ERROR: ', status_message, chr(10), case when exception_type <> '' then concat('Exception: ',
+    exception_type, chr(10)) else '' end,
+        case when exception_message <> '' then concat('Message: ', exception_message, chr(10)) else '' end, substr(exception_stacktrace, 1,
+    2000)) as document
     from spans where status_code = 2 and status_message <> ''
-    union all select sha256(concat('log_error|', service_name, '|', cast(timestamp_nano as string), '|', span_id, '|', body)), 'log_error', cast(timestamp_nano as string), service_name, trace_id, span_id, cast(floor(timestamp_nano / 1000000) as bigint),
-      concat('[', service_name, '] ', case when exception_type <> '' then concat('[', exception_type, '] ') else '' end, body) from logs where severity_number >= 17""", "spans", "logs",
+    union all select sha256(concat('log_error|', service_name, '|', cast(timestamp_nano as string), '|', span_id, '|', body)), 'log_error',
+    cast(timestamp_nano as string), service_name, trace_id, span_id, cast(floor(timestamp_nano / 1000000) as bigint),
+      concat('[', service_name, '] ', case when exception_type <> '' then concat('[', exception_type, '] ') else '' end, body) from logs
+    where severity_number >= 17""", "spans", "logs",
 )
 add("user_sql", lambda spark, sf: sql(spark, "select service_name, count(*) as n, max(received_at_ms) as updated_at from {spans} group by service_name", spans=view(spark, sf, "spans")),
     "select service_name, count(*) as n, max(received_at_ms) as updated_at from spans group by service_name", "spans")

@@ -28,6 +28,8 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 AGREE = 4
 #: Longest n-grams looked at.
 LONGEST = 5
+#: Bytes of text of a piece.
+PIECE = 1 << 20
 #: Hashes that are sent to all tasks at most (16 MB); beyond it a bitmap of as many bytes is.
 SENT = 2 << 20
 BITS = 27
@@ -139,12 +141,13 @@ def _counted(passes: Callable, lengths: list[int]):
     """How often each gram that passes is in the texts of a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0, 2 << 20):
+        for b in slices(batches, 0, PIECE):
             words, at = _words(b.column(0))
             for n in lengths:
                 h = _grams(words, at, n)[0].view(np.int64)
                 kinds, times = np.unique(h[passes(h)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(times.astype(np.int64))], ["gram", "n"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -153,7 +156,7 @@ def _probes(passes: Callable, lengths: list[int]):
     """The places of grams that pass, by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 0, 2 << 20):
+        for b in slices(batches, 0, PIECE):
             words, at = _words(b.column(0))
             for n in lengths:
                 h, place = _grams(words, at, n)
@@ -163,6 +166,7 @@ def _probes(passes: Callable, lengths: list[int]):
                 text = np.searchsorted(at, place, "right") - 1
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays([b.column(1).take(rows), b.column(2).take(rows), pa.array(h), pa.array((place - at[text]).astype(np.int32))], [*TEXT, "gram", "place"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -172,7 +176,7 @@ def _cut_out(item: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("item", item), ("twin", pa.int64()), ("stretch", pa.binary())])
-        for b in slices(batches, 0, 2 << 20):
+        for b in slices(batches, 0, PIECE):
             words, at = _words(b.column(0))
             out, size = [], 0
             for k, (h1, h2, parts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
@@ -185,6 +189,7 @@ def _cut_out(item: pa.DataType):
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, size = [], 0
             yield pa.RecordBatch.from_pylist(out, schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -236,8 +241,9 @@ def found(docs: DataFrame, benchmark: DataFrame, score: float, shortest: int, te
             yield b.filter(pa.array(have(b.column(1).to_numpy(zero_copy_only=False))))
 
     # copies become one before they leave their task
-    once = texts.mapInArrow(some, "text string, h1 long, h2 int").groupBy(*TEXT).agg(F.first("text").alias("text")).join(parts, TEXT)
-    cut_out = once.select("text", *TEXT, "parts").mapInArrow(_cut_out(arrow), f"h1 long, h2 int, item {kind}, twin long, stretch binary")
+    once = texts.select("text", *TEXT).mapInArrow(some, "text string, h1 long, h2 int").groupBy(*TEXT).agg(F.first("text").alias("text")).join(parts, TEXT)
+    # written, so that no task runs two Python workers
+    cut_out = cut(once.select("text", *TEXT, "parts").mapInArrow(_cut_out(arrow), f"h1 long, h2 int, item {kind}, twin long, stretch binary"))
     pairs = cut_out.join(rows.filter("gram is null").select(F.col("item").alias("_i"), F.col("twin").alias("_t"), "words"), (F.col("item").eqNullSafe(F.col("_i"))) & (F.col("twin") == F.col("_t")))
     pairs = pairs.select("words", "stretch", *TEXT, "item").mapInArrow(_aligned, f"h1 long, h2 int, item {kind}, score double")
     return pairs.filter(F.col("score") >= score).groupBy(*TEXT, "item").agg(F.max("score").alias("score"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.plans.tables import cut
 
 
+#: Points of a block of first_within().
+BLOCK = 16
+
+
 def _same(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """left joined with right on columns of one name, null equal to null."""
     names = {c: f"_right_{c}" for c in on}
@@ -44,8 +48,8 @@ def first_within(ranges: DataFrame, points: DataFrame, on: str, time: str, ties:
     it, by time and ``ties``; with ``position`` from 1.  Ranges without points, and nulls in ``on`` or the bounds, give no rows.
 
     Points and the beginnings of ranges are sorted together, so a range knows how many points lie before it, and takes the
-    ``most`` from there: it is joined with the two blocks of that many points that can hold them.  So the join makes at
-    most ``most`` rows for a range, however many points lie within it.
+    ``most`` from there.  Points come in blocks of BLOCK in that order: a range meets the few blocks that can hold its points, and opens
+    those that begin before its end.  So what it makes is at most ``most`` rows, however many points lie within it.
     """
     own = [c for c in ranges.columns if c not in (on, "range_from", "range_to")]
     theirs = [c for c in points.columns if c != on]
@@ -53,12 +57,13 @@ def first_within(ranges: DataFrame, points: DataFrame, on: str, time: str, ties:
     b = points.filter(F.col(on).isNotNull() & F.col(time).isNotNull()).select(on, F.col(time).alias("_time"), F.lit(1).alias("_kind"), F.struct(*theirs).alias("_point"))
     both = a.unionByName(b, allowMissingColumns=True)
     both = count_before(both, [on], ["_time", "_kind", *[F.col(f"_point.{c}") for c in ties]], F.col("_kind") == 1, "_rank")
-    block = F.floor(F.col("_rank") / most)
-    starts = both.filter("_kind = 0").select(on, F.col("_rank").alias("_start"), "_range", F.explode(F.array(block, block + 1)).alias("_block"))
-    found = both.filter("_kind = 1").select(on, "_rank", "_time", "_point", block.alias("_block"))
-    test = (starts[on] == found[on]) & (starts["_block"] == found["_block"]) & found["_rank"].between(F.col("_start"), F.col("_start") + (most - 1)) & (F.col("_time") <= F.col("_range.range_to"))
-    out = starts.join(found, test).select(starts[on], *[F.col(f"_range.{c}") for c in own], *[F.col(f"_point.{c}") for c in theirs], (F.col("_rank") - F.col("_start") + 1).cast("int").alias("position"))
-    return out
+    block = F.floor(F.col("_rank") / BLOCK)
+    last = F.floor((F.col("_rank") + (most - 1)) / BLOCK)
+    starts = both.filter("_kind = 0").select(on, F.col("_rank").alias("_start"), "_range", F.explode(F.sequence(block, last)).alias("_block"))
+    blocks = both.filter("_kind = 1").groupBy(on, block.alias("_block")).agg(F.min("_time").alias("_first"), F.collect_list(F.struct("_rank", "_time", "_point")).alias("_points"))
+    met = starts.join(blocks, [on, "_block"]).filter(F.col("_first") <= F.col("_range.range_to")).withColumn("_p", F.explode("_points"))
+    met = met.filter(F.col("_p._rank").between(F.col("_start"), F.col("_start") + (most - 1)) & (F.col("_p._time") <= F.col("_range.range_to")))
+    return met.select(on, *[F.col(f"_range.{c}") for c in own], *[F.col(f"_p._point.{c}") for c in theirs], (F.col("_p._rank") - F.col("_start") + 1).cast("int").alias("position"))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], most: int = 1_000_000) -> DataFrame:

@@ -17,11 +17,11 @@ unit on its own copy, and the copies are averaged by their numbers of windows.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ ROWS, GROUPS = KNOWN + CLASSES + 2, NEAR + CLASSES + 1
 NEVER = np.float32(-1e9)
 _table = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words whose ids are remembered, and bytes of text of a piece.
-KEEP, PIECE = 150_000, 2 << 20
+KEEP, PIECE = 400_000, 2 << 20
 #: Bound of queries and keys, so that no product of two overflows.
 MOST = 2.0
 #: How much the counts after any id weigh against those after one id.
@@ -65,23 +65,36 @@ class Subwords:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts = array("i"), array("q", [0])
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words end to end, and how many each has."""
+        self.known, self.starts, self.counts, self.met = (np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.uint8))
+        self.flat = np.empty(0, np.int32)
+
+    def forget(self) -> None:
+        """Leaves the words that were met again since they came or since the last time; if those are too many, none."""
+        some = np.flatnonzero(self.met > 1)
+        if len(some) > KEEP // 2:
+            return self.clear()
+        counts = self.counts[some]
+        self.flat, self.known, self.counts = self.flat[ranges(self.starts[some], counts)], self.known[some], counts
+        self.starts, self.met = np.cumsum(counts) - counts, np.ones(len(some), np.uint8)
+
+    def __call__(self, words: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words, as hashes in order: ids that hold each word's end to end, where a word's begin, and how many it has.
+        ``spell`` tells the words at some places."""
         if len(self.known) > KEEP:
-            self.clear()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        for w, ids in zip(new, self.sp.encode([w.decode("utf-8", "replace") for w in new])):
-            known[w] = len(self.starts) - 1
-            self.flat.extend(ids or [self.sp.unk_id()])
-            self.starts.append(len(self.flat))
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        starts = np.array(self.starts)
-        counts = np.diff(starts)[at] if len(at) else at
-        return np.array(self.flat)[ranges(starts[at], counts)] if len(at) else np.empty(0, np.int32), counts
+            self.forget()
+        at = np.searchsorted(self.known, words)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != words) if len(self.known) else np.arange(len(words))
+        if len(new):
+            unknown = [self.sp.unk_id()]
+            got = [x or unknown for x in self.sp.encode(spell(new), num_threads=1)]
+            counts = np.fromiter(map(len, got), np.int64, len(got))
+            starts = len(self.flat) + np.cumsum(counts) - counts
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.int32, counts.sum()))
+            place = at[new]
+            self.known, self.starts, self.counts, self.met = (np.insert(x, place, y) for x, y in ((self.known, words[new]), (self.starts, starts), (self.counts, counts), (self.met, 0)))
+            at += np.searchsorted(new, np.arange(len(words)))  # new words before each have moved it
+        self.met[at] = np.minimum(self.met[at], 1) + 1
+        return self.flat, self.starts[at], self.counts[at]
 
 
 _made: dict[str, Subwords] = {}
@@ -98,9 +111,9 @@ def id_type(model: str) -> type:
     return np.uint16 if subwords(model).size <= 1 << 16 else np.uint32
 
 
-def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable, np.ndarray]:
     """Of the texts of a piece: each text's first word, the hashes of the distinct words, which of them
-    each word is, the distinct words themselves in lower case, and all words' places in order of word and text."""
+    each word is, a function that tells distinct words at some places in lower case, and all words' places in order of word and text."""
     data, offsets = buffers(column)
     starts, ends, at = spans(data, offsets)
     h = hashes(data, starts, ends, LOWER)
@@ -112,21 +125,26 @@ def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     of[order] = np.cumsum(new) - 1
     one = order[new]
     raw = data.tobytes().translate(_table)
-    return at, sorted_[new], of, [raw[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())], order
+
+    def spell(places: np.ndarray) -> list[str]:
+        some = one[places]
+        return [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[some].tolist(), ends[some].tolist())]
+
+    return at, sorted_[new], of, spell, order
 
 
-def expand(tokens: Subwords, at: np.ndarray, of: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def expand(tokens: Subwords, at: np.ndarray, of: np.ndarray, words: np.ndarray, spell: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts end to end, each with an end id, and each text's number of them; see distinct_words()."""
-    ids, counts = tokens(words)
-    starts, each = np.cumsum(counts) - counts, counts[of]
+    ids, starts, counts = tokens(words, spell)
+    each = counts.take(of)
     bounds = np.concatenate([[0], np.cumsum(each)])[at].astype(np.int64)
-    return np.insert(ids[ranges(starts[of], each)], bounds[1:], tokens.end), np.diff(bounds) + 1
+    return np.insert(ids.take(ranges(starts.take(of), each)), bounds[1:], tokens.end), np.diff(bounds) + 1
 
 
 def text_ids(model: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts end to end, each with an end id, and each text's number of them."""
-    at, _, of, words, _ = distinct_words(column)
-    return expand(subwords(model), at, of, words)
+    at, words, of, spell, _ = distinct_words(column)
+    return expand(subwords(model), at, of, words, spell)
 
 
 @lru_cache(1 << 10)
@@ -134,6 +152,11 @@ def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
+@lru_cache(1 << 10)
+def _square(n: int, m: int) -> np.ndarray:
+    return np.ones((n, m), np.float32)
+
+
 def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp of each row but for a factor, the row's sum, and the log of the factor: 1, unless a row would overflow."""
     with np.errstate(over="ignore", invalid="ignore"):
@@ -194,7 +217,8 @@ class Attention:
         """Of windows the place of each pair of ids in the counts that with_pairs() takes: by row and class, and by group, class and member."""
         there = y >= 0
         last, ids = x[:, CONTEXT:][there].astype(np.int64), y[there]
-        return np.concatenate([last * CLASSES + self.of[ids], ROWS * CLASSES + (self.group[last] * CLASSES + self.of[ids]) * MEMBERS + self.place[ids]])
+        of = self.of.take(ids)
+        return np.concatenate([last * CLASSES + of, ROWS * CLASSES + (self.group.take(last) * CLASSES + of) * MEMBERS + self.place.take(ids)])
 
     def with_pairs(self, counts: np.ndarray) -> Attention:
         """The layer with the logs of what rows and groups say of the next class and member, from start()'s counts of members and those of pairs."""
@@ -214,12 +238,12 @@ class Attention:
     def hidden(self, x: np.ndarray) -> tuple:
         """x: [block, LENGTH] rows of the embeddings; what the layer makes of each of the last BLOCK."""
         w = self.w
-        qo, kv = w["qo"][x[:, CONTEXT:]], w["kv"][x]
+        qo, kv = w["qo"].take(x[:, CONTEXT:], axis=0), w["kv"].take(x, axis=0)  # faster than w[...]
         q, k, v = qo[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
         a = q @ k.transpose(0, 2, 1)
         a += np.where(SEEN, w["far"][np.maximum(OFFSET, 0)], NEVER)
         np.exp(a, out=a)
-        over = 1 / (a @ _ones(LENGTH))[..., None]
+        over = (1 / (a.reshape(-1, LENGTH) @ _square(LENGTH, WIDTH))).reshape(*a.shape[:2], WIDTH)  # the same for each of WIDTH
         seen = a @ v
         seen *= over
         h = seen.reshape(-1, WIDTH) @ w["mix"]
@@ -230,16 +254,18 @@ class Attention:
 
     def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Tokens in order of their ids' class, and (class, from, to) of those that there are."""
-        c = self.of[ids].astype(np.uint8)
+        c = self.of.take(ids).astype(np.uint8)
         order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1)).tolist()
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
         return order, [(k, i, j) for k, i, j in zip(range(CLASSES), cuts, cuts[1:]) if i < j]
 
     def members(self, h: np.ndarray, last: np.ndarray, ids: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
         """Of tokens in order of class the logits of the members of that class."""
-        z = self.within[self.group[last] * CLASSES + self.of[ids]]
+        z = self.within.take(self.group.take(last) * CLASSES + self.of.take(ids), axis=0)
+        more = np.empty_like(z)
         for c, i, j in cuts:
-            z[i:j] += h[i:j] @ self.w["unit"][c]
+            np.matmul(h[i:j], self.w["unit"][c], out=more[i:j])
+        z += more
         return z
 
     def chances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -249,15 +275,14 @@ class Attention:
         there = np.flatnonzero(flat >= 0)
         order, cuts = self.by_class(flat[there])
         there = there[order]
-        ids, last, h = flat[there], x[:, CONTEXT:].ravel()[there], h[there]
-        each = np.arange(len(ids))
+        ids, last, h = flat.take(there), x[:, CONTEXT:].ravel().take(there), h.take(there, axis=0)
         z = h @ w["out"]
-        z += self.after[last]
-        got = z[each, self.of[ids]] + self.share[ids]
+        z += self.after.take(last, axis=0)
+        got = z.take(np.arange(len(ids)) * CLASSES + self.of.take(ids)) + self.share.take(ids)
         _, sums, moved = _chances(z)
         got -= np.log(sums) + moved
         z = self.members(h, last, ids, cuts)
-        got += z[each, self.place[ids]]
+        got += z.take(np.arange(len(ids)) * MEMBERS + self.place.take(ids))
         _, sums, moved = _chances(z)
         out = np.zeros(len(flat), np.float32)
         out[there] = got - np.log(sums) - moved
@@ -297,47 +322,48 @@ class Attention:
             return
         order, cuts = self.by_class(flat[there])
         there = there[order]
-        ids, ht, before = flat[there], h[there], last[there]
+        ids, ht, before = flat.take(there), h.take(there, axis=0), last.take(there)
         each, scale = np.arange(len(ids)), np.float32(1 / len(ids))
         # classes
         p = ht @ w["out"]
-        p += self.after[before]
+        p += self.after.take(before, axis=0)
         p, total, _ = _chances(p)
         p *= (scale / total)[:, None]
-        p[each, self.of[ids]] -= scale
+        p.reshape(-1)[each * CLASSES + self.of.take(ids)] -= scale
         dh = p @ w["out"].T
         slopes = {"out": ht.T @ p}
         # members
         z, total, _ = _chances(self.members(ht, before, ids, cuts))
         z *= (scale / total)[:, None]
-        z[each, self.place[ids]] -= scale
-        slopes["unit"] = np.zeros_like(w["unit"])
+        z.reshape(-1)[each * MEMBERS + self.place.take(ids)] -= scale
+        slopes["unit"], more = np.zeros_like(w["unit"]), np.empty_like(dh)
         for c, i, j in cuts:
-            slopes["unit"][c] = ht[i:j].T @ z[i:j]
-            dh[i:j] += z[i:j] @ w["unit"][c].T
+            np.matmul(ht[i:j].T, z[i:j], out=slopes["unit"][c])
+            np.matmul(z[i:j], w["unit"][c].T, out=more[i:j])
+        dh += more
         # the layer
-        d = np.zeros_like(h)
         dh *= ht > 0
-        d[there] = dh
+        back = np.full(len(h), -1)  # the last row is for those without an id
+        back[there] = each
+        d = np.concatenate([dh, np.zeros((1, HIDDEN), np.float32)]).take(back, axis=0, mode="wrap")
         slopes["mix"] = seen.reshape(-1, WIDTH).T @ d
         dseen = (d @ w["mix"].T).reshape(seen.shape)
         dseen *= over
-        dkv, dqo = np.empty((*x.shape, 2 * WIDTH), np.float32), np.empty((len(last), WIDTH + HIDDEN), np.float32)
-        dkv[..., WIDTH:] = a.transpose(0, 2, 1) @ dseen
+        dv = a.transpose(0, 2, 1) @ dseen
         da = dseen @ v.transpose(0, 2, 1)
-        da -= np.einsum("nij,nij->ni", dseen, seen)[..., None]
+        da -= ((dseen * seen).reshape(-1, WIDTH) @ _square(WIDTH, LENGTH)).reshape(da.shape)
         da *= a
-        slopes["far"] = np.bincount(np.maximum(OFFSET, 0).ravel(), (da.sum(0) * SEEN).ravel(), LENGTH).astype(np.float32)
-        dkv[..., :WIDTH] = da.transpose(0, 2, 1) @ q
-        dqo[:, :WIDTH] = (da @ k).reshape(-1, WIDTH)
-        dqo[:, WIDTH:] = d
+        slopes["far"] = np.bincount(np.maximum(OFFSET, 0).ravel(), (_ones(len(x)) @ da.reshape(len(x), -1)) * SEEN.ravel(), LENGTH).astype(np.float32)
+        dk, dq = da.transpose(0, 2, 1) @ q, da @ k
         for name, g in slopes.items():
             self._move(name, g, rate)
-        for rows, name, g in ((last, "qo", dqo), (x.ravel(), "kv", dkv.reshape(-1, 2 * WIDTH))):
+        for rows, name, both in ((last, "qo", (dq, d)), (x.ravel(), "kv", (dk, dv))):
             order = np.argsort(rows, kind="stable")
             sorted_ = rows[order]
-            first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1))
-            self._move(name, np.add.reduceat(g[order], first, axis=0), rate, sorted_[first])
+            first = np.append(0, np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1)
+            # as complex, two numbers are added at a time
+            sums = [np.add.reduceat(g.reshape(len(rows), -1).take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32) for g in both]
+            self._move(name, np.concatenate(sums, axis=1), rate, sorted_[first])
 
     def score(self, ids: np.ndarray, counts: np.ndarray, most: int = 512) -> np.ndarray:
         """log10 probability of each text; ids end to end."""
@@ -390,9 +416,9 @@ def _scatter(model: str, buckets: int, units: int):
         piece = (TaskContext.get().partitionId() << 32) - 1
         for b in slices(batches, 1, PIECE):
             piece += 1
-            at, words, of, spelled, order = distinct_words(b.column(1))
+            at, words, of, spell, order = distinct_words(b.column(1))
             n, train = np.diff(at), ~np.asarray(b.column(2).cast(pa.int8())).astype(bool)
-            ids, counts = expand(subwords(model), at, of, spelled)
+            ids, counts = expand(subwords(model), at, of, words, spell)
             keys, blank = np.asarray(b.column(0).fill_null(0)).astype(np.int64), np.asarray(b.column(0).is_null().cast(pa.int8())).astype(bool)
             yield _arrays([{"bucket": piece % buckets, "piece": piece, "keys": keys.tobytes(), "blank": blank.tobytes(), "words": n.astype(np.int64).tobytes(), "train": train.tobytes()}], SCATTERED)
             # each text's ids, to its unit
@@ -529,30 +555,67 @@ def training_ids(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
             yield ids[np.repeat(~held, counts)], counts[~held]
 
 
-def _added(units: DataFrame, model: str, size: int, places) -> np.ndarray:
-    """How often each of ``size`` places is named by ``places(ids, counts)`` over all training texts; the model's size, not the input's, bounds what comes back."""
+#: Numbers of a row when many are summed.
+SUMS = 1 << 13
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pack(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Whole numbers as rows of SUMS of them, but for rows of zeros."""
+    for k in range(0, len(total), SUMS):
+        if total[k : k + SUMS].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // SUMS], pa.int32()), pa.array([total[k : k + SUMS].tobytes()], pa.binary())], ["part", "sums"])
+
+
+def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = {}
+    for b in batches:
+        for part, sums in zip(b.column(0).to_pylist(), b.column(1)):
+            sums = np.frombuffer(sums.as_buffer(), np.int64)
+            total[part] = total[part] + sums if part in total else sums
+    for part, sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["part", "sums"])
+
+
+def _added(units: DataFrame, size: int, run: Callable) -> np.ndarray | None:
+    """The sum of ``size`` whole numbers over all tasks, each of which makes them by ``run(batches)`` (None: none); the model's size, not the input's, bounds
+    what comes back.  None if no task has any."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = run(batches)
+        if total is not None:
+            yield from _pack(total)
+
+    tasks = min(parts(units.sparkSession), -(-size // SUMS))
+    rows = units.mapInArrow(packed, "part int, sums binary").repartitionById(tasks, F.col("part") % tasks).mapInArrow(_sum_parts, "part int, sums binary").toArrow()
+    if not rows.num_rows:
+        return None
+    out = np.zeros(size, np.int64)
+    for part, sums in zip(rows.column("part").to_pylist(), rows.column("sums").to_pylist()):
+        out[part * SUMS : (part + 1) * SUMS] = np.frombuffer(sums, np.int64)
+    return out
+
+
+def _named(units: DataFrame, model: str, size: int, places) -> np.ndarray:
+    """How often each of ``size`` places is named by ``places(ids, counts)`` over all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for ids, counts in training_ids(model, batches):
             total += np.bincount(places(ids, counts), minlength=size)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+        return total
 
-    rows = units.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
-    return out
+    got = _added(units, size, run)
+    return np.zeros(size, np.int64) if got is None else got
 
 
 def id_counts(units: DataFrame, model: str, size: int) -> np.ndarray:
     """How often each id is in the training texts of units."""
-    return _added(units, model, size, lambda ids, counts: ids)
+    return _named(units, model, size, lambda ids, counts: ids)
 
 
 def pair_counts(units: DataFrame, model: str, layer: Attention) -> np.ndarray:
     """How often each pair that with_pairs() counts is in the training texts of units."""
-    return _added(units, model, ROWS * CLASSES + GROUPS * CLASSES * MEMBERS, lambda ids, counts: layer.pairs(*layer.blocks(ids, counts)[:2]))
+    return _named(units, model, ROWS * CLASSES + GROUPS * CLASSES * MEMBERS, lambda ids, counts: layer.pairs(*layer.blocks(ids, counts)[:2]))
 
 
 #: Weights are summed as whole numbers of this, so the order of tasks changes nothing.
@@ -563,8 +626,10 @@ def fit_all(layer: Attention, units: DataFrame, model: str, rounds: int, epochs:
     """The layer after ``rounds``, in each of which every rounds-th unit is fitted ``epochs`` times over on a copy of its own, and the
     copies are averaged by numbers of windows."""
     names = sorted(layer.w)
+    size = sum(layer.w[k].size for k in names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
         for ids, counts in training_ids(model, batches):
             x, y, _ = layer.blocks(ids, counts)
             if not len(x):
@@ -572,17 +637,12 @@ def fit_all(layer: Attention, units: DataFrame, model: str, rounds: int, epochs:
             mine = layer.copy().fit(x, y, epochs)
             flat = np.concatenate([mine.w[k].ravel() - layer.w[k].ravel() for k in names]).astype(float)
             sums = np.append(np.rint(flat * len(x) / GRAIN), len(x)).astype(np.int64)
-            some = np.append(np.flatnonzero(sums[:-1]), len(sums) - 1)  # what never moved isn't sent
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "sum"])
+            total = sums if total is None else total + sums
+        return total
 
     for k in range(rounds):
-        mine = units.filter(F.col("unit") % rounds == k)
-        rows = mine.mapInArrow(run, "place long, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).toArrow()  # one row for each weight at most
-        if rows.num_rows:
-            place, sums = rows.column("place").to_numpy(), rows.column("sum").to_numpy()
-            size = sum(layer.w[k].size for k in names)
-            by, at = np.zeros(size + 1), 0
-            by[place] = sums
+        by, at = _added(units.filter(F.col("unit") % rounds == k), size + 1, run), 0
+        if by is not None:
             for name in names:
                 v = layer.w[name]
                 layer.w[name] = v + (by[at : at + v.size] * GRAIN / by[-1]).reshape(v.shape).astype(np.float32)

@@ -174,3 +174,20 @@ def test_every_training_text_is_trained_on(spark):
     for kind in (lambda r: r.doc_id < 10_000, lambda r: r.doc_id >= 10_000):
         some = [r for r in held if kind(r)]
         assert some and sum(r.score for r in some) > 0.5 * sum(share[text_ids(MODEL, pa.array([texts[r.doc_id]]))[0]].sum() for r in some)
+
+
+def test_words_met_again_stay_known_when_the_store_is_full(monkeypatch):
+    """Pieces that share some words and fill the store with words of their own: the shared ones are encoded once, and ids are right."""
+    from spanloom.llm import lm
+
+    monkeypatch.setattr(lm, "KEEP", 60)
+    tokens = lm.Subwords(MODEL)
+    monkeypatch.setitem(lm._made, MODEL, tokens)
+    met, encode = Counter(), tokens.sp.encode
+    monkeypatch.setattr(tokens.sp, "encode", lambda words, **more: met.update(words) or encode(words, **more))
+    shared = "the cat sat on mats".split()
+    for k in range(12):
+        words = [*shared, *(f"fresh{k}x{i}" for i in range(40)), *shared]
+        ids, counts = text_ids(MODEL, pa.array([" ".join(words)]))
+        assert ids.tolist() == [i for w in words for i in encode(w)] + [tokens.end] and counts.tolist() == [len(ids)]
+    assert all(met[w] == 1 for w in shared)

@@ -268,6 +268,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, key: str = "doc_id", text
     if window < 3 or window % 2 == 0:
         raise ValueError("window must be odd and at least 3")
     docs, names = rows_by_number(docs, key, text)
+    docs = docs.filter("doc is not null")  # numbers are there; said here, both joins below read one exchange of the texts
     buckets, block = parts(docs.sparkSession), (window + 1) // 2
     hits = docs.mapInArrow(_probe(block, buckets), PROBED).repartitionById(buckets, F.col("bucket")).mapInArrow(_hit, HIT)
     hits = hits.repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_places, "doc long, places array<int>")

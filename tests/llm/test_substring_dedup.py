@@ -48,3 +48,22 @@ def test_one_passage_in_every_text_and_many_times_in_one(spark):
     rows += [(900, " ".join((passage + fresh(1)) * 60)), (901, " ".join(fresh(200)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, substring_dedup(docs).collect()), key=str) == brute(rows)
+
+
+def test_texts_are_exchanged_once(spark, tmp_path):
+    """Both joins read one exchange of the texts; a second one would take as much disk as the input."""
+    pick = random.Random(8)
+    fresh = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    rows = [(k, " ".join(fresh(30) + passage * (k % 3 == 0))) for k in range(40)]
+    for name, more in (("keys", []), ("numbers", [(None, "no key"), (3, "again")])):
+        spark.createDataFrame(rows + more, "doc_id long, text string").write.parquet(str(tmp_path / name))
+        out = substring_dedup(spark.read.parquet(str(tmp_path / name)))
+        kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert sorted(map(tuple, out.collect()), key=str) == brute(rows + more)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        assert "ReusedExchange" in plan, plan

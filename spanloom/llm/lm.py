@@ -38,6 +38,7 @@ LENGTH = BLOCK + CONTEXT
 #: Offsets from a query to a key; keys after it are masked.
 OFFSET = np.arange(CONTEXT, LENGTH)[:, None] - np.arange(LENGTH)
 SEEN = OFFSET >= 0
+AHEAD = np.maximum(OFFSET, 0)
 #: Rows of the embeddings beyond those of known ids and of classes: the beginning of a text, and nothing.
 BEGIN, NONE = KNOWN + CLASSES, KNOWN + CLASSES + 1
 ROWS, GROUPS = KNOWN + CLASSES + 2, NEAR + CLASSES + 1
@@ -47,6 +48,8 @@ _table = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 KEEP, PIECE = 400_000, 2 << 20
 #: Bound of queries and keys, so that no product of two overflows.
 MOST = 2.0
+#: Blocks whose classes are told at a time; of members, as many tokens.
+FEW = 512
 #: How much the counts after any id weigh against those after one id.
 WEIGHT = 20.0
 #: Bytes of text of a unit at most, on average, and ids of which a larger one is cut.
@@ -111,26 +114,43 @@ def id_type(model: str) -> type:
     return np.uint16 if subwords(model).size <= 1 << 16 else np.uint32
 
 
+def in_order(h: np.ndarray) -> np.ndarray:
+    """Places of hashes in order of hash and place: sorted as values, with the places in their last bits, which is faster than a stable argsort."""
+    bits = np.uint64(max(1, len(h) - 1).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    both = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    order = (both & low).astype(np.int64)
+    sorted_ = h.take(order)
+    if (sorted_[1:] < sorted_[:-1]).any():  # different hashes that only differ in the last bits
+        return np.argsort(h, kind="stable")
+    return order
+
+
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hashes the number of each among the distinct ones in order, the first place of each distinct one, and in_order()."""
+    order = in_order(h)
+    sorted_ = h.take(order)
+    new = np.ones(len(h), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    of = np.empty(len(h), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return of, order[new], order
+
+
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable, np.ndarray]:
     """Of the texts of a piece: each text's first word, the hashes of the distinct words, which of them
     each word is, a function that tells distinct words at some places in lower case, and all words' places in order of word and text."""
     data, offsets = buffers(column)
     starts, ends, at = spans(data, offsets)
     h = hashes(data, starts, ends, LOWER)
-    order = np.argsort(h, kind="stable")
-    sorted_ = h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    of = np.empty(len(h), np.int64)
-    of[order] = np.cumsum(new) - 1
-    one = order[new]
+    of, one, order = numbered(h)
     raw = data.tobytes().translate(_table)
 
     def spell(places: np.ndarray) -> list[str]:
         some = one[places]
         return [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts[some].tolist(), ends[some].tolist())]
 
-    return at, sorted_[new], of, spell, order
+    return at, h.take(one), of, spell, order
 
 
 def expand(tokens: Subwords, at: np.ndarray, of: np.ndarray, words: np.ndarray, spell: Callable) -> tuple[np.ndarray, np.ndarray]:
@@ -159,16 +179,20 @@ def _square(n: int, m: int) -> np.ndarray:
 
 def _chances(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
     """exp of each row but for a factor, the row's sum, and the log of the factor: 1, unless a row would overflow."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(z)
-        total = e @ _ones(z.shape[1])
-    if np.isfinite(total).all() and (not len(total) or total.min() > 0):
+    e = np.exp(z)
+    total = e @ _ones(z.shape[1])
+    if not len(total) or (total.min() > 0 and total.max() < np.inf):
         return e, total, 0.0
     most = z.max(1)
     e = np.exp(z - most[:, None])
     return e, e @ _ones(z.shape[1]), most
 
 
+def _sums_of(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows that begin at ``first``; as complex, two numbers are added at a time."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
 @dataclass
 class Attention:
     """What is fixed by the counts (for each id its row of the embeddings, class, place among members, and log share of
@@ -185,6 +209,12 @@ class Attention:
     squares: dict[str, np.ndarray] = field(default_factory=dict)
     after: np.ndarray | None = None
     within: np.ndarray | None = None
+    #: The same as within, but by class and then group, so that what tokens of one class read lies close together.
+    near: np.ndarray | None = None
+
+    def __post_init__(self) -> None:
+        self.kind = np.append(self.of, CLASSES).astype(np.uint8)  # the last is for -1, no id
+        self.row_ = self.row.astype(np.int16)
 
     @staticmethod
     def start(counts: np.ndarray, pieces: list[str] | None = None, seed: int = 5) -> Attention:
@@ -215,10 +245,26 @@ class Attention:
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of windows the place of each pair of ids in the counts that with_pairs() takes: by row and class, and by group, class and member."""
-        there = y >= 0
-        last, ids = x[:, CONTEXT:][there].astype(np.int64), y[there]
-        of = self.of.take(ids)
-        return np.concatenate([last * CLASSES + of, ROWS * CLASSES + (self.group.take(last) * CLASSES + of) * MEMBERS + self.place.take(ids)])
+        there = np.flatnonzero(y.ravel() >= 0)
+        return self._pairs(x[:, CONTEXT:].ravel().take(there), y.ravel().take(there))
+
+    def pairs_of(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The same of texts whose ids lie end to end, without making windows."""
+        last = np.empty(len(ids), np.int16)
+        last[1:] = self.row_.take(ids[:-1])
+        last[(np.cumsum(counts) - counts)[counts > 0]] = BEGIN
+        return self._pairs(last, ids)
+
+    def _pairs(self, last: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        of, out = self.of.take(ids), np.empty((2, len(ids)), np.int64)
+        np.multiply(last, CLASSES, out=out[0], dtype=np.int64)
+        out[0] += of
+        np.multiply(self.group.take(last), CLASSES, out=out[1])
+        out[1] += of
+        out[1] *= MEMBERS
+        out[1] += self.place.take(ids)
+        out[1] += ROWS * CLASSES
+        return out.ravel()
 
     def with_pairs(self, counts: np.ndarray) -> Attention:
         """The layer with the logs of what rows and groups say of the next class and member, from start()'s counts of members and those of pairs."""
@@ -229,11 +275,13 @@ class Attention:
         with np.errstate(divide="ignore"):
             self.after = np.maximum(np.log((first + WEIGHT * by_class) / (first.sum(1, keepdims=True) + WEIGHT)), -30).astype(np.float32)
             within = np.log((second + WEIGHT * by_member) / (second.sum(2, keepdims=True) + WEIGHT))
-        self.within = np.maximum(within, NEVER).astype(np.float32).reshape(GROUPS * CLASSES, MEMBERS)
+        within = np.maximum(within, NEVER).astype(np.float32)
+        self.within = within.reshape(GROUPS * CLASSES, MEMBERS)
+        self.near = within.transpose(1, 0, 2).reshape(CLASSES * GROUPS, MEMBERS)
         return self
 
     def copy(self) -> Attention:
-        return Attention(self.row, self.of, self.place, self.share, self.group, self.counted, {k: v.copy() for k, v in self.w.items()}, {}, self.after, self.within)
+        return Attention(self.row, self.of, self.place, self.share, self.group, self.counted, {k: v.copy() for k, v in self.w.items()}, {}, self.after, self.within, self.near)
 
     def hidden(self, x: np.ndarray) -> tuple:
         """x: [block, LENGTH] rows of the embeddings; what the layer makes of each of the last BLOCK."""
@@ -241,7 +289,7 @@ class Attention:
         qo, kv = w["qo"].take(x[:, CONTEXT:], axis=0), w["kv"].take(x, axis=0)  # faster than w[...]
         q, k, v = qo[..., :WIDTH], kv[..., :WIDTH], kv[..., WIDTH:]
         a = q @ k.transpose(0, 2, 1)
-        a += np.where(SEEN, w["far"][np.maximum(OFFSET, 0)], NEVER)
+        a += np.where(SEEN, w["far"][AHEAD], NEVER)
         np.exp(a, out=a)
         over = (1 / (a.reshape(-1, LENGTH) @ _square(LENGTH, WIDTH))).reshape(*a.shape[:2], WIDTH)  # the same for each of WIDTH
         seen = a @ v
@@ -253,98 +301,119 @@ class Attention:
         return q, k, v, a, over, seen, h
 
     def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Tokens in order of their ids' class, and (class, from, to) of those that there are."""
-        c = self.of.take(ids).astype(np.uint8)
-        order = np.argsort(c, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))]).tolist()
+        """Places of ids (-1: none, left out) in order of class, and (class, from, to) of those that there are."""
+        c = self.kind.take(ids)
+        cuts = [0, *np.cumsum(np.bincount(c, minlength=CLASSES + 1)).tolist()]
+        order = np.argsort(c, kind="stable")[: cuts[CLASSES]]
         return order, [(k, i, j) for k, i, j in zip(range(CLASSES), cuts, cuts[1:]) if i < j]
 
-    def members(self, h: np.ndarray, last: np.ndarray, ids: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
-        """Of tokens in order of class the logits of the members of that class."""
-        z = self.within.take(self.group.take(last) * CLASSES + self.of.take(ids), axis=0)
-        more = np.empty_like(z)
-        for c, i, j in cuts:
-            np.matmul(h[i:j], self.w["unit"][c], out=more[i:j])
-        z += more
-        return z
-
     def chances(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each id of y (-1: none, 0) after what x holds before it."""
-        h, w = self.hidden(x)[-1], self.w
-        flat = y.ravel()
-        there = np.flatnonzero(flat >= 0)
-        order, cuts = self.by_class(flat[there])
-        there = there[order]
-        ids, last, h = flat.take(there), x[:, CONTEXT:].ravel().take(there), h.take(there, axis=0)
-        z = h @ w["out"]
-        z += self.after.take(last, axis=0)
-        got = z.take(np.arange(len(ids)) * CLASSES + self.of.take(ids)) + self.share.take(ids)
-        _, sums, moved = _chances(z)
-        got -= np.log(sums) + moved
-        z = self.members(h, last, ids, cuts)
-        got += z.take(np.arange(len(ids)) * MEMBERS + self.place.take(ids))
-        _, sums, moved = _chances(z)
-        out = np.zeros(len(flat), np.float32)
-        out[there] = got - np.log(sums) - moved
+        w, flat, last = self.w, y.ravel(), x[:, CONTEXT:].ravel()
+        h, out = np.empty((len(flat), HIDDEN), np.float32), np.empty(len(flat), np.float32)
+        with np.errstate(over="ignore", invalid="ignore"):
+            # classes, in order of text
+            for s in range(0, len(x), FEW):
+                i, j = s * BLOCK, min(s + FEW, len(x)) * BLOCK
+                h[i:j] = self.hidden(x[s : s + FEW])[-1]
+                z = h[i:j] @ w["out"]
+                z += self.after.take(last[i:j], axis=0)
+                got = z.take(np.arange(0, z.size, CLASSES) + self.of.take(flat[i:j]))
+                _, sums, moved = _chances(z)
+                got -= np.log(sums) + moved
+                out[i:j] = got
+            # members, class by class
+            order, cuts = self.by_class(flat)
+            for c, first, end in cuts:
+                near = self.near[c * GROUPS : (c + 1) * GROUPS]
+                for s in range(first, end, FEW * BLOCK):
+                    at = order[s : min(s + FEW * BLOCK, end)]
+                    ids = flat.take(at)
+                    z = h.take(at, axis=0) @ w["unit"][c]
+                    z += near.take(self.group.take(last.take(at)), axis=0)
+                    got = z.take(np.arange(0, z.size, MEMBERS) + self.place.take(ids))
+                    got += self.share.take(ids)
+                    _, sums, moved = _chances(z)
+                    got -= np.log(sums) + moved
+                    out[at] += got
+        out[flat < 0] = 0
         return out.reshape(y.shape)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 1, batch: int = 256, rate: float = 1.0, seed: int = 6) -> Attention:
         """Adagrad on the mean log-likelihood of the next id, going on from the fit before; y: [block, BLOCK], -1 where there is none."""
         r = np.random.default_rng(seed)
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for s in range(0, len(x), batch):
-                self._step(x[order[s : s + batch]], y[order[s : s + batch]], rate)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for _ in range(epochs):
+                order = r.permutation(len(x))
+                for s in range(0, len(x), batch):
+                    self._step(x[order[s : s + batch]], y[order[s : s + batch]], rate)
         return self
 
     def _move(self, name: str, g: np.ndarray, rate: float, at: np.ndarray | None = None) -> None:
         """One Adagrad step of weights, or of the rows ``at`` of a table."""
-        w, squares = self.w[name], self.squares.setdefault(name, np.full_like(self.w[name], 1e-3))
+        w = self.w[name]
+        if name not in self.squares:
+            self.squares[name] = np.full_like(w, 1e-3)
+        squares = self.squares[name]
         if at is None:
             squares += g * g
-            w -= rate * g / np.sqrt(squares)
+            step = np.sqrt(squares)
+            np.divide(g, step, out=step)
+            step *= rate
+            w -= step
             if name == "far":
-                np.clip(w, -20, 20, out=w)
+                np.minimum(w, 20, out=w)
+                np.maximum(w, -20, out=w)
         else:
-            some = squares[at]
-            some += g * g
-            squares[at] = some
-            new = w[at] - rate * g / np.sqrt(some)
-            new[:, :WIDTH] = np.clip(new[:, :WIDTH], -MOST, MOST)  # queries and keys stand first
+            step = squares.take(at, axis=0)
+            step += g * g
+            squares[at] = step
+            np.sqrt(step, out=step)
+            np.divide(g, step, out=step)
+            step *= rate
+            new = w.take(at, axis=0)
+            new -= step
+            bound = new[:, :WIDTH]  # queries and keys stand first
+            np.minimum(bound, MOST, out=bound)
+            np.maximum(bound, -MOST, out=bound)
             w[at] = new
 
     def _step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
         w = self.w
         q, k, v, a, over, seen, h = self.hidden(x)
         flat, last = y.ravel(), x[:, CONTEXT:].ravel()
-        there = np.flatnonzero(flat >= 0)
+        there, cuts = self.by_class(flat)
         if not len(there):
             return
-        order, cuts = self.by_class(flat[there])
-        there = there[order]
         ids, ht, before = flat.take(there), h.take(there, axis=0), last.take(there)
-        each, scale = np.arange(len(ids)), np.float32(1 / len(ids))
+        of, scale = self.of.take(ids), np.float32(1 / len(ids))
         # classes
         p = ht @ w["out"]
         p += self.after.take(before, axis=0)
         p, total, _ = _chances(p)
         p *= (scale / total)[:, None]
-        p.reshape(-1)[each * CLASSES + self.of.take(ids)] -= scale
+        p.reshape(-1)[np.arange(0, p.size, CLASSES) + of] -= scale
         dh = p @ w["out"].T
         slopes = {"out": ht.T @ p}
-        # members
-        z, total, _ = _chances(self.members(ht, before, ids, cuts))
+        # members; dot has less to do before each product than matmul
+        hs, units = [ht[i:j] for _, i, j in cuts], [w["unit"][c] for c, _, _ in cuts]
+        z = np.empty((len(ids), MEMBERS), np.float32)
+        for hc, unit, (_, i, j) in zip(hs, units, cuts):
+            np.dot(hc, unit, z[i:j])
+        z += self.near.take(of * GROUPS + self.group.take(before), axis=0)
+        z, total, _ = _chances(z)
         z *= (scale / total)[:, None]
-        z.reshape(-1)[each * MEMBERS + self.place.take(ids)] -= scale
+        z.reshape(-1)[np.arange(0, z.size, MEMBERS) + self.place.take(ids)] -= scale
         slopes["unit"], more = np.zeros_like(w["unit"]), np.empty_like(dh)
-        for c, i, j in cuts:
-            np.matmul(ht[i:j].T, z[i:j], out=slopes["unit"][c])
-            np.matmul(z[i:j], w["unit"][c].T, out=more[i:j])
+        for hc, unit, (c, i, j) in zip(hs, units, cuts):
+            zc = z[i:j]
+            np.dot(hc.T, zc, slopes["unit"][c])
+            np.dot(zc, unit.T, more[i:j])
         dh += more
         # the layer
         dh *= ht > 0
         back = np.full(len(h), -1)  # the last row is for those without an id
-        back[there] = each
+        back[there] = np.arange(len(there))
         d = np.concatenate([dh, np.zeros((1, HIDDEN), np.float32)]).take(back, axis=0, mode="wrap")
         slopes["mix"] = seen.reshape(-1, WIDTH).T @ d
         dseen = (d @ w["mix"].T).reshape(seen.shape)
@@ -353,19 +422,20 @@ class Attention:
         da = dseen @ v.transpose(0, 2, 1)
         da -= ((dseen * seen).reshape(-1, WIDTH) @ _square(WIDTH, LENGTH)).reshape(da.shape)
         da *= a
-        slopes["far"] = np.bincount(np.maximum(OFFSET, 0).ravel(), (_ones(len(x)) @ da.reshape(len(x), -1)) * SEEN.ravel(), LENGTH).astype(np.float32)
+        slopes["far"] = np.bincount(AHEAD.ravel(), (_ones(len(x)) @ da.reshape(len(x), -1)) * SEEN.ravel(), LENGTH).astype(np.float32)
         dk, dq = da.transpose(0, 2, 1) @ q, da @ k
         for name, g in slopes.items():
             self._move(name, g, rate)
         for rows, name, both in ((last, "qo", (dq, d)), (x.ravel(), "kv", (dk, dv))):
             order = np.argsort(rows, kind="stable")
             sorted_ = rows[order]
-            first = np.append(0, np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1)
-            # as complex, two numbers are added at a time
-            sums = [np.add.reduceat(g.reshape(len(rows), -1).take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32) for g in both]
+            new = np.ones(len(rows), bool)
+            np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+            first = np.flatnonzero(new)
+            sums = [_sums_of(g.reshape(len(rows), -1).take(order, axis=0), first) for g in both]
             self._move(name, np.concatenate(sums, axis=1), rate, sorted_[first])
 
-    def score(self, ids: np.ndarray, counts: np.ndarray, most: int = 512) -> np.ndarray:
+    def score(self, ids: np.ndarray, counts: np.ndarray, most: int = 8192) -> np.ndarray:
         """log10 probability of each text; ids end to end."""
         x, y, text = self.blocks(ids, counts)
         out = np.zeros(len(counts))
@@ -383,12 +453,16 @@ class Attention:
             return np.empty((0, LENGTH), np.int16), np.empty((0, BLOCK), np.int32), text
         # texts padded to whole blocks; as input one place later, after BEGIN and a context of nothing
         base = np.cumsum(places) - places
-        at = np.arange(len(ids)) + np.repeat(base - (np.cumsum(counts) - counts), counts)
-        y = np.full(places.sum(), -1, np.int32)
-        y[at] = ids
-        x = np.full(places.sum() + CONTEXT * len(counts) + 1, NONE, np.int16)
+        there = np.ones(places.sum(), bool)
+        there[ranges(base + counts, places - counts)] = False
+        y = np.full(len(there), -1, np.int32)
+        y[there] = ids
+        x = np.full(len(there) + CONTEXT * len(counts) + 1, NONE, np.int16)
         lead = CONTEXT * (np.arange(len(counts)) + 1)
-        x[at + np.repeat(lead, counts) + 1] = self.row[ids]
+        there, starts, ends = np.ones(len(x), bool), base + lead + 1, base + lead + 1 + counts
+        gaps = np.append(0, ends)
+        there[ranges(gaps, np.append(starts, len(x)) - gaps)] = False
+        x[there] = self.row_.take(ids)
         last = (base + lead + counts)[counts % BLOCK == 0]  # the last id of a whole block has nothing after it
         x[last] = NONE
         x[base + lead] = BEGIN
@@ -489,38 +563,38 @@ def _count(width: int):
 
 
 def _sums(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    words, of = np.unique(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), return_inverse=True)
+    of, _, _ = numbered(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]))
     seen = np.concatenate([np.frombuffer(r["train"], np.uint32) for r in rows])
-    total = np.bincount(of, seen, len(words))
+    total = np.bincount(of, seen)
     out, at = [{"piece": -1, "kinds": int((total > 0).sum()), "total": int(total.sum())}], 0
+    logs = np.log10(total + 1)  # 0 for a word that isn't known, and only then
     for r in rows:
         texts = np.frombuffer(r["texts"], np.uint16)
-        c = np.repeat(total[of[at : at + len(texts)]], texts)
+        c = np.repeat(logs.take(of[at : at + len(texts)]), texts)
         at += len(texts)
         docs, times = np.frombuffer(r["docs"], np.uint16), np.frombuffer(r["times"], np.uint32)
-        out.append({"piece": r["piece"], "sums": np.bincount(docs, np.log10(c + 1) * times).tobytes(), "known": np.bincount(docs, times * (c > 0)).astype(np.int64).tobytes()})
+        out.append({"piece": r["piece"], "sums": np.bincount(docs, c * times).tobytes(), "known": np.bincount(docs, times * (c > 0)).astype(np.int64).tobytes()})
     for i in range(0, len(out), 256):
         yield _arrays(out[i : i + 256], COUNTED)
 
 
-SCORED = "piece long, sums binary, known binary, keys binary, blank binary, held binary, words binary, ats binary, score binary"
+SCORED = "piece long, ats binary, score binary"
 
 
 def _score(model: str, layer: Attention):
-    """Units' ids to their texts' scores, by piece; what else there is of pieces goes on as it is."""
+    """Units' ids to their texts' scores, by piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                if r["ids"] is None:
-                    yield _arrays([{c.split()[0]: r.get(c.split()[0]) for c in SCORED.split(", ")}], SCORED)
-                    continue
                 score = layer.score(np.frombuffer(r["ids"], id_type(model)), np.frombuffer(r["tokens"], np.int64))
                 piece, at = np.frombuffer(r["pieces"], np.int64), np.frombuffer(r["ats"], np.int32)
                 order = np.argsort(piece, kind="stable")
                 first = np.flatnonzero(np.diff(piece[order], prepend=piece[order][:1] - 1)).tolist()
-                rows = [{"piece": int(piece[order[i]]), "ats": at[order[i:j]].tobytes(), "score": score[order[i:j]].tobytes()} for i, j in zip(first, [*first[1:], len(order)])]
-                yield _arrays(rows, SCORED)
+                ends = [*first[1:], len(order)]
+                at, score = at[order], score[order]
+                columns = [pa.array(piece[order[first]]), *(pa.array([v[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()) for v in (at, score))]
+                yield pa.RecordBatch.from_arrays(columns, ["piece", "ats", "score"])
 
     return run
 
@@ -615,16 +689,16 @@ def id_counts(units: DataFrame, model: str, size: int) -> np.ndarray:
 
 def pair_counts(units: DataFrame, model: str, layer: Attention) -> np.ndarray:
     """How often each pair that with_pairs() counts is in the training texts of units."""
-    return _named(units, model, ROWS * CLASSES + GROUPS * CLASSES * MEMBERS, lambda ids, counts: layer.pairs(*layer.blocks(ids, counts)[:2]))
+    return _named(units, model, ROWS * CLASSES + GROUPS * CLASSES * MEMBERS, layer.pairs_of)
 
 
 #: Weights are summed as whole numbers of this, so the order of tasks changes nothing.
 GRAIN = 2.0**-20
 
 
-def fit_all(layer: Attention, units: DataFrame, model: str, rounds: int, epochs: int = 1) -> Attention:
-    """The layer after ``rounds``, in each of which every rounds-th unit is fitted ``epochs`` times over on a copy of its own, and the
-    copies are averaged by numbers of windows."""
+def fit_all(layer: Attention, units: DataFrame, model: str, number: int, rounds: int, epochs: int = 1) -> Attention:
+    """The layer after ``rounds``, in each of which the next range of the ``number`` of units is fitted, each ``epochs`` times over on a copy
+    of its own, and the copies are averaged by numbers of windows.  Files tell their ranges, so those of other rounds aren't read."""
     names = sorted(layer.w)
     size = sum(layer.w[k].size for k in names)
 
@@ -641,7 +715,8 @@ def fit_all(layer: Attention, units: DataFrame, model: str, rounds: int, epochs:
         return total
 
     for k in range(rounds):
-        by, at = _added(units.filter(F.col("unit") % rounds == k), size + 1, run), 0
+        first, end = k * number // rounds, (k + 1) * number // rounds
+        by, at = _added(units.filter((F.col("unit") >= first) & (F.col("unit") < end)), size + 1, run), 0
         if by is not None:
             for name in names:
                 v = layer.w[name]
@@ -678,11 +753,12 @@ def language_model_scores(docs: DataFrame, model: str, rounds: int = 4, least_st
     pairs = pair_counts(rows, model, layer)
     layer.with_pairs(pairs)
     steps = pairs[: ROWS * CLASSES].sum() / (BLOCK * 256)
-    layer = fit_all(layer, rows, model, min(rounds, units), max(1, int(-(-least_steps // max(steps, 1)))) if steps < least_steps else 1)
+    layer = fit_all(layer, rows, model, units, min(rounds, units), max(1, int(-(-least_steps // max(steps, 1)))) if steps < least_steps else 1)
     all_ = counted.filter("piece = -1").agg(F.sum("kinds"), F.sum("total")).first()
     kinds, total = (all_[0] or 0) + (ends > 0), (all_[1] or 0) + ends
-    scored = counted.filter("piece <> -1").mapInArrow(_score(model, layer), SCORED)
-    rows = scored.repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_gather, "doc long, held boolean, words long, known long, sums double, score double")
+    scored = counted.filter("ids is not null").select("pieces", "ats", "tokens", "ids").mapInArrow(_score(model, layer), SCORED)
+    rest = counted.filter("piece >= 0").select("piece", "sums", "known", "keys", "blank", "held", "words")
+    rows = rest.unionByName(scored, allowMissingColumns=True).repartitionById(buckets, (F.col("piece") % buckets).cast("int")).mapInArrow(_gather, "doc long, held boolean, words long, known long, sums double, score double")
     tokens = F.col("words") + 1
     base = F.col("sums") + float(np.log10(ends + 1)) - tokens * float(np.log10(total + kinds + 1))
     return rows.select(F.col("doc").alias(key), F.col("held").alias("held_out"), tokens.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

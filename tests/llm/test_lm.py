@@ -191,3 +191,53 @@ def test_words_met_again_stay_known_when_the_store_is_full(monkeypatch):
         ids, counts = text_ids(MODEL, pa.array([" ".join(words)]))
         assert ids.tolist() == [i for w in words for i in encode(w)] + [tokens.end] and counts.tolist() == [len(ids)]
     assert all(met[w] == 1 for w in shared)
+
+
+def test_hashes_are_put_in_order_as_by_a_stable_argsort():
+    """Also those that differ in the last bits only, which hold the places meanwhile."""
+    from spanloom.llm.lm import in_order, numbered
+
+    r = np.random.default_rng(5)
+    far = r.integers(0, 2**64, 400, np.uint64)[r.integers(0, 400, 3000)]
+    for h in (far, far ^ r.integers(0, 4, 3000).astype(np.uint64), far[:1], far[:0]):
+        assert in_order(h).tolist() == np.argsort(h, kind="stable").tolist()
+        _, at, of = np.unique(h, return_index=True, return_inverse=True)
+        got = numbered(h)
+        assert got[0].tolist() == of.tolist() and got[1].tolist() == at.tolist()
+
+
+def test_pairs_and_chances_do_not_depend_on_how_windows_are_made_and_cut(monkeypatch):
+    from spanloom.llm import lm
+
+    r = np.random.default_rng(6)
+    layer = Attention.start(r.integers(0, 1000, 700))
+    counts = np.array([1, BLOCK - 1, BLOCK, 2 * BLOCK, 5, 3 * BLOCK + 1, BLOCK])
+    ids = r.integers(0, 700, counts.sum()).astype(np.uint16)
+    x, y, _ = layer.blocks(ids, counts)
+    pairs = layer.pairs_of(ids, counts)
+    assert np.array_equal(pairs, layer.pairs(x, y))
+    layer.with_pairs(np.bincount(pairs, minlength=ROWS * CLASSES + GROUPS * CLASSES * MEMBERS))
+    rows, at = [], 0
+    for n in counts:
+        rows += [BEGIN, *layer.row[ids[at : at + n - 1]]]
+        at += n
+    assert x[:, CONTEXT:][y >= 0].tolist() == rows and y[y >= 0].tolist() == ids.tolist()
+    whole = layer.chances(x, y)
+    monkeypatch.setattr(lm, "FEW", 2)
+    assert np.allclose(whole, layer.chances(x, y), rtol=1e-5) and (whole[y < 0] == 0).all() and (whole[y >= 0] < 0).all()
+
+
+def test_only_ids_of_units_are_scored_in_python_and_rounds_read_their_units(spark, monkeypatch):
+    """What is finished, and in a round the units of others, isn't sent to Python."""
+    from spanloom.llm import lm
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(lm, "UNIT", 1 << 15)
+    seen, added = [], lm._added
+    monkeypatch.setattr(lm, "_added", lambda units, *more: seen.append({r.unit for r in units.select("unit").collect()}) or added(units, *more))
+    got = language_model_scores(docs, MODEL, least_steps=20)
+    plan = got._jdf.queryExecution().toString()
+    assert "Union" in plan and got.count() == docs.count()
+    counts, pairs, *rounds = seen
+    assert counts == pairs == set().union(*rounds) and len(rounds) == 4 and sum(map(len, rounds)) == len(counts)
+    assert all(max(a) < min(b) for a, b in zip(rounds, rounds[1:]))
